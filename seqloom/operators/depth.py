@@ -20,9 +20,7 @@ def _profile(depths: DataFrame, n_taxa: int, chrom_lengths: DataFrame) -> DataFr
     sums = depths.groupBy("chrom", "pos").agg(F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("ss"))
     block = F.explode(F.sequence(F.lit(0), F.floor((F.col("chrom_len") - 1) / BLOCK).cast("int")))
     blocks = chrom_lengths.where("chrom_len > 0").withColumn("block", block).repartition("chrom", "block")
-    every = blocks.select(
-        "chrom", F.explode(F.sequence(F.col("block") * BLOCK + 1, F.least(F.col("chrom_len"), (F.col("block") + 1) * BLOCK))).cast("int").alias("pos")
-    )
+    every = blocks.select("chrom", F.explode(F.sequence(F.col("block") * BLOCK + 1, F.least(F.col("chrom_len"), (F.col("block") + 1) * BLOCK))).alias("pos"))
     s, ss = F.coalesce("s", F.lit(0.0)), F.coalesce("ss", F.lit(0.0))
     n = F.lit(float(n_taxa))
     sd = F.sqrt(F.greatest(F.try_divide(ss - s * s / n, n - 1), F.lit(0.0)))
@@ -42,9 +40,9 @@ def pop_depth(depths: DataFrame, taxa: DataFrame, chrom_lengths: DataFrame) -> D
 def sample_sites(chrom_lengths: DataFrame, n: int = SAMPLE_SITES) -> DataFrame:
     """Evenly spaced sites: floor(n * length / all) of each chromosome, at floor(j * length / number + 1)."""
     total = F.sum("chrom_len").over(Window.partitionBy())
-    share = chrom_lengths.withColumn("k", F.floor(F.lit(n) * F.col("chrom_len") / total).cast("int")).where("k > 0")
+    share = chrom_lengths.withColumn("k", F.floor(F.lit(n).cast("double") * F.col("chrom_len") / total).cast("int")).where("k > 0")
     j = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    return share.withColumn("j", j).select("chrom", F.floor(F.col("j") * F.col("chrom_len") / F.col("k") + 1).cast("int").alias("pos"))
+    return share.withColumn("j", j).select("chrom", F.floor(F.col("j").cast("bigint") * F.col("chrom_len") / F.col("k") + 1).cast("int").alias("pos"))
 
 
 def depth_mode(depths: DataFrame, chrom_lengths: DataFrame, n: int = SAMPLE_SITES) -> DataFrame:

@@ -51,7 +51,7 @@ def ibs_matrix(gt: DataFrame, kind: str = "grid", max_sites: int | None = None,
         rows = rows.join(chosen, ["chrom", "pos"], "left_semi")
     names = sorted(r[0] for r in gt.select("taxon").distinct().collect())
     number = {t: i for i, t in enumerate(names)}
-    cells = rows.groupBy("chrom", "pos").agg(F.collect_list("taxon").alias("taxa"), F.collect_list((F.col("a1") + F.col("a2")).cast("int")).alias("xs"))
+    cells = rows.groupBy("chrom", "pos").agg(F.collect_list("taxon").alias("taxa"), F.collect_list((F.col("a1") + F.col("a2")).cast("int")).alias("dosages"))
     size = len(names)
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,12 +59,12 @@ def ibs_matrix(gt: DataFrame, kind: str = "grid", max_sites: int | None = None,
         for batch in batches:
             for at in range(0, len(batch), block):
                 part = batch.iloc[at : at + block]
-                counts = part.taxa.map(len).to_numpy()
+                counts = part["taxa"].map(len).to_numpy()
                 row = np.repeat(np.arange(len(part)), counts)
-                col = np.array([number[t] for ts in part.taxa for t in ts], int)
+                col = np.array([number[t] for ts in part["taxa"] for t in ts], int)
                 x = np.full((len(part), size), -1, np.int8)
                 if len(col):
-                    x[row, col] = np.concatenate(part.xs.to_numpy())
+                    x[row, col] = np.concatenate(part["dosages"].to_numpy())
                 zero, one, two = ((x == v).astype(np.float32) for v in (0, 1, 2))
                 called = zero + one + two
                 many += called.T @ called

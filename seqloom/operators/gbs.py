@@ -126,11 +126,12 @@ def tag_alleles(alignments: DataFrame, catalogue: DataFrame, min_mapq: int = MIN
 
 def _chunks(tags: DataFrame, key: str) -> DataFrame:
     """(key, group, place, chunk) of the whole CHUNK-base pieces of both reads."""
-    pieces = []
-    for end in (1, 2):
-        count = F.floor(F.col(f"r{end}_len") / CHUNK).cast("int")
-        pieces.append(F.transform(F.slice(F.sequence(F.lit(0), F.lit(TAG_LENGTH // CHUNK - 1)), F.lit(1), count), lambda i, e=end: F.struct((i + 100 * e).alias("place"), F.substring(f"tag_r{e}", i * CHUNK + 1, F.lit(CHUNK)).alias("chunk"))))
-    return tags.select(key, F.substring("tag_r1", 9, 6).alias("group"), F.explode(F.concat(*pieces)).alias("c")).select(key, "group", "c.chunk").distinct()
+
+    def pieces(end: int) -> Column:
+        places = F.slice(F.sequence(F.lit(0), F.lit(TAG_LENGTH // CHUNK - 1)), F.lit(1), F.floor(F.col(f"r{end}_len") / CHUNK).cast("int"))
+        return F.transform(places, lambda i: F.substring(f"tag_r{end}", i * CHUNK + 1, F.lit(CHUNK)))
+
+    return tags.select(key, F.substring("tag_r1", 9, 6).alias("group"), F.explode(F.concat(pieces(1), pieces(2))).alias("chunk")).distinct()
 
 
 def match_tags(query: DataFrame, library: DataFrame, max_diff: int = MOST_DIVERGENCE, most_tags: int = MOST_TAGS_PER_CHUNK) -> DataFrame:

@@ -162,7 +162,8 @@ def remove_ranges(ranges: DataFrame, gone: DataFrame) -> DataFrame:
 def make_windows(chrom_lengths: DataFrame, size: int, step: int) -> DataFrame:
     """Windows from position 1 every ``step`` positions while they start before the end; the last ones are not clipped."""
     starts = F.explode(F.sequence(F.lit(1), F.col("chrom_len") - 1, F.lit(step)))
-    return chrom_lengths.where("chrom_len > 1").select("chrom", starts.cast("int").alias("win_start")).withColumn("win_end", F.col("win_start") + size)
+    rows = chrom_lengths.where("chrom_len > 1").select("chrom", starts.alias("s"))
+    return rows.select("chrom", F.col("s").cast("int").alias("win_start"), (F.col("s") + size).cast("int").alias("win_end"))
 
 
 def _window_values(rows: DataFrame, windows: DataFrame, size: int, step: int, measures: dict[str, Column]) -> DataFrame:

@@ -9,6 +9,7 @@ from seqloom.functions.bases import count_base, has_bad_base, has_n, phred, reve
 
 #: Start positions of k-mers in one row of a cut sequence.
 CHUNK = 1 << 16
+SHORT = 1 << 7
 
 
 def base_composition(seqs: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def assembly_stats(seqs: DataFrame) -> DataFrame:
     over = F.col("upto") > F.col("half")
     need = F.col("many") - F.col("n") + F.floor((F.col("half") - (F.col("upto") - F.col("len") * F.col("n"))) / F.col("len")) + 1
     return half.agg(
-        F.sum("n").alias("n_seqs"), F.max("total").alias("total"), F.max(F.when(over, F.col("len"))).alias("n50"), F.min(F.when(over, need)).cast("bigint").alias("l50")
+        F.sum("n").alias("n_seqs"), F.max("total").alias("total"), F.max(F.when(over, F.col("len"))).alias("n50"), F.max_by(F.when(over, need), F.when(over, F.col("len"))).cast("bigint").alias("l50")
     )
 
 
@@ -48,15 +49,22 @@ def sort_sequences(seqs: DataFrame, by: str = "seq_id", descending: bool = False
     return seqs.orderBy(key.desc() if descending else key.asc(), "seq_id")
 
 
+def _cut(rows: DataFrame, size: int, k: int) -> DataFrame:
+    """Rows (seq_id, __at, part) as parts of ``size`` start positions of k-mers; shorter ones than k vanish."""
+    number = F.explode(F.sequence(F.lit(0), F.floor((F.length("part") - k) / size)))
+    cut = rows.where(F.length("part") >= k).select("seq_id", "__at", "part", number.alias("__n"))
+    return cut.select("seq_id", (F.col("__at") + F.col("__n") * size).alias("__at"), F.substring("part", F.col("__n") * size + 1, F.lit(size + k - 1)).alias("part"))
+
+
 def kmers(seqs: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
     """(seq_id, pos, kmer) of all k-mers of A, C, G and T, pos from 0.
 
     Sequences are cut into rows of ``chunk`` start positions that overlap by
-    k - 1 bases first, and dealt anew, so that a chromosome is not one task's.
+    k - 1 bases, and these into rows of SHORT: taking a k-mer from a string
+    costs as much as its place in it, so the strings must be short.
     """
-    number = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - k) / chunk)))
-    cut = seqs.where(F.length("seq") >= k).select("seq_id", "seq", number.alias("__n"))
-    pieces = cut.select("seq_id", (F.col("__n") * chunk).alias("__at"), F.substring("seq", F.col("__n") * chunk + 1, F.lit(chunk + k - 1)).alias("part"))
+    whole = seqs.select("seq_id", F.lit(0).cast("bigint").alias("__at"), F.col("seq").alias("part"))
+    pieces = _cut(_cut(whole, chunk, k), SHORT, k)
     starts = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("part") - k + 1), lambda i: F.substring("part", i, F.lit(k))))
     rows = pieces.select("seq_id", "__at", starts.alias("__p", "kmer"))
     return rows.where(~F.col("kmer").rlike("[^ACGT]")).select("seq_id", (F.col("__at") + F.col("__p")).cast("bigint").alias("pos"), "kmer")

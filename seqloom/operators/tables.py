@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def typed(df: DataFrame, column: str, kind: str) -> Column:
+def typed(column: str, kind: str) -> Column:
     """A column as another type; null where it cannot be converted."""
-    return df[column].try_cast(kind)
+    return F.col(column).try_cast(kind)
 
 
 def insert_column(df: DataFrame, at: int, name: str, value: Column) -> DataFrame:

@@ -58,7 +58,7 @@ R: dict[str, Entry] = {
     "R12": (lambda t: ranges.window_counts(t("positions"), _windows(t), SIZE, STEP), _window_sql("COUNT(p.pos) AS n", SIZE, STEP)),
     "R12_uneven": (lambda t: ranges.window_counts(t("positions"), _windows(t, UNEVEN_SIZE, UNEVEN_STEP), UNEVEN_SIZE, UNEVEN_STEP), _window_sql("COUNT(p.pos) AS n", UNEVEN_SIZE, UNEVEN_STEP)),
     "R13": (lambda t: ranges.window_sums(t("positions"), _windows(t), SIZE, STEP).withColumn("total", F.round("total", 4)), _window_sql("round(COALESCE(SUM(p.value), 0), 4) AS total", SIZE, STEP)),
-    "R14": (lambda t: ranges.window_coverage(t("ranges"), _windows(t), SIZE, STEP), _window_sql("CAST(COALESCE(SUM(least(p.end_pos, win_end) - greatest(p.start_pos, win_start)), 0) AS BIGINT) AS covered", SIZE, STEP, "ranges")),
+    "R14": (lambda t: ranges.window_coverage(t("ranges"), _windows(t), SIZE, STEP), _window_sql("CAST(COALESCE(SUM(CASE WHEN p.chrom IS NOT NULL THEN least(p.end_pos, win_end) - greatest(p.start_pos, win_start) END), 0) AS BIGINT) AS covered", SIZE, STEP, "ranges")),
     "R15": (lambda t: ranges.as_int(ranges.window_sums(t("positions").withColumn("value", F.floor("value") + 0.5), _windows(t), SIZE, STEP), "total"), _window_sql("CAST(trunc(COALESCE(SUM(floor(p.value) + 0.5), 0)) AS BIGINT) AS total", SIZE, STEP)),
 }
 
@@ -166,7 +166,7 @@ Q: dict[str, Entry] = {
     "Q10": (lambda t: sequences.kmer_library(t("seqs"), K), duckdb(f"WITH {_KMERS.format(k=K)} SELECT DISTINCT kmer FROM k", "seqs")),
     "Q11": (lambda t: sequences.kmer_counts(sequences.kmer_library(t("seqs"), K), t("seqs"), K), duckdb(f"WITH {_KMERS.format(k=K)}, {_COUNTS} SELECT kmer, n FROM c", "seqs")),
     "Q12": (lambda t: _by_sequence(sequences.cp_score(t("seqs"), sequences.kmer_counts(sequences.kmer_library(t("seqs"), K), t("seqs"), K), K)),
-            duckdb(f"WITH {_KMERS.format(k=K)}, {_COUNTS}, at AS (SELECT seq_id, pos, n FROM k JOIN c ON c.kmer = k.kmer), every AS (SELECT seq_id, i AS pos FROM n, LATERAL (SELECT unnest(generate_series(0, len - 1)) AS i) y) SELECT seq_id, COUNT(*) AS n, COUNT(score) AS scored, round(SUM(score), 3) AS total FROM (SELECT seq_id, pos, round(AVG(n) OVER (PARTITION BY seq_id ORDER BY pos RANGE BETWEEN {K - 1} PRECEDING AND CURRENT ROW), 6) AS score FROM (SELECT e.seq_id, e.pos, a.n FROM every e LEFT JOIN at a ON a.seq_id = e.seq_id AND a.pos = e.pos) z) y GROUP BY 1", "seqs")),
+            duckdb(f"WITH {_KMERS.format(k=K)}, {_COUNTS}, placed AS (SELECT seq_id, pos, n FROM k JOIN c ON c.kmer = k.kmer), every AS (SELECT seq_id, i AS pos FROM n, LATERAL (SELECT unnest(generate_series(0, len - 1)) AS i) y) SELECT seq_id, COUNT(*) AS n, COUNT(score) AS scored, round(SUM(score), 3) AS total FROM (SELECT seq_id, pos, round(AVG(n) OVER (PARTITION BY seq_id ORDER BY pos RANGE BETWEEN {K - 1} PRECEDING AND CURRENT ROW), 6) AS score FROM (SELECT e.seq_id, e.pos, a.n FROM every e LEFT JOIN placed a ON a.seq_id = e.seq_id AND a.pos = e.pos) z) y GROUP BY 1", "seqs")),
     "Q13": (lambda t: sequences.read_quality(_reads(t)), duckdb(f"WITH {_QUALS} SELECT r.read_id, CAST(floor(list_sum(v) / len(v)) AS INT) AS mean_q, CAST(v[CAST(floor(len(v) / 2) AS INT) + 1] AS INT) AS median_q FROM read_pairs r LEFT JOIN q ON q.read_id = r.read_id", "read_pairs")),
     "Q14": (lambda t: sequences.rescale_quality(_reads(t)), duckdb("SELECT read_id, reverse(qual_r1) AS reversed, translate(qual_r1, 'I?5+!', 'h^TJ@') AS rescaled FROM read_pairs", "read_pairs")),
     "Q15": (lambda t: sequences.sample_reads(_reads(t).withColumn("record", F.col("read_id") + 1), 100, 50, least_start=10), duckdb("SELECT read_id, qual_r1 AS qual, seq_r1 AS seq, read_id + 1 AS record FROM read_pairs WHERE read_id + 1 BETWEEN 100 AND 149", "read_pairs")),

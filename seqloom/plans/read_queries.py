@@ -36,7 +36,8 @@ def _pairs(t: Tables) -> DataFrame:
 
 
 _PAIRS = f"""rec AS (SELECT query, (flag & 64) <> 0 AS first, chrom, start_pos, {_END} AS end_pos, mapq, CASE WHEN (flag & 16) <> 0 THEN 0 ELSE 1 END AS strand, cigar FROM alignments WHERE (flag & 2048) = 0 AND (flag & 256) = 0),
-f AS (SELECT * FROM rec WHERE first AND {_MAPPED}), b AS (SELECT * FROM rec WHERE NOT first AND {_MAPPED}),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY chrom, start_pos, end_pos, mapq, strand) AS k FROM rec WHERE first AND {_MAPPED}) x WHERE k = 1),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY chrom, start_pos, end_pos, mapq, strand) AS k FROM rec WHERE NOT first AND {_MAPPED}) x WHERE k = 1),
 pairs AS (SELECT q.query, f.chrom AS chrom_f, f.start_pos AS start_pos_f, f.end_pos AS end_pos_f, f.mapq AS mapq_f, f.strand AS strand_f, b.chrom AS chrom_b, b.start_pos AS start_pos_b, b.end_pos AS end_pos_b, b.mapq AS mapq_b, b.strand AS strand_b
   FROM (SELECT DISTINCT query FROM rec) q LEFT JOIN f ON f.query = q.query LEFT JOIN b ON b.query = q.query)"""
 _INSERT = "CASE WHEN chrom_f = chrom_b THEN CASE WHEN start_pos_f <= start_pos_b THEN end_pos_b - start_pos_f ELSE end_pos_f - start_pos_b END END"
@@ -50,8 +51,8 @@ def _pair_sql(select: str) -> str:
 
 def _near_pairs(t: Tables) -> DataFrame:
     """Pairs of the fixture with a taxon, on chromosomes cut to three, so that many mates share one."""
-    rows = _aligned(t).withColumn("chrom", F.col("chrom") % 3 + 10)
-    return al.pair_alignments(rows).withColumn("taxon", F.concat(F.lit("T"), F.length("query")))
+    pairs = _pairs(t).withColumns({f"chrom_{m}": F.col(f"chrom_{m}") % 3 + 10 for m in "fb"})
+    return pairs.withColumn("taxon", F.concat(F.lit("T"), F.length("query")))
 
 
 L: dict[str, Entry] = {
@@ -137,8 +138,8 @@ def _catalogue(t: Tables) -> DataFrame:
 def _depths(t: Tables) -> DataFrame:
     """Allele depths of samples from matched tags: each line is a tag of a sample with one allele."""
     line = t("lineitem")
-    samples = line.select(F.concat(F.lit("S"), F.lpad((F.col("l_suppkey") % 16).cast("string"), 2, "0")).alias("sample"), F.concat_ws("_", "l_orderkey", "l_linenumber").alias("library_id"), F.col("l_quantity").cast("int").alias("read_count"))
-    alleles = line.select(F.concat_ws("_", "l_orderkey", "l_linenumber").alias("library_id"), (F.col("l_partkey") % 5 + 1).cast("int").alias("chrom"), F.col("l_partkey").cast("int").alias("pos"), F.substring(F.lit("AAAACGT"), F.col("l_linenumber"), F.lit(1)).alias("allele"))
+    samples = line.select(F.concat(F.lit("S"), F.lpad((F.col("l_suppkey") % 16).cast("string"), 2, "0")).alias("sample"), F.concat_ws("_", "l_partkey", "l_linenumber").alias("library_id"), F.col("l_quantity").cast("int").alias("read_count"))
+    alleles = line.select("l_partkey", "l_linenumber").distinct().select(F.concat_ws("_", "l_partkey", "l_linenumber").alias("library_id"), (F.col("l_partkey") % 5 + 1).cast("int").alias("chrom"), F.col("l_partkey").cast("int").alias("pos"), F.substring(F.lit("AAAACGT"), F.col("l_linenumber"), F.lit(1)).alias("allele"))
     return gbs.sample_allele_depth(samples, alleles)
 
 
@@ -199,7 +200,7 @@ def _t3(t: Tables) -> DataFrame:
 
 
 T: dict[str, Entry] = {
-    "T1": (lambda t: _text(t).select("id", tables.typed(_text(t), "mixed", "int").alias("as_int"), tables.typed(_text(t), "mixed", "double").alias("as_double")), f"SELECT id, TRY_CAST(mixed AS INT) AS as_int, TRY_CAST(mixed AS DOUBLE) AS as_double FROM ({_TEXT}) x"),
+    "T1": (lambda t: _text(t).select("id", tables.typed("mixed", "int").alias("as_int"), tables.typed("mixed", "double").alias("as_double")), f"SELECT id, TRY_CAST(mixed AS INT) AS as_int, TRY_CAST(mixed AS DOUBLE) AS as_double FROM ({_TEXT}) x"),
     "T2": (lambda t: tables.replace_column(tables.remove_column(tables.insert_column(_text(t), 1, "len", F.length("c_name")), "c_name"), "nation", F.concat(F.lit("N"), "nation")), f"SELECT id, CAST(length(c_name) AS INT) AS len, mixed, 'N' || nation AS nation FROM ({_TEXT}) x"),
     "T3": (_t3, f"WITH x AS ({_TEXT}), u AS (SELECT * FROM x UNION ALL SELECT 'x' || id, c_name, mixed, nation FROM x) SELECT id, c_name, CASE WHEN nation = '5' AND NOT starts_with(id, 'x') THEN 'changed' ELSE mixed END AS mixed, nation FROM u WHERE NOT (nation = '7' AND NOT starts_with(id, 'x'))"),
     "T4": (lambda t: tables.with_row_number(t("customer").select("c_custkey", "c_name"), "c_custkey"), "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS row FROM customer"),
@@ -237,7 +238,7 @@ _LINES = "rtrim(regexp_replace(c_name || c_mktsegment, '(.{10})', '\\1' || chr(1
 U: dict[str, Entry] = {
     "U1": (lambda t: tables.split_parts(t("orders").select("o_orderkey"), 7, "o_orderkey"), "SELECT o_orderkey, CAST(ntile(7) OVER (ORDER BY o_orderkey) AS INT) AS part FROM orders"),
     "U1_sizes": (lambda t: tables.split_sizes(t("orders").select("o_orderkey"), 1000, "o_orderkey"), "SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 + 1 AS INT) AS part FROM orders"),
-    "U3": (lambda t: tables.rank_values(tables.rank_values(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", "l_quantity", "l_linenumber").withColumnRenamed("place", "up"), "l_orderkey", "l_quantity", "l_linenumber", True), "SELECT l_orderkey, l_linenumber, l_quantity, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) AS INT) AS up, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber DESC) AS INT) AS place FROM lineitem"),
+    "U3": (lambda t: tables.rank_values(tables.rank_values(t("events").select("event_id", "user_id", F.floor("value").alias("v")), "user_id", "v", "event_id").withColumnRenamed("place", "up"), "user_id", "v", "event_id", True), "SELECT event_id, user_id, CAST(floor(value) AS BIGINT) AS v, CAST(row_number() OVER (PARTITION BY user_id ORDER BY floor(value), event_id) AS INT) AS up, CAST(row_number() OVER (PARTITION BY user_id ORDER BY floor(value) DESC, event_id DESC) AS INT) AS place FROM events"),
     "U4": (_fields, f"SELECT c_custkey, c_mktsegment || '+' || c_custkey AS picked, CAST(len(list_filter(regexp_split_to_array(c_name || '  ' || c_mktsegment, '\\s+'), lambda w: w <> '')) AS INT) AS n_words, lpad(CAST(c_custkey AS STRING), 8, '0') AS padded, {_LINES} AS lines FROM customer"),
 }
 

@@ -228,7 +228,7 @@ G: dict[str, Entry] = {
            duckdb(f"SELECT taxon, g.chrom, g.pos, CASE WHEN a1 IS NULL THEN 'NN' ELSE CASE a1 WHEN 1 THEN alt ELSE ref END || CASE a2 WHEN 1 THEN alt ELSE ref END END AS bases, CAST(CASE WHEN a1 IS NULL THEN -1 ELSE ({_CODE.format('CASE a1 WHEN 1 THEN alt ELSE ref END')}) * 16 + {_CODE.format('CASE a2 WHEN 1 THEN alt ELSE ref END')} END AS INT) AS code FROM genotypes g JOIN sites s ON g.chrom = s.chrom AND g.pos = s.pos", "genotypes", "sites")),
     "G3": (lambda t: genotypes.site_stats(t("genotypes")).select("chrom", "pos", "missing", "called"), duckdb("SELECT chrom, pos, COUNT(*) FILTER (a1 IS NULL) AS missing, COUNT(a1) AS called FROM genotypes GROUP BY 1, 2", "genotypes")),
     "G4": (lambda t: genotypes.site_stats(t("genotypes")).select("chrom", "pos", "het", "hom", "het_prop"), duckdb(f"SELECT chrom, pos, het, hom, het_prop FROM (SELECT chrom, pos, {_CELL} FROM genotypes GROUP BY 1, 2) x", "genotypes")),
-    "G5": (lambda t: genotypes.site_stats(t("genotypes")).select("chrom", "pos", "alt_alleles", "alt_taxa"), duckdb("SELECT chrom, pos, CAST(SUM(a1 + a2) AS BIGINT) AS alt_alleles, COUNT(*) FILTER (a1 + a2 > 0) AS alt_taxa FROM genotypes GROUP BY 1, 2", "genotypes")),
+    "G5": (lambda t: genotypes.site_stats(t("genotypes")).select("chrom", "pos", "alt_alleles", "alt_taxa"), duckdb("SELECT chrom, pos, CAST(COALESCE(SUM(a1 + a2), 0) AS BIGINT) AS alt_alleles, COUNT(*) FILTER (a1 + a2 > 0) AS alt_taxa FROM genotypes GROUP BY 1, 2", "genotypes")),
     "G6": (lambda t: genotypes.taxon_stats(t("genotypes")), duckdb(f"SELECT taxon, {_CELL} FROM genotypes GROUP BY 1", "genotypes")),
     "G7": (lambda t: genotypes.allele_freq(t("genotypes"), t("sites")),
            duckdb("SELECT s.chrom, s.pos, round(f, 6) AS alt_freq, round(1 - f, 6) AS ref_freq, round(least(f, 1 - f), 6) AS maf, round(1 - least(f, 1 - f), 6) AS major_freq, CASE WHEN f < 0.5 THEN alt WHEN f >= 0.5 THEN ref END AS minor_base, CASE WHEN f < 0.5 THEN ref WHEN f >= 0.5 THEN alt END AS major_base FROM sites s JOIN (SELECT chrom, pos, SUM(a1 + a2) / nullif(2.0 * COUNT(a1), 0) AS f FROM genotypes GROUP BY 1, 2) q ON s.chrom = q.chrom AND s.pos = q.pos", "genotypes", "sites")),
