@@ -183,7 +183,7 @@ def _window_values(rows: DataFrame, windows: DataFrame, size: int, step: int, me
         last = F.floor((F.col("pos") - 1) / step)
         first = F.greatest(F.lit(0), F.floor((F.col("pos") - 1 - size) / step) + 1)
         again = sums
-    copied = cells.withColumn("__w", F.explode(F.sequence(first, last)))
+    copied = cells.where(first <= last).withColumn("__w", F.explode(F.sequence(first, last)))
     got = copied.groupBy("chrom", "__w").agg(*[v.alias(n) for n, v in again.items()])
     found = got.withColumn("win_start", (F.col("__w") * step + 1).cast("int")).drop("__w")
     return windows.join(found, ["chrom", "win_start"], "left").select("chrom", "win_start", "win_end", *[F.coalesce(n, F.lit(0)).alias(n) for n in measures])
@@ -203,7 +203,8 @@ def window_coverage(ranges: DataFrame, windows: DataFrame, size: int, step: int)
     """Positions of each window that ranges cover, once for each range."""
     start, last = F.col("start_pos"), F.col("end_pos") - 1
     first = F.greatest(F.lit(0), F.floor((start - 1 - size) / step) + 1)
-    rows = ranges.where("start_pos < end_pos").withColumn("__w", F.explode(F.sequence(first, F.floor((last - 1) / step))))
+    final = F.floor((last - 1) / step)
+    rows = ranges.where("start_pos < end_pos").where(first <= final).withColumn("__w", F.explode(F.sequence(first, final)))
     rows = rows.withColumn("win_start", (F.col("__w") * step + 1).cast("int"))
     shared = F.least("end_pos", F.col("win_start") + size) - F.greatest("start_pos", "win_start")
     got = rows.groupBy("chrom", "win_start").agg(F.sum(F.greatest(shared, F.lit(0))).alias("covered"))
