@@ -192,6 +192,21 @@ LABELLED = """
 9 0.0 40 0.0 12 0.0 0 1 1 0 1
 1 0.0 0 0.0 0 0.0 0 1 1 0 1
 35 0.3 1 0.0 9 1.0 1 1 1 0 1
+5 0.0 4 1.0 30 0.0 0 1 1 0 1
+20 0.0 6 1.0 3 1.0 0 1 1 0 1
+50 0.0 9 1.0 0 0.0 0 1 1 0 1
+100 0.0 2 1.0 7 1.0 0 1 1 0 1
+3 1.0 3 1.0 3 1.0 0 1 1 0 1
+12 0.9 15 0.8 9 1.0 0 1 1 0 1
+2 0.0 1 1.0 1 1.0 0 1 1 0 1
+70 0.2 30 0.6 20 0.0 0 1 1 0 1
+1 0.0 8 1.0 0 0.0 0 1 1 0 1
+30 0.8 5 0.0 60 0.0 0 1 1 0 1
+5 0.0 30 0.0 4 1.0 0 1 1 0 1
+3 0.0 2 0.0 20 1.0 0 1 1 0 1
+9 0.1 6 0.0 2 1.0 0 1 1 0 1
+12 0.0 50 0.0 9 0.95 0 1 1 0 1
+2 0.0 80 0.0 3 1.0 0 1 1 0 1
 1 1.0 0 0.0 1 1.0 0 2 0 1 0
 2 1.0 1 1.0 12 0.0 0 2 0 1 0
 20 0.0 1 1.0 9 0.0 0 2 0 1 0
@@ -227,6 +242,16 @@ LABELLED = """
 20 0.0 0 0.0 0 0.0 0 0 0 0 1
 5 0.0 80 0.0 1 0.0 0 0 0 0 1
 1 1.0 1 1.0 1 1.0 0 0 0 0 0
+1 1.0 0 0.0 1 1.0 0 0 0 0 0
+1 1.0 1 1.0 40 0.0 0 0 0 0 0
+2 1.0 30 0.0 2 1.0 0 0 0 0 0
+40 0.0 1 1.0 0 0.0 0 0 0 0 1
+80 0.0 2 1.0 40 0.0 0 0 0 0 1
+12 0.0 3 1.0 30 0.0 1 0 0 0 1
+80 0.0 40 0.0 2 1.0 0 0 0 0 1
+60 0.0 70 0.0 3 1.0 0 0 0 0 1
+25 0.0 50 0.0 1 1.0 0 0 0 0 1
+45 0.0 60 0.0 5 0.8 0 0 0 0 1
 3 1.0 2 1.0 60 0.0 0 0 0 0 0
 12 0.9 70 0.0 9 1.0 0 0 0 0 0
 4 0.8 6 0.9 8 1.0 0 0 0 0 0

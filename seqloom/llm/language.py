@@ -42,6 +42,9 @@ SUFFIX_LANGUAGE = {
     "es": "es", "mx": "es", "ar": "es", "cl": "es", "pe": "es", "fr": "fr", "mc": "fr",
 }
 
+#: Texts whose trigrams are marked at once.
+_ROWS = 256
+
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -82,14 +85,24 @@ def _host(address: Column) -> Column:
 
 
 def trigram_counts(docs: DataFrame, text: Column, declared: Column, languages: tuple[str, ...]) -> np.ndarray:
-    """How often each trigram occurs under each declared language, over all rows: a table of fixed size."""
+    """How many texts of each declared language hold each trigram, over all rows: a table of fixed size.
+
+    Counting texts, a text that repeats one word a thousand times weighs no more than another.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(languages) * BUCKETS, np.int64)
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for first, end, bucket, row in _by_text(*utf8(batch.column(0))):
-                total += np.bincount(label[first:end][row] * BUCKETS + bucket, minlength=len(total))
+                for low in range(0, end - first, _ROWS):
+                    high = min(low + _ROWS, end - first)
+                    a, b = np.searchsorted(row, (low, high))
+                    seen = np.zeros((high - low) * BUCKETS, bool)
+                    seen[(row[a:b] - low) * BUCKETS + bucket[a:b]] = True
+                    for number in np.unique(label[first + low : first + high]):
+                        own = seen.reshape(-1, BUCKETS)[label[first + low : first + high] == number]
+                        total[number * BUCKETS : (number + 1) * BUCKETS] += own.sum(axis=0)
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
 
@@ -153,6 +166,7 @@ def identify(
     docs = docs.drop("lid")
     counts = trigram_counts(docs, text, declared, languages)
     likelihood = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
+    likelihood[counts.sum(axis=1) == 0] -= 3.0  # a language without texts explains none better than UNKNOWN does
     likelihood = np.vstack((likelihood, np.full(BUCKETS, -math.log(BUCKETS)))).astype(np.float32)
     classes = (*languages, UNKNOWN)
     told = _told(classes)

@@ -1,3 +1,5 @@
+import numpy as np
+
 from seqloom.llm.html import extract, main_text, trained
 from seqloom.llm.language import identify
 from seqloom.llm.urls import judge
@@ -24,7 +26,16 @@ def test_cut_and_plain_pages():
     assert main_text("") == "" and main_text("<p></p>") == ""
     prose = "word " * 40
     assert main_text(f"<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul><div>{prose}</div>") == prose.strip()
-    assert trained().judge is not None
+
+
+def test_tree_keeps_all_of_an_article_and_nothing_of_furniture():
+    rng = np.random.default_rng(0)
+    rows = np.column_stack([rng.integers(1, 200, 500), rng.random(500), rng.integers(0, 200, 500), rng.random(500), rng.integers(0, 200, 500), rng.random(500), rng.integers(0, 2, 500), np.ones(500), np.ones(500), np.zeros(500)])
+    assert trained().judge(rows).all()
+    rows[:, 7] = 2
+    assert not trained().judge(rows).any()
+    rows[:, 7:] = (0, 0, 1)
+    assert not trained().judge(rows).any()
 
 
 def test_extract_rows(spark):
@@ -35,7 +46,7 @@ def test_extract_rows(spark):
 
 URLS = [
     (1, "http://A.net/x", "net/", "block"), (2, "https://w.example.net/en/1?q#f", "example.net/en/", "allow"), (3, "https://example.net/de/", "net/", "block"), (4, "http://m.example.com/de/1", "example.com/de/", "block"),
-    (5, "http://x.org/fr/", "org/fr/", "allow"), (6, "http://x.org/en/", None, "allow"), (7, "http://knet/", None, "allow"), (8, "http://a.net", None, "allow"), (9, None, None, "allow"), (10, "no scheme", None, "allow"),
+    (5, "http://x.org/fr/", "org/fr/", "allow"), (6, "http://x.org/en/", None, "allow"), (7, "http://knet/", None, "allow"), (8, "http://a.net", None, "block"), (9, None, None, "allow"), (10, "no scheme", None, "allow"),
     (11, "http://user@b.net:80/", None, "allow"), (12, "http://b.net?x=/y", None, "allow"),
 ]
 
@@ -87,7 +98,7 @@ def test_unknown_scripts_and_wrong_tags(spark):
     en = "this is the house that they have built for the people of the town and it was good "
     de = "das ist das haus welches die leute der stadt gebaut haben und es war gut für alle "
     train = [(i, en if i % 2 else de, "en" if i % 2 else "de", "h%d.example.de" % (i % 3)) for i in range(200)]
-    odd = [(900, de, "en", "h1.example.de"), (901, "Это русский текст, которого никто не ждал здесь " * 3, "en", "x.example.com"), (902, "12345 --- 67", "en", "x.example.com"), (903, "a", "en", None)]
+    odd = [(900, de, "en", "h1.example.de"), (901, "Это русский текст, которого никто не ждал здесь " * 3, "ru", "x.example.com"), (902, "12345 --- 67", "en", "x.example.com"), (903, "a", "en", None)]
     df = spark.createDataFrame(train + odd, "doc_id bigint, text string, lang string, source string")
     got = {r.doc_id: r.lid for r in identify(df, F.col("text"), F.col("lang"), F.col("source")).where("doc_id >= 900").collect()}
     assert got[900].language == "de" and got[900].accepted
