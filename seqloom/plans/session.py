@@ -43,13 +43,18 @@ def write_table(df: DataFrame, what: str) -> DataFrame:
     read files, not the plan that made them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, what)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_at = path
     return table
 
 
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a table made by :func:`write_table` that nothing reads any more."""
     path = getattr(df, "_written_at", None)

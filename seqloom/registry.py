@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.plans import genome_queries, read_queries, variant_queries
+from seqloom.plans import format_queries, genome_queries, read_queries, variant_queries
 from seqloom.plans.fixtures import Build, Tables
 
-ENTRIES = variant_queries.ENTRIES | genome_queries.ENTRIES | read_queries.ENTRIES
+ENTRIES = variant_queries.ENTRIES | genome_queries.ENTRIES | read_queries.ENTRIES | format_queries.ENTRIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
