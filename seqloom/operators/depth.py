@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.plans.session import join_sized
+
 SAMPLE_SITES = 10_000
 MOST_DEPTH = 200
 MIN_MODE = 5
@@ -34,7 +36,7 @@ def _per_taxon(depths: DataFrame) -> DataFrame:
 def pop_depth(depths: DataFrame, taxa: DataFrame, chrom_lengths: DataFrame) -> DataFrame:
     """Mean and sample SD of depth over all taxa of the sheet at every position of every chromosome."""
     sheet = taxa.select("taxon").distinct()
-    return _profile(_per_taxon(depths).join(F.broadcast(sheet), "taxon"), sheet.count(), chrom_lengths)
+    return _profile(join_sized(_per_taxon(depths), sheet, ["taxon"], "inner"), sheet.count(), chrom_lengths)
 
 
 def sample_sites(chrom_lengths: DataFrame, n: int = SAMPLE_SITES) -> DataFrame:
@@ -55,5 +57,5 @@ def depth_mode(depths: DataFrame, chrom_lengths: DataFrame, n: int = SAMPLE_SITE
 def pop_depth_std(depths: DataFrame, modes: DataFrame, chrom_lengths: DataFrame, min_mode: int = MIN_MODE) -> DataFrame:
     """Mean and SD of depth divided by the taxon's mode, over the taxa whose mode is at least ``min_mode``."""
     good = modes.where(F.col("mode") >= min_mode)
-    rows = _per_taxon(depths).join(F.broadcast(good), "taxon").withColumn("d", F.col("d") / F.col("mode"))
+    rows = join_sized(_per_taxon(depths), good, ["taxon"], "inner").withColumn("d", F.col("d") / F.col("mode"))
     return _profile(rows, good.count(), chrom_lengths)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.plans.session import join_sized
+
 #: Codes of alleles by their place; equal counts go to the higher code.
 ALLELES = "ACGTDI"
 DELETION, INSERTION = 4, 5
@@ -104,7 +106,7 @@ def discover_variants(sites: DataFrame, taxa: DataFrame, p: Params = Params()) -
 
     ``sites`` are those of :func:`symbol_sites`, with ``ref`` if there is one:
     sites whose reference is not A, C, G or T are dropped. ``taxa`` (taxon,
-    coverage) is a sample sheet and broadcast.
+    coverage) is a sample sheet, broadcast behind a count.
     """
     top, second = F.get("alleles", F.lit(0)), F.get("alleles", F.lit(1))
     rows = sites.where(F.col("ref").isin(*"ACGT")) if "ref" in sites.columns else sites
@@ -120,7 +122,7 @@ def discover_variants(sites: DataFrame, taxa: DataFrame, p: Params = Params()) -
         & F.coalesce(second["n"] / F.col("depth") <= p.third_ratio, F.lit(True))
     )
     return (
-        rows.join(F.broadcast(taxa.select("taxon", "coverage")), "taxon")
+        join_sized(rows, taxa.select("taxon", "coverage"), ["taxon"], "inner")
         .where(keep)
         .select("taxon", "chrom", "pos", top["code"].alias("allele"), top["indel_len"].alias("indel_len"))
     )
@@ -216,7 +218,7 @@ def joint_call(symbols: DataFrame, taxa: DataFrame, p: JointParams = JointParams
     per_taxon = reads.groupBy("taxon", "chrom", "pos").agg(
         F.sum("n").alias("depth"), F.sort_array(F.collect_list("n"), asc=False).alias("ns"), F.collect_list(F.struct("code", "n", "lens")).alias("seen")
     )
-    rows = per_taxon.join(F.broadcast(taxa.select("taxon", "coverage")), "taxon")
+    rows = join_sized(per_taxon, taxa.select("taxon", "coverage"), ["taxon"], "inner")
     third = F.coalesce(F.get("ns", F.lit(2)), F.lit(0)) / F.col("depth")
     fair = (F.col("depth") / F.col("coverage")).between(p.min_depth_ratio, p.max_depth_ratio)
     cells = rows.select("chrom", "pos", "taxon", "depth", third.alias("third"), fair.alias("fair"), F.explode("seen").alias("s")).select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.bases import hamming
 from seqloom.operators.alignments import read_alleles, read_variants
 from seqloom.operators.calling import call_genotypes
+from seqloom.plans.session import join_sized
 
 TAG_LENGTH = 96
 MIN_READS, MIN_ALT_READS, MIN_MAPQ = 3, 10, 30
@@ -19,8 +20,8 @@ MOST_TAGS_PER_CHUNK = 1000
 def demultiplex(pairs: DataFrame, barcodes: DataFrame) -> DataFrame:
     """Read pairs with the one taxon whose barcodes, the longest that fit, begin both reads; others are dropped.
 
-    ``barcodes`` (taxon, barcode_r1, barcode_r2) is a sample sheet and is
-    broadcast; reads meet it by equality for each length of barcodes.
+    ``barcodes`` (taxon, barcode_r1, barcode_r2) is a sample sheet,
+    broadcast behind a count; reads meet it by equality for each length of barcodes.
     """
     out = pairs
     for end in ("r1", "r2"):
@@ -28,8 +29,8 @@ def demultiplex(pairs: DataFrame, barcodes: DataFrame) -> DataFrame:
         lengths = sorted((r[0] for r in sheet.select(F.length(f"barcode_{end}")).distinct().collect()), reverse=True)
         found: Column = F.lit(None).cast(f"struct<barcode_{end}:string,taxa_{end}:array<string>>")
         for n in lengths:
-            part = F.broadcast(sheet.where(F.length(f"barcode_{end}") == n).select(F.col(f"barcode_{end}").alias("__code"), F.struct("*").alias(f"__{end}_{n}")))
-            out = out.join(part, F.substring(f"seq_{end}", 1, n) == F.col("__code"), "left").drop("__code")
+            part = sheet.where(F.length(f"barcode_{end}") == n).select(F.col(f"barcode_{end}").alias("__code"), F.struct("*").alias(f"__{end}_{n}"))
+            out = join_sized(out.withColumn("__code", F.substring(f"seq_{end}", 1, n)), part, ["__code"]).drop("__code")
         found = F.coalesce(*[F.col(f"__{end}_{n}") for n in lengths])
         out = out.withColumn(f"__{end}", found).drop(*[f"__{end}_{n}" for n in lengths])
     shared = F.array_intersect("__r1.taxa_r1", "__r2.taxa_r2")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.plans.session import join_sized
+
 #: Bits of what an allele can be at a site.
 ROLES = {"reference": 1, "alternative": 2, "alternative2": 4, "major": 8, "minor": 16, "minor2": 32, "ancestral": 64, "derived": 128}
 
@@ -124,7 +126,7 @@ def site_stats_ad(calls: DataFrame, n_alleles: int = 3) -> DataFrame:
 
 
 def drop_taxa(gt: DataFrame, taxa: DataFrame) -> DataFrame:
-    return gt.join(F.broadcast(taxa.select("taxon").distinct()), "taxon", "left_anti")
+    return join_sized(gt, taxa.select("taxon").distinct(), ["taxon"], "left_anti")
 
 
 def override(gt: DataFrame, patch: DataFrame) -> DataFrame:
@@ -141,7 +143,7 @@ def subset_sites(gt: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def subset_taxa(gt: DataFrame, taxa: DataFrame) -> DataFrame:
-    return gt.join(F.broadcast(taxa.select("taxon").distinct()), "taxon", "left_semi")
+    return join_sized(gt, taxa.select("taxon").distinct(), ["taxon"], "left_semi")
 
 
 def _same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> None:
@@ -197,6 +199,6 @@ def polarise(gt: DataFrame, sites: DataFrame, ancestral: DataFrame, pops: DataFr
     ``ancestral`` (chrom, pos, anc), ``pops`` (taxon, pop) is a sample sheet.
     """
     known = sites.join(ancestral, _SITE).where("anc = ref OR anc = alt").select(*_SITE, (F.col("anc") == F.col("ref")).alias("ref_is_anc"))
-    return gt.join(known, _SITE).join(F.broadcast(pops), "taxon").select(
+    return join_sized(gt.join(known, _SITE), pops, ["taxon"], "inner").select(
         "taxon", "pop", *_SITE, F.when(F.col("ref_is_anc"), _dosage()).otherwise(2 - _dosage()).alias("derived")
     )

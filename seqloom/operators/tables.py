@@ -73,9 +73,10 @@ def split_sizes(df: DataFrame, size: int, order: str) -> DataFrame:
     return with_row_number(df, order).withColumn("part", (F.floor((F.col("row") - 1) / size) + 1).cast("int")).drop("row")
 
 
-def with_row_number(df: DataFrame, order: str, ranges: int = 64) -> DataFrame:
-    """Add ``row``, from 1, in the order of a unique column, through ranges of about equal size."""
-    cuts = df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.001) if dict(df.dtypes)[order] not in ("string",) else []
+def with_row_number(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
+    """Add ``row``, from 1, in the order of a unique column of numbers, through ranges of about equal size, a million rows at most."""
+    ranges = ranges or 16 + df.count() // 1_000_000
+    cuts = df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.1 / ranges) if dict(df.dtypes)[order] not in ("string",) else []
     cuts = sorted(set(cuts))
     bucket = F.lit(0)
     for cut in cuts:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.plans.session import join_sized
+
 RANGES = "Chr int, Start int, End int"
 GERMPLASM = "gid string, accession string, chinese_name string, english_name string, taxa_name string, contamination string, seed_storage string"
 
@@ -56,7 +58,7 @@ def gbs_samples(barcodes: DataFrame, fastq_map: DataFrame) -> DataFrame:
     """Samples of libraries whose FASTQ files exist: (sample, library_key, barcode_r1, barcode_r2, fastq_r1, fastq_r2)."""
     key = F.concat_ws("_", "flowcell", "lane", "library")
     have = fastq_map.where("fastq_r1 <> 'NA' AND fastq_r2 <> 'NA'").select(key.alias("library_key"), "fastq_r1", "fastq_r2")
-    return barcodes.withColumn("library_key", key).join(F.broadcast(have), "library_key").select(
+    return join_sized(barcodes.withColumn("library_key", key), have, ["library_key"], "inner").select(
         F.concat_ws("_", "sample", "library_key", "well").alias("sample"), "library_key", "barcode_r1", "barcode_r2", "fastq_r1", "fastq_r2"
     )
 
