@@ -22,7 +22,7 @@ _SPACE = 0x2581
 _LITERAL = 0x110000  # stands for a U+2581 of the text itself, which no piece may match
 _BASE = np.uint64(0x100000001B3)
 _GRID = 24
-_SLICE = 8 << 20
+_SLICE = 2 << 20
 _CHUNK = re.compile(r" +[^ ]*")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -165,7 +165,7 @@ class Lattice:
         draw at a node depends on these and on the node's place alone.
         """
         node = self.base[chunk] + self.sizes[chunk]
-        active = np.arange(len(chunk))
+        active = np.argsort(chunk, kind="stable")  # equal chunks look up the same nodes one after the other
         count = np.zeros(len(chunk), np.int64)
         steps = []
         while len(active):
