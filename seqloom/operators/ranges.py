@@ -46,17 +46,14 @@ def intersect_ranges(a: str = "a_", b: str = "b_") -> Column:
     return F.when(overlaps(a, b), F.struct(ca.alias("chrom"), F.greatest(sa, sb).alias("start_pos"), F.least(ea, eb).alias("end_pos")))
 
 
-def _posted(df: DataFrame, prefix: str, bin_size: int, wide: int) -> DataFrame:
-    """One row for each bin of a range: narrow bins for short ranges, wide bins for long ones, and both for meeting the other kind.
-
-    ``level`` 0 is a meeting of two short ranges in narrow bins; level 1 a
-    meeting in wide bins, where at least one is long.
-    """
+def _posted(df: DataFrame, prefix: str, bin_size: int, wide: int, short_levels: list[int], long_levels: list[int]) -> DataFrame:
+    """One row for each bin of a range: short ranges in narrow bins, at level 0; both kinds in wide bins, at the levels given."""
     start, last = F.col(f"{prefix}start_pos"), F.col(f"{prefix}end_pos") - 1
     is_long = F.floor(last / bin_size) - F.floor(start / bin_size) >= MOST_BINS
     marked = df.where(start <= last).withColumn(f"{prefix}long", is_long)
     narrow = marked.where(~F.col(f"{prefix}long")).withColumn("bin", F.explode(F.sequence(F.floor(start / bin_size), F.floor(last / bin_size)))).withColumn("level", F.lit(0))
-    broad = marked.withColumn("bin", F.explode(F.sequence(F.floor(start / wide), F.floor(last / wide)))).withColumn("level", F.lit(1))
+    levels = F.when(F.col(f"{prefix}long"), F.array(*map(F.lit, long_levels))).otherwise(F.array(*map(F.lit, short_levels)))
+    broad = marked.withColumn("level", F.explode(levels)).withColumn("bin", F.explode(F.sequence(F.floor(start / wide), F.floor(last / wide)))).select(narrow.columns)
     return narrow.unionByName(broad)
 
 
@@ -65,16 +62,17 @@ def overlap_join(a: DataFrame, b: DataFrame, bin_size: int = BIN) -> DataFrame:
 
     Ranges are posted in the bins they touch and meet by equality of chromosome
     and bin; a pair counts only in the bin of the greater start. Ranges over
-    MOST_BINS bins are posted in wide bins, where short ranges meet them. Pairs
-    with an empty range do not overlap. Adaptive execution splits crowded bins.
+    MOST_BINS bins are posted in wide bins only: at level 1 long ranges of a meet
+    all of b there, at level 2 short ones of a meet long ones of b, so that two
+    short ranges meet in narrow bins alone. Pairs with an empty range do not
+    overlap. Adaptive execution splits crowded bins.
     """
     wide = bin_size * MOST_BINS
-    left = _posted(a.select([F.col(c).alias(f"a_{c}") for c in a.columns]), "a_", bin_size, wide).withColumnRenamed("a_chrom", "chrom")
-    right = _posted(b.select([F.col(c).alias(f"b_{c}") for c in b.columns]), "b_", bin_size, wide).withColumnRenamed("b_chrom", "chrom")
+    left = _posted(a.select([F.col(c).alias(f"a_{c}") for c in a.columns]), "a_", bin_size, wide, [2], [1]).withColumnRenamed("a_chrom", "chrom")
+    right = _posted(b.select([F.col(c).alias(f"b_{c}") for c in b.columns]), "b_", bin_size, wide, [1], [1, 2]).withColumnRenamed("b_chrom", "chrom")
     start = F.greatest("a_start_pos", "b_start_pos")
     width = F.when(F.col("level") == 0, bin_size).otherwise(wide)
-    kind = F.when(F.col("level") == 0, ~F.col("a_long") & ~F.col("b_long")).otherwise(F.col("a_long") | F.col("b_long"))
-    met = left.join(right, ["chrom", "bin", "level"]).where((start < F.least("a_end_pos", "b_end_pos")) & (F.floor(start / width) == F.col("bin")) & kind)
+    met = left.join(right, ["chrom", "bin", "level"]).where((start < F.least("a_end_pos", "b_end_pos")) & (F.floor(start / width) == F.col("bin")))
     own = [F.col("chrom").alias("a_chrom") if c == "chrom" else F.col(f"a_{c}") for c in a.columns]
     other = [F.col("chrom").alias("b_chrom") if c == "chrom" else F.col(f"b_{c}") for c in b.columns]
     return met.select(*own, *other)
@@ -87,7 +85,7 @@ def ranges_at(ranges: DataFrame, positions: DataFrame, bin_size: int = BIN) -> D
     narrow bins, long ones in wide bins.
     """
     wide = bin_size * MOST_BINS
-    right = _posted(ranges.select([F.col(c).alias(f"r_{c}") for c in ranges.columns]), "r_", bin_size, wide)
+    right = _posted(ranges.select([F.col(c).alias(f"r_{c}") for c in ranges.columns]), "r_", bin_size, wide, [1], [1])
     right = right.where((F.col("level") == 0) | F.col("r_long")).withColumnRenamed("r_chrom", "chrom")
     bins = F.explode(F.array(F.struct(F.lit(0).alias("level"), F.floor(F.col("pos") / bin_size).alias("bin")), F.struct(F.lit(1).alias("level"), F.floor(F.col("pos") / wide).alias("bin"))))
     left = positions.withColumn("__b", bins).select(*positions.columns, F.col("__b.level").alias("level"), F.col("__b.bin").alias("bin"))

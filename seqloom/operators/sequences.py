@@ -61,10 +61,12 @@ def kmers(seqs: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
 
     Sequences are cut into rows of ``chunk`` start positions that overlap by
     k - 1 bases, and these into rows of SHORT: taking a k-mer from a string
-    costs as much as its place in it, so the strings must be short.
+    costs as much as its place in it, so the strings must be short. The first
+    parts are dealt anew, a byte a base: their k-mers, many bytes a base, are
+    then made by all tasks however few files there are.
     """
     whole = seqs.select("seq_id", F.lit(0).cast("bigint").alias("__at"), F.col("seq").alias("part"))
-    pieces = _cut(_cut(whole, chunk, k), SHORT, k)
+    pieces = _cut(_cut(whole, chunk, k).repartition("seq_id", "__at"), SHORT, k)
     starts = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("part") - k + 1), lambda i: F.substring("part", i, F.lit(k))))
     rows = pieces.select("seq_id", "__at", starts.alias("__p", "kmer"))
     return rows.where(~F.col("kmer").rlike("[^ACGT]")).select("seq_id", (F.col("__at") + F.col("__p")).cast("bigint").alias("pos"), "kmer")
