@@ -8,8 +8,10 @@ import bz2
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from codecs import getincrementaldecoder
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +35,20 @@ ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8}
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 CONTROLS = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
-#: Bytes that the compressed layers of one document may expand to. What lies beyond is counted, not unwrapped.
+#: Bytes of an expanded stream that are kept at once. A longer one is expanded anew, piece by piece, for each pass over it.
 MAX_EXPANDED = 64 << 20
+PIECE = 1 << 20
+
+#: Runs within runs that are looked into by recursion, and digests kept of layers that came from them; beyond, work waits or repeats.
+DEEPEST, MOST_SEEN = 20, 100_000
+
+# An escape that the end of a text may cut; the rest of a run that comes in parts; and what pieces of streams need.
+CUT = {PERCENT: re.compile(r"%(?:25)*[0-9A-Fa-f]?"), ESCAPE: re.compile(r"\\(?:[uxU][0-9A-Fa-f]{0,7}|u\{[0-9A-Fa-f]{0,6})?")}
+REST_OF = {PERCENT: re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})*"), BASE64: re.compile(r"[A-Za-z0-9+/_-]*={0,2}")}
+DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+MANY_PERCENT = re.compile(r"%25(?:25)+(?=[0-9A-Fa-f]?\Z)")
+SPACES = re.compile(r"\x20{3,}")
+STRETCH = re.compile(r"[^\ufffd]{12,}")  # the shortest text that has, or wraps, a finding
 
 Span = tuple[int, int, int]
 
@@ -67,9 +81,11 @@ class Unwrapper:
     def __init__(self, text: str):
         self.spans: set[Span] = set()
         self.layers = 0
-        self.unfinished = 0
-        self.budget = MAX_EXPANDED
-        self.seen: set[tuple] = set()
+        self.long = 0
+        self.depth = 0
+        self.seen: dict[tuple, None] = {}
+        self.opened: dict[tuple, bool] = {}
+        self.packed: list[tuple[Pieces, bool, int, int]] = []
         self.work = [Layer(text, range(len(text)), range(1, len(text) + 1))]
 
     def run(self) -> None:
@@ -85,13 +101,14 @@ class Unwrapper:
             self._rewrite(layer, ESCAPE, self._escape)
             for m in BASE64.finditer(layer.text):
                 self._base64(layer, m)
+            self._drain()
 
     def _push(self, text: str, first: list[int], last: list[int]) -> None:
         if not text:
             return
         key = (sha256(text.encode("utf-8", "surrogatepass")).digest(), first[0], last[-1])
         if key not in self.seen:
-            self.seen.add(key)
+            self.seen[key] = None
             self.work.append(Layer(text, first, last))
 
     def _rewrite(self, layer: Layer, pattern: re.Pattern, decode) -> None:
@@ -140,7 +157,7 @@ class Unwrapper:
         except binascii.Error:
             return
         a, b = layer.span(m.start(), m.end())
-        if self._packed(raw, a, b):
+        if self._packed(raw, a, b) and raw[:1] not in (b"x", b"B"):  # text can start as zlib and bzip2 do
             return
         text = _text(raw)
         if text is None:
@@ -156,50 +173,239 @@ class Unwrapper:
         self._push(text, first, last)
 
     def _packed(self, raw: bytes, a: int, b: int) -> bool:
-        """Decompress bytes, layer by layer; the text inside stands for the whole span it was packed in."""
-        packed = False
-        seen = set()
-        while (key := sha256(raw).digest()) not in seen:
-            seen.add(key)
-            more = self._expand(raw)
-            if more is None:
-                break
-            raw, packed = more, True
-        if packed and (text := _text(raw)):
-            self._push(text, [a] * len(text), [b] * len(text))
-        return packed
-
-    def _expand(self, raw: bytes) -> bytes | None:
-        try:
-            if raw[:2] == b"\x1f\x8b":
-                tool = zlib.decompressobj(31)
-            elif raw[:1] == b"\x78" and len(raw) > 5 and int.from_bytes(raw[:2]) % 31 == 0:
-                tool = zlib.decompressobj()
-            elif raw[:3] == b"BZh":
-                tool = bz2.BZ2Decompressor()
-            elif raw[:6] == b"\xfd7zXZ\x00":
-                tool = lzma.LZMADecompressor()
-            elif raw[:4] == b"\x28\xb5\x2f\xfd":
-                import zstandard
-
-                out = zstandard.ZstdDecompressor().stream_reader(raw).read(self.budget + 1)
-                return self._spend(out)
+        """Whether bytes are a compressed stream, which is then looked into: all in it stands for the span it was packed in."""
+        if not _tool(raw):
+            return False
+        key = (sha256(raw).digest(), a, b)
+        if key not in self.opened:
+            self.opened[key] = self._open((raw,), a, b)
+        return self.opened[key]
+
+    def _open(self, raw: Iterable[bytes], a: int, b: int) -> bool:
+        inside = Pieces(lambda: _joined(_expanded(raw)))
+        if not next(iter(inside), b""):
+            return False
+        self.long += inside.kept is None
+        self.packed.append((inside, True, a, b))
+        return True
+
+    def _look_into(self, pieces: Pieces, raw: bool, a: int, b: int) -> None:
+        """Bytes may be a stream again, or text; text is searched, and what it wraps is put on the worklist."""
+        digest = sha256()
+        for piece in pieces:
+            digest.update(piece if raw else piece.encode("utf-8", "surrogatepass"))
+        key = (digest.digest(), raw, a, b)
+        if key in self.seen:
+            return
+        self.seen[key] = None
+        if raw:
+            head = next(iter(pieces), b"")
+            if not (_tool(head) and self._open(pieces, a, b)) or head[:1] in (b"x", b"B"):
+                self.packed.append((Pieces(lambda: _characters(pieces)), False, a, b))
+            return
+        self.layers += 1
+        kinds, wraps = _kinds_in(pieces)
+        self.spans.update((a, kind, b) for kind in kinds)
+        for pattern, decode in ((PERCENT, _plain_percent), (ESCAPE, _plain_escape)):
+            if pattern in wraps:
+                self.packed.append((Pieces(lambda p=pattern, d=decode: _rewritten(pieces, p, d)), False, a, b))
+        if PERCENT in wraps:
+            self._runs(pieces, PERCENT, _percent_bytes, a, b)
+        if BASE64 in wraps:
+            self._runs(pieces, BASE64, _base64_bytes, a, b)
+
+    def _runs(self, pieces: Pieces, pattern: re.Pattern, decode: Callable[[str], bytes], a: int, b: int) -> None:
+        """Look into what each run of a text decodes to; a run that is too long to hold is found anew by its number."""
+        known = -1
+        for number, part, whole in _parts_of_runs(pieces, pattern):
+            if number == known:
+                continue
+            if whole:
+                raw = decode(part)
+                if not _tool(raw) and (pattern is PERCENT or not STRETCH.search("".join(_characters([raw])))):
+                    continue
+                inside = Pieces(lambda: iter((raw,)))  # noqa: B023
             else:
-                return None
-            return self._spend(tool.decompress(raw, self.budget + 1))
-        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-            return None
-        except Exception as error:  # zstandard has an error class of its own
-            if type(error).__name__ != "ZstdError":
-                raise
-            return None
-
-    def _spend(self, out: bytes) -> bytes | None:
-        if len(out) > self.budget:
-            self.unfinished += 1
-            return None
-        self.budget -= len(out)
-        return out
+                known = number
+                inside = Pieces(lambda n=number: _joined(decode(p) for k, p, _ in _parts_of_runs(pieces, pattern) if k == n))
+            waiting, self.packed, size = self.packed, [(inside, True, a, b)], len(self.seen)
+            if self.depth > DEEPEST:
+                self.packed = waiting + self.packed
+                continue
+            self.depth += 1
+            self._drain()
+            self.depth -= 1
+            self.packed = waiting
+            while len(self.seen) > max(size, MOST_SEEN):
+                self.seen.popitem()
+
+    def _drain(self) -> None:
+        while self.packed:
+            self._look_into(*self.packed.pop())
+
+
+class Pieces:
+    """Pieces of bytes or text that can be gone through again: kept up to MAX_EXPANDED, else made anew each time."""
+
+    def __init__(self, source: Callable[[], Iterator]):
+        self.source, self.kept = source, []
+        size = 0
+        for piece in source():
+            size += len(piece)
+            if size > MAX_EXPANDED:
+                self.kept = None
+                return
+            self.kept.append(piece)
+        del self.source
+
+    def __iter__(self) -> Iterator:
+        return self.source() if self.kept is None else iter(self.kept)
+
+
+def _tool(head: bytes):
+    """A decompressor for bytes that start as a stream."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 5 and int.from_bytes(head[:2]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+def _joined(parts: Iterable[bytes]) -> Iterator[bytes]:
+    """Bytes in pieces of PIECE at least, so that the first one tells what they are."""
+    out: list[bytes] = []
+    size = 0
+    for part in parts:
+        out.append(part)
+        size += len(part)
+        if size >= PIECE:
+            yield b"".join(out)
+            out, size = [], 0
+    if size:
+        yield b"".join(out)
+
+
+def _expanded(raw: Iterable[bytes]) -> Iterator[bytes]:
+    """What a stream expands to, in bounded parts; a broken stream ends where it breaks."""
+    tool = None
+    for piece in raw:
+        tool = tool or _tool(piece)
+        bounded = hasattr(tool, "unconsumed_tail") or hasattr(tool, "needs_input")
+        step = len(piece) if bounded else 64  # 64 bytes of zstd hold 16 blocks of 128 KiB at most
+        for at in range(0, len(piece), max(step, 1)):
+            data = piece[at : at + step]
+            while True:
+                try:
+                    out = tool.decompress(data, PIECE) if bounded else tool.decompress(data)
+                except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+                    return
+                except Exception as error:  # zstandard has an error class of its own
+                    if type(error).__name__ != "ZstdError":
+                        raise
+                    return
+                if out:
+                    yield out
+                if tool.eof:
+                    return
+                data = getattr(tool, "unconsumed_tail", b"")
+                if not bounded or not data and getattr(tool, "needs_input", len(out) < PIECE):
+                    break
+
+
+def _characters(raw: Iterable[bytes]) -> Iterator[str]:
+    """Bytes as text; what is not UTF-8, and control characters, end a stretch."""
+    decoder = getincrementaldecoder("utf-8")("replace")
+    for piece in raw:
+        yield CONTROLS.sub("\ufffd", decoder.decode(piece))
+    yield decoder.decode(b"", True)
+
+
+def _kinds_in(pieces: Iterable[str]) -> tuple[set[int], set[re.Pattern]]:
+    """Kinds of findings in a text, and the patterns of wrapped text that it has."""
+    kinds: set[int] = set()
+    wraps: set[re.Pattern] = set()
+    rest = end = ""
+    for piece in pieces:
+        rest = SPACES.sub("  ", rest + piece)
+        kinds.update(kind for _, kind, _ in scan(rest))
+        # The next piece goes on from less than a shortest finding, or from the end of a match that reaches over it.
+        at = max(len(rest) - 64, 0)
+        at = max([at, *(m.end() for m in ASSIGN.finditer(rest) if m.start() < at and m.end() < len(rest))])
+        rest = rest[at:]
+        end += piece
+        wraps.update(pattern for pattern in (PERCENT, ESCAPE, BASE64) if pattern not in wraps and pattern.search(end))
+        end = end[-16:]
+    return kinds, wraps
+
+
+def _open_at(text: str, pattern: re.Pattern) -> int:
+    """Where an escape begins that the end of the text cuts, or may cut."""
+    at = text.rfind("%" if pattern is PERCENT else "\\")
+    return at if at >= 0 and CUT[pattern].fullmatch(text, at) else len(text)
+
+
+def _rewritten(pieces: Iterable[str], pattern: re.Pattern, decode: Callable[[str], str]) -> Iterator[str]:
+    """The text with every match of ``pattern`` decoded in place."""
+    rest = ""
+    for piece in pieces:
+        rest += piece
+        cut = _open_at(rest, pattern)
+        yield pattern.sub(lambda m: decode(m[0]), rest[:cut])
+        rest = MANY_PERCENT.sub("%25", rest[cut:])
+    yield pattern.sub(lambda m: decode(m[0]), rest)
+
+
+def _plain_percent(run: str) -> str:
+    return "".join(_characters([_percent_bytes(run)]))
+
+
+def _percent_bytes(run: str) -> bytes:
+    return bytes(int(u, 16) for u in PERCENT_UNIT.findall(run))
+
+
+def _plain_escape(escape: str) -> str:
+    return next(Unwrapper._escape(None, ESCAPE.match(escape)))[0]
+
+
+def _base64_bytes(run: str) -> bytes:
+    body = run.rstrip("=")
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body.translate({45: "+", 95: "/"}) + "=" * (-len(body) % 4))
+
+
+def _parts_of_runs(pieces: Iterable[str], pattern: re.Pattern) -> Iterator[tuple[int, str, bool]]:
+    """(number, text, whole) of each run; one longer than PIECE comes in parts of whole escapes or of four digits each."""
+    number, rest, going_on = 0, "", False
+    for piece in chain(pieces, [None]):
+        rest += piece or ""
+        hold = len(rest)
+        if piece is not None and pattern is BASE64:
+            hold = len(rest.rstrip("=").rstrip(DIGITS))
+        elif piece is not None:
+            hold = _open_at(rest, PERCENT)
+            for m in PERCENT.finditer(rest):
+                hold = m.start() if m.end() >= hold else hold
+        at = 0
+        if going_on and hold:
+            at = REST_OF[pattern].match(rest).end()
+            yield number, rest[:at], False
+            number, going_on = number + 1, False
+        for m in pattern.finditer(rest, at, hold):
+            yield number, m[0], True
+            number += 1
+        rest = rest[hold:]
+        if len(rest) > PIECE:
+            cut = len(rest) // 4 * 4 - 4 if pattern is BASE64 else _open_at(rest, PERCENT)
+            yield number, rest[:cut], False
+            going_on, rest = True, MANY_PERCENT.sub("%25", rest[cut:])
 
 
 def _text(raw: bytes) -> str | None:
@@ -212,13 +418,13 @@ def _text(raw: bytes) -> str | None:
 
 
 def find_secrets(text: str) -> tuple[list[Span], list[Span], int, int]:
-    """Base findings of a text, all findings, its number of layers and of layers too large to unwrap."""
+    """Base findings of a text, all findings, its number of layers and of streams too long to keep."""
     base = scan(text)
     if not (PERCENT.search(text) or ESCAPE.search(text) or any(_may_hold(m[0]) for m in BASE64.finditer(text))):
         return base, base, 1, 0
     work = Unwrapper(text)
     work.run()
-    return base, sorted(work.spans.union(base)), work.layers, work.unfinished
+    return base, sorted(work.spans.union(base)), work.layers, work.long
 
 
 def _may_hold(run: str) -> bool:
@@ -256,27 +462,29 @@ def secret_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     xz and zstd streams in base64 or in percent escapes, and looks into each
     new layer again until none is new; a layer already seen at its place is
     dropped, so cycles end. ``layers`` counts them, the text included.
-    ``unfinished`` counts streams that would expand to more than MAX_EXPANDED.
+    Streams are expanded and searched whole: one of more than MAX_EXPANDED, which
+    ``long_streams`` counts, in pieces whose ends are carried over, so that
+    memory is bounded and time grows with what it expands to.
 
     Null and empty texts have no findings and the hash of the empty string.
     Ids may be null or repeat; rows are independent and nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "layers", "unfinished"]
+        names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "layers", "long_streams"]
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                base, full, layers, unfinished = find_secrets(text.as_py() or "")
+                base, full, layers, long_streams = find_secrets(text.as_py() or "")
                 digest = sha256(joined(base).encode()).hexdigest()
-                rows.append((*(sum(k == kind for _, k, _ in base) for kind in range(3)), digest, joined(full), layers, unfinished))
+                rows.append((*(sum(k == kind for _, k, _ in base) for kind in range(3)), digest, joined(full), layers, long_streams))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, layers bigint, unfinished bigint"
+    schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, layers bigint, long_streams bigint"
     return source.mapInArrow(run, schema)
 
 

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import zlib
 from urllib.parse import quote
@@ -86,3 +87,31 @@ def test_rows_and_empty_table(spark, docs, no_docs):
     assert clean.schema == docs.schema and clean.count() == docs.count()
     masked = redact_secrets(spark.createDataFrame([(1, text, 5)], "doc_id int, text string, n_chars bigint"), chars_col="n_chars").first()
     assert masked.text == "é [SECRET]" and masked.n_chars == len(masked.text)
+
+
+def test_long_streams_are_searched_whole(monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_EXPANDED", 1 << 16)
+    monkeypatch.setattr(secrets, "PIECE", 1 << 12)
+    rng = random.Random(3)
+    filler = lambda n: "".join(rng.choice("ghijkl mnop,\n") for _ in range(n))
+    wrap = lambda raw: base64.b64encode(raw).decode()
+    url = lambda text: "".join("%%%02x" % c for c in text.encode())
+    inner = gzip.compress(rng.randbytes(90_000) + HIDDEN.encode())
+    forms = [
+        HIDDEN, HIDDEN.replace(" ", " " * 9_000), url(HIDDEN), "\\u0070assword\\x3dhunter2hunter2", wrap(HIDDEN.encode()),
+        wrap(filler(60_000).encode() + HIDDEN.encode()), wrap(gzip.compress(HIDDEN.encode())), wrap(inner), url(filler(9_000) + HIDDEN),
+        "%" + "25" * 9_000 + "70assword=hunter2hunter2",
+    ]
+    for form in forms:
+        for at in (100_000, 100_001, 103_000):
+            packed = wrap(zlib.compress((filler(at) + " " + form + " " + filler(50_000)).encode()))
+            base, full, _, long_streams = find_secrets(packed)
+            assert (0, 0, len(packed)) in full and long_streams, form[:40]
+    assert not any(kind == 0 for _, kind, _ in find_secrets(wrap(zlib.compress(filler(200_000).encode())))[1])
+
+
+def test_streams_of_a_text_do_not_share_a_limit(monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_EXPANDED", 1 << 16)
+    parts = [base64.b64encode(zlib.compress(f"{i} {'x ' * 20_000} {HIDDEN}".encode())).decode() for i in range(4)]
+    text = "%20\\u0041 " + " , ".join(parts)
+    assert {(text.index(p), 0, text.index(p) + len(p)) for p in parts} <= set(find_secrets(text)[1])
