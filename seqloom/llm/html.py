@@ -20,6 +20,11 @@ CONTAINERS = frozenset(
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt pre hr figcaption caption legend option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED = frozenset("script style noscript template svg math iframe object select textarea button canvas title head audio video".split())
+RAW = frozenset("script style textarea title".split())  # no markup in them
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript object script style template title".split())
+ONCE = frozenset("button select noscript iframe".split())  # not within themselves: the next one's start shows that one was left open
+FOREIGN = frozenset("svg math".split())  # HTML's own blocks end these, but for those in a guest
+GUESTS = frozenset("foreignobject annotation-xml desc".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav aside footer header form menu dialog fieldset".split())
 MAIN = frozenset("article main".split())
@@ -38,6 +43,7 @@ _TOKEN = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]+|"[^"]*"|'[^']*')*+)(?:>|\Z|["'][^>]*(?:>|\Z))""",
     re.DOTALL,
 )
+_PAGE_BEGINS = re.compile(r"</head\b|<(?:body|main|article)\b", re.IGNORECASE)
 _HINT = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?i)(?:^|\s)(?:hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""")
 _WORDS = re.compile(r"[a-z]+")
@@ -72,32 +78,28 @@ class Flattener:
         self.text, self.linked = [], []
 
     def run(self, html: str) -> list[Block]:
-        at, until, end = 0, "", len(html)
-        for m in _TOKEN.finditer(html):
-            if m.start() < at:
-                continue
-            if not until and m.start() > at:
+        at, end = 0, len(html)
+        while m := _TOKEN.search(html, at):
+            if m.start() > at:
                 self._words(html[at : m.start()])
             at = m.end()
             tag = (m[2] or "").lower()
-            if until:
-                if m[1] and tag == until:
-                    until = ""
-                continue
             if not tag:
                 continue
             if tag in DROPPED:
                 if not m[1] and not m[3].rstrip().endswith("/"):
-                    until = tag
-                    if tag in ("script", "style", "textarea", "title"):
-                        close = re.compile(f"</{tag}", re.IGNORECASE).search(html, at)
-                        at = close.start() if close else end
+                    if tag in RAW:
+                        at = _raw_end(html, tag, at)
+                    elif tag == "head":
+                        at = _head_end(html, at)
+                    else:
+                        at = _dropped_end(html, tag, at, {self.leaf[0], *(entry[0] for entry in self.stack)})
                 self.text.append(" ")
             elif m[1]:
                 self._close(tag)
             else:
                 self._open(tag, m[3])
-        if not until and at < end:
+        if at < end:
             self._words(html[at:])
         self.flush()
         return self.blocks
@@ -141,6 +143,72 @@ class Flattener:
             self.leaf = ("", 0)
 
 
+def _raw_end(html: str, tag: str, at: int) -> int:
+    """Where an element without markup ends: at its closing tag, a title also where the page begins."""
+    close = re.compile(f"</{tag}", re.IGNORECASE).search(html, at)
+    page = _PAGE_BEGINS.search(html, at) if tag == "title" or (tag == "textarea" and not close) else None
+    return min(found.start() for found in (close, page) if found) if close or page else len(html)
+
+
+def _head_end(html: str, at: int) -> int:
+    """Where the head ends: at its closing tag, or before a text or an element that cannot stand in it."""
+    while m := _TOKEN.search(html, at):
+        tag = (m[2] or "").lower()
+        if html[at : m.start()].strip(" \t\n\r\f\ufeff"):
+            return at
+        if m[1] and tag in ("head", "body", "html"):
+            return m.end() if tag == "head" else m.start()
+        if tag and not m[1] and tag not in IN_HEAD:
+            return m.start()
+        at = m.end()
+        if tag and not m[1] and not m[3].rstrip().endswith("/"):
+            if tag in RAW:
+                at = _raw_end(html, tag, at)
+            elif tag in DROPPED:
+                at = _dropped_end(html, tag, at, {"head"})
+    return at
+
+
+def _dropped_end(html: str, tag: str, begin: int, outside: set[str]) -> int:
+    """Where an element without text ends: after its closing tag, or, if it was left open, before the first block in it.
+
+    It was left open if what stands around it (``outside``) is closed before it,
+    or if a tag comes that cannot stand in it. Without a block it ends there.
+    """
+    at, depth, inside, block = begin, 1, [], None
+    while m := _TOKEN.search(html, at):
+        name = (m[2] or "").lower()
+        at = m.end()
+        if not name:
+            continue
+        if m[1]:
+            if name == tag:
+                depth -= 1
+                if not depth:
+                    return at
+            elif name in inside:
+                while inside.pop() != name:
+                    pass
+            elif name in ("body", "html") or name in outside:
+                return m.start() if block is None else block
+            continue
+        is_block = (name in CONTAINERS or name in LEAVES) and name not in ("option", "legend", "hr")
+        guest = not GUESTS.isdisjoint(inside)
+        if name == "body" or (name == tag and tag in ONCE) or (is_block and tag in FOREIGN and not guest):
+            return m.start() if block is None else block
+        if m[3].rstrip().endswith("/") and (name == tag or name in GUESTS):
+            continue
+        if name == tag:
+            depth += 1
+        elif name in RAW:
+            at = _raw_end(html, name, at)
+        elif is_block or name in GUESTS:
+            inside.append(name)
+            if is_block and block is None:
+                block = m.start()
+    return len(html) if block is None else block
+
+
 def _said(tag: str, attributes: str) -> int:
     """What an element says of its text by its name, class, id or role, or by being hidden."""
     hinted = False
@@ -320,7 +388,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     blocks vanish. A decision tree grown on the table LABELLED tells main text
     by a block's word count and link density, those of the blocks before and
     after it, and by what its elements say of it. Blocks of main text are
-    joined by line feeds in page order. Markup may be cut off or unclosed.
+    joined by line feeds in page order. Markup may be cut off or unclosed: a head ends where
+    the page begins, another unseen element that is left open before its first block.
 
     Null and empty html give an empty text; repeated rows repeat. Nothing is
     shuffled: rows are independent of each other.

@@ -28,6 +28,27 @@ def test_cut_and_plain_pages():
     assert main_text(f"<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul><div>{prose}</div>") == prose.strip()
 
 
+def test_unclosed_elements_without_text_do_not_swallow_the_page():
+    body = "<article><h1>A title</h1><p>One two three.</p><p>Four five six.</p></article>"
+    want = "A title\nOne two three.\nFour five six."
+    for head in ("<head><title>t</title><body>", "<head><meta charset=x><title>t</title>", "<head><title>t<body>", "<head><noscript><style>p{}</style><body>", "<head><script>a<b</script><body>"):
+        assert main_text(f"<html>{head}{body}</body></html>") == want, head
+    assert main_text("<head><title>t</title>" + "word " * 40) == ("word " * 40).strip()
+    for tag in ("button", "object data=x", "select", "noscript", "svg", "math", "audio", "video", "canvas", "iframe src=x", "template", "textarea"):
+        for before, after in (("<nav>", "</nav>"), ("", ""), ("<div>", ""), ("<p>", "</p>"), ("<nav>", f"<{tag}>z</{tag.split()[0]}></nav>")):
+            assert main_text(f"<html><body>{before}<{tag}>x{after}{body}</body></html>") == want, (tag, before, after)
+    for tag in ("button", "object data=x", "select", "noscript"):
+        assert main_text(f"<article><p>One two.</p><{tag}>x<p>Three four.</p><p>Five six.</p></article>") == "One two.\nThree four.\nFive six.", tag
+
+
+def test_closed_elements_without_text_are_dropped_whole():
+    for unseen in (
+        "<template><article><p>no</p></article></template>", "<noscript><div><p>no</p></div></noscript>", "<object><object><p>no</p></object>no</object>", "<button><div>no</div></button>",
+        "<svg><title>no</title><foreignObject><div>no</div></foreignObject><text>no</text></svg>", "<select><option>no<option>no</select>", "<script>if (a<b && '\"') no()</script>", "<video><p>no</video>",
+    ):
+        assert main_text(f"<body><article><p>One two.</p>{unseen}<p>Three four.</p></article></body>") == "One two.\nThree four.", unseen
+
+
 def test_tree_keeps_all_of_an_article_and_nothing_of_furniture():
     rng = np.random.default_rng(0)
     rows = np.column_stack([rng.integers(1, 200, 500), rng.random(500), rng.integers(0, 200, 500), rng.random(500), rng.integers(0, 200, 500), rng.random(500), rng.integers(0, 2, 500), np.ones(500), np.ones(500), np.zeros(500)])
