@@ -25,8 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labels of these documents."""
-    return keep_good(docs, train(docs, read(spark, sf_dir, "labels")))
+    """Documents that the quality classifier accepts; it learns from the labels of these documents, and keeps all if these do not have both classes."""
+    model = train(docs, read(spark, sf_dir, "labels"))
+    return keep_good(docs, model) if model.fitted else docs
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.llm.common import slices, utf8
+from seqloom.plans.session import drop_table, write_table
 
 #: Hashed features: n-grams of shapes in the lower half, n-grams of words in the upper one.
 FEATURES = 1 << 16
@@ -104,10 +105,10 @@ def _by_slice(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int,
 
 
 class Model:
-    """Weights of the features, and the line that turns a margin into log odds."""
+    """Weights of the features, and the line that turns a margin into log odds; ``fitted`` unless it only repeats a share."""
 
-    def __init__(self, weights: np.ndarray, slope: float, offset: float):
-        self.weights, self.slope, self.offset = weights, slope, offset
+    def __init__(self, weights: np.ndarray, slope: float, offset: float, fitted: bool = True):
+        self.weights, self.slope, self.offset, self.fitted = weights, slope, offset, fitted
 
     def scores(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         out = np.empty(len(starts) - 1)
@@ -145,7 +146,7 @@ def dual_descent(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, cost
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, keep: np.ndarray, shares: tuple[float, float]) -> Model:
-    """Fit on the rows where ``keep`` is false; use the others to calibrate to ``shares``, the classes' shares of all labels."""
+    """Fit on the rows where ``keep`` is false; use the others to calibrate to ``shares``, the classes' shares of all labels of the documents."""
     ratio = np.zeros(FEATURES)
     train = np.flatnonzero(~keep)
     ones = np.zeros((2, FEATURES))
@@ -157,7 +158,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, keep: np.ndarray, shares: tu
     y = np.where(labels[train] == 1, 1.0, -1.0)
     cost = np.where(y > 0, PENALTY * len(train) / (2 * max(number[1], 1)), PENALTY * len(train) / (2 * max(number[0], 1)))
     weights = ratio * dual_descent([rows[i] for i in train], ratio, y, cost)
-    rest = np.flatnonzero(keep) if keep.any() else train
+    rest = np.flatnonzero(keep) if len(set(labels[keep].tolist())) == 2 else np.arange(len(rows))
     margin = np.array([weights[rows[i]].sum() / math.sqrt(max(len(rows[i]), 1)) for i in rest])
     target = labels[rest].astype(float)
     weight = np.array([shares[c] / max((target == c).sum(), 1) for c in (0, 1)])[labels[rest]] * len(rest)
@@ -189,25 +190,30 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit the model on a bounded sample of labelled rows, SAMPLE_PER_CLASS of each class.
 
-    Only labels 0 and 1 of ids that are not held out count; an id with both is
-    left out. The sample's ids are broadcast, so texts are read in one pass
-    without a shuffle, and their features meet in one task of bounded size.
-    Where a class has no rows, every score is the share of label 1, or 1/2.
+    Only labels 0 and 1 of ids that are in ``docs`` and not held out count; an
+    id with both is left out. The sample's ids are broadcast, so texts are read
+    in one pass without a shuffle, and their features meet in one task of
+    bounded size. Where a class has no rows, every score is the share of label 1
+    among the labels of ``docs``, or 1/2 without any, and the model is not
+    ``fitted``.
     """
     spark = docs.sparkSession
     usable = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("y")).where(
         F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))
     )
     usable = usable.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("id", "y")
+    ids = docs.select(F.col(id_col).cast("bigint").alias("id")).where("id is not null").distinct()
+    usable = write_table(usable.join(ids, "id", "left_semi"), "quality-labels")
     sizes = dict(usable.groupBy("y").count().collect())
     total = sum(sizes.values())
     shares = (sizes.get(0, 0) / max(total, 1), sizes.get(1, 0) / max(total, 1))
-    constant = Model(np.zeros(FEATURES, np.float32), 0.0, 0.0 if not total else (30.0 if shares[1] == 1 else -30.0))
     if min(shares) == 0:
-        return constant
+        drop_table(usable)
+        return Model(np.zeros(FEATURES, np.float32), 0.0, 0.0 if not total else (30.0 if shares[1] == 1 else -30.0), fitted=False)
     chosen = []
     for y in (0, 1):
         chosen += usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_CLASS).collect()
+    drop_table(usable)
     sample = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], "id bigint, y int"))
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -230,15 +236,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for c in (0, 1):
             own = np.flatnonzero(y == c)
             keep[own[CALIBRATE - 1 :: CALIBRATE]] = True
-        if len(set(y.tolist())) < 2:
-            return
         model = fit([rows[i][0] for i in ids], y, keep, shares)
         columns = [pa.array([model.weights.astype("<f4").tobytes()]), pa.array([model.slope]), pa.array([model.offset])]
         yield pa.RecordBatch.from_arrays(columns, ["weights", "slope", "offset"])
 
     encoded = source.join(sample, "id").select("id", "text", "y").mapInArrow(encode, "id bigint, features binary, y int")
     row = encoded.repartition(1).mapInArrow(solve, "weights binary, slope double, offset double").first()
-    return Model(np.frombuffer(row.weights, "<f4").copy(), row.slope, row.offset) if row else constant
+    return Model(np.frombuffer(row.weights, "<f4").copy(), row.slope, row.offset)
 
 
 def with_score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

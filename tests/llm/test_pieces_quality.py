@@ -120,3 +120,22 @@ def test_labels_that_cannot_train(spark):
     assert score([]) == {0.5}
     assert min(score([(1, 1), (3, 1), (4, None)])) > 0.99
     assert score([(1, 0), (1, 1)]) == {0.5}
+
+
+def test_labels_of_other_documents_change_nothing(spark, monkeypatch):
+    rows = corpus(400)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = lambda more: spark.createDataFrame([(i, q) for i, _, q in rows] + more, "doc_id bigint, quality int")
+    absent = [(10_000 + i, int(i % 3 == 0)) for i in range(30_000)]
+    one, two = train(docs, labels([])), train(docs, labels(absent))
+    assert one.fitted and two.fitted and np.array_equal(one.weights, two.weights) and (one.slope, one.offset) == (two.slope, two.offset)
+
+    import corpus_pipeline
+
+    good = docs.where(F.col("doc_id") % 5 != 0)
+    bad = docs.where(F.col("doc_id") % 5 == 0)
+    for part, share, given in ((good, 1.0, labels(absent)), (bad, 0.0, labels([])), (docs, 0.5, spark.createDataFrame(absent, "doc_id bigint, quality int"))):
+        model = train(part, given)
+        assert not model.fitted and {round(r.score, 9) for r in with_score(part, model).collect()} == {share}
+        monkeypatch.setattr(corpus_pipeline, "read", lambda *_, given=given: given)
+        assert corpus_pipeline.quality(spark, part, "").count() == part.count()
