@@ -31,8 +31,17 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 #: A percent escape; the escaped percent signs before its digits unwrap with it, however many there are.
 PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
 PERCENT_UNIT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
-ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}")
+#: An escape; backslashes that were doubled before it, as by JSON in JSON, unwrap with it.
+ESCAPE = re.compile(r"(?<!\\)\\+(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8})|u\{([0-9A-Fa-f]{1,6})\})")
+#: Percent escapes and the characters that are left bare between them; a bare plus is a space.
+URL_BYTES = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+-])++")
+URL_BYTE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})|(.)", re.DOTALL)
+#: Where base64 goes on after a line: a line of its own. Within streams any break after digits is tried as well.
+NEXT_LINE = re.compile(r"""\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})(?=[ \t]*(?:[\r\n"'<]|\Z))""")
+BREAK = re.compile(r"(?<=[A-Za-z0-9+/_-]{16})\r?\n[ \t]*(?=[A-Za-z0-9+/_-])")
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|x[\x01\x5e\x9c\xda]", re.DOTALL)
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BROKEN = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\udc80-\udcff]")
 CONTROLS = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 #: Bytes of an expanded stream that are kept at once. A longer one is expanded anew, piece by piece, for each pass over it.
@@ -43,8 +52,8 @@ PIECE = 1 << 20
 DEEPEST, MOST_SEEN = 20, 100_000
 
 # An escape that the end of a text may cut; the rest of a run that comes in parts; and what pieces of streams need.
-CUT = {PERCENT: re.compile(r"%(?:25)*[0-9A-Fa-f]?"), ESCAPE: re.compile(r"\\(?:[uxU][0-9A-Fa-f]{0,7}|u\{[0-9A-Fa-f]{0,6})?")}
-REST_OF = {PERCENT: re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})*"), BASE64: re.compile(r"[A-Za-z0-9+/_-]*={0,2}")}
+CUT = {PERCENT: re.compile(r"%(?:25)*[0-9A-Fa-f]?"), ESCAPE: re.compile(r"\\(?:[uxU][0-9A-Fa-f]{0,7}|u\{[0-9A-Fa-f]{0,6})?")}  # from the last backslash
+REST_OF = {URL_BYTES: re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+-])*+"), BASE64: re.compile(r"[A-Za-z0-9+/_-]*={0,2}")}
 DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 MANY_PERCENT = re.compile(r"%25(?:25)+(?=[0-9A-Fa-f]?\Z)")
 SPACES = re.compile(r"\x20{3,}")
@@ -99,8 +108,10 @@ class Unwrapper:
             self.layers += 1
             self._rewrite(layer, PERCENT, self._percent)
             self._rewrite(layer, ESCAPE, self._escape)
-            for m in BASE64.finditer(layer.text):
-                self._base64(layer, m)
+            if PERCENT.search(layer.text):
+                self._url_bytes(layer)
+            for places in _base64_runs(layer.text):
+                self._base64(layer, places)
             self._drain()
 
     def _push(self, text: str, first: list[int], last: list[int]) -> None:
@@ -136,7 +147,6 @@ class Unwrapper:
     def _percent(self, layer: Layer, m: re.Match) -> Iterator[tuple[str, int, int]]:
         units = [(int(u[1], 16), m.start() + u.start(), m.start() + u.end()) for u in PERCENT_UNIT.finditer(m[0])]
         raw = bytes(u[0] for u in units)
-        self._packed(raw, *layer.span(m.start(), m.end()))
         at = 0
         for char in raw.decode("utf-8", "surrogateescape"):
             n = 1 if 0xDC80 <= ord(char) <= 0xDCFF else len(char.encode())
@@ -148,29 +158,36 @@ class Unwrapper:
         code = int(m[1] or m[2] or m[3] or m[4], 16)
         yield (chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else "�"), m.start(), m.end()
 
-    def _base64(self, layer: Layer, m: re.Match) -> None:
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            return
-        try:
-            raw = base64.b64decode(body.translate({45: "+", 95: "/"}) + "=" * (-len(body) % 4), validate=True)
-        except binascii.Error:
-            return
-        a, b = layer.span(m.start(), m.end())
-        if self._packed(raw, a, b) and raw[:1] not in (b"x", b"B"):  # text can start as zlib and bzip2 do
-            return
-        text = _text(raw)
-        if text is None:
-            return
-        first, last, at = [], [], 0
-        for char in text:
-            n = len(char.encode())
-            start, end = m.start() + at * 8 // 6, m.start() + ((at + n) * 8 - 1) // 6 + 1
-            c, d = layer.span(start, end)
-            first.append(c)
-            last.append(d)
-            at += n
-        self._push(text, first, last)
+    def _url_bytes(self, layer: Layer) -> None:
+        """Streams in percent escapes and what is bare between them."""
+        for m in URL_BYTES.finditer(layer.text):
+            if "%" in m[0] and MAGIC.search(raw := _url_bytes(m[0])):
+                starts = [m.start() + u.start() for u in URL_BYTE.finditer(m[0])]
+                for found in MAGIC.finditer(raw):
+                    self._packed(raw[found.start() :], *layer.span(starts[found.start()], m.end()))
+
+    def _base64(self, layer: Layer, places: range | list[int]) -> None:
+        """Streams and printable stretches in a base64 run, read from each of its first four digits."""
+        digits = "".join(layer.text[i] for i in places) if isinstance(places, list) else layer.text[places[0] : places[-1] + 1]
+        for shift in range(4):
+            raw = _base64_bytes(digits[shift:])
+            for found in MAGIC.finditer(raw):
+                a, b = layer.span(places[shift + found.start() * 8 // 6], places[-1] + 1)
+                if self._packed(raw[found.start() :], a, b) and not shift and not found.start() and raw[:1] not in (b"x", b"B"):
+                    return  # text can start as zlib and bzip2 do
+            text = raw.decode("utf-8", "surrogateescape")
+            clean = BROKEN.sub("\ufffd", text)
+            if not STRETCH.search(clean):
+                continue
+            first, last, at = [], [], 0
+            for char in text:
+                n = 1 if char < "\x80" or "\udc80" <= char <= "\udcff" else len(char.encode())
+                start, end = shift + at * 8 // 6, shift + ((at + n) * 8 - 1) // 6
+                c, d = layer.span(places[start], places[end] + 1)
+                first.append(c)
+                last.append(d)
+                at += n
+            self._push(clean, first, last)
 
     def _packed(self, raw: bytes, a: int, b: int) -> bool:
         """Whether bytes are a compressed stream, which is then looked into: all in it stands for the span it was packed in."""
@@ -210,25 +227,29 @@ class Unwrapper:
             if pattern in wraps:
                 self.packed.append((Pieces(lambda p=pattern, d=decode: _rewritten(pieces, p, d)), False, a, b))
         if PERCENT in wraps:
-            self._runs(pieces, PERCENT, _percent_bytes, a, b)
+            self._runs(pieces, PERCENT, _url_bytes, a, b)
         if BASE64 in wraps:
-            self._runs(pieces, BASE64, _base64_bytes, a, b)
+            for text in (pieces, Pieces(lambda: _without_breaks(pieces))) if BREAK in wraps else (pieces,):
+                for shift in range(4):
+                    self._runs(text, BASE64, _base64_bytes, a, b, shift)
 
-    def _runs(self, pieces: Pieces, pattern: re.Pattern, decode: Callable[[str], bytes], a: int, b: int) -> None:
+    def _runs(self, pieces: Pieces, pattern: re.Pattern, decode: Callable[[str], bytes], a: int, b: int, shift: int = 0) -> None:
         """Look into what each run of a text decodes to; a run that is too long to hold is found anew by its number."""
         known = -1
-        for number, part, whole in _parts_of_runs(pieces, pattern):
+        for number, part, whole in _parts_of_runs(pieces, pattern, shift):
             if number == known:
                 continue
             if whole:
                 raw = decode(part)
-                if not _tool(raw) and (pattern is PERCENT or not STRETCH.search("".join(_characters([raw])))):
+                found = MAGIC.search(raw)
+                if not found and (pattern is PERCENT or not STRETCH.search("".join(_characters([raw])))):
                     continue
-                inside = Pieces(lambda: iter((raw,)))  # noqa: B023
+                starts = sorted({0, *(m.start() for m in MAGIC.finditer(raw))})
+                insides = [Pieces(lambda at=at: iter((raw[at:],))) for at in starts]  # noqa: B023
             else:
                 known = number
-                inside = Pieces(lambda n=number: _joined(decode(p) for k, p, _ in _parts_of_runs(pieces, pattern) if k == n))
-            waiting, self.packed, size = self.packed, [(inside, True, a, b)], len(self.seen)
+                insides = [Pieces(lambda n=number: _joined(decode(p) for k, p, _ in _parts_of_runs(pieces, pattern, shift) if k == n))]
+            waiting, self.packed, size = self.packed, [(inside, True, a, b) for inside in insides], len(self.seen)
             if self.depth > DEEPEST:
                 self.packed = waiting + self.packed
                 continue
@@ -294,30 +315,49 @@ def _joined(parts: Iterable[bytes]) -> Iterator[bytes]:
 
 
 def _expanded(raw: Iterable[bytes]) -> Iterator[bytes]:
-    """What a stream expands to, in bounded parts; a broken stream ends where it breaks."""
-    tool = None
+    """What a stream, and those behind it, expand to, in bounded parts; what lies between them is read as it stands.
+
+    A broken stream ends where it breaks; behind a whole one, the search for the next goes on there.
+    """
+    tool, whole, rest = None, 0, b""
     for piece in raw:
-        tool = tool or _tool(piece)
-        bounded = hasattr(tool, "unconsumed_tail") or hasattr(tool, "needs_input")
-        step = len(piece) if bounded else 64  # 64 bytes of zstd hold 16 blocks of 128 KiB at most
-        for at in range(0, len(piece), max(step, 1)):
-            data = piece[at : at + step]
-            while True:
-                try:
+        piece, at = rest + piece, 0
+        rest = b""
+        while at < len(piece):
+            if tool is None:
+                found = MAGIC.search(piece, at) if whole else None
+                start = at if not whole else min(found.start() if found else len(piece), max(at, len(piece) - 5))
+                if start > at:
+                    yield b"\x00" + piece[at:start]
+                tool = _tool(piece[start : start + 6])
+                if tool is None:
+                    rest = piece[start:]
+                    break
+                at = start
+                bounded = piece[at : at + 1] != b"\x28"
+            begin = at
+            data = piece[at:] if bounded else piece[at : at + 64]  # 64 bytes of zstd hold 16 blocks of 128 KiB at most
+            at += len(data)
+            try:
+                while True:
                     out = tool.decompress(data, PIECE) if bounded else tool.decompress(data)
-                except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-                    return
-                except Exception as error:  # zstandard has an error class of its own
-                    if type(error).__name__ != "ZstdError":
-                        raise
-                    return
-                if out:
-                    yield out
-                if tool.eof:
+                    if out:
+                        yield out
+                    if tool.eof:
+                        at -= len(tool.unused_data)
+                        tool, whole = None, whole + 1
+                        break
+                    data = getattr(tool, "unconsumed_tail", b"")
+                    if not bounded or not data and getattr(tool, "needs_input", len(out) < PIECE):
+                        break
+            except Exception as error:  # zstandard has an error class of its own
+                if not isinstance(error, (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)) and type(error).__name__ != "ZstdError":
+                    raise
+                if not whole:
                     return
-                data = getattr(tool, "unconsumed_tail", b"")
-                if not bounded or not data and getattr(tool, "needs_input", len(out) < PIECE):
-                    break
+                tool, at = None, begin + 1
+    if whole and rest:
+        yield b"\x00" + rest
 
 
 def _characters(raw: Iterable[bytes]) -> Iterator[str]:
@@ -341,8 +381,8 @@ def _kinds_in(pieces: Iterable[str]) -> tuple[set[int], set[re.Pattern]]:
         at = max([at, *(m.end() for m in ASSIGN.finditer(rest) if m.start() < at and m.end() < len(rest))])
         rest = rest[at:]
         end += piece
-        wraps.update(pattern for pattern in (PERCENT, ESCAPE, BASE64) if pattern not in wraps and pattern.search(end))
-        end = end[-16:]
+        wraps.update(pattern for pattern in (PERCENT, ESCAPE, BASE64, BREAK) if pattern not in wraps and pattern.search(end))
+        end = end[-64:]
     return kinds, wraps
 
 
@@ -371,6 +411,20 @@ def _percent_bytes(run: str) -> bytes:
     return bytes(int(u, 16) for u in PERCENT_UNIT.findall(run))
 
 
+def _url_bytes(run: str) -> bytes:
+    return b"".join(bytes((int(u, 16),)) if u else (b" " if bare == "+" else bare.encode()) for u, bare in URL_BYTE.findall(run))
+
+
+def _without_breaks(pieces: Iterable[str]) -> Iterator[str]:
+    rest = ""
+    for piece in pieces:
+        rest = BREAK.sub("", rest + piece)
+        cut = max(len(rest.rstrip()) - 16, 0)
+        yield rest[:cut]
+        rest = rest[cut:]
+    yield rest
+
+
 def _plain_escape(escape: str) -> str:
     return next(Unwrapper._escape(None, ESCAPE.match(escape)))[0]
 
@@ -381,8 +435,9 @@ def _base64_bytes(run: str) -> bytes:
     return base64.b64decode(body.translate({45: "+", 95: "/"}) + "=" * (-len(body) % 4))
 
 
-def _parts_of_runs(pieces: Iterable[str], pattern: re.Pattern) -> Iterator[tuple[int, str, bool]]:
-    """(number, text, whole) of each run; one longer than PIECE comes in parts of whole escapes or of four digits each."""
+def _parts_of_runs(pieces: Iterable[str], pattern: re.Pattern, shift: int = 0) -> Iterator[tuple[int, str, bool]]:
+    """(number, text, whole) of each run; one longer than PIECE comes in parts of whole escapes or of four digits each, the first ``shift`` digits left out."""
+    pattern = URL_BYTES if pattern is PERCENT else pattern
     number, rest, going_on = 0, "", False
     for piece in chain(pieces, [None]):
         rest += piece or ""
@@ -391,7 +446,7 @@ def _parts_of_runs(pieces: Iterable[str], pattern: re.Pattern) -> Iterator[tuple
             hold = len(rest.rstrip("=").rstrip(DIGITS))
         elif piece is not None:
             hold = _open_at(rest, PERCENT)
-            for m in PERCENT.finditer(rest):
+            for m in URL_BYTES.finditer(rest):
                 hold = m.start() if m.end() >= hold else hold
         at = 0
         if going_on and hold:
@@ -399,40 +454,42 @@ def _parts_of_runs(pieces: Iterable[str], pattern: re.Pattern) -> Iterator[tuple
             yield number, rest[:at], False
             number, going_on = number + 1, False
         for m in pattern.finditer(rest, at, hold):
-            yield number, m[0], True
+            if pattern is BASE64 or "%" in m[0]:
+                yield number, m[0][shift:], True
             number += 1
         rest = rest[hold:]
         if len(rest) > PIECE:
-            cut = len(rest) // 4 * 4 - 4 if pattern is BASE64 else _open_at(rest, PERCENT)
-            yield number, rest[:cut], False
+            cut = (len(rest) // 4 * 4 - 4 + (0 if going_on else shift)) if pattern is BASE64 else _open_at(rest, PERCENT)
+            yield number, rest[0 if going_on or pattern is not BASE64 else shift : cut], False
             going_on, rest = True, MANY_PERCENT.sub("%25", rest[cut:])
 
 
-def _text(raw: bytes) -> str | None:
-    """The bytes as text, if they are UTF-8 without control characters."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if CONTROLS.search(text) else text
+def _base64_runs(text: str) -> Iterator[range | list[int]]:
+    """Places of the characters of each base64 run; lines of one length, and a shorter one after them, are one run."""
+    at = 0
+    while m := BASE64.search(text, at):
+        places, at = range(m.start(), m.end()), m.end()
+        if m[0][-1] != "=" and len(m[0]) % 4 == 0:
+            while (line := NEXT_LINE.match(text, at)) and len(line[1]) <= len(m[0]):
+                if isinstance(places, range):
+                    places = list(places)
+                places.extend(range(line.start(1), line.end(1)))
+                at = line.end(1)
+                if len(line[1]) < len(m[0]) or line[1][-1] == "=":
+                    break
+        yield places
 
 
 def find_secrets(text: str) -> tuple[list[Span], list[Span], int, int]:
     """Base findings of a text, all findings, its number of layers and of streams too long to keep."""
     base = scan(text)
-    if not (PERCENT.search(text) or ESCAPE.search(text) or any(_may_hold(m[0]) for m in BASE64.finditer(text))):
+    if not (PERCENT.search(text) or ESCAPE.search(text) or BASE64.search(text)):
         return base, base, 1, 0
     work = Unwrapper(text)
     work.run()
     return base, sorted(work.spans.union(base)), work.layers, work.long
 
 
-def _may_hold(run: str) -> bool:
-    """Whether a base64 run can decode to text or to a compressed stream, by its first three bytes."""
-    head = base64.b64decode(run[:4].translate({45: "+", 95: "/"}) + "====")[:3]
-    return head[:2] == b"\x1f\x8b" or head[0] in b"\x78\xfd\x28" or not CONTROLS.search(head.decode("latin-1"))
-
-
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 

@@ -1,10 +1,14 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
-from urllib.parse import quote
+from urllib.parse import quote, quote_plus
+
+import zstandard
 
 from seqloom.llm import secrets
 from seqloom.llm.secrets import KINDS, find_secrets, joined, redact_secrets, redacted, secret_findings
@@ -115,3 +119,54 @@ def test_streams_of_a_text_do_not_share_a_limit(monkeypatch):
     parts = [base64.b64encode(zlib.compress(f"{i} {'x ' * 20_000} {HIDDEN}".encode())).decode() for i in range(4)]
     text = "%20\\u0041 " + " , ".join(parts)
     assert {(text.index(p), 0, text.index(p) + len(p)) for p in parts} <= set(find_secrets(text)[1])
+
+
+def of_kind_0(text):
+    return [(a, b) for a, kind, b in find_secrets(text)[1] if kind == 0]
+
+
+def wrapped(raw):
+    return base64.b64encode(raw).decode()
+
+
+def test_printable_stretches_of_bytes_are_searched():
+    for noise in (b"\x00", b"\x1b[1m ", b"\xff\xfe", b"\x30\x82\x01\x0a\x02\x82 "):
+        assert of_kind_0(wrapped(noise + HIDDEN.encode() + noise)), noise
+        assert of_kind_0(wrapped(gzip.compress(noise + HIDDEN.encode() + noise))), noise
+
+
+def test_streams_behind_a_stream_are_expanded():
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress, zlib.compress):
+        assert of_kind_0(wrapped(pack(b"first") + pack(HIDDEN.encode()))), pack
+        assert of_kind_0(wrapped(gzip.compress(pack(b"first") + pack(HIDDEN.encode())))), pack
+    assert of_kind_0(wrapped(gzip.compress(b"first") + b"\n" + HIDDEN.encode()))
+
+
+def test_wrapped_lines_are_joined():
+    noise = random.Random(5).randbytes(200)
+    for raw in (b"x" * 45 + HIDDEN.encode() + b" y" * 50, gzip.compress(noise + b"\n" + HIDDEN.encode())):
+        for width, end in ((76, "\n"), (64, "\r\n")):
+            one = wrapped(raw)
+            lines = end.join(one[i : i + width] for i in range(0, len(one), width))
+            assert of_kind_0(f"see {lines}\nend of it"), (width, end)
+            assert of_kind_0(wrapped(gzip.compress(lines.encode())))
+
+
+def test_runs_are_read_from_each_digit():
+    for raw in (HIDDEN.encode() + b" and more", gzip.compress(HIDDEN.encode())):
+        for head in ("/files/", "a-", "ab_", "abc/", "/"):
+            text = head + wrapped(raw).rstrip("=")
+            assert of_kind_0(text) and of_kind_0(wrapped(gzip.compress(text.encode()))), head
+    assert of_kind_0(wrapped(HIDDEN.encode() + b" more")[:40] + "A")
+
+
+def test_doubled_backslashes_unwrap():
+    for slashes in (1, 2, 4):
+        text = "".join("\\" * slashes + f"u{ord(c):04x}" for c in HIDDEN)
+        assert of_kind_0(text) == [(0, len(text))]
+
+
+def test_bare_characters_belong_to_percent_runs():
+    raw = zlib.compress(b"some words " + HIDDEN.encode())
+    for text in (quote(raw), quote_plus(raw), "".join("%%%02X" % c for c in raw)):
+        assert of_kind_0("q=" + text) and of_kind_0(wrapped(gzip.compress(b"q=" + text.encode())))
