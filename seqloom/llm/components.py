@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from seqloom.plans.session import drop_table, write_table
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest vertex reachable from each vertex that has an edge.
 
     ``edges`` has the bigint columns ``a`` and ``b``. The result has a row
     (node, component) for every vertex of an edge; an empty edge table gives an
     empty result, self-loops and repeated edges do no harm.
 
-    Each round takes the smallest label among the neighbours and then replaces
-    a label by that label's own label, which halves paths; rounds grow with the
-    logarithm of the longest path. Labels live in written tables, so a lost
+    Each round takes the smallest label among the neighbours, for a vertex and
+    also for the vertex that is its label, so that whole trees are hooked, and
+    then replaces a label by that label's own label, which halves paths. Labels
+    only fall, so rounds end; they go on until nothing moves. Labels live in written tables, so a lost
     executor repeats part of one round only. The second join has a hot key
     where a component is large: both of its sides are plain scans, so that
     adaptive execution can split it.
@@ -28,23 +29,23 @@ def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")),
         "cc-labels",
     )
-    for _ in range(most_rounds):
+    while True:
         nearest = (
             links.join(labels.select(F.col("node").alias("b"), "label"), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("label").alias("low"))
         )
-        hooked = write_table(
-            labels.join(nearest, "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label")),
-            "cc-hooked",
-        )
+        around = write_table(labels.join(nearest, "node"), "cc-around")
+        own = around.select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
+        roots = around.where("low < label").select(F.col("label").alias("node"), F.lit(None).cast("bigint").alias("was"), F.col("low").alias("label"))
+        hooked = write_table(own.union(roots).groupBy("node").agg(F.max("was").alias("was"), F.min("label").alias("label")), "cc-hooked")
         parents = hooked.select(F.col("node").alias("label"), F.col("label").alias("top"))
         jumped = write_table(hooked.join(parents, "label").select("node", F.col("top").alias("label"), "was"), "cc-labels")
         moved = jumped.where("label <> was").limit(1).count()
         drop_table(labels)
+        drop_table(around)
         drop_table(hooked)
         labels = jumped
         if not moved:
             drop_table(links)
             return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")

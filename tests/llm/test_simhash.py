@@ -102,3 +102,15 @@ def test_one_large_group_of_near_copies(spark):
     rows = simhash_groups(df).collect()
     prints = {r.id: r.fp & (2**64 - 1) for r in rows}
     assert {r.id: r.component for r in rows} == plain_components(prints)
+
+
+def test_components_of_a_long_shuffled_chain_settle(spark, monkeypatch):
+    from seqloom.llm import components
+
+    rounds = []
+    monkeypatch.setattr(components, "write_table", lambda df, what, f=components.write_table: (rounds.append(what), f(df, what))[1])
+    ids = np.random.default_rng(1).permutation(3_000).tolist()
+    edges = [*zip(ids, ids[1:], strict=False), (5_000, 5_001), (5_001, 5_000), (6_000, 6_000)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == dict.fromkeys(range(3_000), 0) | {5_000: 5_000, 5_001: 5_000}
+    assert rounds.count("cc-hooked") <= 20
