@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import forest_edges, slices, utf8
 from seqloom.llm.components import connected_components
-from seqloom.plans.session import write_table
+from seqloom.plans.session import drop_table, join_sized, write_table
 
 SHINGLE_WORDS = 4
 HASH_SEED = 42
@@ -84,12 +84,8 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(one: np.ndarray | np.uint64, many: np.ndarray) -> np.ndarray:
-    """Tally the shared positional bytes, keep what reaches the minimum, verify its differing bits."""
-    apart = many ^ one
-    shared = (apart.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
-    near = shared >= MIN_SHARED
-    near[near] = np.bitwise_count(apart[near]) <= MAX_BITS
-    return near
+    """Which of a posting list, whose tally of shared bytes its key grants, differ in few enough bits."""
+    return np.bitwise_count(many ^ one) <= MAX_BITS
 
 
 def _list_edges(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,13 +154,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Equal fingerprints are one vertex from the start, so groups of copies cost
     nothing. Four differing bits spoil at most four of eight bytes, so a link
-    shares the bytes of at least four positions: each distinct fingerprint is
-    posted under its 70 choices of four positions, a 32-bit key that chance
-    seldom repeats, and a pair meets exactly where its tally reaches four.
-    Within a posting list the shared bytes are tallied, then bits verified, and
-    only a spanning forest of the list leaves the task, never all its pairs.
-    Lists hold distinct fingerprints that agree in four bytes, streamed from a
-    partition sorted by key.
+    shares the bytes of at least four positions. The inverted index departs
+    here from lists by single bytes: a list of one byte at one position holds a
+    256th of all fingerprints, and the pairs to tally grow with the square of
+    that. Each distinct fingerprint is posted instead under its 70 choices of
+    four positions, a 32-bit key that chance seldom repeats: two fingerprints
+    meet in a list if and only if their tally of shared positional bytes
+    reaches four, so the count filter is the key itself. Bits are verified in
+    the list, and only a spanning forest of it leaves the task, never all its
+    pairs. Lists hold distinct fingerprints that agree in four bytes, streamed
+    from a partition sorted by key.
 
     Null or empty texts and texts of white space have fingerprint zero and link
     like any other. A null id takes part but never names a component: it is
@@ -176,16 +175,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lists = postings.repartition("key").sortWithinPartitions("key")
     links = lists.mapInArrow(_edges, "a bigint, b bigint")
     members = connected_components(links)
-    grouped = vertices.join(members, vertices["fp"] == members["node"], "left").select(
-        "fp", "low_id", F.coalesce("component", "fp").alias("root")
-    )
-    lowest = grouped.groupBy("root").agg(F.min("low_id").alias("component"))
-    named = write_table(grouped.join(lowest, "root").select("fp", "component"), "simhash-named")
+    grouped = vertices.join(members, vertices["fp"] == members["node"], "left").select("fp", "low_id", F.col("component").alias("root"))
+    grouped = write_table(grouped, "simhash-grouped")
+    linked = grouped.where("root is not null")
+    lowest = write_table(linked.groupBy("root").agg(F.min("low_id").alias("component")), "simhash-lowest")
+    alone = grouped.where("root is null").select("fp", F.col("low_id").alias("component"))
+    named = write_table(join_sized(linked, lowest, ["root"], "inner").select("fp", "component").union(alone), "simhash-named")
+    for table in (vertices, members, grouped, lowest):
+        drop_table(table)
     return printed.join(named, "fp").select("id", "fp", "component")
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their group, one each; rows without an id stay, for nothing names them."""
+    """The rows of ``docs`` whose id names their group, one each; rows without an id stay, for nothing names them.
+
+    Null and empty texts and those of white space are one group, like other equal texts: the one of the smallest id stays.
+    """
     groups = simhash_groups(docs, id_col, text_col)
     keepers = groups.where(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
     one_each = docs.where(F.col(id_col).isNotNull()).join(keepers, id_col, "left_semi").dropDuplicates([id_col])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import forest_edges
 from seqloom.llm.components import connected_components
-from seqloom.plans.session import join_sized, write_table
+from seqloom.plans.session import drop_table, join_sized, write_table
 
 THRESHOLD = 0.93
 
@@ -149,7 +149,9 @@ def near_vectors(
     by hash over blocks of about ``tile``, and each pair of blocks is a task of
     its own: a large label makes many tasks, none of them larger. A task returns
     the number of links of each vertex and a spanning forest with bounded
-    degree, never the pairs, so dense groups cost no rows.
+    degree, never the pairs, so dense groups cost no rows. A vector is shuffled
+    once for each block of its label: products, and copies of vectors over
+    ``tile`` of them, grow with the square of a label's vectors.
 
     Vectors that are null, empty, zero or hold null or non-finite components,
     and rows with a null label or id, link with nothing (n_links 0, component
@@ -165,7 +167,7 @@ def near_vectors(
     ready = write_table(_prepared(rows), "vectors-ready")
     usable = ready.where("key is not null").withColumn("label", F.concat_ws(":", "label", F.length("vec")))
     vertices = write_table(
-        usable.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.min("label").alias("label"), F.min("vec").alias("vec")),
+        usable.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.min("label").alias("label"), F.first("vec").alias("vec")),
         "vectors-vertices",
     )
     sizes = write_table(vertices.groupBy("label").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("blocks")), "vectors-sizes")
@@ -184,6 +186,8 @@ def near_vectors(
         .select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
     )
     named = write_table(named, "vectors-named")
+    for table in (vertices, sizes, found, members):
+        drop_table(table)
     joined = ready.select("id", "key").join(named, "key", "left")
     component = F.coalesce("component", "id")
     return joined.select(
