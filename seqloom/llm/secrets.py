@@ -8,11 +8,13 @@ import bz2
 import lzma
 import re
 import zlib
+from array import array
 from codecs import getincrementaldecoder
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,10 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 #: A percent escape; the escaped percent signs before its digits unwrap with it, however many there are.
 PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
 PERCENT_UNIT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+#: A percent sign that was itself escaped, once or more. Each level is a layer of its own up to MOST_LEVELS; above, levels go at once.
+ESCAPED_PERCENT = re.compile(r"%(?:25)+[0-9A-Fa-f]{2}")
+ONCE_ESCAPED = re.compile(r"(%(?:25)+[0-9A-Fa-f]{2})|(?:%(?!25[0-9A-Fa-f]{2})[0-9A-Fa-f]{2})+")
+MOST_LEVELS = 16
 #: An escape; backslashes that were doubled before it, as by JSON in JSON, unwrap with it.
 ESCAPE = re.compile(r"(?<!\\)\\+(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8})|u\{([0-9A-Fa-f]{1,6})\})")
 #: Percent escapes and the characters that are left bare between them; a bare plus is a space.
@@ -43,9 +49,11 @@ MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|x[\x01
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 BROKEN = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\udc80-\udcff]")
 CONTROLS = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+LONE = re.compile(r"[\udc80-\udcff]")
+UTF16 = re.compile(rb"(?:[\t\r\n\x20-\x7e]\x00){11}[\t\r\n\x20-\x7e]", re.DOTALL)  # of either byte order
 
 #: Bytes of an expanded stream that are kept at once. A longer one is expanded anew, piece by piece, for each pass over it.
-MAX_EXPANDED = 64 << 20
+MAX_EXPANDED = 8 << 20
 PIECE = 1 << 20
 
 #: Runs within runs that are looked into by recursion, and digests kept of layers that came from them; beyond, work waits or repeats.
@@ -75,13 +83,57 @@ def scan(text: str) -> list[Span]:
 
 
 class Layer:
-    """A text, and for each of its characters the span of the document that it came from."""
+    """A text, and the spans of the document that its characters came from, as runs of characters.
 
-    def __init__(self, text: str, first: list[int] | range, last: list[int] | range):
-        self.text, self.first, self.last = text, first, last
+    Run i begins at character ``at[i]``. With ``step[i]`` 1 its characters stand
+    for one character of the document each, from ``first[i]`` on; with 0 all
+    stand for ``first[i]`` to ``last[i]``. Layers keep the order of the
+    document, so the span of some characters is that of their two ends.
+    """
+
+    def __init__(self, text: str, at: np.ndarray, first: np.ndarray, last: np.ndarray, step: np.ndarray):
+        self.text, self.at, self.first, self.last, self.step = text, at, first, last, step
+
+    @classmethod
+    def whole(cls, text: str) -> Layer:
+        zero = np.zeros(1, np.int32)
+        return cls(text, zero, zero, zero + 1, zero + 1)
+
+    def firsts(self, places: np.ndarray) -> np.ndarray:
+        run = np.searchsorted(self.at, places, "right") - 1
+        return (self.first[run] + self.step[run] * (places - self.at[run])).astype(np.int32)
+
+    def lasts(self, places: np.ndarray) -> np.ndarray:
+        run = np.searchsorted(self.at, places, "right") - 1
+        return (self.last[run] + self.step[run] * (places - self.at[run])).astype(np.int32)
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        return min(self.first[start:end]), max(self.last[start:end])
+        return int(self.firsts(np.array([start]))[0]), int(self.lasts(np.array([end - 1]))[0])
+
+    def rewritten(self, text: str, begin: np.ndarray, end: np.ndarray) -> Layer:
+        """The layer after the characters from ``begin[i]`` to ``end[i]``, in order and apart, became one character each."""
+        gap = np.concatenate((end[:-1] < begin[1:], [end[-1] < len(self.text)])) if len(end) else np.zeros(0, bool)
+        kept = np.concatenate(([0], end[gap])).astype(np.int32)
+        until = np.concatenate((begin[:1], np.append(begin[1:], len(self.text))[gap])).astype(np.int32)
+        some = kept < until
+        kept, until = kept[some], until[some]
+        if len(kept):  # kept stretches go on by the runs they have here
+            where = np.searchsorted(kept, self.at, "right") - 1
+            inner = self.at[(where >= 0) & (self.at > kept[where]) & (self.at < until[where])]
+            starts = np.union1d(kept, inner).astype(np.int32)
+            ends = np.minimum(np.append(starts[1:], len(self.text)), until[np.searchsorted(kept, starts, "right") - 1]).astype(np.int32)
+        else:
+            starts = ends = kept
+        run = np.searchsorted(self.at, starts, "right") - 1
+        order = np.argsort(np.concatenate((starts, begin)), kind="stable")
+        size = np.concatenate((ends - starts, np.ones(len(begin), np.int32)))[order]
+        return Layer(
+            text,
+            (np.cumsum(size) - size).astype(np.int32),
+            np.concatenate((self.firsts(starts), self.firsts(begin)))[order],
+            np.concatenate((self.lasts(starts), self.lasts(end - 1)))[order],
+            np.concatenate((self.step[run], np.zeros(len(begin), np.int32)))[order].astype(np.int32),
+        )
 
 
 class Unwrapper:
@@ -95,7 +147,7 @@ class Unwrapper:
         self.seen: dict[tuple, None] = {}
         self.opened: dict[tuple, bool] = {}
         self.packed: list[tuple[Pieces, bool, int, int]] = []
-        self.work = [Layer(text, range(len(text)), range(1, len(text) + 1))]
+        self.work = [Layer.whole(text)]
 
     def run(self) -> None:
         """Unwrap until no layer is new. A layer seen before at the same place, as in a cycle, is left out."""
@@ -106,100 +158,85 @@ class Unwrapper:
                     a, b = layer.span(start, end)
                     self.spans.add((a, kind, b))
             self.layers += 1
-            self._rewrite(layer, PERCENT, self._percent)
-            self._rewrite(layer, ESCAPE, self._escape)
             if PERCENT.search(layer.text):
+                self._rewrite(layer, PERCENT, _percent_characters)
+                if ESCAPED_PERCENT.search(layer.text):
+                    self._rewrite(layer, PERCENT, _one_level)
                 self._url_bytes(layer)
+            self._rewrite(layer, ESCAPE, _escape_character)
             for places in _base64_runs(layer.text):
                 self._base64(layer, places)
             self._drain()
 
-    def _push(self, text: str, first: list[int], last: list[int]) -> None:
-        if not text:
+    def _push(self, layer: Layer) -> None:
+        if not layer.text:
             return
-        key = (sha256(text.encode("utf-8", "surrogatepass")).digest(), first[0], last[-1])
+        key = (sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), *layer.span(0, len(layer.text)))
         if key not in self.seen:
             self.seen[key] = None
-            self.work.append(Layer(text, first, last))
+            self.work.append(layer)
 
-    def _rewrite(self, layer: Layer, pattern: re.Pattern, decode) -> None:
+    def _rewrite(self, layer: Layer, pattern: re.Pattern, decode: Callable[[re.Match], tuple[str, list[int], list[int]]]) -> None:
         """The layer with every match of ``pattern`` decoded in place."""
         out: list[str] = []
-        first: list[int] = []
-        last: list[int] = []
+        begin, end = array("i"), array("i")
         at = 0
         for m in pattern.finditer(layer.text):
-            out.append(layer.text[at : m.start()])
-            first.extend(layer.first[at : m.start()])
-            last.extend(layer.last[at : m.start()])
-            for char, start, end in decode(layer, m):
-                out.append(char)
-                a, b = layer.span(start, end)
-                first.append(a)
-                last.append(b)
+            text, starts, ends = decode(m)
+            out += [layer.text[at : m.start()], text]
+            begin.extend(starts)
+            end.extend(ends)
             at = m.end()
         if at:
             out.append(layer.text[at:])
-            first.extend(layer.first[at:])
-            last.extend(layer.last[at:])
-            self._push("".join(out), first, last)
-
-    def _percent(self, layer: Layer, m: re.Match) -> Iterator[tuple[str, int, int]]:
-        units = [(int(u[1], 16), m.start() + u.start(), m.start() + u.end()) for u in PERCENT_UNIT.finditer(m[0])]
-        raw = bytes(u[0] for u in units)
-        at = 0
-        for char in raw.decode("utf-8", "surrogateescape"):
-            n = 1 if 0xDC80 <= ord(char) <= 0xDCFF else len(char.encode())
-            yield ("�" if 0xDC80 <= ord(char) <= 0xDCFF else char), units[at][1], units[at + n - 1][2]
-            at += n
-
-    @staticmethod
-    def _escape(layer: Layer, m: re.Match) -> Iterator[tuple[str, int, int]]:
-        code = int(m[1] or m[2] or m[3] or m[4], 16)
-        yield (chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else "�"), m.start(), m.end()
+            self._push(layer.rewritten("".join(out), np.array(begin, np.int32), np.array(end, np.int32)))
 
     def _url_bytes(self, layer: Layer) -> None:
         """Streams in percent escapes and what is bare between them."""
         for m in URL_BYTES.finditer(layer.text):
             if "%" in m[0] and MAGIC.search(raw := _url_bytes(m[0])):
-                starts = [m.start() + u.start() for u in URL_BYTE.finditer(m[0])]
+                starts = array("i", (m.start() + u.start() for u in URL_BYTE.finditer(m[0])))
                 for found in MAGIC.finditer(raw):
                     self._packed(raw[found.start() :], *layer.span(starts[found.start()], m.end()))
 
-    def _base64(self, layer: Layer, places: range | list[int]) -> None:
+    def _base64(self, layer: Layer, places: range | np.ndarray) -> None:
         """Streams and printable stretches in a base64 run, read from each of its first four digits."""
-        digits = "".join(layer.text[i] for i in places) if isinstance(places, list) else layer.text[places[0] : places[-1] + 1]
+        joined = isinstance(places, np.ndarray)
+        digits = "".join(map(layer.text.__getitem__, places)) if joined else layer.text[places[0] : places[-1] + 1]
         for shift in range(4):
             raw = _base64_bytes(digits[shift:])
             for found in MAGIC.finditer(raw):
-                a, b = layer.span(places[shift + found.start() * 8 // 6], places[-1] + 1)
+                a, b = layer.span(int(places[shift + found.start() * 8 // 6]), int(places[-1]) + 1)
                 if self._packed(raw[found.start() :], a, b) and not shift and not found.start() and raw[:1] not in (b"x", b"B"):
                     return  # text can start as zlib and bzip2 do
-            text = raw.decode("utf-8", "surrogateescape")
-            clean = BROKEN.sub("\ufffd", text)
-            if not STRETCH.search(clean):
-                continue
-            first, last, at = [], [], 0
-            for char in text:
-                n = 1 if char < "\x80" or "\udc80" <= char <= "\udcff" else len(char.encode())
-                start, end = shift + at * 8 // 6, shift + ((at + n) * 8 - 1) // 6
-                c, d = layer.span(places[start], places[end] + 1)
-                first.append(c)
-                last.append(d)
-                at += n
-            self._push(clean, first, last)
-
-    def _packed(self, raw: bytes, a: int, b: int) -> bool:
+            if _is_deflated(raw):
+                self._packed(raw, *layer.span(int(places[shift]), int(places[-1]) + 1), bare=True)
+            for kept in (raw, raw.replace(b"\x00", b"")) if UTF16.search(raw) else (raw,):
+                text = kept.decode("utf-8", "surrogateescape")
+                clean = BROKEN.sub("\ufffd", text)
+                if not STRETCH.search(clean):
+                    continue
+                first, size = _bytes_of_characters(text)
+                last = first + size - 1
+                if kept is not raw:
+                    whole = np.flatnonzero(np.frombuffer(raw, np.uint8)).astype(np.int32)
+                    first, last = whole[first], whole[last]
+                begin, end = shift + first.astype(np.int64) * 8 // 6, shift + (last.astype(np.int64) * 8 + 7) // 6
+                begin, end = (places[begin], places[end]) if joined else (begin + places[0], end + places[0])
+                zero = np.zeros(len(begin), np.int32)
+                self._push(Layer(clean, np.arange(len(begin), dtype=np.int32), layer.firsts(begin), layer.lasts(end), zero))
+
+    def _packed(self, raw: bytes, a: int, b: int, bare: bool = False) -> bool:
         """Whether bytes are a compressed stream, which is then looked into: all in it stands for the span it was packed in."""
-        if not _tool(raw):
+        if not bare and not _tool(raw):
             return False
         key = (sha256(raw).digest(), a, b)
         if key not in self.opened:
-            self.opened[key] = self._open((raw,), a, b)
+            self.opened[key] = self._open((raw,), a, b, bare)
         return self.opened[key]
 
-    def _open(self, raw: Iterable[bytes], a: int, b: int) -> bool:
-        inside = Pieces(lambda: _joined(_expanded(raw)))
+    def _open(self, raw: Iterable[bytes], a: int, b: int, bare: bool = False) -> bool:
+        inside = Pieces(lambda: _joined(_expanded(raw, bare)))
         if not next(iter(inside), b""):
             return False
         self.long += inside.kept is None
@@ -219,12 +256,16 @@ class Unwrapper:
             head = next(iter(pieces), b"")
             if not (_tool(head) and self._open(pieces, a, b)) or head[:1] in (b"x", b"B"):
                 self.packed.append((Pieces(lambda: _characters(pieces)), False, a, b))
+                if _is_deflated(head):
+                    self._open(pieces, a, b, True)
+                if any(UTF16.search(piece) for piece in pieces):
+                    self.packed.append((Pieces(lambda: _characters(piece.replace(b"\x00", b"") for piece in pieces)), False, a, b))
             return
         self.layers += 1
         kinds, wraps = _kinds_in(pieces)
         self.spans.update((a, kind, b) for kind in kinds)
-        for pattern, decode in ((PERCENT, _plain_percent), (ESCAPE, _plain_escape)):
-            if pattern in wraps:
+        for sign, pattern, decode in ((PERCENT, PERCENT, _plain_percent), (ESCAPED_PERCENT, PERCENT, _plain_one_level), (ESCAPE, ESCAPE, _plain_escape)):
+            if sign in wraps:
                 self.packed.append((Pieces(lambda p=pattern, d=decode: _rewritten(pieces, p, d)), False, a, b))
         if PERCENT in wraps:
             self._runs(pieces, PERCENT, _url_bytes, a, b)
@@ -242,7 +283,7 @@ class Unwrapper:
             if whole:
                 raw = decode(part)
                 found = MAGIC.search(raw)
-                if not found and (pattern is PERCENT or not STRETCH.search("".join(_characters([raw])))):
+                if not found and (pattern is PERCENT or not (STRETCH.search("".join(_characters([raw]))) or UTF16.search(raw) or _is_deflated(raw))):
                     continue
                 starts = sorted({0, *(m.start() for m in MAGIC.finditer(raw))})
                 insides = [Pieces(lambda at=at: iter((raw[at:],))) for at in starts]  # noqa: B023
@@ -314,10 +355,23 @@ def _joined(parts: Iterable[bytes]) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-def _expanded(raw: Iterable[bytes]) -> Iterator[bytes]:
+def _is_deflated(raw: bytes) -> bool:
+    """Whether bytes go on like a deflate stream without a head: such have no mark, so they must look packed and their first text be clean."""
+    head = raw[:64]
+    if len(raw) < 12 or raw[0] & 6 not in (2, 4) or 3 * len(set(head)) < len(head):  # a block of fixed or own Huffman codes
+        return False
+    try:
+        text = zlib.decompressobj(-15).decompress(raw, 256).decode("utf-8", "ignore")
+    except zlib.error:
+        return False
+    return len(text) >= 12 and not BROKEN.search(text)
+
+
+def _expanded(raw: Iterable[bytes], bare: bool = False) -> Iterator[bytes]:
     """What a stream, and those behind it, expand to, in bounded parts; what lies between them is read as it stands.
 
     A broken stream ends where it breaks; behind a whole one, the search for the next goes on there.
+    With ``bare`` the first stream is deflated without a head.
     """
     tool, whole, rest = None, 0, b""
     for piece in raw:
@@ -329,7 +383,7 @@ def _expanded(raw: Iterable[bytes]) -> Iterator[bytes]:
                 start = at if not whole else min(found.start() if found else len(piece), max(at, len(piece) - 5))
                 if start > at:
                     yield b"\x00" + piece[at:start]
-                tool = _tool(piece[start : start + 6])
+                tool = zlib.decompressobj(-15) if bare and not whole else _tool(piece[start : start + 6])
                 if tool is None:
                     rest = piece[start:]
                     break
@@ -381,14 +435,14 @@ def _kinds_in(pieces: Iterable[str]) -> tuple[set[int], set[re.Pattern]]:
         at = max([at, *(m.end() for m in ASSIGN.finditer(rest) if m.start() < at and m.end() < len(rest))])
         rest = rest[at:]
         end += piece
-        wraps.update(pattern for pattern in (PERCENT, ESCAPE, BASE64, BREAK) if pattern not in wraps and pattern.search(end))
+        wraps.update(pattern for pattern in (PERCENT, ESCAPED_PERCENT, ESCAPE, BASE64, BREAK) if pattern not in wraps and pattern.search(end))
         end = end[-64:]
     return kinds, wraps
 
 
 def _open_at(text: str, pattern: re.Pattern) -> int:
     """Where an escape begins that the end of the text cuts, or may cut."""
-    at = text.rfind("%" if pattern is PERCENT else "\\")
+    at = text.rfind("\\" if pattern is ESCAPE else "%")
     return at if at >= 0 and CUT[pattern].fullmatch(text, at) else len(text)
 
 
@@ -407,6 +461,61 @@ def _plain_percent(run: str) -> str:
     return "".join(_characters([_percent_bytes(run)]))
 
 
+def _plain_one_level(run: str) -> str:
+    return _one_level(PERCENT.match(run))[0]
+
+
+def _levels(escaped: str) -> int:
+    """How many levels of an escape go at once: one, but of long chains what leaves MOST_LEVELS."""
+    return max((len(escaped) - 3) // 2 - MOST_LEVELS, 1)
+
+
+def _percent_characters(m: re.Match) -> tuple[str, list[int], list[int]]:
+    """The characters of a run of percent escapes, and where each begins and ends."""
+    units = list(PERCENT_UNIT.finditer(m[0]))
+    text = bytes(int(u[1], 16) for u in units).decode("utf-8", "surrogateescape")
+    starts = np.array([m.start() + u.start() for u in units], np.int32)
+    first, size = _bytes_of_characters(text)
+    ends = np.append(starts[1:], m.end()).astype(np.int32)
+    return LONE.sub("\ufffd", text), starts[first].tolist(), ends[first + size - 1].tolist()
+
+
+def _one_level(m: re.Match) -> tuple[str, list[int], list[int]]:
+    """A run of percent escapes decoded once; of an escaped percent sign what it escapes is left for the next layer."""
+    out: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    for part in ONCE_ESCAPED.finditer(m[0]):
+        at = m.start() + part.start()
+        if part[1]:
+            size = 1 + 2 * _levels(part[0])
+            out.append("%" + part[0][size:])
+            starts.append(at)
+            ends.append(at + size)
+        else:
+            text = bytes.fromhex(part[0].replace("%", "")).decode("utf-8", "surrogateescape")
+            first, size = _bytes_of_characters(text)
+            out.append(LONE.sub("\ufffd", text))
+            starts += (at + 3 * first).tolist()
+            ends += (at + 3 * (first + size)).tolist()
+    return "".join(out), starts, ends
+
+
+def _escape_character(m: re.Match) -> tuple[str, list[int], list[int]]:
+    code = int(m[1] or m[2] or m[3] or m[4], 16)
+    return (chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else "\ufffd"), [m.start()], [m.end()]
+
+
+def _bytes_of_characters(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the UTF-8 bytes of each character begin and how many they are; a lone surrogate stands for one byte."""
+    if text.isascii():
+        return np.arange(len(text), dtype=np.int32), np.ones(len(text), np.int32)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = 1 + (code >= 0x80).astype(np.int32) + (code >= 0x800) + (code >= 0x10000)
+    size[(code >= 0xDC80) & (code <= 0xDCFF)] = 1
+    return (np.cumsum(size) - size).astype(np.int32), size.astype(np.int32)
+
+
 def _percent_bytes(run: str) -> bytes:
     return bytes(int(u, 16) for u in PERCENT_UNIT.findall(run))
 
@@ -426,7 +535,7 @@ def _without_breaks(pieces: Iterable[str]) -> Iterator[str]:
 
 
 def _plain_escape(escape: str) -> str:
-    return next(Unwrapper._escape(None, ESCAPE.match(escape)))[0]
+    return _escape_character(ESCAPE.match(escape))[0]
 
 
 def _base64_bytes(run: str) -> bytes:
@@ -464,19 +573,20 @@ def _parts_of_runs(pieces: Iterable[str], pattern: re.Pattern, shift: int = 0) -
             going_on, rest = True, MANY_PERCENT.sub("%25", rest[cut:])
 
 
-def _base64_runs(text: str) -> Iterator[range | list[int]]:
+def _base64_runs(text: str) -> Iterator[range | np.ndarray]:
     """Places of the characters of each base64 run; lines of one length, and a shorter one after them, are one run."""
     at = 0
     while m := BASE64.search(text, at):
         places, at = range(m.start(), m.end()), m.end()
         if m[0][-1] != "=" and len(m[0]) % 4 == 0:
+            lines = [places]
             while (line := NEXT_LINE.match(text, at)) and len(line[1]) <= len(m[0]):
-                if isinstance(places, range):
-                    places = list(places)
-                places.extend(range(line.start(1), line.end(1)))
+                lines.append(range(line.start(1), line.end(1)))
                 at = line.end(1)
                 if len(line[1]) < len(m[0]) or line[1][-1] == "=":
                     break
+            if len(lines) > 1:
+                places = np.concatenate([np.arange(x.start, x.stop, dtype=np.int32) for x in lines])
         yield places
 
 
@@ -515,10 +625,12 @@ def secret_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_assign, n_access, n_hex and base_sha256 describe the findings in the text
     as it stands; ``spans`` adds those that decoding brings to light, mapped to
     the characters of the document they came from. A worklist unwraps percent
-    escapes and Unicode escapes in place, base64 runs, and gzip, zlib, bzip2,
-    xz and zstd streams in base64 or in percent escapes, and looks into each
-    new layer again until none is new; a layer already seen at its place is
-    dropped, so cycles end. ``layers`` counts them, the text included.
+    escapes, level by level, and Unicode escapes in place, base64 runs of UTF-8
+    or UTF-16 text, and gzip, zlib, bare deflate, bzip2, xz and zstd streams in
+    base64, or with a head in percent escapes, and looks into each new layer
+    again until none is new; a layer already seen at its place is dropped, so
+    cycles end. Where characters came from is kept as runs, which cost nothing
+    where a text is copied unchanged. ``layers`` counts them, the text included.
     Streams are expanded and searched whole: one of more than MAX_EXPANDED, which
     ``long_streams`` counts, in pieces whose ends are carried over, so that
     memory is bounded and time grows with what it expands to.
