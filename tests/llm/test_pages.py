@@ -105,6 +105,49 @@ def test_distrust_flows_back_to_linking_hosts_and_trust_wins(spark):
     assert judge(spark.createDataFrame([], df.schema)).collect() == []
 
 
+def rank(links, seeds):
+    """Personalised PageRank by a dense matrix, to the end."""
+    hosts = sorted({h for pair in links for h in pair} | set(seeds))
+    at = {h: i for i, h in enumerate(hosts)}
+    flow = np.zeros((len(hosts), len(hosts)))
+    for (a, b), n in links.items():
+        flow[at[b], at[a]] += n / sum(m for (x, _), m in links.items() if x == a)
+    seed = np.array([seeds.get(h, 0.0) for h in hosts])
+    return dict(zip(hosts, np.linalg.solve(np.eye(len(hosts)) - 0.85 * flow, 0.15 * seed).tolist(), strict=True))
+
+
+def test_scores_match_a_dense_solution_on_cycles_and_many_seeds(spark):
+    rng = np.random.default_rng(3)
+    names = [f"h{i}.com" for i in range(40)] + [f"b{i}.net" for i in range(8)] + [f"g{i}.org" for i in range(8)]
+    links, pages = {}, []
+    for i, name in enumerate(names):
+        to = [names[(i + 1) % len(names)], *rng.choice(names, 2).tolist()]
+        for _ in range(2):
+            html = "".join(f"<a href='https://{h}/x'>x</a>" for h in to)
+            pages.append((len(pages), f"http://{name}/fr/{len(pages)}", html))
+            for h in to:
+                if h != name:
+                    links[name, h] = links.get((name, h), 0) + 1
+    got = {r.host: r for r in judge(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    trust = rank(links, {n: 1.0 for n in names if n.endswith(".org")})
+    distrust = rank({(b, a): n for (a, b), n in links.items()}, {n: 1.0 for n in names if n.endswith(".net")})
+    for name in names:
+        assert abs(got[name].trust - trust[name]) < 2e-5 and abs(got[name].distrust - distrust[name]) < 2e-5
+        spread = "block" if distrust[name] >= 0.005 and distrust[name] > trust[name] else "allow"
+        assert got[name].verdict == {"net": "block", "org": "allow"}.get(name[-3:], spread)
+
+
+def test_equal_trust_and_distrust_allow_and_seeds_weigh_their_shares(spark):
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    pages = [
+        (1, "http://good.org/fr/", link("tie.com")), (2, "http://bad.net/", ""), (3, "http://tie.com/", link("bad.net")),
+        (4, "http://example.net/en/1", ""), (5, "http://example.net/a", link("near.com")), (6, "http://example.net/b", ""), (7, "http://near.com/", link("example.net")),
+    ]
+    got = {r.id: r for r in judge(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got[3].trust == got[3].distrust > 0.1 and got[3].verdict == "allow"
+    assert abs(got[7].distrust - 0.85 * 0.1 / (1 - 0.85**2)) < 1e-5 and got[7].trust == 0 and got[7].verdict == "block" and got[4].verdict == "allow"
+
+
 def test_language_fuses_evidence(spark, docs, no_docs):
     told = identify(docs, F.col("text"), F.col("lang"), F.col("source"))
     assert told.columns == [*docs.columns, "lid"]
