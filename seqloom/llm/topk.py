@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.plans.session import drop_table, write_table
+from seqloom.plans.session import drop_table, write_bucketed, write_table
 
 NEIGHBOURS = 10
 
@@ -19,7 +21,9 @@ PREFIX_BITS = 3
 
 #: Postings of one group, about; a larger group is dealt over several by the hash of the code.
 GROUP_ROWS = 20_000
-_QUERIES_AT_ONCE = 32
+
+#: Groups of a bucket of the table, about; more where there would be too many buckets.
+GROUPS_PER_BUCKET, MOST_BUCKETS = 4, 4096
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -61,36 +65,61 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@lru_cache(maxsize=256)
+def _masks(bits: int, ones: int) -> np.ndarray:
+    """All values of ``bits`` bits of which just ``ones`` are set."""
+    return np.array([sum(1 << bit for bit in chosen) for chosen in combinations(range(bits), ones)], np.uint16)
+
+
+def probed(values: np.ndarray, asked: np.ndarray, prefix: int, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, places in ``values``) of the buckets at just ``radius`` from the segment of each query.
+
+    ``values`` are sorted and have the leading bits ``prefix``; those of a
+    bucket are found by binary search for each mask, no others are looked at.
+    """
+    low_bits = 8 * SEGMENT_BYTES - PREFIX_BITS
+    buckets, first = np.unique(values, return_index=True)
+    end = np.append(first[1:], len(values))
+    for q, value in enumerate(asked):
+        spent = ((int(value) >> low_bits) ^ prefix).bit_count()
+        if not 0 <= radius - spent <= low_bits:
+            continue
+        wanted = (prefix << low_bits | int(value) & ((1 << low_bits) - 1)) ^ _masks(low_bits, radius - spent)
+        at = np.minimum(np.searchsorted(buckets, wanted), len(buckets) - 1)
+        hit = at[buckets[at] == wanted]
+        if len(hit):
+            size = end[hit] - first[hit]
+            yield q, np.repeat(first[hit] - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 def _verify(radius: int, wanted: int):
-    """For each query of a group: take the buckets at just this radius from its segment, verify whole codes, keep the best."""
+    """For each query of a group: read the buckets at just this radius from its segment, verify whole codes, keep the best."""
 
     def run(postings: pa.Table, queries: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query": [], "code": [], "distance": [], "low": [], "n": []}
         if postings.num_rows and queries.num_rows:
             codes = postings["code"].to_pylist()
-            low, n = postings["low"].to_numpy(), postings["n"].to_numpy()
-            width = len(codes[0])
-            segment = postings["segment"][0].as_py()
-            asked = [q for q in queries["query"].to_pylist() if len(q) == width]
-            same = np.array([i for i, c in enumerate(codes) if len(c) == width])
-            table = np.frombuffer(b"".join(codes[i] for i in same), np.uint8).reshape(len(same), width)
-            value = table.view(">u2")[:, segment].astype(np.uint16)
-            for at in range(0, len(asked), _QUERIES_AT_ONCE):
-                some = asked[at : at + _QUERIES_AT_ONCE]
-                probe = np.frombuffer(b"".join(some), np.uint8).reshape(len(some), width)
-                apart = np.bitwise_count(value[None, :] ^ probe.view(">u2")[:, segment].astype(np.uint16)[:, None])
-                for q, hit in zip(range(len(some)), apart == radius, strict=True):
-                    found = np.flatnonzero(hit)
-                    if not len(found):
-                        continue
+            segment, prefix = postings["segment"][0].as_py(), postings["prefix"][0].as_py()
+            for width in {len(q) for q in queries["query"].to_pylist()}:
+                asked = [q for q in queries["query"].to_pylist() if len(q) == width]
+                same = np.array([i for i, c in enumerate(codes) if len(c) == width], np.int64)
+                if not len(same):
+                    continue
+                table = np.frombuffer(b"".join(codes[i] for i in same), np.uint8).reshape(len(same), width)
+                order = np.argsort(table.view(">u2")[:, segment], kind="stable")
+                same, table = same[order], table[order]
+                low, n = postings["low"].to_numpy()[same], postings["n"].to_numpy()[same]
+                values = table.view(">u2")[:, segment].astype(np.uint16)
+                probe = np.frombuffer(b"".join(asked), np.uint8).reshape(len(asked), width)
+                for q, found in probed(values, probe.view(">u2")[:, segment].astype(np.uint16), prefix, radius):
                     distance = np.bitwise_count(table[found] ^ probe[q]).sum(axis=1, dtype=np.int64)
-                    rows = same[found]
-                    best = np.lexsort((low[rows], distance))[:wanted]
-                    out["query"] += [some[q]] * len(best)
-                    out["code"] += [codes[i] for i in rows[best]]
+                    best = np.lexsort((low[found], distance))[:wanted]
+                    rows = found[best]
+                    out["query"] += [asked[q]] * len(best)
+                    out["code"] += [codes[i] for i in same[rows]]
                     out["distance"] += distance[best].tolist()
-                    out["low"] += low[rows[best]].tolist()
-                    out["n"] += n[rows[best]].tolist()
+                    out["low"] += low[rows].tolist()
+                    out["n"] += n[rows].tolist()
         kinds = {"query": pa.binary(), "code": pa.binary(), "distance": pa.int64(), "low": pa.int64(), "n": pa.int64()}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
@@ -113,8 +142,10 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) ->
     ids, equal queries are asked once. Postings are dealt by segment and leading
     bits of its value; groups over GROUP_ROWS are dealt further by the code's
     hash, so a value that a third of the codes share stays in bounded groups.
-    A query goes only to groups whose leading bits are within the radius, and a
-    group returns at most k + 1 codes a query.
+    The groups are a bucketed table, which rounds read without a shuffle; only
+    queries are shuffled. A query goes only to groups whose leading bits are
+    within the radius, reads there the buckets at just this radius, found by
+    binary search, and gets at most k + 1 codes of a group.
 
     Null codes and null ids neither ask nor answer; a query finds only codes of
     its own length. Rows that repeat an id count as one.
@@ -131,11 +162,15 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) ->
     sizes = postings.groupBy("segment", "prefix").count().withColumn("deals", F.ceil(F.col("count") / F.lit(GROUP_ROWS)).cast("int"))
     counts = [tuple(r) for r in sizes.select("segment", "prefix", "deals").collect()]  # segments x 2^PREFIX_BITS rows at most
     deals = lambda: F.broadcast(spark.createDataFrame(counts, "segment int, prefix int, deals int"))
+    group = ["segment", "prefix", "deal"]
     dealt = postings.join(deals(), ["segment", "prefix"]).withColumn("deal", F.pmod(F.xxhash64("code"), F.col("deals")).cast("int"))
-    active = write_table(asking.select(F.col("code").alias("query")).distinct(), "topk-active")
-    best = spark.createDataFrame([], "query binary, code binary, distance bigint, low bigint, n bigint")
+    groups = sum(c[2] for c in counts)
+    buckets = min(max(1, -(-groups // GROUPS_PER_BUCKET)), MOST_BUCKETS)
+    dealt, forget = write_bucketed(dealt.select(*group, "code", "low", "n"), "topk-buckets", buckets, group)
+    drop_table(postings)
+    asked = active = write_table(asking.select(F.col("code").alias("query")).distinct(), "topk-asked")
+    best = spark.createDataFrame([], "query binary, code binary, distance bigint, low bigint, n bigint, done boolean")
     masks = [(m, m.bit_count()) for m in range(1 << PREFIX_BITS)]
-    group = ["segment", "prefix", "deal"]
     for radius in range(8 * SEGMENT_BYTES + 1):
         if not active.limit(1).count():
             break
@@ -148,26 +183,21 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) ->
         found = dealt.groupBy(*group).cogroup(probes.groupBy(*group)).applyInArrow(
             _verify(radius, wanted), "query binary, code binary, distance bigint, low bigint, n bigint"
         )
-        merged = best.union(found).dropDuplicates(["query", "code"])
+        merged = best.select("query", "code", "distance", "low", "n").union(found).dropDuplicates(["query", "code"])
         order = Window.partitionBy("query").orderBy("distance", "low", "code")
-        ranked = merged.withColumn("place", F.row_number().over(order)).where(F.col("place") <= wanted)
-        before, best = best, write_table(ranked.drop("place"), "topk-best")
-        drop_table(before)
-        total = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-        done = (
-            best.withColumn("total", total)
-            .where(F.col("total") >= wanted)
-            .groupBy("query")
-            .agg(F.min("distance").alias("kth"))
-            .where(F.col("kth") <= (F.length("query") / SEGMENT_BYTES) * (radius + 1) - 1)
-            .select("query")
-        )
-        before, active = active, write_table(active.join(done, "query", "left_anti"), "topk-active")
+        upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        covered = F.col("distance") <= (F.length("query") / SEGMENT_BYTES) * (radius + 1) - 1
+        ranked = merged.withColumn("place", F.row_number().over(order)).withColumn("done", (upto >= wanted) & covered)
+        before, best = best, write_table(ranked.where(F.col("place") <= wanted).drop("place"), "topk-best")
         drop_table(before)
+        active = asked.join(best.where("done").select("query").distinct(), "query", "left_anti")
     answers = best.join(index, "code").select("query", "distance", F.explode("ids").alias("neighbour_id"))
     by_query = Window.partitionBy("query").orderBy("distance", "neighbour_id")
     answers = answers.withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= wanted)
     answers = write_table(answers.select("query", "distance", "neighbour_id"), "topk-answers")
+    forget()
+    for table in (index, asked, best):
+        drop_table(table)
     each = asking.select(F.col("id").alias("query_id"), F.col("code").alias("query")).join(answers, "query")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))
     return (

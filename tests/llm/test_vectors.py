@@ -1,6 +1,6 @@
 import numpy as np
 
-from seqloom.llm.topk import nearest_codes, sign_codes
+from seqloom.llm.topk import nearest_codes, probed, sign_codes
 from seqloom.llm.vectors import near_vectors, tile_links
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, node string, key string"
@@ -88,3 +88,22 @@ def test_topk_matches_brute_force(spark):
             width = -(-len(bits[q]) // 16)
             order = sorted((sum(a != b for a, b in zip(bits[q], c, strict=True)), i) for i, c in bits.items() if i != q and -(-len(c) // 16) == width and len(c) == len(bits[q]))
             assert got.get(q, []) == [(d, i, n + 1) for n, (d, i) in enumerate(order[:k])]
+
+
+def test_only_buckets_at_the_radius_are_read():
+    rng = np.random.default_rng(6)
+    low = np.sort(rng.integers(0, 1 << 13, 3_000))
+    for prefix in (0, 5):
+        values = (prefix << 13 | low).astype(np.uint16)
+        asked = rng.integers(0, 1 << 16, 20).astype(np.uint16)
+        for radius in range(17):
+            got = {q: found for q, found in probed(values, asked, prefix, radius)}
+            for q, value in enumerate(asked):
+                want = np.flatnonzero(np.bitwise_count(values ^ value) == radius)
+                assert np.array_equal(np.sort(got.get(q, np.zeros(0, int))), want)
+
+
+def test_topk_with_clashing_columns(spark):
+    codes = sign_codes(spark.createDataFrame(rows(60), SCHEMA)).selectExpr("*", "'x' AS segment", "1 AS low", "2 AS query", "'y' AS distance")
+    plainly = nearest_codes(codes.select("id", "code"), codes.select("id", "code").where("id < 5"), 3)
+    assert sorted(map(tuple, nearest_codes(codes, codes.where("id < 5"), 3).collect())) == sorted(map(tuple, plainly.collect()))
