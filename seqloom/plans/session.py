@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +27,14 @@ def share_code(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a folder of the
-    warehouse is taken, and set as the checkpoint folder too.
+    A session on one machine that names none uses a folder of its warehouse; on
+    a cluster that is an error, for nothing else tells what is shared.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
@@ -50,6 +52,26 @@ def write_table(df: DataFrame, what: str) -> DataFrame:
     return table
 
 
+def write_bucketed(df: DataFrame, what: str, buckets: int, by: list[str]) -> tuple[DataFrame, Callable[[], None]]:
+    """Write ``df`` in the shared folder bucketed and sorted by columns, and read it; also a function that removes it.
+
+    Joins and groups by these columns read it without a shuffle or a sort.
+    """
+    spark = df.sparkSession
+    name = f"{what}-{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_folder(spark)}/{name}"
+    spread = df.repartition(buckets, *by)
+    spread.write.bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    table._written_at = path
+
+    def forget() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_table(table)
+
+    return table, forget
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
