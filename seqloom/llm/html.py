@@ -19,23 +19,26 @@ CONTAINERS = frozenset(
 )
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt pre hr figcaption caption legend option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-DROPPED = frozenset("script style noscript template svg math iframe object select textarea button canvas title head audio video".split())
+DROPPED = frozenset("script style noscript template svg iframe object select textarea button canvas title head audio video annotation annotation-xml".split())
 RAW = frozenset("script style textarea title".split())  # no markup in them
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript object script style template title".split())
 ONCE = frozenset("button select noscript iframe".split())  # not within themselves: the next one's start shows that one was left open
-FOREIGN = frozenset("svg math".split())  # HTML's own blocks end these, but for those in a guest
-GUESTS = frozenset("foreignobject annotation-xml desc".split())
+FOREIGN = frozenset("svg annotation".split())  # HTML's own blocks end these, but for those in a guest
+GUESTS = frozenset("foreignobject desc".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav aside footer header form menu dialog fieldset".split())
 MAIN = frozenset("article main".split())
 
-# Words in class, id and role that name page furniture, and reader comments.
+# Words in class, id and role that name page furniture and reader comments; some name it less surely, and not beside a word for content.
 FURNITURE_WORDS = frozenset(
-    """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie
-    cookies copyright disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices overlay
-    pagination popup promo promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored
-    subscribe subscription toolbar widget widgets complementary contentinfo alert gdpr advertise teaser reader""".split()
+    """ad ads advert adverts advertise advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie
+    cookies copyright disqus footer masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup
+    promo promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription
+    toolbar widget widgets complementary contentinfo gdpr teaser""".split()
 )
+PERHAPS_WORDS = frozenset("alert banner header login search".split())
+CONTENT_WORDS = frozenset("article body content entry main post results story text".split())
+LAYOUT_WORDS = frozenset("has is no with without".split())  # what follows them lies elsewhere
 _COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
 
 _TOKEN = re.compile(
@@ -54,7 +57,7 @@ class Block(NamedTuple):
     words: int
     linked: int
     heading: bool
-    marker: int  # 0 nothing said, 1 main text, 2 page furniture, by the nearest ancestor that says so
+    hint: int  # 0 no page furniture, 1 perhaps, 2 surely, by the nearest ancestor that says something
     inside: bool  # within an article or main element
 
 
@@ -64,17 +67,18 @@ class Flattener:
     def __init__(self) -> None:
         self.blocks: list[Block] = []
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]
-        self.leaf = ("", 0)
+        self.leaf: tuple[str, int | None] = ("", None)
         self.text: list[str] = []
         self.linked: list[str] = []
-        self.anchor = False
+        self.anchor: tuple[int, bool] | None = None  # the depth where a link begins, and whether within a leaf
 
     def flush(self) -> None:
         text = " ".join(unescape("".join(self.text)).split()) if self.text else ""
         if text:
-            _, marker, inside = self.stack[-1]
+            _, hint, inside = self.stack[-1]
+            hint = hint if self.leaf[1] is None else self.leaf[1]
             linked = len(unescape("".join(self.linked)).split())
-            self.blocks.append(Block(text, len(text.split()), linked, self.leaf[0] in HEADINGS, self.leaf[1] or marker, inside))
+            self.blocks.append(Block(text, len(text.split()), min(linked, len(text.split())), self.leaf[0] in HEADINGS, hint, inside))
         self.text, self.linked = [], []
 
     def run(self, html: str) -> list[Block]:
@@ -111,36 +115,39 @@ class Flattener:
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "a":
-            self.anchor = True
+            self.anchor = (len(self.stack), bool(self.leaf[0]))
         elif tag == "br":
             self.text.append(" ")
             self.linked.append(" ")
         elif tag in CONTAINERS:
-            self.flush()
-            self.leaf = ("", 0)
-            self.anchor = False
-            _, marker, inside = self.stack[-1]
-            said = 0 if tag in ("html", "body") else _said(tag, attributes)
-            if said != 2:
-                inside = inside or tag in MAIN
-            self.stack.append((tag, said or marker, inside))
+            self._end_leaf()
+            _, hint, inside = self.stack[-1]
+            said = None if tag in ("html", "body") else _said(tag, attributes, inside)
+            inside = inside or (tag in MAIN and said != 2)
+            self.stack.append((tag, hint if said is None else said, inside))
         elif tag in LEAVES:
-            self.flush()
-            self.anchor = False
-            self.leaf = (tag, _said(tag, attributes))
+            self._end_leaf()
+            self.leaf = (tag, _said(tag, attributes, self.stack[-1][2]))
 
     def _close(self, tag: str) -> None:
         if tag == "a":
-            self.anchor = False
+            self.anchor = None
         elif tag in CONTAINERS:
             places = [i for i, entry in enumerate(self.stack) if entry[0] == tag]
             if places:
-                self.flush()
-                self.leaf = ("", 0)
+                self._end_leaf()
                 del self.stack[places[-1] :]
+                if self.anchor and self.anchor[0] > len(self.stack):
+                    self.anchor = None
         elif tag in LEAVES:
-            self.flush()
-            self.leaf = ("", 0)
+            self._end_leaf()
+
+    def _end_leaf(self) -> None:
+        """A link that began within a leaf ends with it; one around blocks goes on in them."""
+        self.flush()
+        self.leaf = ("", None)
+        if self.anchor and self.anchor[1]:
+            self.anchor = None
 
 
 def _raw_end(html: str, tag: str, at: int) -> int:
@@ -209,123 +216,250 @@ def _dropped_end(html: str, tag: str, begin: int, outside: set[str]) -> int:
     return len(html) if block is None else block
 
 
-def _said(tag: str, attributes: str) -> int:
-    """What an element says of its text by its name, class, id or role, or by being hidden."""
-    hinted = False
+def _said(tag: str, attributes: str, inside: bool) -> int | None:
+    """What an element says of its text by its name, class, id or role, or by being hidden; None for nothing."""
+    said = 2 if tag in FURNITURE else 0 if tag in MAIN else None
+    if tag == "header" and inside:
+        said = 1  # of an article: its title stays
     if attributes:
         if _HIDDEN.search(attributes):
             return 2
-        words = {w for m in _HINT.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())}
-        if tag in MAIN:
-            hinted = bool(words & _COMMENT_WORDS)
-        else:
-            hinted = bool(words & FURNITURE_WORDS)
-    if hinted or tag in FURNITURE:
-        return 2
-    return 1 if tag in MAIN else 0
+        words: set[str] = set()
+        for m in _HINT.finditer(attributes):
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                parts = _WORDS.findall(name)
+                if parts and parts[0] not in LAYOUT_WORDS:
+                    words.update(parts)
+        if words & (_COMMENT_WORDS if tag in MAIN else FURNITURE_WORDS):
+            return 2
+        if words & PERHAPS_WORDS and not words & CONTENT_WORDS and tag not in MAIN:
+            return max(said or 0, 1)
+    return said
 
 
 def blocks_of(html: str) -> list[Block]:
     return Flattener().run(html)
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "marker", "inside", "outside")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "place")
+
+
+def place(block: Block, has_article: bool) -> int:
+    """What elements say: 4 within an article, 3 there but perhaps furniture, 2 nothing, 1 perhaps furniture, 0 surely or beside the page's article."""
+    if block.hint == 2 or has_article and not block.inside:
+        return 0
+    return (4 if block.inside else 2) - block.hint
 
 
 def describe(blocks: list[Block]) -> np.ndarray:
     """A row of FEATURES for each block; a missing neighbour has no words and no links."""
     words = np.array([0, *(b.words for b in blocks), 0], float)
     density = np.array([0, *(b.linked / b.words for b in blocks), 0], float)
-    inside = np.array([b.inside for b in blocks], float)
-    rest = [
-        np.array([b.heading for b in blocks], float),
-        np.array([b.marker for b in blocks], float),
-        inside,
-        float(inside.any()) * (1 - inside),
-    ]
-    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], *rest])
+    heading = np.array([b.heading for b in blocks], float)
+    has_article = any(b.inside for b in blocks)
+    places = np.array([place(b, has_article) for b in blocks], float)
+    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], heading, places])
 
 
-#: The labelled table: blocks by FEATURES and, last, whether they are main text.
+#: The labelled table: blocks by FEATURES and, last, whether they are main text. Blocks of usual sizes were drawn at random and
+#: labelled so: all of an article, and nothing beside it, is main text; elsewhere prose of 25 words is, shorter text and headings,
+#: linked or not, where a neighbour is prose, other links never; what may be furniture must be long, and outside of articles beside prose.
 LABELLED = """
-60 0.0 10 0.0 80 0.0 0 1 1 0 1
-1 0.0 60 0.0 80 0.0 0 1 1 0 1
-3 0.0 1 0.0 2 0.0 0 1 1 0 1
-8 0.0 5 1.0 60 0.0 1 1 1 0 1
-2 0.0 12 0.0 1 0.0 1 1 1 0 1
-120 0.1 8 0.0 6 0.0 0 1 1 0 1
-14 0.5 90 0.0 70 0.0 0 1 1 0 1
-6 1.0 70 0.0 50 0.0 0 1 1 0 1
-400 0.0 0 0.0 0 0.0 0 1 1 0 1
-9 0.0 40 0.0 12 0.0 0 1 1 0 1
-1 0.0 0 0.0 0 0.0 0 1 1 0 1
-35 0.3 1 0.0 9 1.0 1 1 1 0 1
-5 0.0 4 1.0 30 0.0 0 1 1 0 1
-20 0.0 6 1.0 3 1.0 0 1 1 0 1
-50 0.0 9 1.0 0 0.0 0 1 1 0 1
-100 0.0 2 1.0 7 1.0 0 1 1 0 1
-3 1.0 3 1.0 3 1.0 0 1 1 0 1
-12 0.9 15 0.8 9 1.0 0 1 1 0 1
-2 0.0 1 1.0 1 1.0 0 1 1 0 1
-70 0.2 30 0.6 20 0.0 0 1 1 0 1
-1 0.0 8 1.0 0 0.0 0 1 1 0 1
-30 0.8 5 0.0 60 0.0 0 1 1 0 1
-5 0.0 30 0.0 4 1.0 0 1 1 0 1
-3 0.0 2 0.0 20 1.0 0 1 1 0 1
-9 0.1 6 0.0 2 1.0 0 1 1 0 1
-12 0.0 50 0.0 9 0.95 0 1 1 0 1
-2 0.0 80 0.0 3 1.0 0 1 1 0 1
-1 1.0 0 0.0 1 1.0 0 2 0 1 0
-2 1.0 1 1.0 12 0.0 0 2 0 1 0
-20 0.0 1 1.0 9 0.0 0 2 0 1 0
-60 0.0 1 1.0 80 0.0 0 2 0 1 0
-12 0.1 200 0.0 0 0.0 0 2 0 1 0
-150 0.0 200 0.0 3 0.0 0 2 0 1 0
-40 0.0 30 0.0 25 0.0 0 2 0 1 0
-5 0.0 0 0.0 30 0.0 1 2 0 1 0
-3 1.0 90 0.0 60 0.0 0 2 1 0 0
-25 0.0 90 0.0 60 0.0 0 2 1 0 0
-70 0.0 30 0.0 45 0.0 0 2 1 0 0
-7 0.0 60 0.0 40 0.0 0 2 1 0 0
-10 0.5 80 0.0 0 0.0 0 2 1 0 0
-4 0.0 30 0.0 20 0.0 1 2 1 0 0
-30 0.0 2 1.0 70 0.0 0 0 0 1 0
-90 0.0 2 1.0 70 0.0 0 0 0 1 0
-6 0.0 70 0.0 3 1.0 0 0 0 1 0
-4 1.0 1 1.0 3 1.0 0 0 0 1 0
-15 0.2 150 0.0 0 0.0 0 0 0 1 0
-9 0.0 3 1.0 50 0.0 1 0 0 1 0
-60 0.0 10 0.0 80 0.0 0 2 0 0 0
-20 0.0 60 0.0 70 0.0 0 2 0 0 0
-2 1.0 3 1.0 70 0.0 0 2 0 0 0
-110 0.0 60 0.0 0 0.0 0 2 0 0 0
-8 0.0 3 1.0 60 0.0 1 2 0 0 0
-70 0.0 10 0.0 80 0.0 0 0 0 0 1
-25 0.0 60 0.0 70 0.0 0 0 0 0 1
-18 0.1 40 0.0 30 0.0 0 0 0 0 1
-3 0.0 60 0.0 70 0.0 0 0 0 0 1
-8 0.0 2 1.0 90 0.0 1 0 0 0 1
-300 0.05 0 0.0 0 0.0 0 0 0 0 1
-45 0.0 3 1.0 12 0.0 0 0 0 0 1
-20 0.0 0 0.0 0 0.0 0 0 0 0 1
-5 0.0 80 0.0 1 0.0 0 0 0 0 1
-1 1.0 1 1.0 1 1.0 0 0 0 0 0
-1 1.0 0 0.0 1 1.0 0 0 0 0 0
-1 1.0 1 1.0 40 0.0 0 0 0 0 0
-2 1.0 30 0.0 2 1.0 0 0 0 0 0
-40 0.0 1 1.0 0 0.0 0 0 0 0 1
-80 0.0 2 1.0 40 0.0 0 0 0 0 1
-12 0.0 3 1.0 30 0.0 1 0 0 0 1
-80 0.0 40 0.0 2 1.0 0 0 0 0 1
-60 0.0 70 0.0 3 1.0 0 0 0 0 1
-25 0.0 50 0.0 1 1.0 0 0 0 0 1
-45 0.0 60 0.0 5 0.8 0 0 0 0 1
-3 1.0 2 1.0 60 0.0 0 0 0 0 0
-12 0.9 70 0.0 9 1.0 0 0 0 0 0
-4 0.8 6 0.9 8 1.0 0 0 0 0 0
-30 0.7 20 0.8 25 0.9 0 0 0 0 0
-2 0.0 3 1.0 2 1.0 0 0 0 0 0
-5 0.0 1 1.0 4 1.0 0 0 0 0 0
+1 1.0 5 1.0 0 0.0 0 0 0
+2 0.0 30 0.0 0 0.0 0 0 0
+2 0.0 150 0.0 12 0.8 0 0 0
+2 1.0 6 0.0 25 0.2 0 0 0
+2 1.0 20 1.0 0 0.0 0 0 0
+2 1.0 30 0.0 150 0.1 0 0 0
+3 0.2 30 0.2 30 1.0 0 0 0
+3 0.4 0 0.0 20 0.0 0 0 0
+3 0.7 5 0.0 10 0.9 0 0 0
+4 0.0 60 0.0 2 1.0 0 0 0
+4 1.0 0 0.0 20 0.0 0 0 0
+4 1.0 20 0.2 0 0.0 0 0 0
+4 1.0 60 0.0 45 0.0 0 0 0
+5 0.0 90 0.0 0 0.0 0 0 0
+5 1.0 3 1.0 11 0.0 0 0 0
+5 1.0 45 1.0 20 0.0 1 0 0
+7 1.0 0 0.0 8 0.0 0 0 0
+7 1.0 2 1.0 30 1.0 0 0 0
+7 1.0 25 0.2 0 0.0 0 0 0
+8 0.0 30 0.0 1 0.0 1 0 0
+9 0.0 3 0.0 60 0.0 0 0 0
+9 0.0 3 1.0 30 0.2 0 0 0
+11 0.0 1 1.0 20 1.0 0 0 0
+12 0.0 45 0.1 25 0.0 1 0 0
+12 0.7 3 1.0 45 1.0 0 0 0
+13 0.9 0 0.0 9 0.8 0 0 0
+14 0.4 0 0.0 45 0.1 0 0 0
+14 0.9 45 0.0 60 0.0 0 0 0
+17 0.0 0 0.0 20 0.0 1 0 0
+17 0.0 4 0.0 2 1.0 1 0 0
+18 0.0 90 0.0 30 0.0 0 0 0
+19 0.7 5 1.0 20 0.2 0 0 0
+23 0.4 0 0.0 30 0.0 0 0 0
+25 0.1 45 1.0 20 1.0 0 0 0
+25 0.3 0 0.0 45 0.1 0 0 0
+25 0.8 90 0.1 150 0.2 0 0 0
+30 0.0 20 1.0 0 0.0 0 0 0
+30 0.0 45 0.2 90 0.0 0 0 0
+30 0.1 3 1.0 20 0.2 0 0 0
+40 0.0 0 0.0 45 0.1 0 0 0
+60 0.0 0 0.0 1 0.9 1 0 0
+60 0.8 30 0.2 12 0.9 1 0 0
+200 0.1 20 1.0 20 1.0 0 0 0
+1 1.0 0 0.0 0 0.0 0 1 0
+1 1.0 60 0.2 5 0.0 1 1 0
+2 0.0 150 0.0 0 0.0 0 1 0
+5 0.2 0 0.0 20 0.1 0 1 0
+5 0.9 25 0.0 0 0.0 0 1 0
+5 1.0 0 0.0 0 0.0 0 1 0
+6 0.2 25 0.0 5 1.0 0 1 0
+6 0.7 5 0.8 0 0.0 1 1 0
+6 1.0 20 0.2 0 0.0 1 1 0
+6 1.0 150 0.0 0 0.0 0 1 0
+8 0.0 45 0.1 20 0.1 1 1 0
+9 0.2 90 0.2 90 0.2 0 1 0
+9 1.0 1 1.0 2 0.9 0 1 0
+9 1.0 6 0.0 0 0.0 0 1 0
+9 1.0 8 0.9 2 0.0 0 1 0
+9 1.0 45 1.0 1 0.9 1 1 0
+10 0.0 20 0.1 30 1.0 0 1 0
+10 0.2 12 0.0 90 0.0 0 1 0
+18 0.0 0 0.0 45 0.1 1 1 0
+18 0.0 150 0.0 0 0.0 0 1 0
+25 0.0 30 1.0 30 1.0 0 1 0
+25 0.1 1 1.0 45 0.2 0 1 0
+30 0.0 30 0.0 90 0.1 0 1 1
+30 0.8 30 0.2 0 0.0 1 1 0
+60 0.0 150 0.1 0 0.0 0 1 1
+100 0.0 0 0.0 0 0.0 0 1 0
+200 0.0 0 0.0 2 0.0 0 1 0
+200 0.0 0 0.0 45 0.0 0 1 1
+200 0.0 20 0.0 3 1.0 0 1 1
+200 0.8 12 0.0 20 0.0 0 1 0
+1 0.0 20 0.1 3 1.0 0 2 1
+1 0.0 25 0.0 0 0.0 0 2 1
+1 0.0 90 0.0 0 0.0 0 2 1
+1 1.0 10 0.9 60 0.1 1 2 1
+1 1.0 11 0.8 150 0.1 0 2 0
+1 1.0 90 0.2 0 0.0 0 2 0
+2 0.0 20 0.0 12 0.0 0 2 1
+2 0.0 90 0.2 150 0.1 1 2 1
+2 1.0 0 0.0 25 0.0 0 2 0
+2 1.0 3 0.9 1 1.0 0 2 0
+3 0.0 150 0.2 45 0.2 0 2 1
+3 1.0 0 0.0 8 0.8 0 2 0
+3 1.0 60 0.0 1 0.8 0 2 0
+4 0.0 30 0.2 90 0.0 1 2 1
+4 0.0 45 0.1 30 1.0 0 2 1
+5 1.0 10 0.9 0 0.0 0 2 0
+5 1.0 25 0.0 0 0.0 0 2 0
+5 1.0 90 0.1 25 0.0 0 2 0
+5 1.0 90 0.2 90 0.0 0 2 0
+6 0.4 1 1.0 0 0.0 0 2 0
+6 1.0 9 0.0 20 1.0 1 2 0
+7 0.2 8 0.0 45 0.1 0 2 1
+7 0.9 4 0.0 0 0.0 0 2 0
+7 1.0 5 1.0 60 0.2 0 2 0
+7 1.0 20 0.0 3 1.0 0 2 0
+8 0.0 11 0.0 45 0.1 0 2 1
+8 0.0 150 0.0 0 0.0 1 2 1
+8 0.7 0 0.0 150 0.0 0 2 0
+9 0.0 12 0.0 25 0.1 0 2 1
+9 0.0 20 0.0 45 0.2 1 2 1
+9 0.0 45 1.0 0 0.0 0 2 0
+9 1.0 30 1.0 0 0.0 0 2 0
+10 0.0 60 0.2 3 1.0 1 2 1
+10 0.4 0 0.0 3 1.0 1 2 0
+11 0.0 4 0.0 30 0.0 0 2 1
+11 0.7 60 0.1 90 0.1 0 2 0
+12 0.0 7 0.9 0 0.0 0 2 0
+12 0.0 20 0.1 3 0.0 0 2 1
+13 0.0 1 1.0 8 0.0 1 2 0
+13 0.0 3 0.9 25 0.0 0 2 1
+14 0.0 150 0.1 30 0.0 0 2 1
+15 0.2 6 0.8 9 0.0 0 2 0
+17 0.0 30 0.1 9 0.9 0 2 1
+17 0.0 45 0.1 3 1.0 0 2 1
+18 0.0 20 1.0 3 1.0 0 2 0
+18 0.2 150 0.0 5 0.9 0 2 1
+22 0.4 0 0.0 1 0.0 0 2 0
+30 0.1 20 1.0 90 0.1 0 2 1
+30 0.3 30 0.1 0 0.0 1 2 1
+30 0.3 90 0.1 20 0.2 0 2 1
+30 0.8 4 0.0 9 0.8 1 2 0
+40 0.1 0 0.0 25 0.0 0 2 1
+40 0.3 12 0.0 150 0.0 1 2 1
+40 0.8 20 1.0 5 1.0 1 2 0
+40 0.8 30 0.0 150 0.1 0 2 0
+60 0.0 2 1.0 20 0.0 0 2 1
+60 0.0 12 0.9 3 1.0 0 2 1
+100 0.0 150 0.2 60 0.2 0 2 1
+100 0.8 3 1.0 90 0.2 1 2 1
+200 0.0 45 1.0 20 1.0 1 2 1
+2 1.0 0 0.0 150 0.1 0 3 0
+3 0.0 2 1.0 25 0.2 0 3 0
+3 0.7 45 0.1 0 0.0 1 3 1
+3 1.0 0 0.0 150 0.2 0 3 0
+6 0.0 25 0.0 25 0.0 1 3 1
+6 0.4 7 0.0 0 0.0 0 3 0
+6 1.0 0 0.0 12 0.9 1 3 1
+6 1.0 1 1.0 20 0.1 1 3 1
+7 1.0 30 0.2 60 0.0 1 3 1
+7 1.0 45 0.2 150 0.2 1 3 1
+8 1.0 30 0.0 30 1.0 0 3 0
+9 1.0 9 0.0 45 0.2 1 3 1
+10 0.0 0 0.0 10 0.0 0 3 0
+11 0.0 30 1.0 2 1.0 1 3 1
+13 0.0 2 1.0 1 1.0 0 3 0
+13 0.4 30 0.1 45 1.0 1 3 1
+14 0.0 25 0.0 9 0.9 0 3 0
+16 0.0 0 0.0 0 0.0 0 3 0
+16 0.0 30 1.0 0 0.0 0 3 0
+16 0.0 45 0.0 0 0.0 1 3 1
+18 0.0 30 0.0 5 0.0 0 3 0
+22 0.0 150 0.0 20 0.0 0 3 0
+30 0.8 90 0.0 0 0.0 1 3 1
+60 0.0 0 0.0 0 0.0 0 3 1
+1 1.0 7 0.0 4 0.0 0 4 1
+3 0.0 45 0.2 60 0.0 0 4 1
+3 0.9 0 0.0 90 0.0 0 4 1
+4 0.0 12 0.0 12 0.0 0 4 1
+5 0.0 1 0.8 0 0.0 0 4 1
+5 1.0 4 0.0 45 1.0 0 4 1
+6 0.0 2 1.0 20 0.1 1 4 1
+6 0.7 45 0.0 3 1.0 0 4 1
+7 0.0 90 0.0 150 0.2 0 4 1
+8 0.0 2 1.0 0 0.0 0 4 1
+8 0.7 0 0.0 25 0.2 1 4 1
+8 1.0 1 1.0 20 0.0 1 4 1
+9 0.0 0 0.0 30 0.1 0 4 1
+9 0.0 10 0.8 45 0.0 0 4 1
+9 0.0 25 0.1 12 0.8 0 4 1
+9 0.4 1 0.0 30 0.1 0 4 1
+9 1.0 25 0.2 1 0.0 1 4 1
+10 0.0 1 0.0 90 0.0 0 4 1
+11 0.0 30 0.2 45 1.0 0 4 1
+11 0.9 150 0.0 150 0.0 0 4 1
+14 0.0 0 0.0 5 1.0 0 4 1
+16 0.0 9 0.0 7 0.9 0 4 1
+18 0.2 0 0.0 30 1.0 0 4 1
+19 0.0 3 1.0 60 0.1 0 4 1
+20 0.0 30 0.0 2 1.0 0 4 1
+21 0.2 11 0.0 45 1.0 0 4 1
+25 0.0 0 0.0 45 0.2 0 4 1
+25 0.1 45 0.1 10 0.8 0 4 1
+30 0.3 4 0.9 20 0.0 0 4 1
+40 0.3 8 0.0 45 1.0 1 4 1
+40 0.8 0 0.0 90 0.1 1 4 1
+60 0.0 2 0.9 8 0.8 0 4 1
+60 0.8 0 0.0 25 0.1 0 4 1
+100 0.0 0 0.0 0 0.0 0 4 1
+100 0.0 1 0.8 150 0.0 1 4 1
+100 0.0 3 0.9 0 0.0 1 4 1
+100 0.0 30 1.0 3 0.0 0 4 1
+200 0.1 150 0.0 150 0.1 0 4 1
 """
 
 
@@ -345,7 +479,7 @@ class Tree(NamedTuple):
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Tree | bool:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9) -> Tree | bool:
     """A tree by the largest fall in Gini impurity; ties go to the first feature and the lowest cut."""
     if depth == 0 or y.all() or not y.any():
         return bool(2 * y.sum() > len(y))
@@ -387,8 +521,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     references are decoded, white space in a block becomes one space, empty
     blocks vanish. A decision tree grown on the table LABELLED tells main text
     by a block's word count and link density, those of the blocks before and
-    after it, and by what its elements say of it. Blocks of main text are
-    joined by line feeds in page order. Markup may be cut off or unclosed: a head ends where
+    after it, and by what its elements say of it: all of an article stays,
+    where a page names none, words and neighbours decide. Formulas are text.
+    Blocks of main text are joined by line feeds in page order. Markup may be cut off or unclosed: a head ends where
     the page begins, another unseen element that is left open before its first block.
 
     Null and empty html give an empty text; repeated rows repeat. Nothing is

@@ -1,6 +1,6 @@
 import numpy as np
 
-from seqloom.llm.html import extract, main_text, trained
+from seqloom.llm.html import FEATURES, blocks_of, describe, extract, main_text, trained
 from seqloom.llm.language import identify
 from seqloom.llm.urls import judge
 from pyspark.sql import functions as F
@@ -51,14 +51,52 @@ def test_closed_elements_without_text_are_dropped_whole():
 
 def test_tree_keeps_all_of_an_article_and_nothing_of_furniture():
     rng = np.random.default_rng(0)
-    rows = np.column_stack([rng.integers(1, 200, 500), rng.random(500), rng.integers(0, 200, 500), rng.random(500), rng.integers(0, 200, 500), rng.random(500), rng.integers(0, 2, 500), np.ones(500), np.ones(500), np.zeros(500)])
+    rows = np.column_stack([rng.integers(1, 200, 500), rng.random(500), rng.integers(0, 200, 500), rng.random(500), rng.integers(0, 200, 500), rng.random(500), rng.integers(0, 2, 500), np.full(500, 4)])
     assert trained().judge(rows).all()
-    rows[:, 7] = 2
-    assert not trained().judge(rows).any()
-    rows[:, 7:] = (0, 0, 1)
+    rows[:, 7] = 0
     assert not trained().judge(rows).any()
 
 
+def test_neighbours_decide_where_a_page_names_no_article():
+    prose, links = "<p>" + "word " * 50 + "</p>", "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul>"
+    short = "<p>Five words that say little.</p>"
+    assert "Five words" in main_text(f"<body>{prose}{short}{prose}</body>")
+    assert "Five words" not in main_text(f"<body>{links}{short}{links}{prose}</body>")
+    split_on = set()
+    waiting = [trained()]
+    while waiting:
+        tree = waiting.pop()
+        if not isinstance(tree, bool):
+            split_on.add(FEATURES[tree.feature])
+            waiting += [tree.low, tree.high]
+            assert tree.low != tree.high
+    assert {"words", "density", "words_before", "words_after", "density_before", "density_after"} <= split_on
+
+
+def test_features_match_a_plain_count():
+    blocks = blocks_of(PAGE)
+    rows = describe(blocks)
+    for i, block in enumerate(blocks):
+        count = lambda j: (float(len(blocks[j].text.split())), blocks[j].linked / len(blocks[j].text.split())) if 0 <= j < len(blocks) else (0.0, 0.0)
+        at = 0 if block.hint == 2 or not block.inside else 4 - block.hint
+        assert tuple(rows[i]) == (*count(i), *count(i - 1), *count(i + 1), float(block.heading), float(at))
+    linked = {b.text: b.linked / b.words for b in blocks}
+    assert linked["One"] == 1 and linked["Home Site name"] == 1 / 3 and linked["<tag> kept link"] == 1 / 3 and linked["Short."] == 0
+
+
+def test_class_words_formulas_and_linked_cards():
+    prose = ("word " * 40).strip()
+    assert main_text(f"<div class='reader-content'><p>{prose}</p><p>Short one.</p></div>") == f"{prose}\nShort one."
+    assert main_text("<main><section class='search results'><h2>One</h2><p>Two three.</p></section></main>") == "One\nTwo three."
+    assert main_text(f"<div class='layout has-sidebar'><p>{prose}</p></div>") == prose
+    assert main_text(f"<div class='sidebar'><p>{prose}</p></div>") == ""
+    assert main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be.</p></article>") == "Let x=2 be."
+    cards = "".join(f"<a href={i}><h3>Card number {i}</h3></a>" for i in range(4))
+    assert [b.linked for b in blocks_of(cards)] == [3] * 4 and main_text(f"<div>{cards}</div><div><p>{prose}</p></div>").count("Card") <= 1
+    assert [b.linked for b in blocks_of("<p><a href=x>one<p>two<div><a href=y>three</div><p>four")] == [1, 0, 1, 0]
+    assert main_text("<article><header><h1>Title</h1></header><p>Text one.</p></article>") == "Title\nText one."
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5), (None, "v", "", 5)], "page_id bigint, url string, html string, n_chars int")
     got = {r.page_id: (r.url, r.text, r.n_chars) for r in extract(df).collect()}
