@@ -45,8 +45,11 @@ def decode_kmer(code: Column, k: int) -> Column:
 
 
 def complement_code(code: Column, k: int) -> Column:
-    """The code of the reverse complement of a k-mer's code."""
-    return encode_kmer(reverse_complement(decode_kmer(code, k)))
+    """The code of the reverse complement of a k-mer's code: all bits turned, then the order of the bit pairs."""
+    x = F.bitwise_not(code)
+    for step, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
+        x = F.shiftrightunsigned(x, step).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(mask)), step))
+    return F.shiftrightunsigned(F.shiftrightunsigned(x, 32).bitwiseOR(F.shiftleft(x, 32)), 64 - 2 * k)
 
 
 def hamming(a: Column, b: Column, limit: int | None = None, above: int = 32) -> Column:

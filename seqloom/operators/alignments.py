@@ -142,6 +142,16 @@ def pair_ratios(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("n_pairs"), share(f & b).alias("both"), share(f != b).alias("one"), share(~f & ~b).alias("none"))
 
 
+def pair_edit_ratios(pairs: DataFrame) -> DataFrame:
+    """Edit distance by aligned matches of each mate and of both ends together; null where a mate, or both, lack them.
+
+    ``pairs`` are those of :func:`pair_alignments` with the fields edit and match.
+    """
+    ratio = lambda edit, match: F.round(F.try_divide(edit, match), 6)
+    both = [F.coalesce(F.col(f"{c}_f"), F.lit(0)) + F.coalesce(F.col(f"{c}_b"), F.lit(0)) for c in ("edit", "match")]
+    return pairs.select("query", ratio(F.col("edit_f"), F.col("match_f")).alias("ratio_f"), ratio(F.col("edit_b"), F.col("match_b")).alias("ratio_b"), ratio(*both).alias("ratio_both"))
+
+
 _CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
 _MD = re.compile(r"(\d+)|\^([A-Za-z]+)|([A-Za-z])")
 

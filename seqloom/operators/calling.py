@@ -122,6 +122,21 @@ def vcf_rows(sites: DataFrame, info: DataFrame, calls: DataFrame) -> DataFrame:
     )
 
 
+def _every_taxon(sites: DataFrame, found: DataFrame, taxa: DataFrame) -> DataFrame:
+    """(taxon, chrom, pos, counts) for each of ``sites`` and each taxon of a sample sheet, null where ``found`` has none.
+
+    The cells of a site meet in one row, and those of the missing taxa are made
+    there: the grid of sites by taxa is never shuffled. The sheet is one row.
+    """
+    sheet = taxa.select("taxon").distinct().agg(F.collect_list("taxon").alias("sheet"))
+    listed = F.broadcast(taxa.select("taxon").distinct())
+    cells = found.join(listed, "taxon", "left_semi").groupBy("chrom", "pos").agg(F.collect_list(F.struct("taxon", "counts")).alias("cells"))
+    rows = sites.select("chrom", "pos").join(cells, ["chrom", "pos"], "left").crossJoin(F.broadcast(sheet))  # a row each: the sheet is a single row
+    have = F.coalesce("cells", F.array().cast(cells.schema["cells"].dataType))
+    none = F.transform(F.array_except("sheet", F.transform(have, lambda c: c["taxon"])), lambda t: F.struct(t.alias("taxon"), F.lit(None).cast("array<int>").alias("counts")))
+    return rows.select("chrom", "pos", F.explode(F.concat(have, none)).alias("c")).select("c.taxon", "chrom", "pos", "c.counts")
+
+
 def scan_counts(library: DataFrame, symbols: DataFrame, taxa: DataFrame) -> DataFrame:
     """(taxon, chrom, pos, counts): reads of the reference and of each alternative allele at every library position.
 
@@ -129,22 +144,22 @@ def scan_counts(library: DataFrame, symbols: DataFrame, taxa: DataFrame) -> Data
     (taxon, chrom, pos, code, indel_len, n) with code -1 for the reference.
     Reads that match no alternative count as reference, as depth less the
     alternatives'. Null counts where a taxon has no reads; a count is capped at
-    MAX_COUNT. ``taxa`` is a sample sheet and is broadcast; reads are summed
-    before they meet the library.
+    MAX_COUNT. ``taxa`` is a sample sheet; reads meet the library, and each
+    other, by site.
     """
-    reads = symbols.groupBy("taxon", "chrom", "pos").agg(F.collect_list(F.struct("code", "indel_len", "n")).alias("reads"))
-    grid = library.select("chrom", "pos", "alts").crossJoin(F.broadcast(taxa.select("taxon")))
-    joined = grid.join(reads, ["taxon", "chrom", "pos"], "left")
+    alts = library.select("chrom", "pos", "alts")
+    read = F.struct("code", "indel_len", "n")
+    seen = symbols.join(alts, ["chrom", "pos"]).groupBy("chrom", "pos", "taxon").agg(F.collect_list(read).alias("reads"), F.first("alts").alias("alts"))
 
     def of(alt: Column) -> Column:
         mine = F.filter("reads", lambda r: (r["code"] == alt["allele"]) & (r["indel_len"] == alt["indel_len"]))
         return F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, r: a + r["n"])
 
     depth = F.aggregate("reads", F.lit(0).cast("bigint"), lambda a, r: a + r["n"])
-    alts = F.transform("alts", of)
-    rest = depth - F.aggregate(alts, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    counts = F.transform(F.concat(F.array(rest), alts), lambda x: F.least(x, F.lit(MAX_COUNT)).cast("int"))
-    return joined.select("taxon", "chrom", "pos", F.when(F.col("reads").isNotNull(), counts).alias("counts"))
+    hits = F.transform("alts", of)
+    rest = depth - F.aggregate(hits, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    counts = F.transform(F.concat(F.array(rest), hits), lambda x: F.least(x, F.lit(MAX_COUNT)).cast("int"))
+    return _every_taxon(alts, seen.select("taxon", "chrom", "pos", counts.alias("counts")), taxa)
 
 
 def hap_scan(pos_alleles: DataFrame, pileup: DataFrame, taxa: DataFrame) -> DataFrame:
@@ -157,11 +172,10 @@ def hap_scan(pos_alleles: DataFrame, pileup: DataFrame, taxa: DataFrame) -> Data
     taxon has no reads at the site.
     """
     code = F.create_map(*[F.lit(x) for pair in zip("ACGTDI", range(6), strict=True) for x in pair])
-    grid = pos_alleles.crossJoin(F.broadcast(taxa.select("taxon")))
-    joined = grid.join(pileup.select("taxon", "chrom", "pos", "ref_n", F.col("counts").alias("seen")), ["taxon", "chrom", "pos"], "left")
-    alts = F.transform("alts", lambda a: F.coalesce(F.get("seen", code[a]), F.lit(0)))
-    reference = F.greatest(F.col("ref_n") - F.get("seen", F.lit(4)) - F.get("seen", F.lit(5)), F.lit(0))
-    return joined.select("taxon", "chrom", "pos", F.when(F.col("ref_n").isNotNull(), F.concat(F.array(reference), alts)).alias("counts"))
+    seen = pileup.select("taxon", "chrom", "pos", "ref_n", F.col("counts").alias("seen")).where("ref_n IS NOT NULL").join(pos_alleles.select("chrom", "pos", "alts"), ["chrom", "pos"])
+    alts = F.transform("alts", lambda a: F.coalesce(F.get("seen", code[a]), F.lit(0)).cast("int"))
+    reference = F.greatest(F.col("ref_n") - F.get("seen", F.lit(4)) - F.get("seen", F.lit(5)), F.lit(0)).cast("int")
+    return _every_taxon(pos_alleles, seen.select("taxon", "chrom", "pos", F.concat(F.array(reference), alts).alias("counts")), taxa)
 
 
 def counts_text(counts: DataFrame) -> DataFrame:

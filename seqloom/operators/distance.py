@@ -31,21 +31,23 @@ def ibs(gt: DataFrame, t1: str, t2: str, sites: DataFrame | None = None, kind: s
     return both.agg(F.count("*").alias("n"), distance.alias("dxy")).select(F.lit(t1).alias("taxon1"), F.lit(t2).alias("taxon2"), "n", "dxy")
 
 
-def ibs_matrix(gt: DataFrame, kind: str = "grid", max_sites: int | None = None, block: int = 4096) -> DataFrame:
+def ibs_matrix(gt: DataFrame, kind: str = "grid", max_sites: int | None = None, block: int = 4096, sites: DataFrame | None = None) -> DataFrame:
     """Distances of all pairs of taxa in both orders, 0 on the diagonal: (taxon1, taxon2, n, dxy).
 
     A task turns ``block`` sites into indicator matrices of 0, 1, 2 and adds
     their products to a matrix of taxa by taxa; the partial matrices are summed
-    by pair. So n^2 rows leave a task, not n^2 rows a site. With ``max_sites``
+    by pair. So n^2 rows leave a task, not n^2 rows a site. ``sites`` (chrom,
+    pos), such as an interval or a list, limits the sites; with ``max_sites``
     every floor(sites / max_sites)-th site is taken, at most that many. Pairs
     without a common site have n 0 and a null distance. Taxa are a bounded
     sample sheet; its names are collected.
     """
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
-    rows = gt.where("a1 IS NOT NULL AND a2 IS NOT NULL")
+    every = gt if sites is None else gt.join(sites.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
+    rows = every.where("a1 IS NOT NULL AND a2 IS NOT NULL")
     if max_sites:
-        index = with_site_index(gt.select("chrom", "pos").distinct())
+        index = with_site_index(every.select("chrom", "pos").distinct())
         step = max(1, index.count() // max_sites)
         chosen = index.where((F.col("idx") % step == 0) & (F.col("idx") / step < max_sites)).select("chrom", "pos")
         rows = rows.join(chosen, ["chrom", "pos"], "left_semi")

@@ -112,9 +112,9 @@ def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
 def merge_overlaps(ranges: DataFrame, stretch: int = 1 << 20) -> DataFrame:
     """Non-overlapping ranges with the same positions; ranges that touch are merged, empty ones vanish.
 
-    Ranges are cut at stretches of a chromosome and merged within each, then the
-    merged parts, which no longer overlap, are merged over the chromosome: no
-    window sees all raw ranges of a chromosome.
+    Ranges are cut at stretches of a chromosome and merged within each; then the
+    merged parts that touch a border of their stretch, two of each at most, are
+    merged over the chromosome: no window sees all ranges of a chromosome.
     """
     rows = ranges.select("chrom", "start_pos", "end_pos").where("start_pos < end_pos")
     part = F.explode(F.sequence(F.floor(F.col("start_pos") / stretch), F.floor((F.col("end_pos") - 1) / stretch)))
@@ -122,7 +122,10 @@ def merge_overlaps(ranges: DataFrame, stretch: int = 1 << 20) -> DataFrame:
     kind = rows.schema["start_pos"].dataType
     low, high = (F.col("__part") * stretch).cast(kind), ((F.col("__part") + 1) * stretch).cast(kind)
     pieces = cut.select("chrom", "__part", F.greatest("start_pos", low).alias("start_pos"), F.least("end_pos", high).alias("end_pos"))
-    return _islands(_islands(pieces, ["chrom", "__part"]).drop("__part"), ["chrom"])
+    merged = _islands(pieces, ["chrom", "__part"])
+    at_border = (F.col("start_pos") == low) | (F.col("end_pos") == high)
+    across = _islands(merged.where(at_border).drop("__part"), ["chrom"])
+    return across.unionByName(merged.where(~at_border).drop("__part"))
 
 
 def by_chrom(ranges: DataFrame, chrom: int) -> DataFrame:

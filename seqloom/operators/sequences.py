@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seqloom.functions.bases import count_base, has_bad_base, has_n, phred, reverse_complement, total
+from seqloom.functions.bases import complement_code, count_base, decode_kmer, has_bad_base, has_n, phred, total
 
-#: Start positions of k-mers in one row of a cut sequence.
+#: Start positions of k-mers in one row of a cut sequence, and rows that a task takes at once.
 CHUNK = 1 << 16
-SHORT = 1 << 7
+ROWS = 32
 
 
 def base_composition(seqs: DataFrame) -> DataFrame:
@@ -49,66 +55,126 @@ def sort_sequences(seqs: DataFrame, by: str = "seq_id", descending: bool = False
     return seqs.orderBy(key.desc() if descending else key.asc(), "seq_id")
 
 
-def _cut(rows: DataFrame, size: int, k: int) -> DataFrame:
-    """Rows (seq_id, __at, part) as parts of ``size`` start positions of k-mers; shorter ones than k vanish."""
-    number = F.explode(F.sequence(F.lit(0), F.floor((F.length("part") - k) / size)))
-    cut = rows.where(F.length("part") >= k).select("seq_id", "__at", "part", number.alias("__n"))
-    return cut.select("seq_id", (F.col("__at") + F.col("__n") * size).alias("__at"), F.substring("part", F.col("__n") * size + 1, F.lit(size + k - 1)).alias("part"))
+def _chunks(seqs: DataFrame, k: int, chunk: int) -> DataFrame:
+    """Rows (seq_id, at, part): sequences as parts of ``chunk`` start positions of k-mers, which overlap by k - 1 bases.
 
+    They are dealt anew, a byte a base: their k-mers, many bytes a base, are
+    then made by all tasks however few files or sequences there are.
+    """
+    number = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - k) / chunk)))
+    cut = seqs.where(F.length("seq") >= k).select("seq_id", "seq", number.alias("n"))
+    return cut.select("seq_id", (F.col("n") * chunk).alias("at"), F.substring("seq", F.col("n") * chunk + 1, F.lit(chunk + k - 1)).alias("part")).repartition("seq_id", "at")
 
-def kmers(seqs: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
-    """(seq_id, pos, kmer) of all k-mers of A, C, G and T, pos from 0.
 
-    Sequences are cut into rows of ``chunk`` start positions that overlap by
-    k - 1 bases, and these into rows of SHORT: taking a k-mer from a string
-    costs as much as its place in it, so the strings must be short. The first
-    parts are dealt anew, a byte a base: their k-mers, many bytes a base, are
-    then made by all tasks however few files there are.
-    """
-    whole = seqs.select("seq_id", F.lit(0).cast("bigint").alias("__at"), F.col("seq").alias("part"))
-    pieces = _cut(_cut(whole, chunk, k).repartition("seq_id", "__at"), SHORT, k)
-    starts = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("part") - k + 1), lambda i: F.substring("part", i, F.lit(k))))
-    rows = pieces.select("seq_id", "__at", starts.alias("__p", "kmer"))
-    return rows.where(~F.col("kmer").rlike("[^ACGT]")).select("seq_id", (F.col("__at") + F.col("__p")).cast("bigint").alias("pos"), "kmer")
+def _codes(parts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of parts: row, place in it, and 2-bit code (A0 C1 G2 T3) of each k-mer of A, C, G and T."""
+    text, starts = np.frombuffer("".join(parts.to_pylist()).encode("ascii", "replace"), np.uint8), np.concatenate(([0], np.cumsum(pc.utf8_length(parts).to_numpy(zero_copy_only=False))))
+    base = _BASE[text].astype(np.int64)
+    n = max(len(base) - k + 1, 0)
+    code, bad = np.zeros(n, np.int64), np.zeros(n, bool)
+    for i in range(k):
+        digit = base[i : i + n]
+        code = code << 2 | digit & 3
+        bad |= digit > 3
+    at = np.arange(n)
+    row = np.searchsorted(starts, at, "right") - 1
+    good = ~bad & (at + k <= starts[row + 1])
+    return row[good], (at - starts[row])[good], code[good]
+
+
+_BASE = np.full(256, 4, np.uint8)
+_BASE[[65, 67, 71, 84]] = range(4)
+
+
+def kmer_codes(seqs: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
+    """(seq_id, pos, code) of all k-mers of A, C, G and T, k at most 31, pos from 0; a code has 2 bits a base."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                row, place, code = _codes(batch.column(2), k)
+                pos = batch.column(1).to_numpy()[row] + place
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(pos), pa.array(code)], ["seq_id", "pos", "code"])
+
+    chunks = _chunks(seqs, k, chunk)
+    return chunks.mapInArrow(run, T.StructType([chunks.schema["seq_id"], T.StructField("pos", T.LongType()), T.StructField("code", T.LongType())]))
+
+
+def _counted(seqs: DataFrame, k: int, both_strands: bool) -> DataFrame:
+    """(code, n) of k-mers, summed within slices of a task, so that a code comes more than once; with ``both_strands`` the lesser code of a k-mer and its reverse complement."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                code = _codes(whole.slice(first, ROWS).column(2), k)[2]
+                if both_strands:
+                    turned, rest = np.zeros_like(code), ~code
+                    for _ in range(k):
+                        turned, rest = turned << 2 | rest & 3, rest >> 2
+                    code = np.minimum(code, turned)
+                found, n = np.unique(code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["code", "n"])
+
+    return _chunks(seqs, k, CHUNK).mapInArrow(run, "code bigint, n bigint")
+
+
+def kmers(seqs: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
+    """(seq_id, pos, kmer) of all k-mers of A, C, G and T, pos from 0."""
+    return kmer_codes(seqs, k, chunk).select("seq_id", "pos", decode_kmer(F.col("code"), k).alias("kmer"))
 
 
 def kmer_library(seqs: DataFrame, k: int) -> DataFrame:
-    """Distinct k-mers of the forward strand without other characters than A, C, G and T."""
-    return kmers(seqs, k).select("kmer").distinct()
+    """Codes of the distinct k-mers of the forward strand without other characters than A, C, G and T."""
+    return _counted(seqs, k, False).select("code").distinct()
 
 
 def kmer_counts(library: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
-    """How often each k-mer of the library occurs on both strands; a k-mer that is its own reverse complement counts twice a place.
+    """(code, n): how often each k-mer of the library occurs on both strands; one that is its own reverse complement counts twice a place.
 
-    Counting each strand combines before the shuffle, so repeats make no hot key.
+    A k-mer and its reverse complement are counted as one, the lesser of their
+    codes, so both strands take one shuffle, and sums within tasks make repeats
+    no hot key.
     """
-    forward = kmers(seqs, k).groupBy("kmer").count()
-    both = forward.union(forward.select(reverse_complement(F.col("kmer")), "count"))
-    counts = both.groupBy("kmer").agg(F.sum("count").alias("n"))
-    return library.join(counts, "kmer", "left").select("kmer", F.coalesce("n", F.lit(0)).alias("n"))
+    turned = complement_code(F.col("code"), k)
+    totals = _counted(seqs, k, True).groupBy(F.col("code").alias("either")).agg(F.sum("n").alias("n"))
+    asked = library.select("code", F.least("code", turned).alias("either"), (F.col("code") == turned).alias("own"))
+    times = F.when(F.col("own"), 2).otherwise(1)
+    return asked.join(totals, "either", "left").select("code", (F.coalesce("n", F.lit(0)) * times).cast("bigint").alias("n"))
 
 
 def cp_score(seqs: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     """(seq_id, pos, score): mean count of the k-mers that cover each base, null where none does.
 
-    Each k-mer adds its count where it begins and takes it back where it ends;
-    running sums by stretch, plus the totals of earlier stretches of the
-    sequence, give every base its sum without a row for each base of a k-mer.
+    ``counts`` are those of :func:`kmer_counts`. The counts of k-mers go to the
+    stretch of CHUNK bases in which they begin, and to the next one if they
+    reach into it; there running sums over an array give each base its mean.
     """
-    at = kmers(seqs, k).join(counts, "kmer").select("seq_id", "pos", "n")
-    change = at.select("seq_id", "pos", F.col("n").alias("d"), F.lit(1).alias("m")).union(at.select("seq_id", F.col("pos") + k, -F.col("n"), F.lit(-1)))
-    number = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / CHUNK)))
-    stretches = seqs.where(F.length("seq") > 0).select("seq_id", F.length("seq").alias("len"), number.alias("stretch"))
-    every = stretches.select("seq_id", "stretch", F.explode(F.sequence(F.col("stretch") * CHUNK, F.least((F.col("stretch") + 1) * CHUNK, F.col("len")) - 1)).alias("pos"))
-    change = change.groupBy("seq_id", "pos").agg(F.sum("d").alias("d"), F.sum("m").alias("m"))
-    rows = every.join(change, ["seq_id", "pos"], "left").fillna(0, ["d", "m"])
-    totals = rows.groupBy("seq_id", "stretch").agg(F.sum("d").alias("td"), F.sum("m").alias("tm"))
-    before = Window.partitionBy("seq_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = totals.select("seq_id", "stretch", F.coalesce(F.sum("td").over(before), F.lit(0)).alias("bd"), F.coalesce(F.sum("tm").over(before), F.lit(0)).alias("bm"))
-    here = Window.partitionBy("seq_id", "stretch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.withColumn("d", F.sum("d").over(here)).withColumn("m", F.sum("m").over(here)).join(earlier, ["seq_id", "stretch"])
-    score = F.try_divide(F.col("d") + F.col("bd"), F.col("m") + F.col("bm"))
-    return run.select("seq_id", "pos", F.round(score, 6).alias("score"))
+
+    def run(table: pa.Table) -> pa.Table:
+        stretch = table["stretch"][0].as_py()
+        pos, n = table["pos"].to_numpy(), table["n"].to_numpy()
+        size = int(n[pos < 0][0])
+        at, n = pos[pos >= 0] - stretch * CHUNK, n[pos >= 0]
+        change = np.zeros((2, size + k + 1), np.int64)
+        begin, end = np.maximum(at, 0), np.minimum(at + k, size)
+        for row, value in ((0, n), (1, np.ones_like(n))):
+            np.add.at(change[row], begin, value)
+            np.add.at(change[row], end, -value)
+        total, many = np.cumsum(change, axis=1)[:, :size]
+        score = pa.array(total / np.maximum(many, 1), mask=many == 0)
+        ids = pa.repeat(table["seq_id"][0], size)
+        return pa.table({"seq_id": ids, "pos": pa.array(np.arange(size) + stretch * CHUNK), "score": score})
+
+    at = kmer_codes(seqs, k).join(counts, "code").select("seq_id", "pos", "n")
+    first, last = F.floor(F.col("pos") / CHUNK), F.floor((F.col("pos") + k - 1) / CHUNK)
+    placed = at.select("seq_id", F.explode(F.sequence(first, last)).alias("stretch"), "pos", "n")
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.length("seq") - 1) / CHUNK)))
+    sizes = seqs.where(F.length("seq") > 0).select("seq_id", F.length("seq").alias("len"), number.alias("stretch"))
+    sizes = sizes.select("seq_id", "stretch", F.lit(-1).cast("bigint").alias("pos"), F.least(F.lit(CHUNK), F.col("len") - F.col("stretch") * CHUNK).cast("bigint").alias("n"))
+    schema = T.StructType([sizes.schema["seq_id"], T.StructField("pos", T.LongType()), T.StructField("score", T.DoubleType())])
+    scored = placed.union(sizes).groupBy("seq_id", "stretch").applyInArrow(run, schema)
+    return scored.withColumn("score", F.round("score", 6))
 
 
 def read_quality(reads: DataFrame, offset: int = 33) -> DataFrame:

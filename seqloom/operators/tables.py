@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.plans.session import write_table
+
 
 def typed(column: str, kind: str) -> Column:
     """A column as another type; null where it cannot be converted."""
@@ -73,20 +75,20 @@ def split_sizes(df: DataFrame, size: int, order: str) -> DataFrame:
     return with_row_number(df, order).withColumn("part", (F.floor((F.col("row") - 1) / size) + 1).cast("int")).drop("row")
 
 
-def with_row_number(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
-    """Add ``row``, from 1, in the order of a unique column of numbers, through ranges of about equal size, a million rows at most."""
-    ranges = ranges or 16 + df.count() // 1_000_000
-    cuts = df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.1 / ranges) if dict(df.dtypes)[order] not in ("string",) else []
-    cuts = sorted(set(cuts))
-    bucket = F.lit(0)
-    for cut in cuts:
-        bucket = bucket + (F.col(order) > cut).cast("int")
-    keyed = df.withColumn("__b", bucket)
-    sizes = keyed.groupBy("__b").count()
+def with_row_number(df: DataFrame, order: str) -> DataFrame:
+    """Add ``row``, from 1, in the order of a unique column of any kind.
+
+    Rows are dealt by ranges of the column, sorted and numbered within each and
+    written; the rows of the ranges before it are added, so no task holds the
+    table.
+    """
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id())
+    kept = write_table(ranged, "row-numbers")
+    sizes = kept.groupBy(F.shiftright("__m", 33).alias("__b")).count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__b", before.alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__b").orderBy(order))
-    return keyed.withColumn("__p", place).join(F.broadcast(offsets), "__b").withColumn("row", F.col("__before") + F.col("__p")).drop("__b", "__p", "__before")
+    place = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return kept.withColumn("__b", F.shiftright("__m", 33)).join(offsets, "__b").withColumn("row", F.col("__before") + place).drop("__b", "__m", "__before")
 
 
 def sample_rows(df: DataFrame, n: int, replace: bool = False, seed: int = 1) -> DataFrame:

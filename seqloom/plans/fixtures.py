@@ -18,7 +18,7 @@ TABLES: dict[str, str] = {
     "chrom_lengths": "SELECT CAST(n_nationkey + 1 AS INT) AS chrom, 1000000 AS chrom_len FROM nation WHERE n_nationkey < 5",
     "genotypes": f"SELECT taxon, chrom, pos, CASE WHEN g = 10 THEN NULL WHEN g IN (7,8,9) THEN 1 ELSE 0 END AS a1, CASE WHEN g = 10 THEN NULL WHEN g IN (5,6,8,9) THEN 1 ELSE 0 END AS a2 FROM (SELECT {TAXON.format('t.s_suppkey')} AS taxon, {SITE}, (p_partkey * 7 + t.s_suppkey * 13 + p_size * t.s_suppkey) % 11 AS g FROM part CROSS JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 16) t) x",
     "depths": f"SELECT {TAXON.format('l_suppkey % 16')} AS taxon, {SITE}, CASE WHEN l_linenumber <= 4 THEN 0 WHEN l_linenumber <= 6 THEN 1 ELSE 2 END AS allele, CAST(SUM(l_quantity) AS INT) AS depth FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1,2,3,4",
-    "symbols": f"SELECT {TAXON.format('l_suppkey % 16')} AS taxon, {SITE}, CAST(CASE WHEN l_linenumber <= 2 THEN -1 ELSE (p_size + l_linenumber) % 6 END AS INT) AS code, CAST(CASE WHEN l_linenumber > 2 AND (p_size + l_linenumber) % 6 >= 4 THEN 1 + p_partkey % 3 ELSE 0 END AS INT) AS indel_len, CAST(SUM(FLOOR(l_quantity / 10) + 1) AS INT) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1,2,3,4,5",
+    "symbols": f"SELECT {TAXON.format('l_suppkey % 16')} AS taxon, {SITE}, CAST(CASE WHEN l_linenumber <= 2 THEN -1 WHEN l_linenumber = 3 THEN (p_size + 1) % 6 ELSE p_size % 6 END AS INT) AS code, CAST(CASE WHEN l_linenumber = 3 AND (p_size + 1) % 6 >= 4 THEN 1 + p_partkey % 3 WHEN l_linenumber > 3 AND p_size % 6 >= 4 THEN 1 + (p_partkey + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) % 3 ELSE 0 END AS INT) AS indel_len, CAST(SUM(FLOOR(l_quantity)) AS INT) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1,2,3,4,5",
     "positions": "SELECT CAST(user_id % 5 + 1 AS INT) AS chrom, CAST((event_id * 7919) % 1000000 + 1 AS INT) AS pos, value FROM events",
     "ranges": "SELECT CAST(o_custkey % 5 + 1 AS INT) AS chrom, CAST((o_orderkey * 7) % 100000 + 1 AS INT) AS start_pos, CAST((o_orderkey * 7) % 100000 + 2 + o_custkey % 500 AS INT) AS end_pos, o_totalprice AS value FROM orders",
     "genes": f"SELECT {GENE.format('o_orderkey')} AS gene, CAST(o_custkey % 5 + 1 AS INT) AS chrom, CAST(o_orderkey * 50 % 990000 + 1 AS INT) AS start_pos, CAST(o_orderkey * 50 % 990000 + 1 + 200 + o_custkey % 900 AS INT) AS end_pos, CAST(o_orderkey % 2 AS INT) AS strand FROM orders",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators import alignments as al
-from seqloom.operators import calling, discovery, gbs, genes
+from seqloom.operators import calling, discovery, distance, gbs, genes
 from seqloom.operators import tables as plain
 from seqloom.plans import variant_queries
 from seqloom.plans.fixtures import Build, Tables, duckdb
@@ -143,6 +143,28 @@ def _models(t: Tables) -> DataFrame:
     return rows.select("gene", "x.transcript", F.col("x.t_start").alias("start_pos"), F.col("x.t_end").alias("end_pos"), F.coalesce(F.size("x.features"), F.lit(0)).alias("n_features"))
 
 
+def _model_text(t: Tables) -> DataFrame:
+    """Gene models written as text; the lengths and the fields of the lines read back."""
+    nested = genes.nested_models(t("genes"), t("transcripts"), t("features"))
+    lines = t.spark.read.text(_lines(t, tables.gene_model_text(nested), "model-text"))
+    f = F.split("value", "\t")
+    return lines.select(f[0].alias("gene"), f[1].alias("chrom"), f[2].cast("int").alias("start_pos"), F.size(F.split(f[5], ";")).alias("n_transcripts"), F.regexp_count(f[5], F.lit("CDS ")).cast("bigint").alias("n_cds"))
+
+
+_MODEL_TEXT = "SELECT g.gene, CAST(g.chrom AS STRING) AS chrom, g.start_pos, CAST(greatest(COUNT(DISTINCT t.transcript), 1) AS INT) AS n_transcripts, COUNT(f.kind) AS n_cds FROM genes g LEFT JOIN transcripts t ON t.gene = g.gene LEFT JOIN features f ON f.transcript = t.transcript AND f.kind = 'CDS' GROUP BY 1, 2, 3"
+
+
+def _matrix_text(t: Tables) -> DataFrame:
+    """A distance matrix written as text and its rows read back."""
+    path = scratch_path(t.spark, "matrix")
+    tables.write_matrix(distance.divergence_table(distance.ibs_matrix(t("genotypes"))), path)
+    f = F.split("value", "\t", 2)
+    return t.spark.read.text(path).where("NOT startswith(value, 'Dxy')").select(f[0].alias("taxon"), f[1].alias("distances"))
+
+
+_MATRIX_TEXT = f"SELECT taxon1 AS taxon, string_agg(printf('%.3f', dxy), chr(9) ORDER BY taxon2) AS distances FROM ({variant_queries._matrix_sql('grid')}) m GROUP BY 1"
+
+
 def _ranges(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "ranges")
     tables.write_ranges(t("ranges"), path)
@@ -235,8 +257,10 @@ ENTRIES: dict[str, Entry] = {
     "S13": (lambda t: tables.gff_gene_table(t.spark, _gff(t)), duckdb("SELECT gene, CASE WHEN strand = 1 THEN 'coding' ELSE 'NA' END AS biotype, CAST(chrom AS STRING) AS chrom, start_pos, end_pos - 1 AS end_pos, strand, 'NA' AS description FROM genes", "genes")),
     "S14": (_renamed, duckdb("SELECT CASE chrom WHEN 4 THEN '11' WHEN 5 THEN '12' ELSE CAST(chrom AS STRING) END || chr(9) || 'x' || chr(9) || gene AS value FROM genes WHERE chrom <> 3", "genes")),
     "S15": (_models, duckdb("SELECT gene, t.transcript, t.start_pos, t.end_pos, CAST(COUNT(f.kind) AS INT) AS n_features FROM transcripts t LEFT JOIN features f ON f.transcript = t.transcript GROUP BY 1, 2, 3, 4", "transcripts", "features")),
+    "S15_text": (_model_text, duckdb(_MODEL_TEXT, "genes", "transcripts", "features")),
     "S17": (_ranges, duckdb("SELECT * FROM ranges", "ranges")),
     "S20": (_germplasm, "SELECT 'G' || c_custkey AS gid, c_name AS accession, c_mktsegment AS chinese_name, 'x' AS english_name, CAST(c_nationkey AS STRING) AS taxa_name, 'no' AS contamination, 'shelf' AS seed_storage FROM customer"),
+    "S21_matrix": (_matrix_text, duckdb(_MATRIX_TEXT, "genotypes")),
     "S21": (_depth_stats, duckdb("SELECT chrom, pos, CAST(SUM(depth) AS BIGINT) AS total, MAX(depth) AS deepest FROM depths GROUP BY 1, 2", "depths")),
     "V1": (_counted, _V1),
     "L13": (lambda t: al.read_variants(_reads(t)), _L13),

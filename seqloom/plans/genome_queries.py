@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import bases
 from seqloom.operators import coordinates, depth, genes, ranges, sequences
 from seqloom.plans.fixtures import Build, Tables, duckdb
+from seqloom.plans.session import write_table
 
 Entry = tuple[Build, str | None]
 
@@ -119,33 +120,38 @@ A: dict[str, Entry] = {
 }
 
 K = 16
-_KMERS = "n AS (SELECT seq_id, seq, length(seq) AS len FROM seqs), p AS (SELECT seq_id, i - 1 AS pos, substr(seq, i, {k}) AS kmer FROM n, LATERAL (SELECT unnest(generate_series(1, len - {k} + 1)) AS i) y), k AS (SELECT * FROM p WHERE NOT regexp_matches(kmer, '[^ACGT]'))"
-_COUNTS = "f AS (SELECT kmer, COUNT(*) AS n FROM k GROUP BY 1), c AS (SELECT l.kmer, CAST(COALESCE(a.n, 0) + COALESCE(b.n, 0) AS BIGINT) AS n FROM f l LEFT JOIN f a ON a.kmer = l.kmer LEFT JOIN f b ON b.kmer = reverse(translate(l.kmer, 'ACGT', 'TGCA')))"
+_KMERS = "n AS (SELECT seq_id, seq, length(seq) AS len FROM seqs), p AS (SELECT seq_id, i - 1 AS pos, substr(seq, i, {k}) AS kmer FROM n, LATERAL (SELECT unnest(generate_series(1, len - {k} + 1)) AS i) y), k AS MATERIALIZED (SELECT * FROM p WHERE NOT regexp_matches(kmer, '[^ACGT]'))"
+_COUNTS = "f AS MATERIALIZED (SELECT kmer, reverse(translate(kmer, 'ACGT', 'TGCA')) AS turned, COUNT(*) AS n FROM k GROUP BY 1), c AS (SELECT l.kmer, CAST(l.n + COALESCE(b.n, 0) AS BIGINT) AS n FROM f l LEFT JOIN f b ON b.kmer = l.turned)"
 
 
-def _by_sequence(df: DataFrame) -> DataFrame:
-    return df.groupBy("seq_id").agg(F.count("*").alias("n"), F.count("score").alias("scored"), F.round(F.sum("score"), 3).alias("total"))
+def _spelled(df: DataFrame) -> DataFrame:
+    return df.withColumn("code", bases.decode_kmer(F.col("code"), K)).withColumnRenamed("code", "kmer")
 
 
-def _hex_kmers(t: Tables) -> DataFrame:
-    return t("seqs").select("seq_id", F.substring("seq", 1, 12).alias("kmer"))
+def _by_sequence(df: DataFrame) -> DataFrame:
+    return df.groupBy("seq_id").agg(F.count("*").alias("n"), F.count("score").alias("scored"), F.round(F.sum("score"), 3).alias("total"))
 
 
 _BASE_CASE = "CASE substr(kmer, {i}, 1) WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 3 END"
-_ENCODE = "CASE WHEN regexp_full_match(kmer, '[ACGT]{12}') THEN CAST(" + " + ".join(f"{4 ** (12 - i)} * {_BASE_CASE.format(i=i)}" for i in range(1, 13)) + " AS BIGINT) END"
+_ENCODE = " + ".join(f"{4 ** (12 - i)} * {_BASE_CASE.format(i=i)}" for i in range(1, 13))
+_COMPLEMENT = " + ".join(f"{4 ** (i - 1)} * (3 - {_BASE_CASE.format(i=i)})" for i in range(1, 13))
 
 
 def _codes(t: Tables) -> DataFrame:
-    code = bases.encode_kmer(F.col("kmer"))
-    return _hex_kmers(t).select("seq_id", code.alias("code"), bases.decode_kmer(code, 12).alias("again"), bases.decode_kmer(bases.complement_code(code, 12), 12).alias("complement"))
+    """Sums, over all 12-mers of a sequence, of their codes and those of their reverse complements, encoded from text and again."""
+    rows = sequences.kmer_codes(t("seqs"), 12).withColumn("kmer", bases.decode_kmer(F.col("code"), 12))
+    again, complement = bases.encode_kmer(F.col("kmer")), bases.complement_code(F.col("code"), 12)
+    return rows.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("code").alias("codes"), F.sum(again).alias("again"), F.sum(complement).alias("complements"), F.max("kmer").alias("last_kmer"))
 
 
 def _two(t: Tables) -> DataFrame:
-    a, b = F.substring("seq", 1, 32), F.substring("seq", 33, 32)
-    return t("seqs").where(F.length("seq") >= 64).select("seq_id", a.alias("a"), b.alias("b"))
+    """Each 32 bases of a sequence and the next 32."""
+    number = F.explode(F.sequence(F.lit(0), F.floor(F.length("seq") / 32).cast("int") - 2))
+    rows = t("seqs").where(F.length("seq") >= 64).select("seq_id", "seq", number.alias("part"))
+    return rows.select("seq_id", "part", F.substring("seq", F.col("part") * 32 + 1, F.lit(32)).alias("a"), F.substring("seq", F.col("part") * 32 + 33, F.lit(32)).alias("b"))
 
 
-_DIFF = " + ".join(f"CAST(substr(seq, {i}, 1) <> substr(seq, {i + 32}, 1) AS INT)" for i in range(1, 33))
+_DIFF = " + ".join(f"CAST(substr(a, {i}, 1) <> substr(b, {i}, 1) AS INT)" for i in range(1, 33))
 _QUALS = "q AS (SELECT read_id, qual_r1, list_sort(list_transform(string_split(qual_r1, ''), lambda c: ascii(c) - 33)) AS v FROM read_pairs WHERE length(qual_r1) > 0)"
 
 
@@ -161,11 +167,11 @@ Q: dict[str, Entry] = {
     "Q5": (lambda t: sequences.base_checks(t("seqs")), duckdb("SELECT seq_id, contains(seq, 'N') AS has_n, regexp_matches(seq, '[^ACGTN]') AS has_bad FROM seqs", "seqs")),
     "Q6": (lambda t: sequences.assembly_stats(t("seqs")), duckdb("WITH l AS (SELECT CAST(length(seq) AS BIGINT) AS len, row_number() OVER (ORDER BY length(seq) DESC) AS k FROM seqs), c AS (SELECT *, SUM(len) OVER (ORDER BY k) AS upto, SUM(len) OVER () AS total FROM l) SELECT (SELECT COUNT(*) FROM l) AS n_seqs, CAST(MAX(total) AS BIGINT) AS total, first(len ORDER BY k) AS n50, MIN(k) AS l50 FROM c WHERE upto > floor(total / 2)", "seqs")),
     "Q7": (lambda t: sequences.sort_sequences(t("seqs"), "length", True).select("seq_id", F.length("seq").alias("len")), duckdb("SELECT seq_id, CAST(length(seq) AS INT) AS len FROM seqs", "seqs")),
-    "Q8": (_codes, duckdb(f"SELECT seq_id, {_ENCODE} AS code, CASE WHEN regexp_full_match(kmer, '[ACGT]{{12}}') THEN kmer END AS again, CASE WHEN regexp_full_match(kmer, '[ACGT]{{12}}') THEN {_RC.format('kmer')} END AS complement FROM (SELECT seq_id, substr(seq, 1, 12) AS kmer FROM seqs) x", "seqs")),
-    "Q9": (lambda t: _two(t).select("seq_id", bases.hamming(F.col("a"), F.col("b")).alias("diff"), bases.hamming(F.col("a"), F.col("b"), 20).alias("limited")), duckdb(f"SELECT seq_id, CAST(d AS INT) AS diff, CAST(CASE WHEN d > 20 THEN 32 ELSE d END AS INT) AS limited FROM (SELECT seq_id, {_DIFF} AS d FROM seqs WHERE length(seq) >= 64) x", "seqs")),
-    "Q10": (lambda t: sequences.kmer_library(t("seqs"), K), duckdb(f"WITH {_KMERS.format(k=K)} SELECT DISTINCT kmer FROM k", "seqs")),
-    "Q11": (lambda t: sequences.kmer_counts(sequences.kmer_library(t("seqs"), K), t("seqs"), K), duckdb(f"WITH {_KMERS.format(k=K)}, {_COUNTS} SELECT kmer, n FROM c", "seqs")),
-    "Q12": (lambda t: _by_sequence(sequences.cp_score(t("seqs"), sequences.kmer_counts(sequences.kmer_library(t("seqs"), K), t("seqs"), K), K)),
+    "Q8": (_codes, duckdb(f"WITH {_KMERS.format(k=12)} SELECT seq_id, COUNT(*) AS n, CAST(SUM({_ENCODE}) AS BIGINT) AS codes, CAST(SUM({_ENCODE}) AS BIGINT) AS again, CAST(SUM({_COMPLEMENT}) AS BIGINT) AS complements, MAX(kmer) AS last_kmer FROM k GROUP BY 1", "seqs")),
+    "Q9": (lambda t: _two(t).select("seq_id", "part", bases.hamming(F.col("a"), F.col("b")).alias("diff"), bases.hamming(F.col("a"), F.col("b"), 20).alias("limited")), duckdb(f"SELECT seq_id, part, CAST(d AS INT) AS diff, CAST(CASE WHEN d > 20 THEN 32 ELSE d END AS INT) AS limited FROM (SELECT seq_id, part, {_DIFF} AS d FROM (SELECT seq_id, CAST(j AS INT) AS part, substr(seq, j * 32 + 1, 32) AS a, substr(seq, j * 32 + 33, 32) AS b FROM seqs, LATERAL (SELECT unnest(generate_series(0, length(seq) // 32 - 2)) AS j) y WHERE length(seq) >= 64) z) x", "seqs")),
+    "Q10": (lambda t: _spelled(sequences.kmer_library(t("seqs"), K)), duckdb(f"WITH {_KMERS.format(k=K)} SELECT DISTINCT kmer FROM k", "seqs")),
+    "Q11": (lambda t: _spelled(sequences.kmer_counts(sequences.kmer_library(t("seqs"), K), t("seqs"), K)), duckdb(f"WITH {_KMERS.format(k=K)}, {_COUNTS} SELECT kmer, n FROM c", "seqs")),
+    "Q12": (lambda t: _by_sequence(sequences.cp_score(t("seqs"), write_table(sequences.kmer_counts(sequences.kmer_library(t("seqs"), K), t("seqs"), K), "kmer-counts"), K)),
             duckdb(f"WITH {_KMERS.format(k=K)}, {_COUNTS}, placed AS (SELECT seq_id, pos, n FROM k JOIN c ON c.kmer = k.kmer), every AS (SELECT seq_id, i AS pos FROM n, LATERAL (SELECT unnest(generate_series(0, len - 1)) AS i) y) SELECT seq_id, COUNT(*) AS n, COUNT(score) AS scored, round(SUM(score), 3) AS total FROM (SELECT seq_id, pos, round(AVG(n) OVER (PARTITION BY seq_id ORDER BY pos RANGE BETWEEN {K - 1} PRECEDING AND CURRENT ROW), 6) AS score FROM (SELECT e.seq_id, e.pos, a.n FROM every e LEFT JOIN placed a ON a.seq_id = e.seq_id AND a.pos = e.pos) z) y GROUP BY 1", "seqs")),
     "Q13": (lambda t: sequences.read_quality(_reads(t)), duckdb(f"WITH {_QUALS} SELECT r.read_id, CAST(floor(list_sum(v) / len(v)) AS INT) AS mean_q, CAST(v[CAST(floor(len(v) / 2) AS INT) + 1] AS INT) AS median_q FROM read_pairs r LEFT JOIN q ON q.read_id = r.read_id", "read_pairs")),
     "Q14": (lambda t: sequences.rescale_quality(_reads(t)), duckdb("SELECT read_id, reverse(qual_r1) AS reversed, translate(qual_r1, 'I?5+!', 'h^TJ@') AS rescaled FROM read_pairs", "read_pairs")),

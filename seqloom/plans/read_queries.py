@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.operators import alignments as al
 from seqloom.operators import gbs, tables
 from seqloom.plans.fixtures import Build, Tables, duckdb
+from seqloom.plans.session import scratch_path
 from seqloom.sources import tables as sheets
 
 Entry = tuple[Build, str | None]
@@ -35,6 +36,11 @@ def _pairs(t: Tables) -> DataFrame:
     return al.pair_alignments(_aligned(t))
 
 
+def _edited_pairs(t: Tables) -> DataFrame:
+    rows = al.edit_columns(_aligned(t).withColumn("tags", F.array(F.concat(F.lit("NM:i:"), F.col("mapq") % 6))))
+    return al.pair_alignments(rows, ("chrom", "start_pos", "end_pos", "mapq", "strand", "edit", "match"))
+
+
 _PAIRS = f"""rec AS (SELECT query, (flag & 64) <> 0 AS first, chrom, start_pos, {_END} AS end_pos, mapq, CASE WHEN (flag & 16) <> 0 THEN 0 ELSE 1 END AS strand, cigar FROM alignments WHERE (flag & 2048) = 0 AND (flag & 256) = 0),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY chrom, start_pos, end_pos, mapq, strand) AS k FROM rec WHERE first AND {_MAPPED}) x WHERE k = 1),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY chrom, start_pos, end_pos, mapq, strand) AS k FROM rec WHERE NOT first AND {_MAPPED}) x WHERE k = 1),
@@ -70,6 +76,7 @@ L: dict[str, Entry] = {
     "L10": (lambda t: al.insert_size(_pairs(t)).select("query", "insert_size"), _pair_sql(f"SELECT query, {_INSERT} AS insert_size FROM pairs")),
     "L11": (lambda t: al.fragment_size(_pairs(t)).select("query", "fragment_size"), _pair_sql(f"SELECT query, {_FRAGMENT} AS fragment_size FROM pairs")),
     "L12": (lambda t: al.pair_ratios(_pairs(t)), _pair_sql("SELECT COUNT(*) AS n_pairs, round(AVG(CAST(chrom_f IS NOT NULL AND chrom_b IS NOT NULL AS INT)), 6) AS both, round(AVG(CAST((chrom_f IS NULL) <> (chrom_b IS NULL) AS INT)), 6) AS one, round(AVG(CAST(chrom_f IS NULL AND chrom_b IS NULL AS INT)), 6) AS none FROM pairs")),
+    "L12_edit": (lambda t: al.pair_edit_ratios(_edited_pairs(t)), _pair_sql("SELECT query, round(mapq_f % 6 / nullif(mapq_f, 0), 6) AS ratio_f, round(mapq_b % 6 / nullif(mapq_b, 0), 6) AS ratio_b, round((COALESCE(mapq_f % 6, 0) + COALESCE(mapq_b % 6, 0)) / nullif(COALESCE(mapq_f, 0) + COALESCE(mapq_b, 0), 0), 6) AS ratio_both FROM pairs")),
     "L15": (lambda t: al.qc_summary(_near_pairs(t)),
             _pair_sql(f"""SELECT s.taxon, n_pairs, mito, chloro, insert_mode FROM (SELECT 'T' || length(query) AS taxon, COUNT(*) AS n_pairs, round(COUNT(*) FILTER (chrom_f % 3 + 10 = 11) / COUNT(*), 6) AS mito, round(COUNT(*) FILTER (chrom_f % 3 + 10 = 12) / COUNT(*), 6) AS chloro FROM pairs GROUP BY 1) s
             LEFT JOIN (SELECT taxon, size AS insert_mode FROM (SELECT taxon, size, row_number() OVER (PARTITION BY taxon ORDER BY COUNT(*) DESC, size) AS k FROM (SELECT 'T' || length(query) AS taxon, {_INSERT.replace('chrom_f = chrom_b', 'chrom_f % 3 = chrom_b % 3')} AS size FROM pairs WHERE mapq_f >= 30 AND mapq_b >= 30) y WHERE size BETWEEN 0 AND 1000 GROUP BY 1, 2) z WHERE k = 1) m ON m.taxon = s.taxon""")),
@@ -159,9 +166,9 @@ def _gbs_vcf(t: Tables) -> DataFrame:
 def _retrieved(t: Tables) -> DataFrame:
     samples = t("tags").groupBy("sample", "tag_r1", "tag_r2", "r1_len", "r2_len").agg(F.sum("read_count").alias("read_count")).withColumn("id", F.concat("tag_r1", "tag_r2"))
     lib = _library(t)
-    place = (F.crc32(F.col("id").cast("binary")) % 50).cast("int")
+    place = (F.crc32(F.col("id").cast("binary")) % 1_000_003).cast("int")
     alleles = lib.select(F.col("id").alias("library_id"), F.lit(1).alias("end"), F.lit(20).alias("read_pos"), F.substring("tag_r1", 20, 1).alias("base"), F.lit(1).alias("chrom"), place.alias("pos"), F.substring("tag_r1", 20, 1).alias("allele"))
-    catalogue = t.spark.range(50).select(F.lit(1).alias("chrom"), F.col("id").cast("int").alias("pos"), F.lit("A").alias("ref"))
+    catalogue = alleles.select("chrom", "pos").distinct().withColumn("ref", F.lit("A"))
     return gbs.retrieve(samples, lib, alleles, catalogue).select("chrom", "pos", "dp", "ad", "ap")
 
 
@@ -210,7 +217,9 @@ T: dict[str, Entry] = {
 
 def _sheet(t: Tables) -> DataFrame:
     bams = F.transform(F.sequence(F.lit(1), (F.col("s_suppkey") % 3 + 1).cast("int")), lambda i: F.concat_ws("_", F.lit("bam"), F.col("s_suppkey"), i))
-    return sheets.checked_taxa(t("supplier").select(F.col("s_name").alias("taxon"), F.col("s_acctbal").alias("coverage"), bams.alias("bams")))
+    path = scratch_path(t.spark, "sheet")
+    t("supplier").select(F.concat_ws("\t", "s_name", F.col("s_acctbal").cast("string"), F.array_join(bams, "\t"))).write.text(path)
+    return sheets.read_taxa_map(t.spark, path)
 
 
 def _libraries(t: Tables) -> DataFrame:
@@ -221,6 +230,7 @@ def _libraries(t: Tables) -> DataFrame:
 
 S: dict[str, Entry] = {
     "S18": (lambda t: sheets.taxa_totals(_sheet(t)), "SELECT COUNT(*) AS n_taxa, CAST(SUM(s_suppkey % 3 + 1) AS BIGINT) AS n_bams FROM supplier"),
+    "S18_rows": (lambda t: _sheet(t).select("taxon", "coverage", F.array_join("bams", ";").alias("bams")), "SELECT s_name AS taxon, s_acctbal AS coverage, array_to_string([concat_ws('_', 'bam', s_suppkey, i) for i in generate_series(1, s_suppkey % 3 + 1)], ';') AS bams FROM supplier"),
     "S19": (_libraries, "WITH k AS (SELECT concat_ws('_', n_nationkey % 4, n_nationkey % 3, n_nationkey % 5) AS library_key, n_name AS fastq_r1, CASE WHEN n_nationkey % 6 = 0 THEN 'NA' ELSE n_name END AS fastq_r2 FROM nation) SELECT concat_ws('_', c_name, k.library_key, c_nationkey) AS sample, k.library_key, 'ACGT' AS barcode_r1, 'TTGG' AS barcode_r2, fastq_r1, fastq_r2 FROM customer JOIN k ON k.library_key = concat_ws('_', c_custkey % 4, c_custkey % 3, c_nationkey % 5) WHERE fastq_r1 <> 'NA' AND fastq_r2 <> 'NA'"),
 }
 

@@ -242,11 +242,13 @@ G: dict[str, Entry] = {
     "G13": (lambda t: genotypes.merge_by_site(t("genotypes").where("chrom <= 2"), t("genotypes").where("chrom > 2")), duckdb("SELECT * FROM genotypes", "genotypes")),
     "G14": (lambda t: genotypes.merge_by_taxon(t("genotypes").where("taxon < 'T04'"), t("genotypes").where("taxon >= 'T04'")), duckdb("SELECT * FROM genotypes", "genotypes")),
     "G15": (lambda t: genotypes.with_site_index(genotypes.sort_sites(t("sites"))).select("chrom", "pos", F.col("idx").cast("bigint").alias("idx")), duckdb("SELECT chrom, pos, row_number() OVER (ORDER BY chrom, pos) - 1 AS idx FROM sites", "sites")),
+    "G15_taxa": (lambda t: genotypes.sort_taxa(t("genotypes")), duckdb("SELECT * FROM genotypes", "genotypes")),
     "G16": (lambda t: genotypes.chrom_bounds(t("sites")), duckdb("SELECT chrom, CAST(SUM(n) OVER (ORDER BY chrom) - n AS BIGINT) AS start_idx, CAST(SUM(n) OVER (ORDER BY chrom) AS BIGINT) AS end_idx, n AS n_sites FROM (SELECT chrom, COUNT(*) AS n FROM sites GROUP BY 1) x", "sites")),
     "G17": (lambda t: distance.ibs(t("genotypes"), "T01", "T02"), duckdb(f"SELECT x.taxon AS taxon1, y.taxon AS taxon2, COUNT(*) AS n, round(AVG({_DIST['grid']}), 6) AS dxy {_BOTH} WHERE x.taxon = 'T01' AND y.taxon = 'T02' GROUP BY 1, 2", "genotypes")),
     "G18": (lambda t: distance.ibs(t("genotypes"), "T01", "T02", t("sites").where("chrom = 2"), "rows"), duckdb(f"SELECT x.taxon AS taxon1, y.taxon AS taxon2, COUNT(*) AS n, round(AVG({_DIST['rows']}), 6) AS dxy {_BOTH} WHERE x.taxon = 'T01' AND y.taxon = 'T02' AND x.chrom = 2 GROUP BY 1, 2", "genotypes")),
     "G19": (lambda t: distance.ibs_matrix(t("genotypes")), duckdb(_matrix_sql("grid"), "genotypes")),
     "G19_rows": (lambda t: distance.ibs_matrix(t("genotypes"), "rows"), duckdb(_matrix_sql("rows"), "genotypes")),
+    "G19_sites": (lambda t: distance.ibs_matrix(t("genotypes"), sites=t("sites").where("chrom = 2 AND pos > 500")), duckdb(_matrix_sql("grid", "AND x.chrom = 2 AND x.pos > 500 AND EXISTS (SELECT 1 FROM sites s WHERE s.chrom = x.chrom AND s.pos = x.pos)"), "genotypes", "sites")),
     "G20": (lambda t: distance.ibs_matrix(t("genotypes"), "rows", max_sites=10_000), duckdb(_QUICK + _matrix_sql("rows", "JOIN chosen c ON c.chrom = x.chrom AND c.pos = x.pos"), "genotypes")),
     "G21": (lambda t: distance.divergence_table(distance.ibs_matrix(t("genotypes"))), duckdb(f"SELECT taxon1 AS \"Dxy\", string_agg(printf('%.3f', dxy), chr(9) ORDER BY taxon2) AS distances FROM ({_matrix_sql('grid')}) m GROUP BY 1", "genotypes")),
     "G22": (lambda t: genotypes.polarise(t("genotypes"), t("sites"), t("sites").select("chrom", "pos", F.when(F.col("pos") % 3 == 0, F.col("alt")).when(F.col("pos") % 3 == 1, F.col("ref")).otherwise("N").alias("anc")), t("taxa").select("taxon", F.concat(F.lit("P"), F.substring("taxon", 3, 1).cast("int") % 3).alias("pop"))).groupBy("pop", "chrom", "pos").agg(F.sum("derived").alias("derived"), F.count("derived").alias("called")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ALIGNMENT = "Query string, Chromosome string, StartPos int, EndPos int, Strand int, MappingQuality int, MatchNumber int, EditDistance int, IfPerfectMatch int"
@@ -72,13 +72,38 @@ def write_alignments(df: DataFrame, path: str) -> None:
     df.write.csv(path, sep="\t", header=True)
 
 
+def _numbered(lines: DataFrame, before: dict[str, Column]) -> DataFrame:
+    """Lines of :func:`_placed_lines` with, for each named 0/1 column, its sum over all lines of the splits before theirs.
+
+    Only a row for each split of a file is summed in one task.
+    """
+    split = ["file", "block"]
+    sizes = lines.groupBy(*split).agg(F.min("id").alias("first"), *[F.sum(c).cast("bigint").alias(n) for n, c in before.items()])
+    order = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*split, "first", *[F.coalesce(F.sum(n).over(order), F.lit(0)).alias(n) for n in before])
+    return lines.join(offsets, split)
+
+
+def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block, id): lines, the split of a file that they are read from, and ids that follow their order within it."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, description, seq), plain or gzipped: the first line of a record describes it, the others are joined; ids count from 1 in file order."""
-    records = spark.read.text(path, lineSep=">").where("value <> ''")
-    cut = records.select(F.regexp_extract("value", r"^([^\r\n]*)", 1).alias("description"), F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")).alias("seq"))
-    # a running number over files needs their order only: few bytes a partition travel
-    numbered = cut.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0], x[0][1]))
-    return spark.createDataFrame(numbered, "seq_id bigint, description string, seq string")
+    """(seq_id, description, seq), plain or gzipped: a line that begins with ``>`` describes a record, those up to the next are joined; ids count from 1 in the order of files.
+
+    Headers are numbered within the splits of files, to which the headers of
+    earlier splits are added, so files are read in parallel.
+    """
+    head = F.col("value").startswith(">")
+    lines = _placed_lines(spark, path)
+    here = F.sum(head.cast("int")).over(Window.partitionBy("file", "block").orderBy("id"))
+    counted = _numbered(lines.withColumn("here", here), {"heads": head.cast("int")})
+    rows = counted.select((F.col("heads") + F.col("here")).alias("seq_id"), "file", "block", "id", head.alias("head"), "value").where("seq_id > 0")
+    parts = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("file", "block", "id", "value"))))
+    found = rows.groupBy("seq_id").agg(F.max(F.when(F.col("head"), F.substring("value", 2, 1 << 30))).alias("description"), parts.alias("parts"))
+    seq = F.upper(F.regexp_replace(F.array_join(F.transform("parts", lambda x: x["value"]), ""), r"\s", ""))
+    return found.select("seq_id", "description", seq.alias("seq"))
 
 
 def fasta_lines(df: DataFrame, width: int = 60) -> DataFrame:
@@ -95,8 +120,9 @@ def write_fasta(df: DataFrame, path: str, by_chrom: bool = False) -> None:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(record, id, seq, des, qual) of 4-line records, plain or gzipped, records numbered from 1 in file order."""
-    lines = spark.createDataFrame(spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])), "n bigint, value string")
+    """(record, id, seq, des, qual) of 4-line records, plain or gzipped, records numbered from 1 in the order of files."""
+    counted = _numbered(_placed_lines(spark, path), {"lines": F.lit(1)})
+    lines = counted.select((F.col("lines") + F.col("id") - F.col("first")).alias("n"), "value")
     part = lambda i: F.max(F.when(F.col("n") % 4 == i, F.col("value")))
     rows = lines.groupBy((F.floor(F.col("n") / 4) + 1).alias("record")).agg(*[part(i).alias(c) for i, c in enumerate(("id", "seq", "des", "qual"))])
     return rows.where("id IS NOT NULL AND id <> ''")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.plans.session import join_sized
+
 FIXED = 9
 
 
@@ -29,14 +31,14 @@ def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     REF and ALT show their first character. A genotype that begins with a dot
     is missing; else its first and third character make phases, 1 for ``1`` and
-    0 for all others. The header's taxa are broadcast.
+    0 for all others. The header's taxa are broadcast behind a count.
     """
     record, taxa = _records(spark, path)
     sites = record.select("chrom", "pos", F.substring("ref", 1, 1).alias("ref"), F.substring("alt", 1, 1).alias("alt"))
     cells = record.select("chrom", "pos", F.posexplode("cells").alias("idx", "cell"))
     here = ~F.col("cell").startswith(".")
     phase = lambda at: F.when(here, (F.substring("cell", at, 1) == "1").cast("int"))
-    genotypes = cells.join(F.broadcast(taxa), "idx").select("taxon", "chrom", "pos", phase(1).alias("a1"), phase(3).alias("a2"))
+    genotypes = join_sized(cells, taxa, ["idx"], "inner").select("taxon", "chrom", "pos", phase(1).alias("a1"), phase(3).alias("a2"))
     return sites, genotypes
 
 
@@ -50,7 +52,7 @@ def read_vcf_ad(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     cells = record.select("chrom", "pos", F.posexplode("cells").alias("idx", "cell"))
     parts = F.split("cell", ":")
     alleles = F.split(parts[0], r"[|/]")
-    genotypes = cells.join(F.broadcast(taxa), "idx").select(
+    genotypes = join_sized(cells, taxa, ["idx"], "inner").select(
         "taxon", "chrom", "pos", F.get(alleles, F.lit(0)).try_cast("int").alias("a1"), F.get(alleles, F.lit(1)).try_cast("int").alias("a2"),
         F.transform(F.split(F.get(parts, F.lit(1)), ","), lambda x: x.try_cast("int")).alias("ad"),
     )

@@ -192,6 +192,10 @@ def test_bases_and_kmers(spark):
     codes = spark.createDataFrame([("ACGTACGTACGTACGT",), ("N" * 16,)], "kmer string").select("kmer", bases.encode_kmer(F.col("kmer")).alias("c"))
     good, bad = codes.withColumn("d", bases.decode_kmer(F.col("c"), 16)).collect()
     assert good.d == good.kmer and bad.c is None
+    turned = spark.createDataFrame([(w,) for w in ("A", "ACG", "GATTACAGATTACAGATTACAGATTACAGAC", "TTTT")], "w string").select("w", bases.decode_kmer(bases.complement_code(bases.encode_kmer(F.col("w")), 4), 4).alias("four"), bases.decode_kmer(bases.complement_code(bases.encode_kmer(F.col("w")), 31), 31).alias("long"))
+    got = {r.w: r for r in turned.collect()}
+    turn = str.maketrans("ACGT", "TGCA")
+    assert got["TTTT"].four == "AAAA" and got["ACG"].four == "AACG".translate(turn)[::-1] and got["GATTACAGATTACAGATTACAGATTACAGAC"].long == "GATTACAGATTACAGATTACAGATTACAGAC".translate(turn)[::-1]
     two = spark.createDataFrame([("ACGTACGT", "ACGAACGG")], "a string, b string")
     r = two.select(bases.hamming(F.col("a"), F.col("b")).alias("h"), bases.packed_hamming(bases.encode_kmer(F.col("a")), bases.encode_kmer(F.col("b"))).alias("p"), bases.hamming(F.col("a"), F.col("b"), 1).alias("l")).first()
     assert (r.h, r.p, r.l) == (2, 2, 32)
@@ -206,7 +210,11 @@ def test_copy_score_by_hand_over_chunk_borders(spark, monkeypatch):
     mers = {(i, p): s[p : p + k] for i, s in data for p in range(len(s) - k + 1) if "N" not in s[p : p + k]}
     assert {(r.seq_id, r.pos): r.kmer for r in sequences.kmers(seqs, k, chunk=4).collect()} == mers
     library = sequences.kmer_library(seqs, k)
-    counts = {r.kmer: r.n for r in sequences.kmer_counts(library, seqs, k).collect()}
+    spelled = sequences.kmer_counts(library, seqs, k).select(bases.decode_kmer(F.col("code"), k).alias("kmer"), "n")
+    counts = {r.kmer: r.n for r in spelled.collect()}
+    even = {r.kmer: r.n for r in sequences.kmer_counts(sequences.kmer_library(seqs, 4), seqs, 4).select(bases.decode_kmer(F.col("code"), 4).alias("kmer"), "n").collect()}
+    fours = [s[p : p + 4] for _, s in data for p in range(len(s) - 3) if "N" not in s[p : p + 4]]
+    assert even == {m: fours.count(m) + fours.count(m.translate(str.maketrans("ACGT", "TGCA"))[::-1]) for m in set(fours)}
     turn = str.maketrans("ACGT", "TGCA")
     flat = list(mers.values())
     assert counts == {m: flat.count(m) + flat.count(m.translate(turn)[::-1]) for m in set(flat)}

@@ -173,3 +173,19 @@ def test_matrix_and_depth_output(spark, tmp_path):
     assert lines == ["Dxy\tT1\tT2", "T1\t0.000\t0.500", "T2\t0.500\t0.000"]
     tables.write_depth_stats(spark.createDataFrame([(1, 2, 0.5, 0.1)], "chrom int, pos int, mean double, sd double"), str(tmp_path / "d"))
     assert (tmp_path / "d" / "chrom=1").is_dir()
+
+
+def test_fasta_headers_may_hold_the_sign_and_files_have_many_splits(spark, tmp_path):
+    records = [(f"r{i} a>b > {i}" if i % 2 else "", "ACGTN" * (i % 7) + "acg") for i in range(200)]
+    for part in range(2):
+        lines = [line for d, s in records[part * 100 : part * 100 + 100] for line in (f">{d}", s[:4], *([s[4:]] if s[4:] else []))]
+        (tmp_path / f"{part}.fa").write_text(("" if part else "; note\n") + "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        got = reads.read_fasta(spark, str(tmp_path)).orderBy("seq_id").collect()
+        assert [(r.seq_id, r.description, r.seq) for r in got] == [(i + 1, d, s.upper()) for i, (d, s) in enumerate(records)]
+        (tmp_path / "q.fq").write_text("".join(f"@r{i} x\nACGT\n+\nIII{i % 10}\n" for i in range(150)))
+        rows = reads.read_fastq(spark, str(tmp_path / "q.fq")).orderBy("record").collect()
+        assert [(r.record, r.id, r.seq, r.des, r.qual) for r in rows] == [(i + 1, f"@r{i} x", "ACGT", "+", f"III{i % 10}") for i in range(150)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
