@@ -226,10 +226,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["id", "features", "y"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = {}
+        rows, texts = {}, {}
         for batch in batches:
             for item in batch.to_pylist():
-                rows[item["id"]] = (np.frombuffer(item["features"], "<u4").astype(np.int64), item["y"])
+                if item["id"] not in texts or item["features"] < texts[item["id"]]:  # of unlike texts with one id the same stands in any order
+                    texts[item["id"]] = item["features"]
+                    rows[item["id"]] = (np.frombuffer(item["features"], "<u4").astype(np.int64), item["y"])
         ids = sorted(rows)
         y = np.array([rows[i][1] for i in ids], np.int64)
         keep = np.zeros(len(ids), bool)
