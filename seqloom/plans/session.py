@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE_PARENT = str(Path(__file__).resolve().parents[2])
 
+#: Paths of scratch tables that results may still read.
+_scratch: list[str] = []
+
 
 def share_code(spark: SparkSession) -> None:
     """Let Python workers import this package when it is run from a checkout.
@@ -60,6 +63,7 @@ def write_bucketed(df: DataFrame, what: str, buckets: int, by: list[str]) -> tup
     spark = df.sparkSession
     name = f"{what}-{uuid.uuid4().hex}".replace("-", "_")
     path = f"{shared_folder(spark)}/{name}"
+    _scratch.append(path)
     spread = df.repartition(buckets, *by)
     spread.write.bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
     table = spark.table(name)
@@ -74,17 +78,29 @@ def write_bucketed(df: DataFrame, what: str, buckets: int, by: list[str]) -> tup
 
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
 
 
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a table made by :func:`write_table` that nothing reads any more."""
     path = getattr(df, "_written_at", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
+        if path in _scratch:
+            _scratch.remove(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this process: results of queries made so far cannot be read after this."""
+    while _scratch:
+        _delete(spark, _scratch.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def join_sized(df: DataFrame, side: DataFrame, on: list[str], how: str = "left", most: int = 50_000) -> DataFrame:
