@@ -12,7 +12,7 @@ from seqloom.plans.session import join_sized
 
 TAG_LENGTH = 96
 MIN_READS, MIN_ALT_READS, MIN_MAPQ = 3, 10, 30
-MOST_SPAN, MOST_DIVERGENCE = 1000, 7
+MOST_SPAN, MOST_DIVERGENCE, MOST_RETRIEVED = 1000, 7, 3
 CHUNK = 16
 MOST_TAGS_PER_CHUNK = 1000
 
@@ -200,7 +200,7 @@ def gbs_vcf(depth: DataFrame, sites: DataFrame) -> DataFrame:
     )
 
 
-def retrieve(samples: DataFrame, library: DataFrame, alleles: DataFrame, catalogue: DataFrame, max_diff: int = MIN_READS) -> DataFrame:
+def retrieve(samples: DataFrame, library: DataFrame, alleles: DataFrame, catalogue: DataFrame, max_diff: int = MOST_RETRIEVED) -> DataFrame:
     """Genotypes of new samples' tags (sample, id, ..) against a library: match, choose, add up depths, call."""
     tags = samples.select("id", "tag_r1", "tag_r2", "r1_len", "r2_len").distinct()
     chosen = choose_match(match_tags(tags, library, max_diff), tags, alleles)

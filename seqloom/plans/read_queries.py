@@ -70,7 +70,7 @@ L: dict[str, Entry] = {
     "L6": (lambda t: al.queries(t("alignments")).select("query", F.lit(None).cast("int").alias("hit")).union(al.hits(t("alignments")).select(F.lit(None).cast("string"), "chrom")), duckdb(f"SELECT DISTINCT query, CAST(NULL AS INT) AS hit FROM alignments UNION ALL SELECT DISTINCT CAST(NULL AS STRING), chrom FROM alignments WHERE {_MAPPED}", "alignments")),
     "L7": (lambda t: al.count_by_query(t("alignments")), duckdb(f"SELECT query, COUNT(*) FILTER ({_MAPPED}) AS n FROM alignments GROUP BY 1", "alignments")),
     "L7_hits": (lambda t: al.count_by_hit(t("alignments")), duckdb(f"SELECT chrom, COUNT(*) AS n FROM alignments WHERE {_MAPPED} GROUP BY 1", "alignments")),
-    "L7_from": (lambda t: al.with_prefix(al.from_position(t("alignments"), 5, 2000), "Q1"), duckdb(f"SELECT * FROM alignments WHERE chrom = 5 AND start_pos >= 2000 AND {_MAPPED} AND query LIKE 'Q1%'", "alignments")),
+    "L7_from": (lambda t: al.with_prefix(al.from_position(t("alignments"), 5, 300), "Q1"), duckdb(f"SELECT * FROM alignments WHERE chrom = 5 AND start_pos >= 300 AND {_MAPPED} AND query LIKE 'Q1%'", "alignments")),
     "L8": (lambda t: al.query_classes(_perfect(t)), duckdb(f"SELECT query, n > 0 AS matched, p = 1 AS one_perfect, n = 1 AND p = 1 AS unique_perfect FROM (SELECT query, COUNT(*) FILTER ({_MAPPED}) AS n, COUNT(*) FILTER ({_MAPPED} AND {_PERFECT}) AS p FROM alignments GROUP BY 1) x", "alignments")),
     "L9": (_pairs, _pair_sql("SELECT * FROM pairs")),
     "L10": (lambda t: al.insert_size(_pairs(t)).select("query", "insert_size"), _pair_sql(f"SELECT query, {_INSERT} AS insert_size FROM pairs")),

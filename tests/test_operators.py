@@ -268,3 +268,51 @@ def test_fragment_size_by_hand(spark):
     cases = [((1, 10, 20, 1, 1, 50, 60, 0), 50), ((1, 50, 60, 0, 1, 10, 20, 1), 50), ((1, 10, 20, 0, 1, 50, 60, 1), -1), ((1, 10, 20, 1, 1, 50, 60, 1), -1), ((1, 10, 20, 1, 2, 50, 60, 0), -1), ((1, 10, 20, 1, None, None, None, None), -1)]
     df = spark.createDataFrame([c[0] for c in cases], cols)
     assert [r.fragment_size for r in alignments.fragment_size(df).collect()] == [c[1] for c in cases]
+
+
+def test_retrieved_genotypes_match_plain_loops(spark):
+    rng = random.Random(17)
+    tag = lambda: "".join(rng.choice("ACGT") for _ in range(96))
+    library = {f"l{i}": (tag(), tag()) for i in range(8)}
+    library["l8"] = (library["l0"][0][:40] + ("A" if library["l0"][0][40] != "A" else "C") + library["l0"][0][41:], library["l0"][1])
+    alleles = []
+    for n, (name, (one, two)) in enumerate(library.items()):
+        alleles.append((name, 1, 41, one[40], 1, n % 4 if n < 8 else 0, one[40]))
+        alleles.append((name, 2, 5, two[4], 2, n % 3, two[4]))
+    samples = []
+    for n in range(60):
+        pair = [list(x) for x in library[f"l{rng.randrange(9)}"]]
+        for _ in range(rng.randrange(6)):
+            end, at = rng.randrange(2), rng.choice([*range(16, 48), 3])
+            pair[end][at] = rng.choice("ACGT")
+        samples.append((f"s{n % 5}", f"q{n}", "".join(pair[0]), "".join(pair[1]), 96, 96, rng.randrange(1, 9)))
+    sites = [(1, p, "A") for p in range(4)] + [(2, p, "G") for p in range(3)]
+    differ = lambda a, b: sum(x != y for x, y in zip(a[0] + a[1], b[0] + b[1], strict=True))
+    chunks = lambda t: {x[i : i + 16] for x in t for i in range(0, 96, 16)}
+    depth = {}
+    for sample, _, one, two, *_, reads in samples:
+        own = (one, two)
+        near = {k: differ(own, v) for k, v in library.items() if one[8:14] == v[0][8:14] and chunks(own) & chunks(v)}
+        best = sorted(k for k, d in near.items() if d == min(near.values()) and d <= gbs.MOST_RETRIEVED)
+        agree = [k for k in best if all(own[e - 1][p - 1] == b for k2, e, p, b, *_ in alleles if k2 == k)]
+        for k2, _, _, _, chrom, pos, allele in alleles:
+            if agree and k2 == agree[0]:
+                depth[sample, chrom, pos, allele] = depth.get((sample, chrom, pos, allele), 0) + reads
+    want = {}
+    for chrom, pos, ref in sites:
+        total = {}
+        for (_, c, p, allele), n in depth.items():
+            if (c, p) == (chrom, pos) and allele != ref:
+                total[allele] = total.get(allele, 0) + n
+        if total:
+            shown = [ref, *sorted(total, key=lambda a: (-total[a], a))[:2]]
+            each = [[n for (_, c, p, a), n in depth.items() if (c, p, a) == (chrom, pos, x)] for x in shown] + [[]] * (3 - len(shown))
+            want[chrom, pos] = (sum(map(sum, each)), ",".join(str(sum(x)) for x in each), ",".join(str(len(x)) for x in each))
+    frames = (
+        spark.createDataFrame(samples, "sample string, id string, tag_r1 string, tag_r2 string, r1_len int, r2_len int, read_count int"),
+        spark.createDataFrame([(k, *v, 96, 96) for k, v in library.items()], "id string, tag_r1 string, tag_r2 string, r1_len int, r2_len int"),
+        spark.createDataFrame(alleles, "library_id string, end int, read_pos int, base string, chrom int, pos int, allele string"),
+        spark.createDataFrame(sites, "chrom int, pos int, ref string"),
+    )
+    got = {(r.chrom, r.pos): (r.dp, r.ad, r.ap) for r in gbs.retrieve(*frames).collect()}
+    assert len(want) > 3 and got == want
