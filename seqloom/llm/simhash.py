@@ -23,6 +23,10 @@ BYTES = 8
 #: Two fingerprints at most MAX_BITS apart share at least this many of their eight bytes.
 MIN_SHARED = BYTES - MAX_BITS
 
+#: A task holds posting lists up to this length; longer ones are parted.
+LONGEST_LIST = 1 << 12
+_ALL = 1 << 16
+
 
 def shingle_hashes(text: bytes) -> list[int]:
     """XXH64 of the word shingles of a text; of the whole sequence if it is shorter, none if it has no words."""
@@ -83,6 +87,27 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part.view(np.int64))], ["key", "fp"])
 
 
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings (fp, key) of long lists again, by the halves of the bytes that their key leaves open.
+
+    Of those eight halves two linked fingerprints share at least four, as they
+    do of bytes. A key and four halves settle 48 bits, so no list is longer than 2^16.
+    """
+    taken = np.array(list(combinations(range(BYTES), MIN_SHARED)))
+    left = np.array([np.setdiff1d(np.arange(BYTES), t) for t in taken])
+    for batch in batches:
+        fp, key = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+        for first in range(0, len(fp), 4096):
+            part, own = fp[first : first + 4096], key[first : first + 4096]
+            shift = 8 * left[(own >> np.uint64(8 * MIN_SHARED)).astype(np.int64)]
+            half = [(part >> (shift[:, i // 2] + 4 * (i % 2)).astype(np.uint64)) & np.uint64(15) for i in range(BYTES)]
+            for number, choice in enumerate(taken):
+                new = (own << np.uint64(7)) | np.uint64(number)
+                for i in choice:
+                    new = (new << np.uint64(4)) | half[i]
+                yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(part.view(np.int64))], ["key", "fp"])
+
+
 def _linked(one: np.ndarray | np.uint64, many: np.ndarray) -> np.ndarray:
     """Which of a posting list, whose tally of shared bytes its key grants, differ in few enough bits."""
     return np.bitwise_count(many ^ one) <= MAX_BITS
@@ -109,12 +134,17 @@ def _list_edges(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges within the posting lists of a partition that is sorted by key; a list may span batches."""
-    key_left, fp_left = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _edges(longest: int):
+    """Edges (a, b, null) within the posting lists of a partition that is sorted by key; a list may span batches.
+
+    Members of lists of more than ``longest`` are passed on as they come, as (fp, null, key).
+    """
 
     def pack(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
+
+    def pass_on(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(fp), pa.nulls(len(fp), pa.int64()), pa.array(key)], ["a", "b", "key"])
 
     def within(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero(np.diff(key)) + 1
@@ -126,24 +156,42 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = value[two], value[two + 1]
             near = _linked(a, b) & (a != b)
             yield pack(a[near], b[near])
-        many = [_list_edges(value[s : s + n]) for s, n in zip(first[size > 2], size[size > 2], strict=True)]
+        held = (size > 2) & (size <= longest)
+        many = [_list_edges(value[s : s + n]) for s, n in zip(first[held], size[held], strict=True)]
         if many:
             yield pack(np.concatenate([x for x, _ in many]), np.concatenate([x for _, x in many]))
+        for s, n in zip(first[size > longest], size[size > longest], strict=True):
+            yield pass_on(key[s : s + n], fp[s : s + n])
 
-    for batch in batches:
-        key = np.concatenate((key_left, batch.column(0).to_numpy(zero_copy_only=False)))
-        fp = np.concatenate((fp_left, batch.column(1).to_numpy(zero_copy_only=False)))
-        if not len(key):
-            continue
-        last = int(np.searchsorted(key, key[-1], side="left"))
-        if last:
-            yield from within(key[:last], fp[:last])
-        key_left, fp_left = key[last:], fp[last:]
-    if len(key_left):
-        yield from within(key_left, fp_left)
-
-
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        key_left, fp_left, long_key = none, none, -1
+        for batch in batches:
+            key = np.concatenate((key_left, batch.column(0).to_numpy(zero_copy_only=False)))
+            fp = np.concatenate((fp_left, batch.column(1).to_numpy(zero_copy_only=False)))
+            more = int(np.searchsorted(key, long_key, side="right"))
+            if more:
+                yield pass_on(key[:more], fp[:more])
+            key, fp = key[more:], fp[more:]
+            last = int(np.searchsorted(key, key[-1], side="left")) if len(key) else 0
+            if last:
+                yield from within(key[:last], fp[:last])
+            key_left, fp_left = key[last:], fp[last:]
+            if len(key_left) > longest:
+                long_key = int(key_left[0])
+                yield pass_on(key_left, fp_left)
+                key_left, fp_left = none, none
+        if len(key_left):
+            yield from within(key_left, fp_left)
+
+    return run
+
+
+def _searched(postings: DataFrame, longest: int) -> DataFrame:
+    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(_edges(longest), "a bigint, b bigint, key bigint")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest_list: int = LONGEST_LIST) -> DataFrame:
     """Near-duplicate groups of texts by SimHash: (id, fp, component) for every row of ``docs``.
 
     Words are runs of other characters than the six ASCII white spaces, with
@@ -163,7 +211,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reaches four, so the count filter is the key itself. Bits are verified in
     the list, and only a spanning forest of it leaves the task, never all its
     pairs. Lists hold distinct fingerprints that agree in four bytes, streamed
-    from a partition sorted by key.
+    from a partition sorted by key. Lists of over ``longest_list`` are not held
+    but dealt out once more by the same rule, for the halves of the other four
+    bytes: such lists have 2^16 members at most, so neither the memory nor the
+    work of a task grows with a crowded region of fingerprints.
 
     Null or empty texts and texts of white space have fingerprint zero and link
     like any other. A null id takes part but never names a component: it is
@@ -172,8 +223,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     printed = write_table(with_fingerprint(docs, id_col, text_col), "simhash-prints")
     vertices = write_table(printed.groupBy("fp").agg(F.min("id").alias("low_id")), "simhash-vertices")
     postings = vertices.select("fp").mapInArrow(_postings, "key bigint, fp bigint")
-    lists = postings.repartition("key").sortWithinPartitions("key")
-    links = lists.mapInArrow(_edges, "a bigint, b bigint")
+    found = write_table(_searched(postings, longest_list), "simhash-found")
+    parted = found.where("b is null").select("a", "key").mapInArrow(_parted, "key bigint, fp bigint")
+    links = found.where("b is not null").select("a", "b").union(_searched(parted, _ALL).select("a", "b"))
     members = connected_components(links)
     grouped = vertices.join(members, vertices["fp"] == members["node"], "left").select("fp", "low_id", F.col("component").alias("root"))
     grouped = write_table(grouped, "simhash-grouped")
@@ -181,7 +233,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lowest = write_table(linked.groupBy("root").agg(F.min("low_id").alias("component")), "simhash-lowest")
     alone = grouped.where("root is null").select("fp", F.col("low_id").alias("component"))
     named = write_table(join_sized(linked, lowest, ["root"], "inner").select("fp", "component").union(alone), "simhash-named")
-    for table in (vertices, members, grouped, lowest):
+    for table in (vertices, found, members, grouped, lowest):
         drop_table(table)
     return printed.join(named, "fp").select("id", "fp", "component")
 
