@@ -42,6 +42,10 @@ SUFFIX_LANGUAGE = {
     "es": "es", "mx": "es", "ar": "es", "cl": "es", "pe": "es", "fr": "fr", "mc": "fr",
 }
 
+# Code points that are no letters beyond ASCII, as first and last: signs of Latin-1, punctuation and symbols,
+# punctuation of Chinese and Japanese, pictures.
+SIGNS = ((0x80, 0xBF), (0x2000, 0x2FFF), (0x3000, 0x303F), (0x1F000, 0x1FFFF))
+
 #: Texts whose trigrams are marked at once.
 _ROWS = 256
 
@@ -51,6 +55,18 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
+def _blank_signs(part: np.ndarray, folded: np.ndarray) -> None:
+    """Blank the bytes of the code points of SIGNS: their leads tell them, with the byte after where it takes two."""
+    if not (part >= 0xC2).any():
+        return
+    after = np.concatenate((part[1:], np.zeros(1, np.uint8)))
+    kinds = ((part == 0xC2, 2), ((part == 0xE2) | ((part == 0xE3) & (after == 0x80)), 3), ((part == 0xF0) & (after == 0x9F), 4))
+    for lead, size in kinds:
+        at = np.flatnonzero(lead)
+        for i in range(size):
+            folded[at + i] = 32
+
+
 def _by_text(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows first..end; of each letter in them the bucket of its trigram, and its row. A text has blanks around it."""
     for first, end in slices(starts):
@@ -59,6 +75,7 @@ def _by_text(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, n
             continue
         row = np.repeat(np.arange(end - first), np.diff(starts[first : end + 1]))
         folded = _FOLD[part].astype(np.uint32)
+        _blank_signs(part, folded)
         edge = np.flatnonzero(row[1:] != row[:-1])
         before = np.concatenate((np.full(1, 32, np.uint32), folded[:-1]))
         after = np.concatenate((folded[1:], np.full(1, 32, np.uint32)))
@@ -116,11 +133,12 @@ def trigram_counts(docs: DataFrame, text: Column, declared: Column, languages: t
 
 
 def host_priors(docs: DataFrame, address: Column, declared: Column, languages: tuple[str, ...]) -> tuple[DataFrame, list[float]]:
-    """(host, prior array) by grouped aggregation, and the prior over all: host within suffix within all.
+    """(host, counts array, above array) by grouped aggregation, and the prior over all: host within suffix within all.
 
-    Each level is smoothed by PRIOR_ROWS rows of the level above. One pass
-    counts declared languages by host with partial sums, so a host with a third
-    of all rows sends one row from each task.
+    ``counts`` are the host's rows of each declared language, ``above`` is the
+    prior of its suffix. Each level is smoothed by PRIOR_ROWS rows of the level
+    above. One pass counts declared languages by host with partial sums, so a
+    host with a third of all rows sends one row from each task.
     """
     tag = _primary(declared)
     rows = docs.select(_host(address).alias("host"), tag.alias("tag")).where(F.col("tag").isin(*languages))
@@ -135,11 +153,20 @@ def host_priors(docs: DataFrame, address: Column, declared: Column, languages: t
     size = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
     within = [((F.col(c) + PRIOR_ROWS * p) / (size + PRIOR_ROWS)).alias(f"s{i}") for i, (c, p) in enumerate(zip(columns, overall, strict=True))]
     suffix_priors = write_table(suffixes.select("suffix", *within), "language-suffixes")
-    own = [(F.col(c) + PRIOR_ROWS * F.col(f"s{i}")) / (size + PRIOR_ROWS) for i, c in enumerate(columns)]
-    priors = join_sized(hosts, suffix_priors, ["suffix"], "inner").select("host", F.array(*own).alias("prior"))
+    above = F.array(*[F.col(f"s{i}") for i in range(len(languages))])
+    own = F.array(*[F.col(c).cast("double") for c in columns])
+    priors = join_sized(hosts, suffix_priors, ["suffix"], "inner").select("host", own.alias("counts"), above.alias("above"))
     return write_table(priors, "language-priors"), overall
 
 
+def _without_own(counts: Column, above: Column, tag: Column, languages: tuple[str, ...]) -> Column:
+    """The prior of a host of which one row, declared as ``tag``, is left out, so that no declaration speaks for itself twice."""
+    own = F.array(*[F.coalesce((tag == x).cast("double"), F.lit(0.0)) for x in languages])
+    others = F.zip_with(counts, own, lambda n, o: n - o)
+    size = F.aggregate(others, F.lit(0.0), lambda acc, n: acc + n)
+    return F.zip_with(others, above, lambda n, s: (n + PRIOR_ROWS * s) / (size + PRIOR_ROWS))
+
+
 def identify(
     docs: DataFrame,
     text: Column,
@@ -153,8 +180,10 @@ def identify(
     likelihood of the whole text's letter trigrams, weighed as at most
     MOST_EVIDENCE of them, against an even spread for UNKNOWN; the chance of
     the declared language; that of a country suffix of the address; and the
-    host's prior from :func:`host_priors`. Likelihoods and priors are learnt
-    from all rows whose declared language is one of ``languages``.
+    host's prior from :func:`host_priors`, to which the row itself does not
+    count. Likelihoods and priors are learnt from all rows whose declared
+    language is one of ``languages``. Letters are A to Z and all code points
+    beyond ASCII but SIGNS.
 
     A row is accepted if its text has letters, its language is not UNKNOWN and
     the posterior is at least ACCEPT. A null or empty text has no evidence of
@@ -171,7 +200,7 @@ def identify(
     classes = (*languages, UNKNOWN)
     told = _told(classes)
     kept = docs.schema
-    schema = T.StructType([*kept.fields, T.StructField("__lid", T.StructType([T.StructField("evidence", T.ArrayType(T.DoubleType())), T.StructField("letters", T.LongType()), T.StructField("host", T.StringType())]))])
+    schema = T.StructType([*kept.fields, T.StructField("__lid", T.StructType([T.StructField("evidence", T.ArrayType(T.DoubleType())), T.StructField("letters", T.LongType()), T.StructField("host", T.StringType()), T.StructField("tag", T.StringType())]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +216,8 @@ def identify(
             for row, (tag, suffix) in enumerate(zip(extra.field("tag").to_pylist(), extra.field("suffix").to_pylist(), strict=True)):
                 evidence[row] += told(tag, suffix)
             nested = pa.StructArray.from_arrays(
-                [pa.array(list(evidence), pa.list_(pa.float64())), pa.array(letters), extra.field("host")], ["evidence", "letters", "host"]
+                [pa.array(list(evidence), pa.list_(pa.float64())), pa.array(letters), extra.field("host"), extra.field("tag")],
+                ["evidence", "letters", "host", "tag"],
             )
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], nested], [*batch.schema.names[:n_kept], "__lid"])
 
@@ -196,9 +226,10 @@ def identify(
     needs = F.struct(text.cast("string").alias("text"), _primary(declared).alias("tag"), _suffix(host).alias("suffix"), host.alias("host"))
     scored = docs.withColumn("__in", needs).mapInArrow(run, schema)
     priors, overall = host_priors(docs, address, declared, languages)
-    priors = priors.select(F.col("host").alias("__host"), F.col("prior").alias("__prior"))
+    priors = priors.select(F.col("host").alias("__host"), F.col("counts").alias("__counts"), F.col("above").alias("__above"))
     joined = join_sized(scored.withColumn("__host", F.col("__lid.host")), priors, ["__host"])
-    prior = F.coalesce("__prior", F.array(*map(F.lit, overall)))
+    own = _without_own(F.col("__counts"), F.col("__above"), F.col("__lid.tag"), languages)
+    prior = F.coalesce(own, F.array(*map(F.lit, overall)))
     logs = F.concat(F.transform(prior, lambda p: F.log(p * (1 - UNKNOWN_PRIOR))), F.array(F.lit(math.log(UNKNOWN_PRIOR))))
     sums = F.zip_with("__lid.evidence", logs, lambda a, b: a + b)
     top = F.array_max("__sums")

@@ -18,6 +18,7 @@ WORDS = {
 
 
 def buckets(text):
+    text = "".join(" " * len(c.encode()) if any(a <= ord(c) <= b for a, b in lid.SIGNS) else c for c in text)
     raw = [b if b >= 128 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in text.encode()]
     padded = [32, *raw, 32]
     return [((padded[i - 1] << 16 | padded[i] << 8 | padded[i + 1]) * 2654435761 % 2**32) >> 18 for i in range(1, len(padded) - 1) if padded[i] != 32]
@@ -46,7 +47,8 @@ def plainly(rows):
         found = buckets(text or "")
         weight = min(len(found), lid.MOST_EVIDENCE) / max(len(found), 1)
         h = host(address)
-        prior = smooth(counts[h], smooth(by_suffix[suffix(h)], overall)) if h in counts else overall
+        others = {x: counts[h][x] - (x == tag(said)) for x in languages} if h in counts else {}
+        prior = smooth(others, smooth(by_suffix[suffix(h)], overall)) if h in counts else overall
         sums = {}
         for x in (*languages, lid.UNKNOWN):
             if x == lid.UNKNOWN:
@@ -74,7 +76,7 @@ def rows():
         text = " ".join(rng.choice(words, int(rng.integers(0, 40)))) + (" 日本語 12!" if i % 9 == 0 else "")
         address = f"{'https://' if i % 2 else ''}H{int(rng.integers(0, 12))}.example.{rng.choice(['de', 'uk', 'fr', 'com'])}{':80/x?y' if i % 3 == 0 else ''}"
         out.append((text, said or None, address if i % 11 else None))
-    return [*out, (None, "en", "h1.example.de"), ("", None, ""), ("Это русский текст", "ru", "a.b"), out[0], out[0]]
+    return [*out, (None, "en", "h1.example.de"), ("", None, ""), ("Это русский текст", "ru", "a.b"), ("\U0001f600 \u3000\u2014 \xbf\xab", "en", "h1.example.de"), ("\xbfla casa? \u2018no\u2019 \U0001f600x", "es", "one.uk"), out[0], out[0]]
 
 
 def same(got, want):
@@ -101,3 +103,17 @@ def test_pages_have_their_tag_and_url(spark, tmp_path):
     assert len(got) == len(pages)
     for i, want in enumerate(plainly(seen)):
         same((got[i].language, got[i].posterior, want[2], got[i].kept), want)
+
+
+def test_a_wrong_tag_on_a_host_of_its_own_does_not_support_itself(spark):
+    data = [(WORDS["de"], "de", "a.de"), (WORDS["en"], "en", "b.uk")] * 30
+    df = spark.createDataFrame([*data, ("das haus", "en", "lone.com"), ("das haus", "", "other.com")], "text string, lang string, source string")
+    priors = lid.host_priors(df, F.col("source"), F.col("lang"), lid.LANGUAGES)[0].where("host = 'lone.com'").first()
+    got = df.limit(1).select(lid._without_own(F.array(*map(F.lit, priors.counts)), F.array(*map(F.lit, priors.above)), F.lit("en"), lid.LANGUAGES).alias("p")).first()
+    assert got.p == pytest.approx(priors.above)
+
+
+def test_signs_alone_are_no_letters(spark):
+    rows = [("\U0001f600\U0001f600", "en", "b.uk"), ("\u3000\u3000", "en", "b.uk"), (WORDS["en"], "en", "b.uk")]
+    df = spark.createDataFrame(rows, "text string, lang string, source string")
+    assert sorted((r.lid.letters, r.lid.accepted) for r in identify(df, F.col("text"), F.col("lang"), F.col("source")).collect())[:2] == [(0, False)] * 2
