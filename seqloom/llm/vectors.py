@@ -16,8 +16,12 @@ from seqloom.plans.session import drop_table, join_sized, write_table
 
 THRESHOLD = 0.93
 
-#: Vectors of a block; a task holds two blocks at once.
+#: Vectors of a block, at least; a task holds two blocks at once.
 TILE = 2048
+
+#: Larger labels have blocks up to this size, for every block a label has more is a copy more of its vectors.
+BLOCK_BYTES = 8 << 20
+BLOCKS = 8
 _STRIP = 256
 _PAIRS = 1 << 16
 
@@ -146,12 +150,13 @@ def near_vectors(
 
     Equal vectors of a label are one vertex with a count, so a vector that a
     third of all rows share is compared once. The vertices of a label are dealt
-    by hash over blocks of about ``tile``, and each pair of blocks is a task of
-    its own: a large label makes many tasks, none of them larger. A task returns
-    the number of links of each vertex and a spanning forest with bounded
-    degree, never the pairs, so dense groups cost no rows. A vector is shuffled
-    once for each block of its label: products, and copies of vectors over
-    ``tile`` of them, grow with the square of a label's vectors.
+    by hash over blocks of about ``tile``, or, in labels that would have more
+    than BLOCKS of them, of up to BLOCK_BYTES. Each pair of blocks is a task of
+    its own: a large label makes many tasks of bounded size. A task returns the
+    number of links of each vertex and a spanning forest with bounded degree,
+    never the pairs, so dense groups cost no rows. A vector is shuffled once
+    for each block of its label: products, and copies of vectors by blocks,
+    grow with the square of a label's vectors.
 
     Vectors that are null, empty, zero or hold null or non-finite components,
     and rows with a null label or id, link with nothing (n_links 0, component
@@ -170,7 +175,9 @@ def near_vectors(
         usable.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.min("label").alias("label"), F.first("vec").alias("vec")),
         "vectors-vertices",
     )
-    sizes = write_table(vertices.groupBy("label").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("blocks")), "vectors-sizes")
+    sizes = vertices.groupBy("label").agg(F.count("*").alias("n"), F.max(F.length("vec")).alias("width"))
+    per_block = F.greatest(F.lit(tile), F.least(F.ceil(F.col("n") / BLOCKS), F.floor(F.lit(BLOCK_BYTES) / F.col("width"))))
+    sizes = write_table(sizes.select("label", F.ceil(F.col("n") / per_block).cast("int").alias("blocks")), "vectors-sizes")
     dealt = join_sized(vertices, sizes, ["label"], "inner").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = dealt.withColumn("other", other).select(
