@@ -55,6 +55,21 @@ def test_links_and_components_match_all_pairs(spark):
                 assert (r.id, r.n_links, r.component, r.kept) == (r.id, links, component, r.id == component)
 
 
+def test_blocks_of_large_labels_grow_up_to_their_bytes(spark, monkeypatch):
+    from seqloom.llm import vectors
+
+    data = rows()
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    expected = {i: plain(data).get(i, (0, i)) for i, *_ in data}
+    written = {}
+    monkeypatch.setattr(vectors, "write_table", lambda rows, what, f=vectors.write_table: written.setdefault(what, []).append([r.blocks for r in rows.collect()] if what == "vectors-sizes" else 0) or f(rows, what))
+    for block_bytes, blocks in ((1 << 20, 8), (20 * 16 * 8, 8), (5 * 16 * 8, 16)):
+        monkeypatch.setattr(vectors, "BLOCK_BYTES", block_bytes)
+        got = near_vectors(df, tile=4).collect()
+        assert {r.id: (r.n_links, r.component) for r in got} == expected
+        assert written.pop("vectors-sizes") == [[blocks, blocks]]
+
+
 def test_bound_never_loses_a_pair():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 24)) + 2.2
