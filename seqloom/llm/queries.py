@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import read
 from seqloom.llm.html import extract
 from seqloom.llm.language import identify
+from seqloom.llm.lexical import ranked
+from seqloom.llm.negatives import hard_negatives
 from seqloom.llm.packing import pack_documents
 from seqloom.llm.pieces import sampled_digest
 from seqloom.llm.quality import THRESHOLD, held_out, train, with_score
+from seqloom.llm.rules import quality_rules
 from seqloom.llm.secrets import secret_findings
 from seqloom.llm.simhash import simhash_groups
 from seqloom.llm.topk import NEIGHBOURS, nearest_codes, sign_codes
@@ -139,6 +142,82 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings, every seventh with the next label."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label"))
+    return hard_negatives(rows).select(
+        F.col("anchor").alias("anchor_id"),
+        F.col("positive").alias("positive_id"),
+        "rank",
+        F.col("negative").alias("negative_id"),
+        "positive_score",
+        "negative_score",
+    )
+
+
+OP11_SQL = """
+WITH v AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+), scored AS (
+    SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id
+), positives AS (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM scored WHERE same
+), ranked AS (
+    SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS rank
+    FROM positives p JOIN scored n ON p.place <= 5 AND p.anchor_id = n.anchor_id AND NOT n.same
+     AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item against all documents."""
+    found = ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+OP12_SQL = r"""
+WITH words AS (
+    SELECT doc_id, row_number() OVER () AS doc,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), sized AS (
+    SELECT doc_id, doc, CAST(len(terms) AS BIGINT) AS n, terms FROM words WHERE len(terms) > 0
+), totals AS (
+    SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM sized
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), counts AS (
+    SELECT doc_id, doc, n, term, count(*) AS tf FROM (SELECT doc_id, doc, n, unnest(terms) AS term FROM sized)
+    WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, doc, n, term
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM counts, totals GROUP BY term, docs
+), scored AS (
+    SELECT item_id, doc_id, doc, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length)))) AS BIGINT) AS score
+    FROM counts JOIN weights USING (term) JOIN asked USING (term), totals GROUP BY item_id, doc_id, doc
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(read(spark, sf_dir, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -150,6 +229,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sampled_pieces": op8_sampled_pieces,
     "op9_quality": op9_quality,
     "op10_url_filter": op10_url_filter,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_lexical": op12_lexical,
+    "op13_quality_rules": op13_quality_rules,
     "language_of_pages": language_of_pages,
 }
 
@@ -157,4 +239,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_exact_topk": OP3_SQL,
     "op6_near_vectors": OP6_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_lexical": OP12_SQL,
 }
