@@ -40,7 +40,8 @@ class ChunkEncoder(dict):
     a character that is no white space, makes a token of a single line feed
     between other characters, and ends a run of letters at punctuation. So a
     text may be cut there and its chunks encoded apart; a text with any other
-    white space is encoded whole.
+    white space, or with a token that was added to the vocabulary, is encoded
+    whole by the library.
     """
 
     def __init__(self, vocabulary: str, ranks: str):
@@ -52,16 +53,15 @@ class ChunkEncoder(dict):
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.plain = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.whole = Tokenizer.from_file(vocabulary)
-        self.whole.encode_special_tokens = True
+        self.added = [token.content for token in self.whole.get_added_tokens_decoder().values()]
         self.old: dict[str, bytes] = {}
         self.newline = self.ids("\n")
         self.marks = lru_cache(4096)(self.ids)
 
     def ids(self, text: str) -> bytes:
-        if _PLAIN.fullmatch(text):
-            got = self.plain.encode_ordinary(text)
-        else:
-            got = self.whole.encode(text, add_special_tokens=False).ids
+        if not _PLAIN.fullmatch(text):
+            return self.by_library(text)
+        got = self.plain.encode_ordinary(text)
         return pack(f"<{len(got)}I", *got)
 
     def __missing__(self, chunk: str) -> bytes:
@@ -79,9 +79,15 @@ class ChunkEncoder(dict):
         self[chunk] = got
         return got
 
+    def by_library(self, text: str) -> bytes:
+        got = self.whole.encode(text, add_special_tokens=False).ids
+        return pack(f"<{len(got)}I", *got)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(token in text for token in self.added):
+            return self.by_library(text)
         out = []
         try:
             for number, line in enumerate(text.split("\n")):

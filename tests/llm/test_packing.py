@@ -7,14 +7,13 @@ from tokenizers import Tokenizer
 
 from seqloom.llm.packing import ChunkEncoder, default_files, pack_documents
 
-ODD = ["", " ", "a  b", "a \nb", " x", "x ", "\n\nq", "a\n\n\nb", "it's 'll don't.", "naïve œuvre 日本語 ½ x²", "<|endoftext|> hi", "a\tb \t c",
+ODD = ["", " ", "a  b", "a \nb", " x", "x ", "\n\nq", "a\n\n\nb", "it's 'll don't.", "naïve œuvre 日本語 ½ x²", "<|endoftext|> hi", "<|endoftext|>", "a<|endoftext|>b", "one two<|endoftext|><|endoftext|> three.\nfour <|endoftext|>", "<|endoftext", "|endoftext|>", "a\tb \t c",
        "x\xa0y", "a \xa0b", "a\x1cb", "\r\na", "tail \n", "no'.", "word%%% or|", "éé, ß.", "x  \n  y", "​ a", "A.B. c"]
 
 
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(default_files()[0])
-    tokenizer.encode_special_tokens = True
     return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
@@ -22,6 +21,7 @@ def test_chunks_have_the_library_ids(library):
     encoder = ChunkEncoder(*default_files())
     for text in ODD:
         assert encoder.encode(text) == library(text).tobytes(), text
+    assert library("<|endoftext|>").tolist() == [50256]
 
 
 def check(rows, docs, library, size=1024):
