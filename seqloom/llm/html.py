@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -40,6 +41,14 @@ PERHAPS_WORDS = frozenset("alert banner header login search".split())
 CONTENT_WORDS = frozenset("article body content entry main post results story text".split())
 LAYOUT_WORDS = frozenset("has is no with without".split())  # what follows them lies elsewhere
 _COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
+_ADVERT_WORDS = frozenset("ad ads advert adverts advertise advertisement advertising promo promotion sponsor sponsored".split())
+# Words that beside one of furniture only name its part or kind.
+_LAYOUT_PARTS = frozenset(
+    """area articles bar block body bottom box button buttons card cards col column container content cta field fields form group header heading
+    icon icons inline inner item items label left link links list media menu module more msg outer panel post posts read reading right row section sections slot
+    small stories story text thread title top tray unit up wrap wrapper""".split()
+)
+_PARTS_OF_FURNITURE = FURNITURE_WORDS | PERHAPS_WORDS | _LAYOUT_PARTS
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -47,6 +56,8 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _PAGE_BEGINS = re.compile(r"</head\b|<(?:body|main|article)\b", re.IGNORECASE)
+_BLOCK_OR_END = re.compile(rf"</[a-z]|<(?:body|{'|'.join(sorted((CONTAINERS | LEAVES) - {'option', 'legend'}))})\b", re.IGNORECASE)
+_CLOSING = {tag: re.compile(f"</{tag}", re.IGNORECASE) for tag in RAW}
 _HINT = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?i)(?:^|\s)(?:hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""")
 _WORDS = re.compile(r"[a-z]+")
@@ -57,32 +68,50 @@ class Block(NamedTuple):
     words: int
     linked: int
     heading: bool
-    hint: int  # 0 no page furniture, 1 perhaps, 2 surely, by the nearest ancestor that says something
+    hint: int  # 0 no page furniture, 1 perhaps, 2 surely, by the ancestor that says most
     inside: bool  # within an article or main element
 
 
+class Open(NamedTuple):
+    """An open container: what it and those around it say of their text; ``frames`` are numbers of elements that condemn it unless they hold the page."""
+
+    tag: str
+    hint: int
+    inside: bool
+    frames: tuple[int, ...]
+
+
 class Flattener:
     """Blocks of a page in its order; inline elements and line breaks do not end a block."""
 
     def __init__(self) -> None:
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]
-        self.leaf: tuple[str, int | None] = ("", None)
+        self.stack: list[Open] = [Open("", 0, False, ())]
+        self.opened: Counter[str] = Counter()
+        self.leaf: tuple[str, int] = ("", 0)
         self.text: list[str] = []
         self.linked: list[str] = []
         self.anchor: tuple[int, bool] | None = None  # the depth where a link begins, and whether within a leaf
+        self.of: list[tuple[int, ...]] = []  # frames of each block
+        self.frame_words: list[int] = []
+        self.is_form: list[bool] = []
+        self.holds_page: list[bool] = []  # whether a frame has a main element or a heading of the first level in it
 
     def flush(self) -> None:
         text = " ".join(unescape("".join(self.text)).split()) if self.text else ""
         if text:
-            _, hint, inside = self.stack[-1]
-            hint = hint if self.leaf[1] is None else self.leaf[1]
+            _, hint, inside, frames = self.stack[-1]
             linked = len(unescape("".join(self.linked)).split())
-            self.blocks.append(Block(text, len(text.split()), min(linked, len(text.split())), self.leaf[0] in HEADINGS, hint, inside))
+            words = len(text.split())
+            self.blocks.append(Block(text, words, min(linked, words), self.leaf[0] in HEADINGS, max(hint, self.leaf[1]), inside))
+            self.of.append(frames)
+            for frame in frames:
+                self.frame_words[frame] += words
         self.text, self.linked = [], []
 
     def run(self, html: str) -> list[Block]:
         at, end = 0, len(html)
+        ends = Ends(html)
         while m := _TOKEN.search(html, at):
             if m.start() > at:
                 self._words(html[at : m.start()])
@@ -93,11 +122,11 @@ class Flattener:
             if tag in DROPPED:
                 if not m[1] and not m[3].rstrip().endswith("/"):
                     if tag in RAW:
-                        at = _raw_end(html, tag, at)
+                        at = ends.raw(tag, at)
                     elif tag == "head":
-                        at = _head_end(html, at)
+                        at = ends.head(at)
                     else:
-                        at = _dropped_end(html, tag, at, {self.leaf[0], *(entry[0] for entry in self.stack)})
+                        at = ends.dropped(m.start(), at)
                 self.text.append(" ")
             elif m[1]:
                 self._close(tag)
@@ -106,6 +135,9 @@ class Flattener:
         if at < end:
             self._words(html[at:])
         self.flush()
+        whole = sum(b.words for b in self.blocks)
+        frames = [2 * words > whole and page for words, page in zip(self.frame_words, self.holds_page, strict=True)]
+        self.blocks = [b if all(frames[i] for i in of) else b._replace(hint=2) for b, of in zip(self.blocks, self.of, strict=True)]
         return self.blocks
 
     def _words(self, text: str) -> None:
@@ -121,22 +153,42 @@ class Flattener:
             self.linked.append(" ")
         elif tag in CONTAINERS:
             self._end_leaf()
-            _, hint, inside = self.stack[-1]
-            said = None if tag in ("html", "body") else _said(tag, attributes, inside)
-            inside = inside or (tag in MAIN and said != 2)
-            self.stack.append((tag, hint if said is None else said, inside))
+            _, hint, inside, frames = self.stack[-1]
+            said = NOTHING if tag in ("html", "body") else _said(tag, attributes, inside)
+            if tag == "main":
+                for frame in frames:
+                    self.holds_page[frame] = True
+                frames = ()
+            if tag in MAIN and said == NOTHING:
+                hint, inside = hint if hint == 2 else 0, True
+                frames = tuple(frame for frame in frames if not self.is_form[frame])
+            elif said == FRAME and len(frames) < MOST_FRAMES:
+                frames = (*frames, len(self.frame_words))
+                self.frame_words.append(0)
+                self.is_form.append(tag == "form")
+                self.holds_page.append(False)
+            else:
+                hint = max(hint, min(said, 2))
+            self.stack.append(Open(tag, hint, inside, frames))
+            self.opened[tag] += 1
         elif tag in LEAVES:
             self._end_leaf()
-            self.leaf = (tag, _said(tag, attributes, self.stack[-1][2]))
+            self.leaf = (tag, min(_said(tag, attributes, self.stack[-1].inside), 2))
+            if tag == "h1" and not self.leaf[1]:
+                for frame in self.stack[-1].frames:
+                    self.holds_page[frame] = True
 
     def _close(self, tag: str) -> None:
         if tag == "a":
             self.anchor = None
         elif tag in CONTAINERS:
-            places = [i for i, entry in enumerate(self.stack) if entry[0] == tag]
-            if places:
+            if self.opened[tag]:
                 self._end_leaf()
-                del self.stack[places[-1] :]
+                while True:
+                    last = self.stack.pop().tag
+                    self.opened[last] -= 1
+                    if last == tag:
+                        break
                 if self.anchor and self.anchor[0] > len(self.stack):
                     self.anchor = None
         elif tag in LEAVES:
@@ -145,95 +197,179 @@ class Flattener:
     def _end_leaf(self) -> None:
         """A link that began within a leaf ends with it; one around blocks goes on in them."""
         self.flush()
-        self.leaf = ("", None)
+        self.leaf = ("", 0)
         if self.anchor and self.anchor[1]:
             self.anchor = None
 
 
-def _raw_end(html: str, tag: str, at: int) -> int:
-    """Where an element without markup ends: at its closing tag, a title also where the page begins."""
-    close = re.compile(f"</{tag}", re.IGNORECASE).search(html, at)
-    page = _PAGE_BEGINS.search(html, at) if tag == "title" or (tag == "textarea" and not close) else None
-    return min(found.start() for found in (close, page) if found) if close or page else len(html)
-
-
-def _head_end(html: str, at: int) -> int:
-    """Where the head ends: at its closing tag, or before a text or an element that cannot stand in it."""
-    while m := _TOKEN.search(html, at):
-        tag = (m[2] or "").lower()
-        if html[at : m.start()].strip(" \t\n\r\f\ufeff"):
-            return at
-        if m[1] and tag in ("head", "body", "html"):
-            return m.end() if tag == "head" else m.start()
-        if tag and not m[1] and tag not in IN_HEAD:
-            return m.start()
-        at = m.end()
-        if tag and not m[1] and not m[3].rstrip().endswith("/"):
-            if tag in RAW:
-                at = _raw_end(html, tag, at)
-            elif tag in DROPPED:
-                at = _dropped_end(html, tag, at, {"head"})
-    return at
-
-
-def _dropped_end(html: str, tag: str, begin: int, outside: set[str]) -> int:
-    """Where an element without text ends: after its closing tag, or, if it was left open, before the first block in it.
-
-    It was left open if what stands around it (``outside``) is closed before it,
-    or if a tag comes that cannot stand in it. Without a block it ends there.
-    """
-    at, depth, inside, block = begin, 1, [], None
-    while m := _TOKEN.search(html, at):
-        name = (m[2] or "").lower()
-        at = m.end()
-        if not name:
-            continue
-        if m[1]:
-            if name == tag:
-                depth -= 1
-                if not depth:
-                    return at
-            elif name in inside:
-                while inside.pop() != name:
+class Ends:
+    """Where elements without text end, each page being searched a bounded number of times however its markup is."""
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.next: dict[str, int] = {}
+        self.table: dict[int, int] | None = None
+
+    def _next(self, what: str, pattern: re.Pattern[str], at: int) -> int:
+        """Where the pattern is found next, or the end of the page and one; looked for once for all places before it."""
+        if self.next.get(what, -1) < at:
+            found = pattern.search(self.html, at)
+            self.next[what] = found.start() if found else len(self.html) + 1
+        return self.next[what]
+
+    def raw(self, tag: str, at: int) -> int:
+        """Where an element without markup ends: at its closing tag, a title also where the page begins, an unclosed text field at the next block or end of an element."""
+        end = len(self.html)
+        close = self._next(tag, _CLOSING[tag], at)
+        if tag == "title":
+            close = min(close, self._next("page", _PAGE_BEGINS, at))
+        elif tag == "textarea" and close > end:
+            close = self._next("block", _BLOCK_OR_END, at)
+        return min(close, end)
+
+    def head(self, at: int) -> int:
+        """Where the head ends: at its closing tag, or before a text or an element that cannot stand in it."""
+        while m := _TOKEN.search(self.html, at):
+            tag = (m[2] or "").lower()
+            if self.html[at : m.start()].strip(" \t\n\r\f\ufeff"):
+                return at
+            if m[1] and tag in ("head", "body", "html"):
+                return m.end() if tag == "head" else m.start()
+            if tag and not m[1] and tag not in IN_HEAD:
+                return m.start()
+            at = m.end()
+            if tag and not m[1] and not m[3].rstrip().endswith("/"):
+                if tag in RAW:
+                    at = self.raw(tag, at)
+                elif tag in DROPPED:
+                    at = self.dropped(m.start(), at)
+        return at
+
+    def dropped(self, begin: int, at: int) -> int:
+        """Where an element without text that begins at ``begin`` ends: after its closing tag, or, if it was left open, before the first block in it.
+
+        It was left open if what stands around it is closed before it, or if a
+        tag comes that cannot stand in it. Without a block it ends there.
+        """
+        if self.table is None:
+            self.table = self._all_dropped()
+        return max(self.table.get(begin, at), at)
+
+    def _all_dropped(self) -> dict[int, int]:
+        """Ends of all such elements by one pass with a stack of what is open."""
+        html, at = self.html, 0
+        ends: dict[int, int] = {}
+        stack: list[tuple[str, int]] = []  # name, and where it begins if it is dropped, else -1
+        count: Counter[str] = Counter()
+        unseen = 0  # dropped elements in the stack
+        blocks: dict[int, int] = {}  # first block of a dropped element
+        waiting: list[int] = []
+        foreign: list[int] = []
+        guests: list[int] = []
+
+        def pop(end: int) -> str:
+            nonlocal unseen
+            name, begin = stack.pop()
+            count[name] -= 1
+            for places in (foreign, guests):
+                if places and places[-1] == len(stack):
+                    places.pop()
+            if begin >= 0:
+                unseen -= 1
+                ends.setdefault(begin, blocks.get(begin, end))
+            return name
+
+        def push(name: str, begin: int) -> None:
+            if name in FOREIGN:
+                foreign.append(len(stack))
+            elif name in GUESTS:
+                guests.append(len(stack))
+            stack.append((name, begin))
+            count[name] += 1
+
+        while m := _TOKEN.search(html, at):
+            at, tag = m.end(), (m[2] or "").lower()
+            if not tag:
+                continue
+            alone = m[3].rstrip().endswith("/")
+            is_block = (tag in CONTAINERS or tag in LEAVES) and tag not in ("option", "legend", "hr")
+            if m[1]:
+                if count[tag]:
+                    while stack[-1][0] != tag:
+                        pop(m.start())
+                    if stack[-1][1] >= 0:
+                        ends[stack[-1][1]] = m.end()
+                    pop(m.end())
+                elif tag in ("body", "html"):
+                    while unseen:
+                        pop(m.start())
+                continue
+            if count["head"] and tag not in IN_HEAD and not unseen:
+                while pop(m.start()) != "head":
                     pass
-            elif name in ("body", "html") or name in outside:
-                return m.start() if block is None else block
-            continue
-        is_block = (name in CONTAINERS or name in LEAVES) and name not in ("option", "legend", "hr")
-        guest = not GUESTS.isdisjoint(inside)
-        if name == "body" or (name == tag and tag in ONCE) or (is_block and tag in FOREIGN and not guest):
-            return m.start() if block is None else block
-        if m[3].rstrip().endswith("/") and (name == tag or name in GUESTS):
-            continue
-        if name == tag:
-            depth += 1
-        elif name in RAW:
-            at = _raw_end(html, name, at)
-        elif is_block or name in GUESTS:
-            inside.append(name)
-            if is_block and block is None:
-                block = m.start()
-    return len(html) if block is None else block
-
-
-def _said(tag: str, attributes: str, inside: bool) -> int | None:
-    """What an element says of its text by its name, class, id or role, or by being hidden; None for nothing."""
-    said = 2 if tag in FURNITURE else 0 if tag in MAIN else None
+            if tag == "body" or (tag in ONCE and count[tag]):
+                while unseen if tag == "body" else count[tag]:
+                    pop(m.start())
+            if is_block:
+                while foreign and (not guests or guests[-1] < foreign[-1]):
+                    while len(stack) > foreign[-1] + 1:
+                        pop(m.start())
+                    pop(m.start())
+                for begin in waiting:
+                    blocks[begin] = m.start()
+                waiting = []
+                if not unseen and stack and stack[-1][0] in LEAVES:
+                    pop(m.start())
+                push(tag, -1)
+            elif tag in RAW:
+                if not alone:
+                    at = self.raw(tag, at)
+            elif tag == "head" or (tag in GUESTS and not alone):
+                push(tag, -1)
+            elif tag in DROPPED and not alone:
+                push(tag, m.start())
+                unseen += 1
+                waiting.append(m.start())
+        while stack:
+            pop(len(html))
+        return ends
+
+
+#: What an element says of its text: nothing, perhaps or surely furniture, or furniture unless it holds the page.
+NOTHING, PERHAPS, SURELY, FRAME = 0, 1, 2, 3
+
+#: Elements within each other that may hold the page; further ones are furniture.
+MOST_FRAMES = 4
+
+
+def _said(tag: str, attributes: str, inside: bool) -> int:
+    """What an element says of its text by its name, class, id or role, or by being hidden.
+
+    A form, or an element that a class word condemns, may still be the frame of
+    the whole page. Within an article a name of several words condemns only if
+    all of them are of furniture or of layout, but for comments and adverts.
+    """
+    said = FRAME if tag == "form" else SURELY if tag in FURNITURE else NOTHING
     if tag == "header" and inside:
-        said = 1  # of an article: its title stays
-    if attributes:
+        said = PERHAPS  # of an article: its title stays
+    if attributes and said != SURELY:
         if _HIDDEN.search(attributes):
-            return 2
+            return SURELY
         words: set[str] = set()
+        condemned = False
         for m in _HINT.finditer(attributes):
             for name in (m[1] or m[2] or m[3] or "").lower().split():
-                parts = _WORDS.findall(name)
-                if parts and parts[0] not in LAYOUT_WORDS:
-                    words.update(parts)
-        if words & (_COMMENT_WORDS if tag in MAIN else FURNITURE_WORDS):
-            return 2
-        if words & PERHAPS_WORDS and not words & CONTENT_WORDS and tag not in MAIN:
-            return max(said or 0, 1)
+                parts = set(_WORDS.findall(name))
+                if parts and _WORDS.findall(name)[0] not in LAYOUT_WORDS:
+                    words |= parts
+                    condemned |= bool(parts & FURNITURE_WORDS) and (not inside or parts <= _PARTS_OF_FURNITURE)
+        if words & _COMMENT_WORDS:
+            return SURELY
+        if tag not in MAIN:
+            if condemned or words & _ADVERT_WORDS:
+                return SURELY if inside else FRAME
+            if words & PERHAPS_WORDS and not words & CONTENT_WORDS:
+                return max(said, PERHAPS)
     return said
 
 
@@ -256,7 +392,7 @@ def describe(blocks: list[Block]) -> np.ndarray:
     words = np.array([0, *(b.words for b in blocks), 0], float)
     density = np.array([0, *(b.linked / b.words for b in blocks), 0], float)
     heading = np.array([b.heading for b in blocks], float)
-    has_article = any(b.inside for b in blocks)
+    has_article = any(b.inside and b.hint < 2 for b in blocks)
     places = np.array([place(b, has_article) for b in blocks], float)
     return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], heading, places])
 

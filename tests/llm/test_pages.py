@@ -206,3 +206,47 @@ def test_unknown_scripts_and_wrong_tags(spark):
     assert got[900].language == "de" and got[900].accepted
     assert got[901].language == "und" and not got[901].accepted
     assert not got[902].accepted and got[903].accepted
+
+
+PROSE = "This is the story that the page is about and it goes on for quite a while, as stories do, with more than enough words to be told from what lies around it."
+
+
+def test_furniture_keeps_what_is_in_it():
+    note = "A reader wrote this long remark below the story, and others answered it at length, as readers do wherever they are let, for years and years on end."
+    for around in (
+        '<div id="comments"><article><p>{}</p></article></div>', '<aside class="sidebar"><article><h2>More</h2><p>{}</p></article></aside>', '<section class="related"><article><p>{}</p></article></section>',
+        "<footer><div><article><p>{}</p></article></div></footer>", '<ol class="comment-list"><li><article class="reply"><header><h4>Ann</h4></header><p>{}</p></article></li></ol>',
+        '<div class="related-posts"><article><header><h3>Two</h3></header><p>{}</p></article></div>', "<nav><main><p>{}</p></main></nav>", '<form class="newsletter-signup"><p>{}</p></form>',
+    ):
+        extra = around.format(note)
+        for page in (f"<body><article><h1>Head</h1><p>{PROSE}</p></article>{extra}</body>", f"<body>{extra}<main><h1>Head</h1><p>{PROSE}</p></main></body>", f"<body><article><h1>Head</h1><p>{PROSE}</p>{extra}</article></body>"):
+            assert main_text(page) == f"Head\n{PROSE}", page
+        assert main_text(f"<body><div><h1>Head</h1><p>{PROSE}</p></div>{extra}</body>").endswith(PROSE), extra
+
+
+def test_forms_and_wrappers_that_hold_the_page():
+    body = f"<div id=top><h1>Head</h1><p>{PROSE}</p><p>{PROSE}</p></div>"
+    want = f"{PROSE}\n{PROSE}"
+    login = "<form action=/login class=login><label>User name</label><input name=u><button>Go</button></form>"
+    for page in (f'<body><form id="aspnetForm" method=post><input type=hidden value=x><nav><a href=/>Home</a></nav>{body}</form></body>', f'<body><div class="page share-enabled">{body}</div></body>', f"<body><form>{login}{body}</form>{login}</body>"):
+        assert main_text(page).removeprefix("Head\n") == want, page
+    assert main_text(f"<body><form><article><p>{PROSE}</p></article></form></body>") == PROSE
+    assert main_text(f"<body><form><p>{PROSE}</p></form><article><p>Short story.</p></article></body>") == "Short story."
+    for name in ("social-history", "footer-notes", "navigation-of-ships"):
+        assert main_text(f"<article><p>One two.</p><section class='{name}'><h2>Three</h2><p>Four five.</p></section></article>") == "One two.\nThree\nFour five.", name
+    for name in ("share-buttons", "social", "related-stories", "ad-of-the-day", "newsletter-box", "comment-thread"):
+        assert main_text(f"<article><p>One two.</p><section class='{name}'><h2>Three</h2><p>Four five.</p></section></article>") == "One two.", name
+
+
+def test_time_grows_with_the_page_however_bad_its_markup():
+    import time
+
+    size = 1 << 20
+    deep = lambda part, n=0: part * (n or size // len(part))
+    for page in (
+        deep("<canvas><p>x"), deep("<video><p>x"), deep("<canvas><p>x") + "</canvas>", deep("<div>"), deep("<div>", size // 11) + deep("</div>", size // 11), deep("<form><div class=share>x"), deep("<title><main>") + "</title>",
+        deep("<svg><desc>x"), deep("<button>x"), deep("<textarea>x"), deep("<p>x</div>"), deep("<head><title>x"), deep("<object><p></object>"), deep("<a href='"), deep("<!--x"), deep("<article class=ad>x"), deep("<template><div></template></div>"),
+    ):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 10, page[:40]
