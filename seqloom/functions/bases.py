@@ -36,12 +36,12 @@ def has_bad_base(seq: Column) -> Column:
 
 
 def encode_kmer(kmer: Column) -> Column:
-    """2 bits a base, A0 C1 G2 T3, for up to 31 bases; null where there is another character."""
-    return F.when(kmer.rlike("^[ACGT]{1,31}$"), F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("bigint"))
+    """2 bits a base, A0 C1 G2 T3, for up to 32 bases, those of 32 as unsigned 64-bit numbers in a bigint; null where there is another character."""
+    return F.when(kmer.rlike("^[ACGT]{1,32}$"), F.conv(F.translate(kmer, "ACGT", "0123"), 4, -10).cast("bigint"))
 
 
 def decode_kmer(code: Column, k: int) -> Column:
-    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+    return F.translate(F.lpad(F.conv(F.hex(code.cast("bigint")), 16, 4), k, "0"), "0123", "ACGT")
 
 
 def complement_code(code: Column, k: int) -> Column:

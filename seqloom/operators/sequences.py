@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.functions.bases import complement_code, count_base, decode_kmer, has_bad_base, has_n, phred, total
+from seqloom.functions.bases import count_base, decode_kmer, has_bad_base, has_n, phred, total
 
 #: Start positions of k-mers in one row of a cut sequence, and rows that a task takes at once.
 CHUNK = 1 << 16
@@ -87,7 +87,7 @@ _BASE[[65, 67, 71, 84]] = range(4)
 
 
 def kmer_codes(seqs: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
-    """(seq_id, pos, code) of all k-mers of A, C, G and T, k at most 31, pos from 0; a code has 2 bits a base."""
+    """(seq_id, pos, code) of all k-mers of A, C, G and T, k at most 32, pos from 0; a code has 2 bits a base."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -101,82 +101,11 @@ def kmer_codes(seqs: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
     return chunks.mapInArrow(run, T.StructType([chunks.schema["seq_id"], T.StructField("pos", T.LongType()), T.StructField("code", T.LongType())]))
 
 
-def _counted(seqs: DataFrame, k: int, both_strands: bool) -> DataFrame:
-    """(code, n) of k-mers, summed within slices of a task, so that a code comes more than once; with ``both_strands`` the lesser code of a k-mer and its reverse complement."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, ROWS):
-                code = _codes(whole.slice(first, ROWS).column(2), k)[2]
-                if both_strands:
-                    turned, rest = np.zeros_like(code), ~code
-                    for _ in range(k):
-                        turned, rest = turned << 2 | rest & 3, rest >> 2
-                    code = np.minimum(code, turned)
-                found, n = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["code", "n"])
-
-    return _chunks(seqs, k, CHUNK).mapInArrow(run, "code bigint, n bigint")
-
-
 def kmers(seqs: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
     """(seq_id, pos, kmer) of all k-mers of A, C, G and T, pos from 0."""
     return kmer_codes(seqs, k, chunk).select("seq_id", "pos", decode_kmer(F.col("code"), k).alias("kmer"))
 
 
-def kmer_library(seqs: DataFrame, k: int) -> DataFrame:
-    """Codes of the distinct k-mers of the forward strand without other characters than A, C, G and T."""
-    return _counted(seqs, k, False).select("code").distinct()
-
-
-def kmer_counts(library: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
-    """(code, n): how often each k-mer of the library occurs on both strands; one that is its own reverse complement counts twice a place.
-
-    A k-mer and its reverse complement are counted as one, the lesser of their
-    codes, so both strands take one shuffle, and sums within tasks make repeats
-    no hot key.
-    """
-    turned = complement_code(F.col("code"), k)
-    totals = _counted(seqs, k, True).groupBy(F.col("code").alias("either")).agg(F.sum("n").alias("n"))
-    asked = library.select("code", F.least("code", turned).alias("either"), (F.col("code") == turned).alias("own"))
-    times = F.when(F.col("own"), 2).otherwise(1)
-    return asked.join(totals, "either", "left").select("code", (F.coalesce("n", F.lit(0)) * times).cast("bigint").alias("n"))
-
-
-def cp_score(seqs: DataFrame, counts: DataFrame, k: int) -> DataFrame:
-    """(seq_id, pos, score): mean count of the k-mers that cover each base, null where none does.
-
-    ``counts`` are those of :func:`kmer_counts`. The counts of k-mers go to the
-    stretch of CHUNK bases in which they begin, and to the next one if they
-    reach into it; there running sums over an array give each base its mean.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        stretch = table["stretch"][0].as_py()
-        pos, n = table["pos"].to_numpy(), table["n"].to_numpy()
-        size = int(n[pos < 0][0])
-        at, n = pos[pos >= 0] - stretch * CHUNK, n[pos >= 0]
-        change = np.zeros((2, size + k + 1), np.int64)
-        begin, end = np.maximum(at, 0), np.minimum(at + k, size)
-        for row, value in ((0, n), (1, np.ones_like(n))):
-            np.add.at(change[row], begin, value)
-            np.add.at(change[row], end, -value)
-        total, many = np.cumsum(change, axis=1)[:, :size]
-        score = pa.array(total / np.maximum(many, 1), mask=many == 0)
-        ids = pa.repeat(table["seq_id"][0], size)
-        return pa.table({"seq_id": ids, "pos": pa.array(np.arange(size) + stretch * CHUNK), "score": score})
-
-    at = kmer_codes(seqs, k).join(counts, "code").select("seq_id", "pos", "n")
-    first, last = F.floor(F.col("pos") / CHUNK), F.floor((F.col("pos") + k - 1) / CHUNK)
-    placed = at.select("seq_id", F.explode(F.sequence(first, last)).alias("stretch"), "pos", "n")
-    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.length("seq") - 1) / CHUNK)))
-    sizes = seqs.where(F.length("seq") > 0).select("seq_id", F.length("seq").alias("len"), number.alias("stretch"))
-    sizes = sizes.select("seq_id", "stretch", F.lit(-1).cast("bigint").alias("pos"), F.least(F.lit(CHUNK), F.col("len") - F.col("stretch") * CHUNK).cast("bigint").alias("n"))
-    schema = T.StructType([sizes.schema["seq_id"], T.StructField("pos", T.LongType()), T.StructField("score", T.DoubleType())])
-    scored = placed.union(sizes).groupBy("seq_id", "stretch").applyInArrow(run, schema)
-    return scored.withColumn("score", F.round("score", 6))
-
-
 def read_quality(reads: DataFrame, offset: int = 33) -> DataFrame:
     """Mean quality, cut to a whole number, and the element at half the length of the sorted qualities; null for empty strings."""
     q = phred(F.col("qual"), offset)

@@ -201,29 +201,12 @@ def test_bases_and_kmers(spark):
     assert (r.h, r.p, r.l) == (2, 2, 32)
 
 
-def test_copy_score_by_hand_over_chunk_borders(spark, monkeypatch):
-    monkeypatch.setattr(sequences, "CHUNK", 4)
+def test_kmers_by_position(spark):
     rng = random.Random(9)
     data = [(i, "".join(rng.choice("ACGTACGTN") for _ in range(n))) for i, n in enumerate((30, 3, 0, 17))]
     seqs = spark.createDataFrame(data, "seq_id int, seq string")
-    k = 3
-    mers = {(i, p): s[p : p + k] for i, s in data for p in range(len(s) - k + 1) if "N" not in s[p : p + k]}
-    assert {(r.seq_id, r.pos): r.kmer for r in sequences.kmers(seqs, k, chunk=4).collect()} == mers
-    library = sequences.kmer_library(seqs, k)
-    spelled = sequences.kmer_counts(library, seqs, k).select(bases.decode_kmer(F.col("code"), k).alias("kmer"), "n")
-    counts = {r.kmer: r.n for r in spelled.collect()}
-    even = {r.kmer: r.n for r in sequences.kmer_counts(sequences.kmer_library(seqs, 4), seqs, 4).select(bases.decode_kmer(F.col("code"), 4).alias("kmer"), "n").collect()}
-    fours = [s[p : p + 4] for _, s in data for p in range(len(s) - 3) if "N" not in s[p : p + 4]]
-    assert even == {m: fours.count(m) + fours.count(m.translate(str.maketrans("ACGT", "TGCA"))[::-1]) for m in set(fours)}
-    turn = str.maketrans("ACGT", "TGCA")
-    flat = list(mers.values())
-    assert counts == {m: flat.count(m) + flat.count(m.translate(turn)[::-1]) for m in set(flat)}
-    got = {(r.seq_id, r.pos): r.score for r in sequences.cp_score(seqs, sequences.kmer_counts(library, seqs, k), k).collect()}
-    for i, s in data:
-        for p in range(len(s)):
-            over = [counts[mers[i, q]] for q in range(p - k + 1, p + 1) if (i, q) in mers]
-            assert got[i, p] == (round(sum(over) / len(over), 6) if over else None)
-    assert len(got) == sum(len(s) for _, s in data)
+    mers = {(i, p): s[p : p + 3] for i, s in data for p in range(len(s) - 2) if "N" not in s[p : p + 3]}
+    assert {(r.seq_id, r.pos): r.kmer for r in sequences.kmers(seqs, 3, chunk=4).collect()} == mers
 
 
 def test_tag_snps_and_alleles(spark):
