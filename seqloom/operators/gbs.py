@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions.bases import hamming
 from seqloom.operators.alignments import read_alleles, read_variants
 from seqloom.operators.calling import call_genotypes
+from seqloom.operators.nearest_tags import CHUNK, TAG_LENGTH, match_tags
 from seqloom.plans.session import join_sized
 
-TAG_LENGTH = 96
 MIN_READS, MIN_ALT_READS, MIN_MAPQ = 3, 10, 30
 MOST_SPAN, MOST_DIVERGENCE, MOST_RETRIEVED = 1000, 7, 3
-CHUNK = 16
-MOST_TAGS_PER_CHUNK = 1000
 
 
 def demultiplex(pairs: DataFrame, barcodes: DataFrame) -> DataFrame:
@@ -125,36 +122,6 @@ def tag_alleles(alignments: DataFrame, catalogue: DataFrame, min_mapq: int = MIN
     return read_alleles(rows.join(good, "query", "left_semi"), catalogue.select("chrom", "pos", "ref", "alts"), min_mapq)
 
 
-def _chunks(tags: DataFrame, key: str) -> DataFrame:
-    """(key, group, place, chunk) of the whole CHUNK-base pieces of both reads."""
-
-    def pieces(end: int) -> Column:
-        places = F.slice(F.sequence(F.lit(0), F.lit(TAG_LENGTH // CHUNK - 1)), F.lit(1), F.floor(F.col(f"r{end}_len") / CHUNK).cast("int"))
-        return F.transform(places, lambda i: F.substring(f"tag_r{end}", i * CHUNK + 1, F.lit(CHUNK)))
-
-    return tags.select(key, F.substring("tag_r1", 9, 6).alias("group"), F.explode(F.concat(pieces(1), pieces(2))).alias("chunk")).distinct()
-
-
-def match_tags(query: DataFrame, library: DataFrame, max_diff: int = MOST_DIVERGENCE, most_tags: int = MOST_TAGS_PER_CHUNK) -> DataFrame:
-    """The library tags nearest to each query tag: (query_id, library_id, diff), all with the least difference, at most ``max_diff``.
-
-    Both have ``id``, tags and lengths. Tags meet if bases 9 to 14 of R1 are
-    equal and a chunk of 16 bases is; chunks in over ``most_tags`` library tags
-    of a group are no evidence and are ignored, as a rule of the method. Equal
-    tags should be collapsed first, so that chunks repeat little.
-    """
-    own = _chunks(query.withColumnRenamed("id", "query_id"), "query_id")
-    posted = _chunks(library.withColumnRenamed("id", "library_id"), "library_id")
-    common = posted.groupBy("group", "chunk").count().where(F.col("count") > most_tags)
-    posted = posted.join(common, ["group", "chunk"], "left_anti")
-    pairs = own.join(posted, ["group", "chunk"]).select("query_id", "library_id").distinct()
-    a = query.select(F.col("id").alias("query_id"), F.concat("tag_r1", "tag_r2").alias("a"))
-    b = library.select(F.col("id").alias("library_id"), F.concat("tag_r1", "tag_r2").alias("b"))
-    measured = pairs.join(a, "query_id").join(b, "library_id").withColumn("diff", hamming(F.col("a"), F.col("b"))).where(F.col("diff") <= max_diff)
-    rank = F.rank().over(Window.partitionBy("query_id").orderBy("diff"))
-    return measured.withColumn("r", rank).where("r = 1").select("query_id", "library_id", "diff")
-
-
 def choose_match(matches: DataFrame, query: DataFrame, alleles: DataFrame) -> DataFrame:
     """Of each query's nearest library tags the first, by id, whose recorded allele bases (end, read_pos, base) the query has."""
     seen = alleles.groupBy("library_id").agg(F.collect_list(F.struct("end", "read_pos", "base")).alias("alleles"))

@@ -116,8 +116,8 @@ _LIB = f"lib AS (SELECT tag_r1 || tag_r2 AS id, * FROM ({_COLLAPSED}) x)"
 _MUT = "mut AS (SELECT id, tag_r1[1:2] || translate(tag_r1[3:3], 'ACGT', 'CGTA') || tag_r1[4:96] AS tag_r1, tag_r2, r1_len, r2_len FROM lib)"
 _CHUNK = "{n} AS (SELECT DISTINCT id, substr(tag_r1, 9, 6) AS g, substr(tag_r1, CAST(16 * i + 1 AS INT), 16) AS c FROM {f}, LATERAL (SELECT unnest(generate_series(0, 5)) AS i) y WHERE i < r1_len // 16 UNION SELECT DISTINCT id, substr(tag_r1, 9, 6), substr(tag_r2, CAST(16 * i + 1 AS INT), 16) FROM {f}, LATERAL (SELECT unnest(generate_series(0, 5)) AS i) y WHERE i < r2_len // 16)"
 _DIFF = " + ".join(f"CAST(m.tag_r{e}[{i}:{i}] <> l.tag_r{e}[{i}:{i}] AS INT)" for e in (1, 2) for i in range(1, 97))
-_MATCH = f"""WITH {_LIB}, {_MUT}, {_CHUNK.format(n='qc', f='mut')}, {_CHUNK.format(n='lc', f='lib')}, often AS (SELECT g, c FROM lc GROUP BY 1, 2 HAVING COUNT(*) > 1000),
-cand AS (SELECT DISTINCT qc.id AS query_id, lc.id AS library_id FROM qc JOIN lc ON qc.g = lc.g AND qc.c = lc.c LEFT JOIN often o ON o.g = lc.g AND o.c = lc.c WHERE o.g IS NULL),
+_MATCH = f"""WITH {_LIB}, {_MUT}, {_CHUNK.format(n='qc', f='mut')}, {_CHUNK.format(n='lc', f='lib')},
+cand AS (SELECT DISTINCT qc.id AS query_id, lc.id AS library_id FROM qc JOIN lc ON qc.g = lc.g AND qc.c = lc.c),
 d AS (SELECT query_id, library_id, CAST({_DIFF} AS INT) AS diff FROM cand JOIN mut m ON m.id = query_id JOIN lib l ON l.id = library_id)"""
 
 
@@ -159,6 +159,9 @@ _ALTS = "alts AS (SELECT * FROM (SELECT chrom, pos, allele, row_number() OVER (P
 _COLUMNS = "cells AS (SELECT d.sample, d.chrom, d.pos, CAST(COALESCE(SUM(depth) FILTER (d.allele = 'A'), 0) AS BIGINT) AS r0, CAST(COALESCE(SUM(depth) FILTER (k = 1), 0) AS BIGINT) AS r1, CAST(COALESCE(SUM(depth) FILTER (k = 2), 0) AS BIGINT) AS r2 FROM depth d LEFT JOIN alts a ON a.chrom = d.chrom AND a.pos = d.pos AND a.allele = d.allele WHERE EXISTS (SELECT 1 FROM alts b WHERE b.chrom = d.chrom AND b.pos = d.pos) GROUP BY 1, 2, 3)"
 
 
+_SITES = "SELECT chrom, pos, CAST(SUM(r0 + r1 + CASE WHEN many > 1 THEN r2 ELSE 0 END) AS BIGINT) AS dp, concat_ws(',', CAST(SUM(r0) AS BIGINT), CAST(SUM(r1) AS BIGINT), CAST(SUM(r2) AS BIGINT)) AS ad, concat_ws(',', COUNT(*) FILTER (r0 > 0), COUNT(*) FILTER (r1 > 0), COUNT(*) FILTER (r2 > 0)) AS ap FROM cells JOIN (SELECT chrom, pos, COUNT(*) AS many FROM alts GROUP BY 1, 2) m USING (chrom, pos) GROUP BY 1, 2"
+
+
 def _gbs_vcf(t: Tables) -> DataFrame:
     return gbs.gbs_vcf(_depths(t), gbs.site_alleles(_depths(t), _base_sites(t))).drop("samples", "ns")
 
@@ -166,12 +169,19 @@ def _gbs_vcf(t: Tables) -> DataFrame:
 def _retrieved(t: Tables) -> DataFrame:
     samples = t("tags").groupBy("sample", "tag_r1", "tag_r2", "r1_len", "r2_len").agg(F.sum("read_count").alias("read_count")).withColumn("id", F.concat("tag_r1", "tag_r2"))
     lib = _library(t)
-    place = (F.crc32(F.col("id").cast("binary")) % 1_000_003).cast("int")
+    place = F.translate(F.substring("tag_r1", 1, 9), "ACGT", "1234").cast("int")
     alleles = lib.select(F.col("id").alias("library_id"), F.lit(1).alias("end"), F.lit(20).alias("read_pos"), F.substring("tag_r1", 20, 1).alias("base"), F.lit(1).alias("chrom"), place.alias("pos"), F.substring("tag_r1", 20, 1).alias("allele"))
     catalogue = alleles.select("chrom", "pos").distinct().withColumn("ref", F.lit("A"))
     return gbs.retrieve(samples, lib, alleles, catalogue).select("chrom", "pos", "dp", "ad", "ap")
 
 
+_SAMPLES = f"{_LIB}, samp AS (SELECT sample, tag_r1, tag_r2, tag_r1 || tag_r2 AS id, r1_len, r2_len, SUM(read_count) AS read_count FROM tags GROUP BY 1, 2, 3, 4, 5, 6), mut AS (SELECT DISTINCT id, tag_r1, tag_r2 FROM samp), {_CHUNK.format(n='qc', f='samp')}, {_CHUNK.format(n='lc', f='lib')}"
+_CHOSEN = f"""cand AS (SELECT DISTINCT qc.id AS query_id, lc.id AS library_id FROM qc JOIN lc ON qc.g = lc.g AND qc.c = lc.c),
+d AS (SELECT query_id, library_id, CAST({_DIFF} AS INT) AS diff FROM cand JOIN mut m ON m.id = query_id JOIN lib l ON l.id = library_id),
+chosen AS (SELECT query_id, MIN(library_id) AS library_id FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY diff) AS k FROM d WHERE diff <= 3) x WHERE k = 1 AND query_id[20:20] = library_id[20:20] GROUP BY 1),
+depth AS (SELECT sample, 1 AS chrom, CAST(translate(library_id[1:9], 'ACGT', '1234') AS INT) AS pos, library_id[20:20] AS allele, CAST(SUM(read_count) AS BIGINT) AS depth FROM samp JOIN chosen ON query_id = id GROUP BY 1, 2, 3, 4)"""
+
+
 B: dict[str, Entry] = {
     "B1": (lambda t: _demultiplexed(t).select("read_id", "taxon", "barcode_r1", "barcode_r2"), duckdb(f"WITH {_DEMUX} SELECT read_id, taxon, barcode_r1, barcode_r2 FROM demux", "read_pairs")),
     "B2": (lambda t: _trimmed(t).select("read_id", "tag_r1", "tag_r2"), duckdb(f"WITH {_DEMUX}, {_CUT} SELECT read_id, tag_r1, tag_r2 FROM good", "read_pairs")),
@@ -185,8 +195,8 @@ B: dict[str, Entry] = {
     "B13": (lambda t: gbs.choose_match(gbs.match_tags(_mutated(t), _library(t)), _mutated(t), _recorded(t)), duckdb(f"{_MATCH} SELECT query_id, MIN(library_id) AS library_id FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY diff) AS k FROM d WHERE diff <= 7) x JOIN mut m ON m.id = query_id JOIN lib l ON l.id = library_id WHERE k = 1 AND m.tag_r1[20:20] = l.tag_r1[20:20] GROUP BY 1", "tags")),
     "B14": (_depths, f"WITH {_DEPTH} SELECT * FROM depth"),
     "B15": (lambda t: gbs.site_alleles(_depths(t), _base_sites(t)).withColumn("alts", F.array_join("alts", ",")), f"WITH {_DEPTH}, {_ALTS} SELECT chrom, pos, 'A' AS ref, string_agg(allele, ',' ORDER BY k) AS alts FROM alts GROUP BY 1, 2"),
-    "B16": (_gbs_vcf, f"WITH {_DEPTH}, {_ALTS}, {_COLUMNS} SELECT chrom, pos, CAST(SUM(r0 + r1 + CASE WHEN many > 1 THEN r2 ELSE 0 END) AS BIGINT) AS dp, concat_ws(',', CAST(SUM(r0) AS BIGINT), CAST(SUM(r1) AS BIGINT), CAST(SUM(r2) AS BIGINT)) AS ad, concat_ws(',', COUNT(*) FILTER (r0 > 0), COUNT(*) FILTER (r1 > 0), COUNT(*) FILTER (r2 > 0)) AS ap FROM cells JOIN (SELECT chrom, pos, COUNT(*) AS many FROM alts GROUP BY 1, 2) m USING (chrom, pos) GROUP BY 1, 2"),
-    "B17": (_retrieved, None),
+    "B16": (_gbs_vcf, f"WITH {_DEPTH}, {_ALTS}, {_COLUMNS} {_SITES}"),
+    "B17": (_retrieved, duckdb(f"WITH {_SAMPLES}, {_CHOSEN}, {_ALTS}, {_COLUMNS} {_SITES}", "tags")),
 }
 
 
