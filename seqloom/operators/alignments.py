@@ -65,12 +65,16 @@ def primary(df: DataFrame, drop_secondary: bool = True) -> DataFrame:
     return rows.where(~flag("secondary")) if drop_secondary else rows
 
 
+#: Columns that settle the order of records of one query at one place.
+_TIES = ("flag", "mapq", "cigar")
+
+
 def sort_by_hit(df: DataFrame) -> DataFrame:
-    return df.orderBy("chrom", "start_pos", "query")
+    return df.orderBy("chrom", "start_pos", "query", *[c for c in _TIES if c in df.columns])
 
 
 def sort_by_query(df: DataFrame) -> DataFrame:
-    return df.orderBy("query", "chrom", "start_pos")
+    return df.orderBy("query", "chrom", "start_pos", *[c for c in _TIES if c in df.columns])
 
 
 def queries(df: DataFrame) -> DataFrame:

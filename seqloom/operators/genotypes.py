@@ -169,7 +169,7 @@ def sort_sites(df: DataFrame) -> DataFrame:
 
 
 def sort_taxa(df: DataFrame) -> DataFrame:
-    return df.orderBy("taxon", *_SITE)
+    return df.orderBy("taxon", *_SITE, *[c for c in ("a1", "a2") if c in df.columns])
 
 
 def with_site_index(sites: DataFrame) -> DataFrame:

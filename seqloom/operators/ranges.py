@@ -12,6 +12,9 @@ BIN = 1 << 10
 MOST_BINS = 64
 _WIDE = BIN * MOST_BINS
 
+#: Windows whose sums are carried on in one task.
+STRETCH = 1 << 14
+
 
 def _ends(prefix: str) -> tuple[Column, Column, Column]:
     return F.col(f"{prefix}chrom"), F.col(f"{prefix}start_pos"), F.col(f"{prefix}end_pos")
@@ -142,7 +145,7 @@ def with_size(ranges: DataFrame) -> DataFrame:
 
 
 def sort_by_size(ranges: DataFrame) -> DataFrame:
-    return with_size(ranges).orderBy("size", "chrom", "start_pos")
+    return with_size(ranges).orderBy("size", "chrom", "start_pos", "end_pos")
 
 
 def sort_by_start(ranges: DataFrame) -> DataFrame:
@@ -201,15 +204,36 @@ def window_sums(values: DataFrame, windows: DataFrame, size: int, step: int) ->
 
 
 def window_coverage(ranges: DataFrame, windows: DataFrame, size: int, step: int) -> DataFrame:
-    """Positions of each window that ranges cover, once for each range."""
-    start, last = F.col("start_pos"), F.col("end_pos") - 1
-    first = F.greatest(F.lit(0), F.floor((start - 1 - size) / step) + 1)
-    final = F.floor((last - 1) / step)
-    rows = ranges.where("start_pos < end_pos").where(first <= final).withColumn("__w", F.explode(F.sequence(first, final)))
-    rows = rows.withColumn("win_start", (F.col("__w") * step + 1).cast("int"))
-    shared = F.least("end_pos", F.col("win_start") + size) - F.greatest("start_pos", "win_start")
-    got = rows.groupBy("chrom", "win_start").agg(F.sum(F.greatest(shared, F.lit(0))).alias("covered"))
-    return windows.join(got, ["chrom", "win_start"], "left").select("chrom", "win_start", "win_end", F.coalesce("covered", F.lit(0)).alias("covered"))
+    """Positions of each window that ranges cover, once for each range.
+
+    With w = 1 at a range's start and -1 at its end, what ranges cover before a
+    position x is the sum of w (x - p) over the events p before x; a window
+    covers the difference of that at its two ends. Events are summed by the
+    first window whose start, or end, lies behind them, so a range makes four
+    rows however long it is. Sums run over STRETCH windows at a time, to which
+    those of the stretches before are added.
+    """
+    event = F.explode(F.array(F.struct(F.col("start_pos").cast("bigint").alias("p"), F.lit(1).alias("w")), F.struct(F.col("end_pos").cast("bigint").alias("p"), F.lit(-1).alias("w"))))
+    events = ranges.where("start_pos < end_pos").select("chrom", event.alias("e")).select("chrom", "e.p", "e.w")
+    behind = lambda p: F.greatest(F.lit(0), F.floor((p - 1) / step) + 1)
+    sides = F.explode(F.array(F.struct(behind(F.col("p")).alias("k"), F.lit(-1).alias("side")), F.struct(behind(F.col("p") - size).alias("k"), F.lit(1).alias("side"))))
+    rows = events.select("chrom", "p", "w", sides.alias("s")).select("chrom", "p", "w", "s.*")
+    names = ["w_start", "p_start", "w_end", "p_end"]
+    sums = [F.sum(F.when(F.col("side") == side, F.col("w") * v).otherwise(0)).alias(n) for (side, v), n in zip(((-1, 1), (-1, F.col("p")), (1, 1), (1, F.col("p"))), names, strict=True)]
+    cells = rows.groupBy("chrom", "k").agg(*sums).withColumn("at", F.lit(None).cast("struct<win_start:int,win_end:int>"))
+    at = F.struct(F.col("win_start").cast("int").alias("win_start"), F.col("win_end").cast("int").alias("win_end")).alias("at")
+    asked = windows.select("chrom", F.floor((F.col("win_start") - 1) / step).alias("k"), *[F.lit(0).cast("bigint").alias(n) for n in names], at)
+    stretch = F.floor(F.col("k") / STRETCH).alias("stretch")
+    rows = cells.unionByName(asked).withColumn("stretch", stretch)
+    before = Window.partitionBy("chrom").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("chrom", "stretch").agg(*[F.sum(n).alias(n) for n in names])
+    offsets = sums.select("chrom", "stretch", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in names])
+    upto = Window.partitionBy("chrom", "stretch").orderBy("k", F.col("at").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = rows.select("chrom", "stretch", "at", *[F.sum(n).over(upto).alias(n) for n in names]).where("at is not null")
+    whole = run.join(offsets, ["chrom", "stretch"])
+    total = {n: F.col(n) + F.col(f"{n}_before") for n in names}
+    covered = F.col("at.win_end") * total["w_end"] - total["p_end"] - (F.col("at.win_start") * total["w_start"] - total["p_start"])
+    return whole.select("chrom", "at.win_start", "at.win_end", covered.cast("bigint").alias("covered"))
 
 
 def as_int(df: DataFrame, column: str) -> DataFrame:

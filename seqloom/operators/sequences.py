@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.functions.bases import count_base, decode_kmer, has_bad_base, has_n, phred, total
+from seqloom.plans.session import drop_table, write_table
 
 #: Start positions of k-mers in one row of a cut sequence, and rows that a task takes at once.
 CHUNK = 1 << 16
@@ -36,22 +37,44 @@ def base_checks(seqs: DataFrame) -> DataFrame:
 def assembly_stats(seqs: DataFrame) -> DataFrame:
     """Number, total length, N50 (the length at which the longest sequences hold over half of it) and L50 (how many they are).
 
-    Only counts by length are sorted.
+    A histogram by powers of two tells in which the half is crossed; only its
+    lengths are divided further, by 1,024 at a time, down to one length. So
+    nothing is sorted and no task sees more than its share of the lengths.
+    Without sequences there are none, of total length null.
     """
-    lengths = seqs.groupBy(F.length("seq").cast("bigint").alias("len")).agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.desc("len"))
-    run = lengths.withColumn("upto", F.sum(F.col("len") * F.col("n")).over(order)).withColumn("many", F.sum("n").over(order))
-    every = F.sum(F.col("len") * F.col("n")).over(Window.partitionBy())
-    half = run.withColumn("total", every).withColumn("half", F.floor(F.col("total") / 2))
-    over = F.col("upto") > F.col("half")
-    need = F.col("many") - F.col("n") + F.floor((F.col("half") - (F.col("upto") - F.col("len") * F.col("n"))) / F.col("len")) + 1
-    return half.agg(
-        F.sum("n").alias("n_seqs"), F.max("total").alias("total"), F.max(F.when(over, F.col("len"))).alias("n50"), F.max_by(F.when(over, need), F.when(over, F.col("len"))).cast("bigint").alias("l50")
-    )
+    spark = seqs.sparkSession
+    lengths = write_table(seqs.where("seq is not null").groupBy(F.length("seq").cast("bigint").alias("len")).agg(F.count("*").alias("n")), "lengths")
+    power = F.when(F.col("len") > 0, F.floor(F.log2(F.col("len").cast("double")))).otherwise(-1).cast("int")
+    counted = lambda rows, part: sorted(((r[0], r[1], r[2]) for r in rows.groupBy(part.alias("part")).agg(F.sum("n"), F.sum(F.col("len") * F.col("n"))).collect()), reverse=True)
+    hist = counted(lengths, power)
+    n_seqs, total = sum(h[1] for h in hist), sum(h[2] for h in hist)
+    many = upto = 0
+    low = high = None
+
+    def crossing(parts: list[tuple[int, int, int]]) -> int | None:
+        nonlocal many, upto
+        for part, n, bases in parts:
+            if upto + bases > total // 2:
+                return part
+            many, upto = many + n, upto + bases
+        return None
+
+    part = crossing(hist)
+    if part is not None:
+        low, high = (1 << part, 2 << part) if part >= 0 else (0, 1)
+        while high - low > 1:
+            width = max(1, (high - low) // 1024)
+            own = lengths.where((F.col("len") >= low) & (F.col("len") < high))
+            low += width * crossing(counted(own, F.floor((F.col("len") - low) / width)))
+            high = low + width
+        many += (total // 2 - upto) // low + 1
+    drop_table(lengths)
+    row = (n_seqs, total if hist else None, low, many if low is not None else None)
+    return spark.createDataFrame([row], "n_seqs bigint, total bigint, n50 bigint, l50 bigint")
 
 
 def sort_sequences(seqs: DataFrame, by: str = "seq_id", descending: bool = False) -> DataFrame:
-    key = {"seq_id": F.col("seq_id"), "length": F.length("seq"), "description": F.col("description") if "description" in seqs.columns else F.col("seq_id").cast("string"), "number": F.try_to_number(F.col("description"), F.lit("999999999999")) if "description" in seqs.columns else F.col("seq_id")}[by]
+    key = {"seq_id": F.col("seq_id"), "length": F.length("seq"), "description": F.col("description") if "description" in seqs.columns else F.col("seq_id").cast("string"), "number": F.col("description").try_cast("decimal(38,9)") if "description" in seqs.columns else F.col("seq_id")}[by]
     return seqs.orderBy(key.desc() if descending else key.asc(), "seq_id")
 
 

@@ -82,29 +82,67 @@ def with_row_number(df: DataFrame, order: str) -> DataFrame:
     written; the rows of the ranges before it are added, so no task holds the
     table.
     """
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id())
-    kept = write_table(ranged, "row-numbers")
+    return number_rows(df.repartitionByRange(order).sortWithinPartitions(order), "row")
+
+
+def number_rows(df: DataFrame, name: str = "place") -> DataFrame:
+    """Add ``name``, from 1, in the order in which the rows of a sorted table stand, one partition after the other.
+
+    Rows are numbered within their partition and written; the rows of the
+    partitions before it are added, so no task holds the table.
+    """
+    kept = write_table(df.withColumn("__m", F.monotonically_increasing_id()), "row-numbers")
     sizes = kept.groupBy(F.shiftright("__m", 33).alias("__b")).count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__b", before.alias("__before"))
     place = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return kept.withColumn("__b", F.shiftright("__m", 33)).join(offsets, "__b").withColumn("row", F.col("__before") + place).drop("__b", "__m", "__before")
+    return kept.withColumn("__b", F.shiftright("__m", 33)).join(offsets, "__b").withColumn(name, F.col("__before") + place).drop("__b", "__m", "__before")
 
 
-def sample_rows(df: DataFrame, n: int, replace: bool = False, seed: int = 1) -> DataFrame:
-    """``n`` rows at random by a seed. Without replacement the n of smallest random number; with it, rows by random row numbers.
+#: A prime; numbers below it are the hashes of rows.
+HASHES = (1 << 31) - 1
 
-    With replacement the table must have a unique column ``row`` from 1.
-    """
-    if not replace:
-        return df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(n).drop("__r")
-    total = df.count()
-    picks = df.sparkSession.range(n).select((F.floor(F.rand(seed) * total) + 1).cast("bigint").alias("row"))
-    return picks.join(df, "row")
+
+def seeded_hash(key: Column, seed: int) -> Column:
+    """A whole number below HASHES for a whole number and a seed, the same on every engine with 64-bit integers."""
+    x = (F.pmod(key.cast("bigint"), F.lit(HASHES)) * 48_271 + seed % HASHES * 16_807 + 12_345) % HASHES
+    x = (x.bitwiseXOR(F.shiftright(x, 15)) * 69_621 + 7) % HASHES
+    return (x.bitwiseXOR(F.shiftright(x, 13)) * 39_373 + 11) % HASHES
 
 
-def shuffled(df: DataFrame, seed: int = 1) -> DataFrame:
-    return df.orderBy(F.rand(seed))
+def sample_rows(df: DataFrame, n: int, key: str, replace: bool = False, seed: int = 1) -> DataFrame:
+    """``n`` rows at random by a seed, the same however the table is dealt; all rows where it has fewer and none is replaced.
+
+    ``key`` is a unique column of whole numbers. Without replacement the rows
+    with the n smallest hashes of key and seed are taken, equal ones by key:
+    histograms of the hash by its upper and lower bits tell below which value
+    all are, so only those of one value are sorted. With replacement n draws
+    name rows by their number in the order of the key.
+    """
+    if replace:
+        total = df.count()
+        draw = F.floor(seeded_hash(F.col("id"), seed) * F.lit(total) / F.lit(HASHES)).cast("bigint") + 1
+        return df.sparkSession.range(n if total else 0).select(draw.alias("row")).join(with_row_number(df, key), "row").drop("row")
+    rows = df.withColumn("__h", seeded_hash(F.col(key), seed))
+    low, left = 0, n
+    for bits in (20, 10, 0):
+        width = 1 << bits
+        own = rows.where((F.col("__h") >= low) & (F.col("__h") < low + 2048 * width))
+        parts = sorted((r[0], r[1]) for r in own.groupBy(F.floor((F.col("__h") - low) / width).cast("int").alias("part")).count().collect())  # at most 2,048
+        for part, many in parts:
+            if many > left:
+                low += part * width
+                break
+            left -= many
+        else:
+            return rows.drop("__h")
+    last = rows.where(F.col("__h") == low).orderBy(key).limit(left)
+    return rows.where(F.col("__h") < low).unionByName(last).drop("__h")
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 1) -> DataFrame:
+    """Rows in a random order that a seed and the key repeat."""
+    return df.orderBy(seeded_hash(F.col(key), seed), key)
 
 
 def rank_values(df: DataFrame, key: str, value: str, index: str, descending: bool = False) -> DataFrame:

@@ -171,11 +171,18 @@ def _ranges(t: Tables) -> DataFrame:
     return tables.read_ranges(t.spark, path, 4)
 
 
+def _hash_sql(key: str, seed: int) -> str:
+    p = plain.HASHES
+    first = f"((CAST({key} AS BIGINT) % {p} * 48271 + {seed} * 16807 + 12345) % {p})"
+    second = f"((xor({first}, {first} >> 15) * 69621 + 7) % {p})"
+    return f"((xor({second}, {second} >> 13) * 39373 + 11) % {p})"
+
+
 def _germplasm(t: Tables) -> DataFrame:
     c = t("customer").select(F.concat(F.lit("G"), "c_custkey").alias("GID"), "c_name", F.col("c_mktsegment").alias("a"), F.lit("x").alias("b"), F.col("c_nationkey").alias("c"), F.lit("no").alias("d"), F.lit("shelf").alias("e"))
     path = scratch_path(t.spark, "germplasm")
     tables.write_table_text(c, path)
-    return tables.read_germplasm(t.spark, path)
+    return plain.number_rows(tables.read_germplasm(t.spark, path))
 
 
 def _depth_stats(t: Tables) -> DataFrame:
@@ -259,7 +266,7 @@ ENTRIES: dict[str, Entry] = {
     "S15": (_models, duckdb("SELECT gene, t.transcript, t.start_pos, t.end_pos, CAST(COUNT(f.kind) AS INT) AS n_features FROM transcripts t LEFT JOIN features f ON f.transcript = t.transcript GROUP BY 1, 2, 3, 4", "transcripts", "features")),
     "S15_text": (_model_text, duckdb(_MODEL_TEXT, "genes", "transcripts", "features")),
     "S17": (_ranges, duckdb("SELECT * FROM ranges", "ranges")),
-    "S20": (_germplasm, "SELECT 'G' || c_custkey AS gid, c_name AS accession, c_mktsegment AS chinese_name, 'x' AS english_name, CAST(c_nationkey AS STRING) AS taxa_name, 'no' AS contamination, 'shelf' AS seed_storage FROM customer"),
+    "S20": (_germplasm, "SELECT 'G' || c_custkey AS gid, c_name AS accession, c_mktsegment AS chinese_name, 'x' AS english_name, CAST(c_nationkey AS STRING) AS taxa_name, 'no' AS contamination, 'shelf' AS seed_storage, row_number() OVER (ORDER BY 'G' || c_custkey) AS place FROM customer"),
     "S21_matrix": (_matrix_text, duckdb(_MATRIX_TEXT, "genotypes")),
     "S21": (_depth_stats, duckdb("SELECT chrom, pos, CAST(SUM(depth) AS BIGINT) AS total, MAX(depth) AS deepest FROM depths GROUP BY 1, 2", "depths")),
     "V1": (_counted, _V1),
@@ -268,5 +275,7 @@ ENTRIES: dict[str, Entry] = {
     "B6": (_tag_reads, duckdb(_B6, "tags")),
     "B7": (lambda t: gbs.tag_snps(_ends(t)), f"WITH {_ENDS} SELECT query, chrom, CAST(s1 + 4 AS INT) AS pos, 'A' AS ref, 'C' AS alt FROM e"),
     "B10": (lambda t: gbs.tag_alleles(_ends(t), _catalogue(t)), _B10),
-    "U2": (lambda t: plain.sample_rows(t("orders").select("o_orderkey"), 500), None),
+    "U2": (lambda t: plain.sample_rows(t("orders").select("o_orderkey", "o_custkey"), 500, "o_orderkey", seed=7), f"SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY {_hash_sql('o_orderkey', 7)}, o_orderkey) AS k FROM orders) x WHERE k <= 500"),
+    "U2_replaced": (lambda t: plain.sample_rows(t("orders").select("o_orderkey"), 2000, "o_orderkey", True, seed=7), f"SELECT o_orderkey FROM range(2000) d(id) JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) o ON k = 1 + CAST(floor({_hash_sql('id', 7)} * (SELECT COUNT(*) FROM orders) / 2147483647) AS BIGINT)"),
+    "U2_shuffled": (lambda t: plain.number_rows(plain.shuffled(t("orders").select("o_orderkey"), "o_orderkey", 3)), f"SELECT o_orderkey, row_number() OVER (ORDER BY {_hash_sql('o_orderkey', 3)}, o_orderkey) AS place FROM orders"),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import bases
 from seqloom.operators import coordinates, depth, genes, kmers, ranges, sequences
+from seqloom.operators.tables import number_rows
 from seqloom.plans.fixtures import Build, Tables, duckdb
 from seqloom.plans.session import write_table
 
@@ -53,13 +54,14 @@ R: dict[str, Entry] = {
     "R6": (lambda t: ranges.first_range_at(t("ranges"), t("positions")), duckdb("SELECT chrom, pos, start_pos, end_pos FROM (SELECT p.chrom, p.pos, r.start_pos, r.end_pos, row_number() OVER (PARTITION BY p.chrom, p.pos ORDER BY r.start_pos, r.end_pos) AS k FROM (SELECT DISTINCT chrom, pos FROM positions) p LEFT JOIN ranges r ON p.chrom = r.chrom AND r.start_pos <= p.pos AND p.pos < r.end_pos) x WHERE k = 1", "ranges", "positions")),
     "R7": (lambda t: ranges.merge_overlaps(t("ranges"), stretch=1 << 14), duckdb(_ISLANDS, "ranges")),
     "R8": (lambda t: ranges.chroms(t("ranges")), duckdb("SELECT chrom, COUNT(*) AS n_ranges, MIN(start_pos) AS first_start, MAX(end_pos) AS last_end FROM ranges GROUP BY 1", "ranges")),
-    "R9": (lambda t: ranges.sort_by_size(t("ranges")).select("chrom", "start_pos", "size"), duckdb("SELECT chrom, start_pos, end_pos - start_pos AS size FROM ranges", "ranges")),
+    "R9": (lambda t: number_rows(ranges.sort_by_size(t("ranges"))).select("chrom", "start_pos", "size", "place"), duckdb("SELECT chrom, start_pos, end_pos - start_pos AS size, row_number() OVER (ORDER BY end_pos - start_pos, chrom, start_pos) AS place FROM ranges", "ranges")),
     "R10": (lambda t: ranges.remove_ranges(ranges.union_ranges(t("ranges"), t("ranges")), t("ranges").where("chrom = 3")), duckdb("SELECT * FROM (SELECT * FROM ranges UNION ALL SELECT * FROM ranges) u WHERE NOT EXISTS (SELECT 1 FROM ranges r WHERE r.chrom = 3 AND r.chrom = u.chrom AND r.start_pos = u.start_pos AND r.end_pos = u.end_pos)", "ranges")),
     "R11": (_windows, duckdb(f"WITH {_windows_sql(SIZE, STEP)} SELECT * FROM w", "chrom_lengths")),
     "R12": (lambda t: ranges.window_counts(t("positions"), _windows(t), SIZE, STEP), _window_sql("COUNT(p.pos) AS n", SIZE, STEP)),
     "R12_uneven": (lambda t: ranges.window_counts(t("positions"), _windows(t, UNEVEN_SIZE, UNEVEN_STEP), UNEVEN_SIZE, UNEVEN_STEP), _window_sql("COUNT(p.pos) AS n", UNEVEN_SIZE, UNEVEN_STEP)),
     "R13": (lambda t: ranges.window_sums(t("positions"), _windows(t), SIZE, STEP).withColumn("total", F.round("total", 4)), _window_sql("round(COALESCE(SUM(p.value), 0), 4) AS total", SIZE, STEP)),
     "R14": (lambda t: ranges.window_coverage(t("ranges"), _windows(t), SIZE, STEP), _window_sql("CAST(COALESCE(SUM(CASE WHEN p.chrom IS NOT NULL THEN least(p.end_pos, win_end) - greatest(p.start_pos, win_start) END), 0) AS BIGINT) AS covered", SIZE, STEP, "ranges")),
+    "R14_uneven": (lambda t: ranges.window_coverage(t("ranges"), _windows(t, UNEVEN_SIZE, UNEVEN_STEP), UNEVEN_SIZE, UNEVEN_STEP), _window_sql("CAST(COALESCE(SUM(CASE WHEN p.chrom IS NOT NULL THEN least(p.end_pos, win_end) - greatest(p.start_pos, win_start) END), 0) AS BIGINT) AS covered", UNEVEN_SIZE, UNEVEN_STEP, "ranges")),
     "R15": (lambda t: ranges.as_int(ranges.window_sums(t("positions").withColumn("value", F.floor("value") + 0.5), _windows(t), SIZE, STEP), "total"), _window_sql("CAST(trunc(COALESCE(SUM(floor(p.value) + 0.5), 0)) AS BIGINT) AS total", SIZE, STEP)),
 }
 
@@ -116,7 +118,7 @@ A: dict[str, Entry] = {
            duckdb(f"WITH {_CHROMOSOME}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY end_pos - start_pos DESC, transcript) AS k FROM transcripts) z WHERE k = 1), b AS (SELECT l.gene, l.strand, string_agg(substr(c.seq, f.start_pos, f.end_pos - f.start_pos), '' ORDER BY f.start_pos, f.end_pos) AS s FROM l JOIN (SELECT DISTINCT * FROM features WHERE kind = 'CDS') f ON f.transcript = l.transcript JOIN chroms c ON c.chrom = f.chrom GROUP BY 1, 2) SELECT gene, CASE WHEN strand = 1 THEN s ELSE {_RC.format('s')} END AS seq FROM b", "transcripts", "features", "chrom_lengths")),
     "A9_genes": (lambda t: genes.gene_sequences(t("genes"), _chromosome(t), 1 << 16),
                  duckdb(f"WITH {_CHROMOSOME}, b AS (SELECT gene, strand, substr(seq, start_pos, end_pos - start_pos) AS s FROM genes g JOIN chroms c ON c.chrom = g.chrom) SELECT gene, CASE WHEN strand = 1 THEN s ELSE {_RC.format('s')} END AS seq FROM b", "genes", "chrom_lengths")),
-    "A10": (lambda t: genes.sort_genes(t("genes"), "start"), duckdb("SELECT * FROM genes", "genes")),
+    "A10": (lambda t: number_rows(genes.sort_genes(t("genes"), "start")), duckdb("SELECT *, row_number() OVER (ORDER BY chrom, start_pos, gene) AS place FROM genes", "genes")),
 }
 
 K = 16
@@ -177,7 +179,7 @@ Q: dict[str, Entry] = {
     "Q4": (lambda t: t("seqs").select("seq_id", bases.reverse_complement(F.col("seq")).alias("rc"), bases.reverse_complement(bases.subseq(F.col("seq"), 3, 30)).alias("rc_part")), duckdb(f"SELECT seq_id, {_RC.format('seq')} AS rc, {_RC.format('seq[4:30]')} AS rc_part FROM seqs", "seqs")),
     "Q5": (lambda t: sequences.base_checks(t("seqs")), duckdb("SELECT seq_id, contains(seq, 'N') AS has_n, regexp_matches(seq, '[^ACGTN]') AS has_bad FROM seqs", "seqs")),
     "Q6": (lambda t: sequences.assembly_stats(t("seqs")), duckdb("WITH l AS (SELECT CAST(length(seq) AS BIGINT) AS len, row_number() OVER (ORDER BY length(seq) DESC) AS k FROM seqs), c AS (SELECT *, SUM(len) OVER (ORDER BY k) AS upto, SUM(len) OVER () AS total FROM l) SELECT (SELECT COUNT(*) FROM l) AS n_seqs, CAST(MAX(total) AS BIGINT) AS total, first(len ORDER BY k) AS n50, MIN(k) AS l50 FROM c WHERE upto > floor(total / 2)", "seqs")),
-    "Q7": (lambda t: sequences.sort_sequences(t("seqs"), "length", True).select("seq_id", F.length("seq").alias("len")), duckdb("SELECT seq_id, CAST(length(seq) AS INT) AS len FROM seqs", "seqs")),
+    "Q7": (lambda t: number_rows(sequences.sort_sequences(t("seqs"), "length", True).select("seq_id", F.length("seq").alias("len"))), duckdb("SELECT seq_id, CAST(length(seq) AS INT) AS len, row_number() OVER (ORDER BY length(seq) DESC, seq_id) AS place FROM seqs", "seqs")),
     "Q8": (_codes, duckdb(f"WITH {_KMERS.format(k=12)} SELECT seq_id, COUNT(*) AS n, CAST(SUM({_ENCODE}) AS BIGINT) AS codes, CAST(SUM({_ENCODE}) AS BIGINT) AS again, CAST(SUM({_COMPLEMENT}) AS BIGINT) AS complements, MAX(kmer) AS last_kmer FROM k GROUP BY 1", "seqs")),
     "Q9": (lambda t: _two(t).select("seq_id", "part", bases.hamming(F.col("a"), F.col("b")).alias("diff"), bases.hamming(F.col("a"), F.col("b"), 20).alias("limited")), duckdb(f"SELECT seq_id, part, CAST(d AS INT) AS diff, CAST(CASE WHEN d > 20 THEN 32 ELSE d END AS INT) AS limited FROM (SELECT seq_id, part, {_DIFF} AS d FROM (SELECT seq_id, CAST(j AS INT) AS part, substr(seq, j * 32 + 1, 32) AS a, substr(seq, j * 32 + 33, 32) AS b FROM seqs, LATERAL (SELECT unnest(generate_series(0, length(seq) // 32 - 2)) AS j) y WHERE length(seq) >= 64) z) x", "seqs")),
     "Q10": (lambda t: _spelled(kmers.library_codes(kmers.kmer_library(t("seqs"), K)), K), duckdb(f"WITH {_KMERS.format(k=K)} SELECT DISTINCT kmer FROM k", "seqs")),

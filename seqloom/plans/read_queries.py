@@ -66,7 +66,7 @@ L: dict[str, Entry] = {
     "L2": (lambda t: al.cigar_end(t("alignments")).select("query", "ln", "end_pos"), duckdb(f"SELECT query, ln, {_END} AS end_pos FROM alignments", "alignments")),
     "L3": (lambda t: _aligned(t).select("query", "ln", "match", "align_len", "strand"), duckdb(f"SELECT query, ln, CASE WHEN {_MAPPED} THEN {_LEN.format('M')} END AS match, CASE WHEN {_MAPPED} THEN {_LEN.format('MDN=X')} END AS align_len, CASE WHEN {_MAPPED} THEN CASE WHEN (flag & 16) <> 0 THEN 0 ELSE 1 END END AS strand FROM alignments", "alignments")),
     "L4": (_edits, duckdb(f"SELECT query, ln, mapq % 6 AS edit, CASE WHEN {_MAPPED} THEN round((mapq % 6) / nullif({_LEN.format('M')}, 0), 6) END AS edit_ratio FROM alignments", "alignments")),
-    "L5": (lambda t: al.sort_by_hit(al.primary(t("alignments"))), duckdb("SELECT * FROM alignments WHERE (flag & 2048) = 0 AND (flag & 256) = 0", "alignments")),
+    "L5": (lambda t: tables.number_rows(al.sort_by_hit(al.primary(t("alignments")))), duckdb("SELECT *, row_number() OVER (ORDER BY chrom, start_pos, query, flag, mapq, cigar) AS place FROM alignments WHERE (flag & 2048) = 0 AND (flag & 256) = 0", "alignments")),
     "L6": (lambda t: al.queries(t("alignments")).select("query", F.lit(None).cast("int").alias("hit")).union(al.hits(t("alignments")).select(F.lit(None).cast("string"), "chrom")), duckdb(f"SELECT DISTINCT query, CAST(NULL AS INT) AS hit FROM alignments UNION ALL SELECT DISTINCT CAST(NULL AS STRING), chrom FROM alignments WHERE {_MAPPED}", "alignments")),
     "L7": (lambda t: al.count_by_query(t("alignments")), duckdb(f"SELECT query, COUNT(*) FILTER ({_MAPPED}) AS n FROM alignments GROUP BY 1", "alignments")),
     "L7_hits": (lambda t: al.count_by_hit(t("alignments")), duckdb(f"SELECT chrom, COUNT(*) AS n FROM alignments WHERE {_MAPPED} GROUP BY 1", "alignments")),
@@ -216,12 +216,23 @@ def _t3(t: Tables) -> DataFrame:
     return tables.replace_cells(fewer, df.where("nation = '5'").withColumn("mixed", F.lit("changed")), ["id"], "mixed")
 
 
+def _table_files(t: Tables) -> DataFrame:
+    """The rows of one nation in a gzipped file, all others in a plain one, read again and sorted."""
+    parts = []
+    for zipped, keep in ((True, F.col("nation") == "3"), (False, F.col("nation") != "3")):
+        path = scratch_path(t.spark, "table")
+        sheets.write_table_text(_text(t), path, keep, gzip=zipped)
+        parts.append(sheets.read_table(t.spark, path).withColumn("zipped", F.lit(zipped)))
+    return tables.number_rows(tables.sort_number(tables.add_rows(*parts), "mixed", "id"))
+
+
 T: dict[str, Entry] = {
     "T1": (lambda t: _text(t).select("id", tables.typed("mixed", "int").alias("as_int"), tables.typed("mixed", "double").alias("as_double")), f"SELECT id, TRY_CAST(mixed AS INT) AS as_int, TRY_CAST(mixed AS DOUBLE) AS as_double FROM ({_TEXT}) x"),
     "T2": (lambda t: tables.replace_column(tables.remove_column(tables.insert_column(_text(t), 1, "len", F.length("c_name")), "c_name"), "nation", F.concat(F.lit("N"), "nation")), f"SELECT id, CAST(length(c_name) AS INT) AS len, mixed, 'N' || nation AS nation FROM ({_TEXT}) x"),
     "T3": (_t3, f"WITH x AS ({_TEXT}), u AS (SELECT * FROM x UNION ALL SELECT 'x' || id, c_name, mixed, nation FROM x) SELECT id, c_name, CASE WHEN nation = '5' AND NOT starts_with(id, 'x') THEN 'changed' ELSE mixed END AS mixed, nation FROM u WHERE NOT (nation = '7' AND NOT starts_with(id, 'x'))"),
-    "T4": (lambda t: tables.with_row_number(t("customer").select("c_custkey", "c_name"), "c_custkey"), "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS row FROM customer"),
-    "S16": (lambda t: tables.sort_number(_text(t), "mixed", "id"), _TEXT),
+    "T4": (lambda t: tables.number_rows(tables.sort_number(tables.number_rows(tables.sort_text(_text(t), "mixed", "id"), "by_text"), "mixed", "id"), "by_number"), f"SELECT *, row_number() OVER (ORDER BY mixed, id) AS by_text, row_number() OVER (ORDER BY TRY_CAST(mixed AS DOUBLE) NULLS FIRST, id) AS by_number FROM ({_TEXT}) x"),
+    "T4_rows": (lambda t: tables.with_row_number(t("customer").select("c_custkey", "c_name"), "c_custkey"), "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS row FROM customer"),
+    "S16": (_table_files, f"SELECT *, nation = '3' AS zipped, row_number() OVER (ORDER BY TRY_CAST(mixed AS DOUBLE) NULLS FIRST, id) AS place FROM ({_TEXT}) x"),
 }
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators import calling, discovery, distance, genotypes
+from seqloom.operators.tables import number_rows
 from seqloom.plans.fixtures import Build, Tables, duckdb
 
 Entry = tuple[Build, str | None]
@@ -171,7 +172,7 @@ V: dict[str, Entry] = {
            _lib_sql("SELECT chrom, pos, string_agg(concat_ws(':', allele, indel_len, taxa), ',' ORDER BY k) AS alts FROM library GROUP BY chrom, pos")),
     "V5": (lambda t: discovery.build_library(_seq_ing(t), by_seq=True).select("chrom", "pos", F.array_join(F.transform("alts", lambda a: F.concat_ws(":", a["allele"], a["indel_seq"], a["taxa"])), ",").alias("alts")),
            _ing_sql("SELECT chrom, pos, string_agg(concat_ws(':', allele, indel_seq, taxa), ',' ORDER BY k) AS alts FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos ORDER BY taxa DESC, indel_len DESC, allele DESC, indel_seq) AS k FROM (SELECT chrom, pos, allele, indel_len, CASE WHEN indel_len > 0 THEN repeat('A', indel_len + chrom % 2) ELSE '' END AS indel_seq, COUNT(*) AS taxa FROM ing GROUP BY 1, 2, 3, 4, 5) x) y WHERE k <= 2 AND taxa >= 2 GROUP BY chrom, pos")),
-    "V6": (lambda t: discovery.merge_libraries(discovery.library_text(_symbols_library(t).where("chrom <= 2")), discovery.library_text(_symbols_library(t).where("chrom > 2"))), _lib_sql(_LIB_TEXT)),
+    "V6": (lambda t: number_rows(discovery.merge_libraries(discovery.library_text(_symbols_library(t).where("chrom > 2")), discovery.library_text(_symbols_library(t).where("chrom <= 2")))), _lib_sql(f"SELECT *, row_number() OVER (ORDER BY chrom, pos) AS place FROM ({_LIB_TEXT}) z")),
     "V7": (lambda t: _customized(t), _lib_sql("SELECT p.chrom, p.pos, l.chrom IS NULL AS missing FROM (SELECT DISTINCT chrom, pos FROM sites) p LEFT JOIN (SELECT DISTINCT chrom, pos FROM library) l ON p.chrom = l.chrom AND p.pos = l.pos", "sites")),
     "V8": (lambda t: discovery.library_text(_symbols_library(t)), _lib_sql(_LIB_TEXT)),
     "V9": (lambda t: discovery.slice_region(t("symbols"), "2:100,9000"), duckdb("SELECT * FROM symbols WHERE chrom = 2 AND pos BETWEEN 100 AND 9000", "symbols")),
@@ -242,7 +243,7 @@ G: dict[str, Entry] = {
     "G13": (lambda t: genotypes.merge_by_site(t("genotypes").where("chrom <= 2"), t("genotypes").where("chrom > 2")), duckdb("SELECT * FROM genotypes", "genotypes")),
     "G14": (lambda t: genotypes.merge_by_taxon(t("genotypes").where("taxon < 'T04'"), t("genotypes").where("taxon >= 'T04'")), duckdb("SELECT * FROM genotypes", "genotypes")),
     "G15": (lambda t: genotypes.with_site_index(genotypes.sort_sites(t("sites"))).select("chrom", "pos", F.col("idx").cast("bigint").alias("idx")), duckdb("SELECT chrom, pos, row_number() OVER (ORDER BY chrom, pos) - 1 AS idx FROM sites", "sites")),
-    "G15_taxa": (lambda t: genotypes.sort_taxa(t("genotypes")), duckdb("SELECT * FROM genotypes", "genotypes")),
+    "G15_taxa": (lambda t: number_rows(genotypes.sort_taxa(t("genotypes"))), duckdb("SELECT *, row_number() OVER (ORDER BY taxon, chrom, pos, a1 NULLS FIRST, a2 NULLS FIRST) AS place FROM genotypes", "genotypes")),
     "G16": (lambda t: genotypes.chrom_bounds(t("sites")), duckdb("SELECT chrom, CAST(SUM(n) OVER (ORDER BY chrom) - n AS BIGINT) AS start_idx, CAST(SUM(n) OVER (ORDER BY chrom) AS BIGINT) AS end_idx, n AS n_sites FROM (SELECT chrom, COUNT(*) AS n FROM sites GROUP BY 1) x", "sites")),
     "G17": (lambda t: distance.ibs(t("genotypes"), "T01", "T02"), duckdb(f"SELECT x.taxon AS taxon1, y.taxon AS taxon2, COUNT(*) AS n, round(AVG({_DIST['grid']}), 6) AS dxy {_BOTH} WHERE x.taxon = 'T01' AND y.taxon = 'T02' GROUP BY 1, 2", "genotypes")),
     "G18": (lambda t: distance.ibs(t("genotypes"), "T01", "T02", t("sites").where("chrom = 2"), "rows"), duckdb(f"SELECT x.taxon AS taxon1, y.taxon AS taxon2, COUNT(*) AS n, round(AVG({_DIST['rows']}), 6) AS dxy {_BOTH} WHERE x.taxon = 'T01' AND y.taxon = 'T02' AND x.chrom = 2 GROUP BY 1, 2", "genotypes")),

@@ -228,11 +228,16 @@ def test_tags_as_fastq(spark):
 
 def test_samples_and_parts(spark):
     df = spark.range(1000)
-    a, b = ([r.id for r in tables.sample_rows(df, 50, seed=4).collect()] for _ in range(2))
-    assert sorted(a) == sorted(b) and len(set(a)) == 50
-    many = tables.sample_rows(tables.with_row_number(df, "id"), 3000, replace=True, seed=4)
+    a, b = (sorted(r.id for r in tables.sample_rows(df.repartition(n), 50, "id", seed=4).collect()) for n in (1, 16))
+    assert a == b and len(set(a)) == 50
+    assert a != sorted(r.id for r in tables.sample_rows(df, 50, "id", seed=5).collect())
+    assert [tables.sample_rows(df, n, "id").count() for n in (0, 999, 1000, 2000)] == [0, 999, 1000, 1000]
+    many, again = (tables.sample_rows(df.repartition(n), 3000, "id", replace=True, seed=4) for n in (2, 7))
     assert many.count() == 3000 and 900 < many.select("id").distinct().count() < 1000
-    assert sorted(r.id for r in tables.shuffled(df).collect()) == list(range(1000))
+    assert sorted(r.id for r in many.collect()) == sorted(r.id for r in again.collect())
+    assert tables.sample_rows(df.limit(0), 5, "id", replace=True).count() == tables.sample_rows(df.limit(0), 5, "id").count() == 0
+    mixed = [r.id for r in tables.shuffled(df.repartition(5), "id").collect()]
+    assert sorted(mixed) == list(range(1000)) and mixed != sorted(mixed) and mixed == [r.id for r in tables.shuffled(df, "id").collect()]
     parts = {r.part: r["count"] for r in tables.split_parts(spark.range(10), 4, "id").groupBy("part").count().collect()}
     assert parts == {1: 3, 2: 3, 3: 2, 4: 2}
 
