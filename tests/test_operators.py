@@ -113,7 +113,7 @@ def random_genotypes(spark, taxa=7, sites=60, seed=1):
 @pytest.mark.parametrize("kind", distance.KINDS)
 def test_gram_matrix_equals_pairs(spark, kind):
     gt = random_genotypes(spark)
-    matrix = {(r.taxon1, r.taxon2): (r.n, r.dxy) for r in distance.ibs_matrix(gt, kind, block=16).collect()}
+    matrix = {(r.taxon1, r.taxon2): (r.n, r.dxy) for r in distance.ibs_matrix(gt, kind, tile=4).collect()}
     assert len(matrix) == 49
     for a, b in (("T0", "T1"), ("T3", "T6"), ("T5", "T2")):
         pair = distance.ibs(gt, a, b, kind=kind).first()
