@@ -113,6 +113,14 @@ def _fasta(t: Tables) -> DataFrame:
     return reads.read_fasta(t.spark, path).select("description", "seq")
 
 
+def _fasta_chunks(t: Tables) -> DataFrame:
+    """Chunks of 300 bases, written as chunks and read again as those of 120."""
+    paths = [scratch_path(t.spark, "fasta") for _ in range(2)]
+    reads.write_fasta(t("seqs").select(F.concat(F.lit("seq"), "seq_id").alias("description"), "seq"), paths[0])
+    reads.write_fasta(reads.read_fasta_chunks(t.spark, paths[0], 300), paths[1])
+    return reads.read_fasta_chunks(t.spark, paths[1], 120).select("description", "chunk", "offset", "seq")
+
+
 def _fastq(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "fastq")
     rows = t("read_pairs").select(F.col("read_id").alias("record"), F.concat(F.lit("@r"), "read_id").alias("id"), F.col("seq_r1").alias("seq"), F.lit("+").alias("des"), F.rpad("qual_r1", 125, "I").alias("qual"))
@@ -258,6 +266,7 @@ ENTRIES: dict[str, Entry] = {
     "S8_blast": (_blast, _BLAST),
     "S9": (_simple_alignments, duckdb(f"SELECT query AS Query, CAST(chrom AS STRING) AS Chromosome, start_pos AS StartPos, start_pos + CAST(regexp_extract(cigar, '(\\d+)M', 1) AS INT) + CAST(regexp_extract(cigar, '(\\d+)D', 1) AS INT) AS EndPos, CASE WHEN (flag & 16) <> 0 THEN 0 ELSE 1 END AS Strand, mapq AS MappingQuality, CAST(regexp_extract(cigar, '(\\d+)M', 1) AS INT) AS MatchNumber, 0 AS EditDistance, 0 AS IfPerfectMatch FROM alignments WHERE cigar <> '*'", "alignments")),
     "S10": (_fasta, duckdb("SELECT 'seq' || seq_id AS description, seq FROM seqs", "seqs")),
+    "S10_chunks": (_fasta_chunks, duckdb("SELECT 'seq' || seq_id AS description, CAST(i AS BIGINT) AS chunk, CAST(120 * i AS BIGINT) AS offset, substr(seq, CAST(120 * i + 1 AS INT), 120) AS seq FROM seqs, LATERAL (SELECT unnest(generate_series(0, greatest((length(seq) - 1) // 120, 0))) AS i) x", "seqs")),
     "S11": (_fastq, duckdb("SELECT '@r' || read_id AS id, seq_r1 AS seq, rpad(qual_r1, 125, 'I') AS qual FROM read_pairs", "read_pairs")),
     "S12": (lambda t: tables.read_gff(t.spark, _gff(t))[1], duckdb("SELECT gene, transcript, chrom, start_pos, end_pos, strand FROM transcripts", "transcripts")),
     "S12_features": (lambda t: tables.read_gff(t.spark, _gff(t))[2], duckdb("SELECT transcript, kind, chrom, start_pos, end_pos FROM features", "features")),

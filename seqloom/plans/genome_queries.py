@@ -114,9 +114,9 @@ A: dict[str, Entry] = {
     "A7": (lambda t: genes.gene_counts(t("transcripts"), t("features")), duckdb("SELECT gene, COUNT(DISTINCT t.transcript) AS n_transcripts, COALESCE(bool_or(kind = '5UTR'), false) AS has_5utr, COALESCE(bool_or(kind = '3UTR'), false) AS has_3utr FROM transcripts t LEFT JOIN features f ON f.transcript = t.transcript GROUP BY 1", "transcripts", "features")),
     "A7_chrom": (lambda t: genes.chrom_genes(t("genes")), duckdb("SELECT chrom, COUNT(*) AS n_genes, first(gene ORDER BY start_pos, gene) AS first_gene, last(gene ORDER BY start_pos, gene) AS last_gene FROM genes GROUP BY 1", "genes")),
     "A8": (lambda t: genes.feature_strings(t("features")), duckdb("SELECT transcript, " + ", ".join(f"COALESCE(string_agg(start_pos || ':' || end_pos, ';' ORDER BY start_pos, end_pos) FILTER (kind = '{k}'), '') AS s{k.lower()}" for k in ("5UTR", "CDS", "3UTR")) + " FROM features GROUP BY 1", "features")),
-    "A9": (lambda t: genes.cds_sequences(t("transcripts"), t("features"), _chromosome(t), 1 << 16),
+    "A9": (lambda t: genes.cds_sequences(t("transcripts"), t("features"), _chromosome(t)),
            duckdb(f"WITH {_CHROMOSOME}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY end_pos - start_pos DESC, transcript) AS k FROM transcripts) z WHERE k = 1), b AS (SELECT l.gene, l.strand, string_agg(substr(c.seq, f.start_pos, f.end_pos - f.start_pos), '' ORDER BY f.start_pos, f.end_pos) AS s FROM l JOIN (SELECT DISTINCT * FROM features WHERE kind = 'CDS') f ON f.transcript = l.transcript JOIN chroms c ON c.chrom = f.chrom GROUP BY 1, 2) SELECT gene, CASE WHEN strand = 1 THEN s ELSE {_RC.format('s')} END AS seq FROM b", "transcripts", "features", "chrom_lengths")),
-    "A9_genes": (lambda t: genes.gene_sequences(t("genes"), _chromosome(t), 1 << 16),
+    "A9_genes": (lambda t: genes.gene_sequences(t("genes"), _chromosome(t)),
                  duckdb(f"WITH {_CHROMOSOME}, b AS (SELECT gene, strand, substr(seq, start_pos, end_pos - start_pos) AS s FROM genes g JOIN chroms c ON c.chrom = g.chrom) SELECT gene, CASE WHEN strand = 1 THEN s ELSE {_RC.format('s')} END AS seq FROM b", "genes", "chrom_lengths")),
     "A10": (lambda t: number_rows(genes.sort_genes(t("genes"), "start")), duckdb("SELECT *, row_number() OVER (ORDER BY chrom, start_pos, gene) AS place FROM genes", "genes")),
 }

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bases of a row of a long sequence; a multiple of the length of its lines as they are written.
+FASTA_CHUNK = 60 * 1024
+
 ALIGNMENT = "Query string, Chromosome string, StartPos int, EndPos int, Strand int, MappingQuality int, MatchNumber int, EditDistance int, IfPerfectMatch int"
 
 
@@ -89,34 +92,75 @@ def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, description, seq), plain or gzipped: a line that begins with ``>`` describes a record, those up to the next are joined; ids count from 1 in the order of files.
+def read_fasta_chunks(spark: SparkSession, path: str, size: int = FASTA_CHUNK) -> DataFrame:
+    """(seq_id, description, chunk, offset, seq), plain or gzipped: the bases of each record in upper case, ``size`` to a row; ids count from 1 in the order of files.
 
-    Headers are numbered within the splits of files, to which the headers of
-    earlier splits are added, so files are read in parallel.
+    A line that begins with ``>`` describes a record, the lines up to the next
+    one are its bases; a record without any has one empty row. Within the
+    splits of files, sums of headers and of bases since the last header give
+    each line its record and its place; what earlier splits hold is added. So
+    files are read in parallel, and no row or task ever holds a record.
     """
     head = F.col("value").startswith(">")
-    lines = _placed_lines(spark, path)
-    here = F.sum(head.cast("int")).over(Window.partitionBy("file", "block").orderBy("id"))
-    counted = _numbered(lines.withColumn("here", here), {"heads": head.cast("int")})
-    rows = counted.select((F.col("heads") + F.col("here")).alias("seq_id"), "file", "block", "id", head.alias("head"), "value").where("seq_id > 0")
-    parts = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("file", "block", "id", "value"))))
-    found = rows.groupBy("seq_id").agg(F.max(F.when(F.col("head"), F.substring("value", 2, 1 << 30))).alias("description"), parts.alias("parts"))
-    seq = F.upper(F.regexp_replace(F.array_join(F.transform("parts", lambda x: x["value"]), ""), r"\s", ""))
-    return found.select("seq_id", "description", seq.alias("seq"))
+    text = F.upper(F.regexp_replace("value", r"\s", ""))
+    lines = _placed_lines(spark, path).select("file", "block", "id", head.alias("head"), F.when(head, F.substring("value", 2, 1 << 30)).alias("description"), F.when(~head, text).alias("bases"))
+    long = F.coalesce(F.length("bases"), F.lit(0)).cast("bigint")
+    so_far = Window.partitionBy("file", "block").orderBy("id")
+    here = lines.withColumn("heads", F.sum(F.col("head").cast("bigint")).over(so_far)).withColumn("upto", F.sum(long).over(so_far))
+    since = F.max(F.when(F.col("head"), F.col("upto"))).over(so_far)
+    placed = here.withColumn("at", F.col("upto") - long - F.coalesce(since, F.lit(0)))
+    own = placed.groupBy("file", "block").agg(F.max("heads").alias("n"), F.max("upto").alias("all"), F.max(F.when(F.col("head"), F.col("upto"))).alias("last"))
+    order = Window.orderBy("file", "block")
+    until = order.rowsBetween(Window.unboundedPreceding, -1)
+    splits = own.select("file", "block", F.coalesce(F.sum("n").over(until), F.lit(0)).alias("before"), "n", (F.col("all") - F.coalesce("last", F.lit(0))).alias("left"))
+    open_record = Window.partitionBy(F.col("before") + F.col("n")).orderBy("file", "block")
+    carried = splits.withColumn("held", F.sum("left").over(open_record)).withColumn("carry", F.coalesce(F.lag("held").over(order), F.lit(0)))
+    rows = placed.join(carried.select("file", "block", "before", "carry"), ["file", "block"])
+    rows = rows.select((F.col("before") + F.col("heads")).alias("seq_id"), "description", "bases", (F.col("at") + F.when(F.col("heads") == 0, F.col("carry")).otherwise(0)).alias("at")).where("seq_id > 0")
+    data = F.coalesce("bases", F.lit("")).cast("binary")
+    first, last = F.floor(F.col("at") / size), F.floor((F.col("at") + F.greatest(F.length(data), F.lit(1)) - 1) / size)
+    cut = rows.select("seq_id", "description", "at", data.alias("data"), F.explode(F.sequence(first, last)).alias("chunk"))
+    begin = F.greatest(F.col("chunk") * size - F.col("at"), F.lit(0))
+    part = F.substring("data", (begin + 1).cast("int"), ((F.col("chunk") + 1) * size - F.col("at") - begin).cast("int")).cast("string")
+    parts = cut.select("seq_id", "chunk", "description", (F.col("at") + begin).alias("at"), part.alias("part"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "")
+    chunks = parts.groupBy("seq_id", "chunk").agg(joined.alias("seq"))
+    names = rows.where("description is not null").select("seq_id", "description")
+    return chunks.join(names, "seq_id").where("chunk = 0 OR seq <> ''").select("seq_id", "description", "chunk", (F.col("chunk") * size).alias("offset"), "seq")
+
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(seq_id, description, seq) with each record in one row, for records that a row can hold; see :func:`read_fasta_chunks`."""
+    return whole_sequences(read_fasta_chunks(spark, path))
+
+
+def whole_sequences(chunks: DataFrame) -> DataFrame:
+    """Chunks of sequences put together."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "seq")))
+    return chunks.groupBy("seq_id", "description").agg(F.array_join(F.transform(parts, lambda x: x["seq"]), "").alias("seq"))
 
 
 def fasta_lines(df: DataFrame, width: int = 60) -> DataFrame:
+    """Records as text; of a table of chunks, whose sizes must be a multiple of ``width``, only first chunks have a header."""
     body = F.rtrim(F.regexp_replace("seq", "(.{%d})" % width, "$1\n"), F.lit("\n"))
-    return df.select(*[c for c in ("chrom",) if c in df.columns], F.concat(F.lit(">"), "description", F.lit("\n"), body).alias("value"))
+    header = F.concat(F.lit(">"), "description", F.when(F.col("seq") == "", "").otherwise("\n"))
+    header = F.when(F.col("chunk") == 0, header).otherwise("") if "chunk" in df.columns else header
+    return df.select(*[c for c in ("chrom", "seq_id", "chunk") if c in df.columns], F.concat(header, body).alias("value"))
 
 
 def write_fasta(df: DataFrame, path: str, by_chrom: bool = False) -> None:
-    """Records with lines of 60 bases; with ``by_chrom`` a folder for each ``description``."""
+    """Records with lines of 60 bases; with ``by_chrom`` a folder for each ``description``.
+
+    Of chunks (seq_id, description, chunk, offset, seq) a record's follow each
+    other in order, within files and from one file to the next.
+    """
+    lines = fasta_lines(df.withColumn("chrom", F.col("description")) if by_chrom else df)
+    if "chunk" in df.columns:
+        lines = lines.repartitionByRange("seq_id", "chunk").sortWithinPartitions("seq_id", "chunk")
     if by_chrom:
-        fasta_lines(df.withColumn("chrom", F.col("description"))).write.partitionBy("chrom").text(path)
+        lines.select("chrom", "value").write.partitionBy("chrom").text(path)
     else:
-        fasta_lines(df).select("value").write.text(path)
+        lines.select("value").write.text(path)
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Golden cases of the text formats."""
 
 import gzip
+import random
 
 from pyspark.sql import functions as F
 
@@ -189,3 +190,34 @@ def test_fasta_headers_may_hold_the_sign_and_files_have_many_splits(spark, tmp_p
         assert [(r.record, r.id, r.seq, r.des, r.qual) for r in rows] == [(i + 1, f"@r{i} x", "ACGT", "+", f"III{i % 10}") for i in range(150)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_long_records_are_read_in_chunks_from_many_splits(spark, tmp_path):
+    """Records over many splits and files, lines of any length, empty records, text before the first header."""
+    rng = random.Random(8)
+    records, lines = [], ["no header yet"]
+    for i in range(12):
+        lines.append(f">r{i} > x")
+        bases = ""
+        for _ in range(rng.choice((0, 0, 1, 40))):
+            part = "".join(rng.choice("ACGTacgtN") for _ in range(rng.choice((0, 1, 7, 60, 333))))
+            lines.append(part[:5] + " \t" + part[5:])
+            bases += part.upper()
+        records.append((i + 1, f"r{i} > x", bases))
+    text = "\n".join(lines) + "\n"
+    third = text.index("\n", len(text) // 3) + 1
+    (tmp_path / "a.fa").write_text(text[:third])
+    (tmp_path / "b.fa").write_text(text[third:])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = [tuple(r) for r in reads.read_fasta_chunks(spark, str(tmp_path), 60).orderBy("seq_id", "chunk").collect()]
+        assert [tuple(r) for r in reads.read_fasta(spark, str(tmp_path)).orderBy("seq_id").collect()] == records
+    finally:
+        for name, value in zip(("maxPartitionBytes", "openCostInBytes"), before, strict=True):
+            spark.conf.set(f"spark.sql.files.{name}", value)
+    assert got == [(i, d, p // 60, p, s[p : p + 60]) for i, d, s in records for p in (range(0, len(s), 60) if s else [0])]
+    chunks = spark.createDataFrame(got, "seq_id bigint, description string, chunk bigint, offset bigint, seq string")
+    reads.write_fasta(chunks.repartition(5), str(tmp_path / "out"))
+    assert [tuple(r) for r in reads.read_fasta(spark, str(tmp_path / "out")).orderBy("seq_id").collect()] == records
