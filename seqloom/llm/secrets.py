@@ -12,6 +12,7 @@ from array import array
 from codecs import getincrementaldecoder
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
+from io import StringIO
 from itertools import chain
 
 import numpy as np
@@ -28,15 +29,17 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the same spans as runs of hex digits of which shorter ones are dropped
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-LEAST_VALUE, LEAST_ACCESS = 6, 20
+LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 #: A percent escape; the escaped percent signs before its digits unwrap with it, however many there are.
-PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})++")
 PERCENT_UNIT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
-#: A percent sign that was itself escaped, once or more. Each level is a layer of its own up to MOST_LEVELS; above, levels go at once.
+#: A percent sign that was itself escaped, once or more. Each level is a layer of its own for chains of up to LONG_CHAIN;
+#: the levels of longer ones above that go at once, between which only digits of the escape itself differ, which no layer reports.
 ESCAPED_PERCENT = re.compile(r"%(?:25)+[0-9A-Fa-f]{2}")
-ONCE_ESCAPED = re.compile(r"(%(?:25)+[0-9A-Fa-f]{2})|(?:%(?!25[0-9A-Fa-f]{2})[0-9A-Fa-f]{2})+")
-MOST_LEVELS = 16
+ONCE_ESCAPED = re.compile(r"(%(?:25)+[0-9A-Fa-f]{2})|(?:%(?!25[0-9A-Fa-f]{2})[0-9A-Fa-f]{2})++")
+LONG_CHAIN = 16
+ESCAPE_DIGITS = re.compile(r"(?<=%)(?:25)*[0-9A-Fa-f]{2}")
 #: An escape; backslashes that were doubled before it, as by JSON in JSON, unwrap with it.
 ESCAPE = re.compile(r"(?<!\\)\\+(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8})|u\{([0-9A-Fa-f]{1,6})\})")
 #: Percent escapes and the characters that are left bare between them; a bare plus is a space.
@@ -70,15 +73,24 @@ STRETCH = re.compile(r"[^\ufffd]{12,}")  # the shortest text that has, or wraps,
 Span = tuple[int, int, int]
 
 
-def scan(text: str) -> list[Span]:
-    """(start, kind, end) of each finding in a text, leftmost and without overlap within a kind."""
+def _hex_beside_escapes(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of hex digits of a layer, without the digits of percent escapes that are still to be unwrapped."""
+    for m in HEX.finditer(text):
+        escape = ESCAPE_DIGITS.match(text, m.start())
+        start = max(escape.end(), m.start()) if escape else m.start()
+        if m.end() - start >= LEAST_HEX:
+            yield start, m.end()
+
+
+def scan(text: str, layer: bool = False) -> list[Span]:
+    """(start, kind, end) of each finding in a text, leftmost and without overlap within a kind; in an unwrapped layer escapes are no hex."""
     found = []
     low = text.lower()
     if any(word in low for word in ASSIGN_WORDS):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_VALUE]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    found += [(start, 2, end) for start, end in (_hex_beside_escapes(text) if layer else map(re.Match.span, HEX.finditer(text)))]
     return sorted(found)
 
 
@@ -154,7 +166,7 @@ class Unwrapper:
         while self.work:
             layer = self.work.pop()
             if self.layers:
-                for start, kind, end in scan(layer.text):
+                for start, kind, end in scan(layer.text, True):
                     a, b = layer.span(start, end)
                     self.spans.add((a, kind, b))
             self.layers += 1
@@ -176,16 +188,20 @@ class Unwrapper:
             self.seen[key] = None
             self.work.append(layer)
 
-    def _rewrite(self, layer: Layer, pattern: re.Pattern, decode: Callable[[re.Match], tuple[str, list[int], list[int]]]) -> None:
-        """The layer with every match of ``pattern`` decoded in place."""
+    def _rewrite(self, layer: Layer, pattern: re.Pattern, decode: Callable[[re.Match], tuple[str, np.ndarray | None, np.ndarray | None]]) -> None:
+        """The layer with every match of ``pattern`` decoded in place; without places a match became one character."""
         out: list[str] = []
         begin, end = array("i"), array("i")
         at = 0
         for m in pattern.finditer(layer.text):
             text, starts, ends = decode(m)
             out += [layer.text[at : m.start()], text]
-            begin.extend(starts)
-            end.extend(ends)
+            if starts is None:
+                begin.append(m.start())
+                end.append(m.end())
+            else:
+                begin.frombytes(starts.astype(np.int32).tobytes())
+                end.frombytes(ends.astype(np.int32).tobytes())
             at = m.end()
         if at:
             out.append(layer.text[at:])
@@ -213,7 +229,7 @@ class Unwrapper:
                 self._packed(raw, *layer.span(int(places[shift]), int(places[-1]) + 1), bare=True)
             for kept in (raw, raw.replace(b"\x00", b"")) if UTF16.search(raw) else (raw,):
                 text = kept.decode("utf-8", "surrogateescape")
-                clean = BROKEN.sub("\ufffd", text)
+                clean = _cleaned(text, BROKEN)
                 if not STRETCH.search(clean):
                     continue
                 first, size = _bytes_of_characters(text)
@@ -356,15 +372,16 @@ def _joined(parts: Iterable[bytes]) -> Iterator[bytes]:
 
 
 def _is_deflated(raw: bytes) -> bool:
-    """Whether bytes go on like a deflate stream without a head: such have no mark, so they must look packed and their first text be clean."""
+    """Whether bytes go on like a deflate stream without a head: such have no mark, so they must look packed and their first text have a stretch that could hold a finding."""
     head = raw[:64]
     if len(raw) < 12 or raw[0] & 6 not in (2, 4) or 3 * len(set(head)) < len(head):  # a block of fixed or own Huffman codes
         return False
     try:
-        text = zlib.decompressobj(-15).decompress(raw, 256).decode("utf-8", "ignore")
+        text = zlib.decompressobj(-15).decompress(raw, 256).decode("utf-8", "surrogateescape")
     except zlib.error:
         return False
-    return len(text) >= 12 and not BROKEN.search(text)
+    broken = sum(len(x) for x in BROKEN.findall(text))
+    return bool(STRETCH.search(BROKEN.sub("\ufffd", text))) and 4 * broken <= len(text)
 
 
 def _expanded(raw: Iterable[bytes], bare: bool = False) -> Iterator[bytes]:
@@ -429,7 +446,7 @@ def _kinds_in(pieces: Iterable[str]) -> tuple[set[int], set[re.Pattern]]:
     rest = end = ""
     for piece in pieces:
         rest = SPACES.sub("  ", rest + piece)
-        kinds.update(kind for _, kind, _ in scan(rest))
+        kinds.update(kind for _, kind, _ in scan(rest, True))
         # The next piece goes on from less than a shortest finding, or from the end of a match that reaches over it.
         at = max(len(rest) - 64, 0)
         at = max([at, *(m.end() for m in ASSIGN.finditer(rest) if m.start() < at and m.end() < len(rest))])
@@ -458,7 +475,7 @@ def _rewritten(pieces: Iterable[str], pattern: re.Pattern, decode: Callable[[str
 
 
 def _plain_percent(run: str) -> str:
-    return "".join(_characters([_percent_bytes(run)]))
+    return "".join(_characters([_unescaped(run)]))
 
 
 def _plain_one_level(run: str) -> str:
@@ -466,44 +483,59 @@ def _plain_one_level(run: str) -> str:
 
 
 def _levels(escaped: str) -> int:
-    """How many levels of an escape go at once: one, but of long chains what leaves MOST_LEVELS."""
-    return max((len(escaped) - 3) // 2 - MOST_LEVELS, 1)
+    """How many levels of an escape go at once: one, but of long chains all but LONG_CHAIN."""
+    return max((len(escaped) - 3) // 2 - LONG_CHAIN, 1)
 
 
-def _percent_characters(m: re.Match) -> tuple[str, list[int], list[int]]:
+def _percent_characters(m: re.Match) -> tuple[str, np.ndarray, np.ndarray]:
     """The characters of a run of percent escapes, and where each begins and ends."""
-    units = list(PERCENT_UNIT.finditer(m[0]))
-    text = bytes(int(u[1], 16) for u in units).decode("utf-8", "surrogateescape")
-    starts = np.array([m.start() + u.start() for u in units], np.int32)
+    places, values = array("i"), bytearray()
+    for unit in PERCENT_UNIT.finditer(m[0]):
+        places.append(unit.start())
+        values.append(int(unit[1], 16))
+    text = values.decode("utf-8", "surrogateescape")
+    starts = np.frombuffer(places, np.int32) + np.int32(m.start())
     first, size = _bytes_of_characters(text)
-    ends = np.append(starts[1:], m.end()).astype(np.int32)
-    return LONE.sub("\ufffd", text), starts[first].tolist(), ends[first + size - 1].tolist()
+    ends = np.append(starts[1:], np.int32(m.end()))
+    return _cleaned(text, LONE), starts[first], ends[first + size - 1]
 
 
-def _one_level(m: re.Match) -> tuple[str, list[int], list[int]]:
+def _one_level(m: re.Match) -> tuple[str, np.ndarray, np.ndarray]:
     """A run of percent escapes decoded once; of an escaped percent sign what it escapes is left for the next layer."""
-    out: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
+    out = StringIO()
+    starts, ends = array("i"), array("i")
     for part in ONCE_ESCAPED.finditer(m[0]):
         at = m.start() + part.start()
         if part[1]:
             size = 1 + 2 * _levels(part[0])
-            out.append("%" + part[0][size:])
+            out.write("%")
+            out.write(part[0][size:])
             starts.append(at)
             ends.append(at + size)
         else:
             text = bytes.fromhex(part[0].replace("%", "")).decode("utf-8", "surrogateescape")
             first, size = _bytes_of_characters(text)
-            out.append(LONE.sub("\ufffd", text))
-            starts += (at + 3 * first).tolist()
-            ends += (at + 3 * (first + size)).tolist()
-    return "".join(out), starts, ends
+            out.write(_cleaned(text, LONE))
+            starts.frombytes((at + 3 * first).astype(np.int32).tobytes())
+            ends.frombytes((at + 3 * (first + size)).astype(np.int32).tobytes())
+    return out.getvalue(), np.frombuffer(starts, np.int32), np.frombuffer(ends, np.int32)
 
 
-def _escape_character(m: re.Match) -> tuple[str, list[int], list[int]]:
+def _escape_character(m: re.Match) -> tuple[str, None, None]:
     code = int(m[1] or m[2] or m[3] or m[4], 16)
-    return (chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else "\ufffd"), [m.start()], [m.end()]
+    return (chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else "\ufffd"), None, None
+
+
+def _cleaned(text: str, pattern: re.Pattern) -> str:
+    """The text with what BROKEN or LONE finds replaced; long ones without an object for each match."""
+    if len(text) < 4096:
+        return pattern.sub("\ufffd", text)
+    code = np.frombuffer(bytearray(text.encode("utf-32-le", "surrogatepass")), np.uint32)
+    bad = (code >= 0xDC80) & (code <= 0xDCFF)
+    if pattern is BROKEN:
+        bad |= (code < 0x20) & (code != 9) & (code != 10) & (code != 13) | (code == 0x7F)
+    code[bad] = 0xFFFD
+    return code.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def _bytes_of_characters(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -516,12 +548,12 @@ def _bytes_of_characters(text: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(size) - size).astype(np.int32), size.astype(np.int32)
 
 
-def _percent_bytes(run: str) -> bytes:
-    return bytes(int(u, 16) for u in PERCENT_UNIT.findall(run))
+def _unescaped(run: str) -> bytes:
+    return PERCENT_UNIT.sub(lambda unit: chr(int(unit[1], 16)), run).encode("latin-1")
 
 
 def _url_bytes(run: str) -> bytes:
-    return b"".join(bytes((int(u, 16),)) if u else (b" " if bare == "+" else bare.encode()) for u, bare in URL_BYTE.findall(run))
+    return _unescaped(run.replace("+", " "))
 
 
 def _without_breaks(pieces: Iterable[str]) -> Iterator[str]:

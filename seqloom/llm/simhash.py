@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import forest_edges, slices, utf8
@@ -220,6 +220,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     like any other. A null id takes part but never names a component: it is
     null where all members' ids are null. Repeated rows return repeated rows.
     """
+    return _with_groups(docs, id_col, text_col, longest_list).select("id", "fp", "component")
+
+
+def _with_groups(docs: DataFrame, id_col: str, text_col: str, longest_list: int = LONGEST_LIST) -> DataFrame:
+    """Rows of :func:`simhash_groups` with ``root``, a fingerprint that only their group has."""
     printed = write_table(with_fingerprint(docs, id_col, text_col), "simhash-prints")
     vertices = write_table(printed.groupBy("fp").agg(F.min("id").alias("low_id")), "simhash-vertices")
     postings = vertices.select("fp").mapInArrow(_postings, "key bigint, fp bigint")
@@ -231,19 +236,37 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grouped = write_table(grouped, "simhash-grouped")
     linked = grouped.where("root is not null")
     lowest = write_table(linked.groupBy("root").agg(F.min("low_id").alias("component")), "simhash-lowest")
-    alone = grouped.where("root is null").select("fp", F.col("low_id").alias("component"))
-    named = write_table(join_sized(linked, lowest, ["root"], "inner").select("fp", "component").union(alone), "simhash-named")
+    alone = grouped.where("root is null").select("fp", F.col("low_id").alias("component"), F.col("fp").alias("root"))
+    named = write_table(join_sized(linked, lowest, ["root"], "inner").select("fp", "component", "root").union(alone), "simhash-named")
     for table in (vertices, found, members, grouped, lowest):
         drop_table(table)
-    return printed.join(named, "fp").select("id", "fp", "component")
+    return printed.join(named, "fp").select("id", "fp", "component", "root")
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their group, one each; rows without an id stay, for nothing names them.
+    """One row of ``docs`` of each group, one whose id names it; rows without an id stay, for nothing names them.
 
     Null and empty texts and those of white space are one group, like other equal texts: the one of the smallest id stays.
+    Where rows share an id their texts are told apart: each group has a row of
+    its own, that with the least fingerprint, text and then other columns.
+    Texts are shuffled once, by id; fingerprints are made again only for rows that share one.
     """
-    groups = simhash_groups(docs, id_col, text_col)
-    keepers = groups.where(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
-    one_each = docs.where(F.col(id_col).isNotNull()).join(keepers, id_col, "left_semi").dropDuplicates([id_col])
-    return one_each.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    groups = write_table(_with_groups(docs, id_col, text_col), "simhash-groups")
+    named = groups.where(F.col("id") == F.col("component"))
+    keepers = named.groupBy("root").agg(F.min("id").alias("id"), F.min("fp").alias("fp"))
+    shared = named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("shared"))
+    keepers = write_table(keepers.join(shared, "id", "left").select("id", "fp", "shared"), "simhash-keepers")
+    present = docs.where(F.col(id_col).isNotNull())
+    of = lambda rows: rows.select(F.col("id").alias(id_col)).distinct()
+    alone = present.join(of(keepers.where("shared is null")), id_col, "left_semi")
+    repeated = keepers.where("shared")
+    kept = alone
+    if repeated.limit(1).count():
+        rows = write_table(present.join(of(repeated), id_col, "left_semi").withColumn("__row", F.monotonically_increasing_id()), "simhash-repeated")
+        printed = with_fingerprint(rows, "__row", text_col).select(F.col("id").alias("__row"), F.col("fp").alias("__fp"))
+        wanted = repeated.select(F.col("id").alias(id_col), F.col("fp").alias("__fp"))
+        told = rows.join(printed, "__row").join(wanted, [id_col, "__fp"])
+        order = [F.col(text_col), *[F.to_json(F.struct(c)) for c in docs.columns if c not in (id_col, text_col)]]
+        first = F.row_number().over(Window.partitionBy(id_col, "__fp").orderBy(*order))
+        kept = kept.unionByName(told.withColumn("__place", first).where("__place = 1").select(*docs.columns))
+    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)

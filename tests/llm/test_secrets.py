@@ -54,7 +54,7 @@ def test_layers_are_unwrapped_and_mapped():
         packed = base64.b64encode(pack((HIDDEN + " and more words " * 3).encode())).decode()
         assert any(x.startswith(packed.rstrip("=")[:40]) for x in layered("data:" + packed))
     nested = base64.b64encode(quote(base64.b64encode(gzip.compress(HIDDEN.encode())).decode(), safe="").encode()).decode()
-    assert layered("q " + nested)
+    assert layered("q " + nested) == {nested.rstrip("=")}
 
 
 def test_offsets_count_code_points():
@@ -212,3 +212,90 @@ def test_long_texts_take_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == [(10_000_001, len(text))] and peak < 200 << 20
+
+
+def plain_layers(text):
+    """Spans that percent and Unicode escapes bring to light, by decoding every layer anew, one character at a time, without a limit."""
+    spans, seen, work = set(), set(), [[(c, i, i + 1) for i, c in enumerate(text)]]
+
+    def percent(layer, whole):
+        out, at, flat = [], 0, "".join(c for c, _, _ in layer)
+        while at < len(layer):
+            m = re.compile(r"%(?:25)*[0-9A-Fa-f]{2}").match(flat, at)
+            if not m:
+                out.append(layer[at])
+                at += 1
+            elif whole or m.end() - at == 3:
+                out.append((chr(int(m[0][-2:], 16)), layer[at][1], layer[m.end() - 1][2]))
+                at = m.end()
+            else:
+                out += [("%", layer[at][1], layer[at + 2][2]), *layer[at + 3 : m.end()]]
+                at = m.end()
+        return out
+
+    def escapes(layer):
+        out, at, flat = [], 0, "".join(c for c, _, _ in layer)
+        while at < len(layer):
+            m = re.compile(r"\\u([0-9A-Fa-f]{4})").match(flat, at)
+            out.append((chr(int(m[1], 16)), layer[at][1], layer[m.end() - 1][2]) if m else layer[at])
+            at = m.end() if m else at + 1
+        return out
+
+    while work:
+        layer = work.pop()
+        flat = "".join(c for c, _, _ in layer)
+        if (flat, tuple(layer)) in seen:
+            continue
+        for start, kind, end in plain_scan(flat):
+            if kind == 2 and seen:
+                m = re.compile(r"(?:25)*[0-9A-Fa-f]{2}").match(flat, start) if flat[start - 1 : start] == "%" else None
+                start = m.end() if m else start
+                if end - start < 24:
+                    continue
+            spans.add((layer[start][1], kind, layer[end - 1][2]))
+        seen.add((flat, tuple(layer)))
+        work += [percent(layer, True), percent(layer, False), escapes(layer)]
+    return sorted(spans)
+
+
+def test_chains_of_any_number_of_levels_equal_a_plain_decoder():
+    rng = random.Random(31)
+    chain = lambda c, n: "%" + "25" * n + f"{ord(c):02X}"
+    for _ in range(60):
+        parts = []
+        for piece in rng.choices(["token", "=", "abcdefgh", "AKIA", "IOSFODNN7EXAMPLE", "f" * 12, "0123456789ab", " ", "\\u0074oken", "é"], k=rng.randint(2, 7)):
+            at = rng.randrange(len(piece))
+            depth = rng.choice((0, 0, 1, 3, 18, 30))
+            parts.append(piece if rng.random() < 0.4 or ord(piece[at]) > 127 else piece[:at] + chain(piece[at], depth) + piece[at + 1 :])
+        text = " " + "".join(parts)
+        assert find_secrets(text)[1] == plain_layers(text), text
+    deep = "x " + chain("t", 30) + "oken=abcdefgh " + chain("a", 40) + "f" * 30
+    spans = find_secrets(deep)[1]
+    assert {deep[a:b] for a, _, b in spans} >= {chain("t", 30) + "oken=abcdefgh", chain("a", 40) + "f" * 30, "f" * 30} and len(spans) < 7
+
+
+def test_a_control_character_hides_no_bare_stream():
+    for noise in ("", "\x01"):
+        body = ("words and words of t" + noise + " then " + HIDDEN + " and others of no use at all").encode()
+        tool = zlib.compressobj(9, zlib.DEFLATED, -15)
+        packed = base64.b64encode(tool.compress(body) + tool.flush()).decode()
+        assert packed in layered("data " + packed), noise
+
+
+def test_dense_escapes_take_bounded_memory():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import resource, sys
+from seqloom.llm.secrets import find_secrets
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = sys.argv[1] * (10_000_000 // len(sys.argv[1])) + " token%3Dabcdefgh"
+assert any(b == len(text) for _, _, b in find_secrets(text)[1])
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    for unit in ("%61", "%2561", "\\u0061"):
+        done = subprocess.run([sys.executable, "-c", code, unit], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0, done.stderr
+        assert int(done.stdout) < 400, (unit, done.stdout)

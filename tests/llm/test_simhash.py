@@ -160,3 +160,16 @@ def test_components_of_a_long_shuffled_chain_settle(spark, monkeypatch):
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == dict.fromkeys(range(3_000), 0) | {5_000: 5_000, 5_001: 5_000}
     assert rounds.count("cc-hooked") <= 20
+
+
+def test_rows_that_share_an_id_keep_a_row_of_each_group(spark, docs):
+    from seqloom.llm.simhash import keep_one_per_group
+
+    words = [f"w{i}" for i in range(300)]
+    one, two, three = (" ".join(words[a : a + 90]) for a in (0, 100, 200))
+    rows = [(1, one, "b"), (1, one, "a"), (1, two, "a"), (2, two, "a"), (3, three, "a"), (3, three, "a"), (None, one, "a"), (4, one, "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for n in (1, 7):
+        got = sorted((tuple(r) for r in keep_one_per_group(df.repartition(n)).collect()), key=repr)
+        assert got == sorted([(1, one, "a"), (1, two, "a"), (3, three, "a"), (None, one, "a")], key=repr)
+    assert {r.doc_id for r in keep_one_per_group(docs).collect()} >= {1, 3, 7, None}
