@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.bases import total
-from seqloom.operators.ranges import ranges_at
+from seqloom.plans.session import join_sized, write_table
 
 # Bits of a SAM flag.
 FLAG_BITS = {
@@ -20,6 +22,9 @@ FLAG_BITS = {
 MIN_MAPQ = 30
 MOST_INSERT = 1000
 
+#: Positions by which reads meet SNPs, and reads of a stretch in one group, about.
+STRETCH, MOST_READS = 100_000, 1 << 18
+
 
 def flag(name: str, column: str = "flag") -> Column:
     return F.col(column).bitwiseAND(1 << FLAG_BITS[name]) != 0
@@ -243,7 +248,10 @@ def read_variants(df: DataFrame, min_mapq: int = MIN_MAPQ) -> DataFrame:
 def read_alleles(df: DataFrame, snps: DataFrame, min_mapq: int = MIN_MAPQ) -> DataFrame:
     """(query, chrom, pos, allele, base, read_pos) at the SNPs (chrom, pos, ref, alts by commas) that mapped reads cover.
 
-    Reads and SNPs meet by bins; only reads over SNPs reach the walk.
+    Reads meet SNPs by number and place alone: both are grouped by STRETCH
+    positions of a chromosome, a crowded stretch being dealt over several
+    groups, and found there by binary search. What a read covers is then joined
+    to its bases by the read's number, and only such reads are walked along.
     """
 
     @F.pandas_udf("array<struct<pos:int,allele:string,base:string,read_pos:int>>")
@@ -252,16 +260,38 @@ def read_alleles(df: DataFrame, snps: DataFrame, min_mapq: int = MIN_MAPQ) -> Da
         rows = zip(start, cigar, seq, reverse, at, strict=True)
         return pd.Series([[dict(zip(names, v, strict=True)) for v in walk_alleles(s, c, q, r, [(x["pos"], x["ref"], x["alts"]) for x in k])] for s, c, q, r, k in rows])
 
-    rows = cigar_end(df.where((F.col("cigar") != "*") & (F.col("mapq") >= min_mapq))).withColumn("rid", F.monotonically_increasing_id())
+    used = cigar_end(df.where((F.col("cigar") != "*") & (F.col("mapq") >= min_mapq) & F.col("chrom").isNotNull()))
+    rows = write_table(used.withColumn("rid", F.monotonically_increasing_id()).select("rid", "query", "chrom", "start_pos", "end_pos", "cigar", "seq", "flag"), "reads")
     # an insertion before the last base counts at the base before it, within the range
-    met = ranges_at(rows.select("chrom", "start_pos", "end_pos", "rid", "query", "cigar", "seq", "flag"), snps)
-    keys = ["r_rid", "r_query", "chrom", "r_start_pos", "r_cigar", "r_seq", "r_flag"]
-    grouped = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "ref", "alts"))).alias("at"))
-    reverse = F.col("r_flag").bitwiseAND(16) != 0
-    found = grouped.select(F.col("r_query").alias("query"), "chrom", F.explode(walk("r_start_pos", "r_cigar", "r_seq", reverse, "at")).alias("v"))
+    stretches = F.sequence(F.floor(F.col("start_pos") / STRETCH), F.floor((F.col("end_pos") - 1) / STRETCH))
+    placed = rows.where("start_pos < end_pos").select("rid", "chrom", "start_pos", "end_pos", F.explode(stretches).alias("stretch"))
+    crowded = placed.groupBy("chrom", "stretch").count().where(F.col("count") > MOST_READS)
+    crowded = write_table(crowded.select("chrom", "stretch", F.ceil(F.col("count") / MOST_READS).cast("int").alias("deals")), "reads-crowded")
+    deals = F.coalesce("deals", F.lit(1))
+    dealt = join_sized(placed, crowded, ["chrom", "stretch"]).withColumn("deal", F.pmod(F.xxhash64("rid"), deals).cast("int")).drop("deals")
+    known = snps.select("chrom", "pos", "ref", "alts").where("pos is not null").withColumn("stretch", F.floor(F.col("pos") / STRETCH))
+    copies = join_sized(known, crowded, ["chrom", "stretch"]).withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("deals")
+    key = ["chrom", "stretch", "deal"]
+    met = dealt.groupBy(*key).cogroup(copies.groupBy(*key)).applyInArrow(_covered, "rid bigint, at array<struct<pos:int,ref:string,alts:string>>")
+    reverse = F.col("flag").bitwiseAND(16) != 0
+    found = rows.join(met, "rid").select("query", "chrom", F.explode(walk("start_pos", "cigar", "seq", reverse, "at")).alias("v"))
     return found.select("query", "chrom", "v.pos", "v.allele", "v.base", "v.read_pos")
 
 
+def _covered(reads: pa.Table, snps: pa.Table) -> pa.Table:
+    """(rid, at): the SNPs within each read of a stretch that covers any, in order."""
+    snps = snps.sort_by([("pos", "ascending"), ("ref", "ascending"), ("alts", "ascending")])
+    pos = snps["pos"].to_numpy()
+    begin, end = np.searchsorted(pos, reads["start_pos"].to_numpy(), "left"), np.searchsorted(pos, reads["end_pos"].to_numpy(), "left")
+    some = np.flatnonzero(begin < end)
+    size = (end - begin)[some]
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin[some], size)
+    parts = snps.select(["pos", "ref", "alts"]).take(pa.array(at)).combine_chunks()
+    columns = [parts[c].combine_chunks() if isinstance(parts[c], pa.ChunkedArray) else parts[c] for c in ("pos", "ref", "alts")]
+    flat = pa.StructArray.from_arrays([columns[0].cast(pa.int32()), *columns[1:]], ["pos", "ref", "alts"])
+    return pa.table({"rid": reads["rid"].take(pa.array(some)), "at": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), flat)})
+
+
 def qc_summary(pairs: DataFrame, mito: int = 11, chloro: int = 12, min_mapq: int = MIN_MAPQ) -> DataFrame:
     """For each taxon: the most frequent insert size (0 to 1000, on ties the smallest) of well mapped pairs, and the organelles' shares of all pairs' first mates."""
     sized = insert_size(pairs)

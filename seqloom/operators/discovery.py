@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,19 +61,26 @@ def pileup_allele_counts(pileup: DataFrame) -> DataFrame:
     ``ref_n`` of ``.`` and ``,``, the distinct lengths ``ins_lens`` and
     ``del_lens`` and the distinct ``indel_seqs``. Bodies of indels, of any
     length, and the quality sign after ``^`` are not bases; ``*``, ``$`` and
-    others are not counted. Null bases count as empty.
+    others are not counted. Null bases count as empty. Rows that only agree
+    with the reference, most of a pileup, are counted by built-in functions and
+    their bases do not reach a Python worker.
     """
-    schema = "counts array<int>, ref_n int, ins_lens array<int>, del_lens array<int>, indel_seqs array<string>"
-
-    @F.pandas_udf(schema)
-    def parse(bases: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in bases.fillna(""):
-            counts, ref, inserted, deleted, bodies = _count_bases(text)
-            rows.append((counts, ref, sorted(set(inserted)), sorted(set(deleted)), sorted(set(bodies))))
-        return pd.DataFrame(rows, columns=["counts", "ref_n", "ins_lens", "del_lens", "indel_seqs"])
-
-    return pileup.withColumn("__p", parse("bases")).select("*", "__p.*").drop("__p")
+    schema = "struct<counts:array<int>,ref_n:int,ins_lens:array<int>,del_lens:array<int>,indel_seqs:array<string>>"
+
+    @F.arrow_udf(schema)
+    def parse(bases: pa.Array) -> pa.Array:
+        rows = [_count_bases(text or "") for text in bases.to_pylist()]
+        counts, ref, *sets = zip(*rows, strict=True) if rows else ((),) * 5
+        lists = [[sorted(set(values)) if values else values for values in column] for column in sets]
+        ints = pa.list_(pa.int32())
+        columns = [pa.array(counts, ints), pa.array(ref, pa.int32()), *(pa.array(x, t) for x, t in zip(lists, (ints, ints, pa.list_(pa.string())), strict=True))]
+        return pa.StructArray.from_arrays(columns, ["counts", "ref_n", "ins_lens", "del_lens", "indel_seqs"])
+
+    alike = F.coalesce(F.translate("bases", ".,", "") == "", F.lit(True))
+    parsed = pileup.withColumn("__p", parse(F.when(alike, None).otherwise(F.col("bases"))))
+    size = F.coalesce(F.length("bases"), F.lit(0))
+    ref = F.when(alike, size).otherwise(F.col("__p.ref_n"))
+    return parsed.select(*pileup.columns, "__p.counts", ref.alias("ref_n"), "__p.ins_lens", "__p.del_lens", "__p.indel_seqs")
 
 
 def merge_bams(pileup: DataFrame) -> DataFrame:
