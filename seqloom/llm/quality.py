@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for item in batch.to_pylist():
                 if item["id"] not in texts or item["features"] < texts[item["id"]]:  # of unlike texts with one id the same stands in any order
                     texts[item["id"]] = item["features"]
-                    rows[item["id"]] = (np.frombuffer(item["features"], "<u4").astype(np.int64), item["y"])
+                    rows[item["id"]] = (np.frombuffer(item["features"], "<u4"), item["y"])
         ids = sorted(rows)
         y = np.array([rows[i][1] for i in ids], np.int64)
         keep = np.zeros(len(ids), bool)

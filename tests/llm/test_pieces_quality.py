@@ -139,3 +139,36 @@ def test_labels_of_other_documents_change_nothing(spark, monkeypatch):
         assert not model.fitted and {round(r.score, 9) for r in with_score(part, model).collect()} == {share}
         monkeypatch.setattr(corpus_pipeline, "read", lambda *_, given=given: given)
         assert corpus_pipeline.quality(spark, part, "").count() == part.count()
+
+
+def test_fit_equals_plain_loops():
+    """Log-count ratios counted by loops, and a hinge-loss optimum found by long gradient steps on the dual."""
+    import math
+
+    from seqloom.llm import quality
+
+    rng = np.random.default_rng(12)
+    labels = np.array([0, 1] * 30)
+    rows = [np.unique(rng.integers(0, 60, 12) + (15 if y else 0)).astype(np.uint32) for y in labels]
+    keep = np.zeros(60, bool)
+    keep[40:] = True
+    model = quality.fit(rows, labels, keep, (0.5, 0.5))
+    ratio = np.zeros(quality.FEATURES)
+    for f in range(80):
+        ones = [sum(f in rows[i] for i in range(40) if labels[i] == c) for c in (0, 1)]
+        if sum(ones):
+            ratio[f] = math.log((ones[1] + 1) / 22) - math.log((ones[0] + 1) / 22)
+    x = np.zeros((40, 80))
+    for i in range(40):
+        x[i, rows[i]] = ratio[rows[i]] / math.sqrt(len(rows[i]))
+    y = np.where(labels[:40] == 1, 1.0, -1.0)
+    cost = np.full(40, quality.PENALTY * 40 / 40)
+    gram = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha = np.zeros(40)
+    for _ in range(50_000):
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.norm(gram, 2), 0, cost)
+    best = alpha.sum() - alpha @ gram @ alpha / 2
+    w = np.divide(model.weights[:80].astype(float), ratio[:80], out=np.zeros(80), where=ratio[:80] != 0)
+    value = w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    assert best - 1e-6 <= value <= best * 1.01 + 1e-6
+    assert not model.weights[80:].any()
