@@ -8,8 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.plans.session import join_sized
+
 ERROR_RATE = 0.05
 MAX_DEPTH = 150
+#: Taxa of a sheet that is broadcast, at most.
+MOST_TAXA = 200_000
 MAX_COUNT = 32767
 
 #: log10 of n! for n up to MAX_DEPTH.
@@ -126,12 +130,14 @@ def _every_taxon(sites: DataFrame, found: DataFrame, taxa: DataFrame) -> DataFra
     """(taxon, chrom, pos, counts) for each of ``sites`` and each taxon of a sample sheet, null where ``found`` has none.
 
     The cells of a site meet in one row, and those of the missing taxa are made
-    there: the grid of sites by taxa is never shuffled. The sheet is one row.
+    there: the grid of sites by taxa is never shuffled. The sheet is one row,
+    broadcast if it names at most MOST_TAXA; the engine chooses beyond that.
     """
-    sheet = taxa.select("taxon").distinct().agg(F.collect_list("taxon").alias("sheet"))
-    listed = F.broadcast(taxa.select("taxon").distinct())
-    cells = found.join(listed, "taxon", "left_semi").groupBy("chrom", "pos").agg(F.collect_list(F.struct("taxon", "counts")).alias("cells"))
-    rows = sites.select("chrom", "pos").join(cells, ["chrom", "pos"], "left").crossJoin(F.broadcast(sheet))  # a row each: the sheet is a single row
+    listed = taxa.select("taxon").distinct()
+    sheet = listed.agg(F.collect_list("taxon").alias("sheet"))
+    sheet = F.broadcast(sheet) if listed.limit(MOST_TAXA + 1).count() <= MOST_TAXA else sheet
+    cells = join_sized(found, listed, ["taxon"], "left_semi", MOST_TAXA).groupBy("chrom", "pos").agg(F.collect_list(F.struct("taxon", "counts")).alias("cells"))
+    rows = sites.select("chrom", "pos").join(cells, ["chrom", "pos"], "left").crossJoin(sheet)  # a row each: the sheet is a single row
     have = F.coalesce("cells", F.array().cast(cells.schema["cells"].dataType))
     none = F.transform(F.array_except("sheet", F.transform(have, lambda c: c["taxon"])), lambda t: F.struct(t.alias("taxon"), F.lit(None).cast("array<int>").alias("counts")))
     return rows.select("chrom", "pos", F.explode(F.concat(have, none)).alias("c")).select("c.taxon", "chrom", "pos", "c.counts")
