@@ -6,7 +6,6 @@ import re
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -233,12 +232,20 @@ def walk_alleles(start: int, cigar: str, seq: str, reverse: bool, snps: list[tup
     return out
 
 
+def _structs(rows: list[list[tuple]], kinds: dict[str, pa.DataType]) -> pa.ListArray:
+    """Lists of tuples as an Arrow array of lists of structs."""
+    columns = list(zip(*(one for row in rows for one in row), strict=True)) or [()] * len(kinds)
+    flat = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(row) for row in rows]))), pa.int32()), flat)
+
+
 def read_variants(df: DataFrame, min_mapq: int = MIN_MAPQ) -> DataFrame:
     """(query, chrom, pos, ref, alt) of the differences of mapped reads (query, chrom, start_pos, mapq, cigar, md, seq)."""
 
-    @F.pandas_udf("array<struct<pos:int,ref:string,alt:string>>")
-    def walk(start: pd.Series, cigar: pd.Series, md: pd.Series, seq: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("pos", "ref", "alt"), v, strict=True)) for v in walk_variants(*row)] for row in zip(start, cigar, md, seq, strict=True)])
+    @F.arrow_udf("array<struct<pos:int,ref:string,alt:string>>")
+    def walk(start: pa.Array, cigar: pa.Array, md: pa.Array, seq: pa.Array) -> pa.Array:
+        found = [walk_variants(*row) for row in zip(*(c.to_pylist() for c in (start, cigar, md, seq)), strict=True)]
+        return _structs(found, {"pos": pa.int32(), "ref": pa.string(), "alt": pa.string()})
 
     rows = df.where((F.col("cigar") != "*") & (F.col("mapq") >= min_mapq) & F.col("md").isNotNull())
     found = rows.select("query", "chrom", F.explode(walk("start_pos", "cigar", "md", "seq")).alias("v"))
@@ -254,11 +261,11 @@ def read_alleles(df: DataFrame, snps: DataFrame, min_mapq: int = MIN_MAPQ) -> Da
     to its bases by the read's number, and only such reads are walked along.
     """
 
-    @F.pandas_udf("array<struct<pos:int,allele:string,base:string,read_pos:int>>")
-    def walk(start: pd.Series, cigar: pd.Series, seq: pd.Series, reverse: pd.Series, at: pd.Series) -> pd.Series:
-        names = ("pos", "allele", "base", "read_pos")
-        rows = zip(start, cigar, seq, reverse, at, strict=True)
-        return pd.Series([[dict(zip(names, v, strict=True)) for v in walk_alleles(s, c, q, r, [(x["pos"], x["ref"], x["alts"]) for x in k])] for s, c, q, r, k in rows])
+    @F.arrow_udf("array<struct<pos:int,allele:string,base:string,read_pos:int>>")
+    def walk(start: pa.Array, cigar: pa.Array, seq: pa.Array, reverse: pa.Array, at: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in (start, cigar, seq, reverse, at)), strict=True)
+        found = [walk_alleles(s, c, q, r, [(x["pos"], x["ref"], x["alts"]) for x in k]) for s, c, q, r, k in rows]
+        return _structs(found, {"pos": pa.int32(), "allele": pa.string(), "base": pa.string(), "read_pos": pa.int32()})
 
     used = cigar_end(df.where((F.col("cigar") != "*") & (F.col("mapq") >= min_mapq) & F.col("chrom").isNotNull()))
     rows = write_table(used.withColumn("rid", F.monotonically_increasing_id()).select("rid", "query", "chrom", "start_pos", "end_pos", "cigar", "seq", "flag"), "reads")
