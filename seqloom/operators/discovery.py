@@ -229,17 +229,17 @@ def joint_call(symbols: DataFrame, taxa: DataFrame, p: JointParams = JointParams
     rows = join_sized(per_taxon, taxa.select("taxon", "coverage"), ["taxon"], "inner")
     third = F.coalesce(F.get("ns", F.lit(2)), F.lit(0)) / F.col("depth")
     fair = (F.col("depth") / F.col("coverage")).between(p.min_depth_ratio, p.max_depth_ratio)
-    cells = rows.select("chrom", "pos", "taxon", "depth", third.alias("third"), fair.alias("fair"), F.explode("seen").alias("s")).select(
-        "chrom", "pos", "taxon", "depth", "third", "fair", "s.*"
+    cells = rows.select("chrom", "pos", "taxon", "depth", third.alias("third"), fair.alias("fair"), F.posexplode("seen").alias("i", "s")).select(
+        "chrom", "pos", "taxon", "depth", "third", "fair", "i", "s.*"
     )
     chi = F.sum(F.pow(F.col("n"), 2) / F.col("depth"))
     alleles = cells.groupBy("chrom", "pos", "code").agg(
         F.sum("n").alias("ad"), F.count("*").alias("ap"), F.bool_or(F.col("fair") & (F.col("n") / F.col("depth") > p.min_ratio)).alias("good"),
         F.array_distinct(F.flatten(F.collect_set("lens"))).alias("lens"), F.max("third").alias("third"), chi.alias("square"),
+        F.count_if(F.col("i") == 0).alias("first"),  # the taxa whose first symbol it is; each has one
     )
-    depth = rows.groupBy("chrom", "pos").agg(F.sum("depth").alias("dp"), F.count("*").alias("nz"))
     item = F.struct(F.col("ad"), F.col("code"), F.col("ap"), F.col("good"), F.col("third"), F.col("square"))
-    site = alleles.groupBy("chrom", "pos").agg(F.sort_array(F.collect_list(item), asc=False).alias("all"), F.sum(F.size("lens")).alias("indel_types")).join(depth, ["chrom", "pos"])
+    site = alleles.groupBy("chrom", "pos").agg(F.sort_array(F.collect_list(item), asc=False).alias("all"), F.sum(F.size("lens")).alias("indel_types"), F.sum("ad").alias("dp"), F.sum("first").alias("nz"))
     site = site.withColumn("alts", F.filter("all", lambda a: (a["code"] >= 0) & a["good"])).withColumn("ref", F.get(F.filter("all", lambda a: a["code"] == -1), F.lit(0)))
     presence = F.sort_array(F.transform("alts", lambda a: a["ap"]), asc=False)
     ref_ap = F.coalesce(F.col("ref.ap"), F.lit(0))
