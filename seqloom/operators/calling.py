@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.plans.session import join_sized
-
 ERROR_RATE = 0.05
 MAX_DEPTH = 150
 #: Taxa of a sheet that is broadcast, at most.
@@ -135,8 +133,9 @@ def _every_taxon(sites: DataFrame, found: DataFrame, taxa: DataFrame) -> DataFra
     """
     listed = taxa.select("taxon").distinct()
     sheet = listed.agg(F.collect_list("taxon").alias("sheet"))
-    sheet = F.broadcast(sheet) if listed.limit(MOST_TAXA + 1).count() <= MOST_TAXA else sheet
-    cells = join_sized(found, listed, ["taxon"], "left_semi", MOST_TAXA).groupBy("chrom", "pos").agg(F.collect_list(F.struct("taxon", "counts")).alias("cells"))
+    if listed.limit(MOST_TAXA + 1).count() <= MOST_TAXA:
+        sheet, listed = F.broadcast(sheet), F.broadcast(listed)
+    cells = found.join(listed, "taxon", "left_semi").groupBy("chrom", "pos").agg(F.collect_list(F.struct("taxon", "counts")).alias("cells"))
     rows = sites.select("chrom", "pos").join(cells, ["chrom", "pos"], "left").crossJoin(sheet)  # a row each: the sheet is a single row
     have = F.coalesce("cells", F.array().cast(cells.schema["cells"].dataType))
     none = F.transform(F.array_except("sheet", F.transform(have, lambda c: c["taxon"])), lambda t: F.struct(t.alias("taxon"), F.lit(None).cast("array<int>").alias("counts")))

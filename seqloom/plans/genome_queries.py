@@ -130,13 +130,26 @@ def _spelled(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("code", bases.decode_kmer(F.col("code"), k)).withColumnRenamed("code", "kmer")
 
 
-def _even(t: Tables) -> DataFrame:
-    return t("seqs").where("seq_id % 2 = 0")
+def _seqs(t: Tables) -> DataFrame:
+    """The sequences as a table, which the k-mer operators read more than once."""
+    return write_table(t("seqs"), "seqs")
 
 
-def _kmer_counts(t: Tables) -> DataFrame:
-    library = write_table(kmers.kmer_library(t("seqs"), K), "kmer-library")
-    return write_table(kmers.kmer_counts(library, t("seqs"), K), "kmer-counts")
+def _kmer_counts(seqs: DataFrame) -> DataFrame:
+    library = write_table(kmers.kmer_library(seqs, K), "kmer-library")
+    return write_table(kmers.kmer_counts(library, seqs, K), "kmer-counts")
+
+
+def _even_counts(t: Tables) -> DataFrame:
+    """32-mers of the sequences of even number, counted in all."""
+    seqs = _seqs(t)
+    library = write_table(kmers.kmer_library(seqs.where("seq_id % 2 = 0"), 32), "kmer-library")
+    return _spelled(kmers.kmer_counts(library, seqs, 32), 32)
+
+
+def _scores(t: Tables) -> DataFrame:
+    seqs = _seqs(t)
+    return _by_sequence(kmers.cp_score(seqs, _kmer_counts(seqs), K))
 
 
 def _by_sequence(df: DataFrame) -> DataFrame:
@@ -182,12 +195,12 @@ Q: dict[str, Entry] = {
     "Q7": (lambda t: number_rows(sequences.sort_sequences(t("seqs"), "length", True).select("seq_id", F.length("seq").alias("len"))), duckdb("SELECT seq_id, CAST(length(seq) AS INT) AS len, row_number() OVER (ORDER BY length(seq) DESC, seq_id) AS place FROM seqs", "seqs")),
     "Q8": (_codes, duckdb(f"WITH {_KMERS.format(k=12)} SELECT seq_id, COUNT(*) AS n, CAST(SUM({_ENCODE}) AS BIGINT) AS codes, CAST(SUM({_ENCODE}) AS BIGINT) AS again, CAST(SUM({_COMPLEMENT}) AS BIGINT) AS complements, MAX(kmer) AS last_kmer FROM k GROUP BY 1", "seqs")),
     "Q9": (lambda t: _two(t).select("seq_id", "part", bases.hamming(F.col("a"), F.col("b")).alias("diff"), bases.hamming(F.col("a"), F.col("b"), 20).alias("limited")), duckdb(f"SELECT seq_id, part, CAST(d AS INT) AS diff, CAST(CASE WHEN d > 20 THEN 32 ELSE d END AS INT) AS limited FROM (SELECT seq_id, part, {_DIFF} AS d FROM (SELECT seq_id, CAST(j AS INT) AS part, substr(seq, j * 32 + 1, 32) AS a, substr(seq, j * 32 + 33, 32) AS b FROM seqs, LATERAL (SELECT unnest(generate_series(0, length(seq) // 32 - 2)) AS j) y WHERE length(seq) >= 64) z) x", "seqs")),
-    "Q10": (lambda t: _spelled(kmers.library_codes(kmers.kmer_library(t("seqs"), K)), K), duckdb(f"WITH {_KMERS.format(k=K)} SELECT DISTINCT kmer FROM k", "seqs")),
-    "Q10_32": (lambda t: _spelled(kmers.library_codes(kmers.kmer_library(t("seqs"), 32)), 32), duckdb(f"WITH {_KMERS.format(k=32)} SELECT DISTINCT kmer FROM k", "seqs")),
-    "Q11": (lambda t: _spelled(kmers.kmer_counts(write_table(kmers.kmer_library(t("seqs"), K), "kmer-library"), t("seqs"), K), K), duckdb(f"WITH {_KMERS.format(k=K)}, {_COUNTS} SELECT kmer, n FROM c", "seqs")),
-    "Q11_32": (lambda t: _spelled(kmers.kmer_counts(write_table(kmers.kmer_library(_even(t), 32), "kmer-library"), t("seqs"), 32), 32),
+    "Q10": (lambda t: _spelled(kmers.library_codes(kmers.kmer_library(_seqs(t), K)), K), duckdb(f"WITH {_KMERS.format(k=K)} SELECT DISTINCT kmer FROM k", "seqs")),
+    "Q10_32": (lambda t: _spelled(kmers.library_codes(kmers.kmer_library(_seqs(t), 32)), 32), duckdb(f"WITH {_KMERS.format(k=32)} SELECT DISTINCT kmer FROM k", "seqs")),
+    "Q11": (lambda t: _spelled(_kmer_counts(_seqs(t)), K), duckdb(f"WITH {_KMERS.format(k=K)}, {_COUNTS} SELECT kmer, n FROM c", "seqs")),
+    "Q11_32": (_even_counts,
                duckdb(f"WITH {_KMERS.format(k=32)}, {_COUNTS} SELECT kmer, n FROM c JOIN (SELECT DISTINCT kmer FROM k WHERE seq_id % 2 = 0) e USING (kmer)", "seqs")),
-    "Q12": (lambda t: _by_sequence(kmers.cp_score(t("seqs"), _kmer_counts(t), K)),
+    "Q12": (_scores,
             duckdb(f"WITH {_KMERS.format(k=K)}, {_COUNTS}, placed AS (SELECT seq_id, pos, n FROM k JOIN c ON c.kmer = k.kmer), every AS (SELECT seq_id, i AS pos FROM n, LATERAL (SELECT unnest(generate_series(0, len - 1)) AS i) y) SELECT seq_id, COUNT(*) AS n, COUNT(score) AS scored, round(SUM(score), 3) AS total FROM (SELECT seq_id, pos, round(AVG(n) OVER (PARTITION BY seq_id ORDER BY pos RANGE BETWEEN {K - 1} PRECEDING AND CURRENT ROW), 6) AS score FROM (SELECT e.seq_id, e.pos, a.n FROM every e LEFT JOIN placed a ON a.seq_id = e.seq_id AND a.pos = e.pos) z) y GROUP BY 1", "seqs")),
     "Q13": (lambda t: sequences.read_quality(_reads(t)), duckdb(f"WITH {_QUALS} SELECT r.read_id, CAST(floor(list_sum(v) / len(v)) AS INT) AS mean_q, CAST(v[CAST(floor(len(v) / 2) AS INT) + 1] AS INT) AS median_q FROM read_pairs r LEFT JOIN q ON q.read_id = r.read_id", "read_pairs")),
     "Q14": (lambda t: sequences.rescale_quality(_reads(t)), duckdb("SELECT read_id, reverse(qual_r1) AS reversed, translate(qual_r1, 'I?5+!', 'h^TJ@') AS rescaled FROM read_pairs", "read_pairs")),
