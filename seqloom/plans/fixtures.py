@@ -36,6 +36,21 @@ NEEDS = {"read_pairs": ("seqs", "barcodes")}
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 
+#: Bytes of files between which a table is dealt over the cores before anything is derived from it.
+DEALT_FROM, DEALT_UPTO = 1 << 18, 1 << 30
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows of small files dealt over all cores.
+
+    A row group is read by one task, and a small file is often one row group, so
+    that all other cores would wait for what is derived from it. Larger tables have
+    row groups enough and stay as they are read.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if DEALT_FROM < size < DEALT_UPTO else df
+
+
 class Tables:
     """The derived tables over one folder, as lazy DataFrames."""
 
@@ -44,7 +59,7 @@ class Tables:
 
     def __call__(self, name: str) -> DataFrame:
         if name in SOURCES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return _dealt(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
         text = TABLES[name].format(g="") if "{g}" in TABLES[name] else TABLES[name]
         inner = {n: self(n) for n in (*SOURCES, *NEEDS.get(name, ())) if n in text}
         for n in inner:

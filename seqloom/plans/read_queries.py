@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.operators import alignments as al
 from seqloom.operators import gbs, tables
 from seqloom.plans.fixtures import Build, Tables, duckdb
-from seqloom.plans.session import scratch_path
+from seqloom.plans.session import scratch_path, write_table
 from seqloom.sources import tables as sheets
 
 Entry = tuple[Build, str | None]
@@ -102,14 +102,14 @@ _COLLAPSED = "SELECT tag_r1, tag_r2, MIN(r1_len) AS r1_len, MIN(r2_len) AS r2_le
 
 
 def _library(t: Tables) -> DataFrame:
-    """Tags of the library with the tag's own text as id."""
-    return gbs.collapse_tags(t("tags")).withColumn("id", F.concat("tag_r1", "tag_r2"))
+    """Tags of the library with the tag's own text as id, as a table, for it is read more than once."""
+    return write_table(gbs.collapse_tags(t("tags")).withColumn("id", F.concat("tag_r1", "tag_r2")), "tags-collapsed")
 
 
-def _mutated(t: Tables) -> DataFrame:
+def _mutated(library: DataFrame) -> DataFrame:
     """The library's tags with one base of R1 changed."""
     changed = F.concat(F.substring("tag_r1", 1, 2), F.translate(F.substring("tag_r1", 3, 1), "ACGT", "CGTA"), F.substring("tag_r1", 4, 93))
-    return _library(t).withColumn("tag_r1", changed)
+    return library.withColumn("tag_r1", changed)
 
 
 _LIB = f"lib AS (SELECT tag_r1 || tag_r2 AS id, * FROM ({_COLLAPSED}) x)"
@@ -121,9 +121,20 @@ cand AS (SELECT DISTINCT qc.id AS query_id, lc.id AS library_id FROM qc JOIN lc
 d AS (SELECT query_id, library_id, CAST({_DIFF} AS INT) AS diff FROM cand JOIN mut m ON m.id = query_id JOIN lib l ON l.id = library_id)"""
 
 
-def _recorded(t: Tables) -> DataFrame:
+def _recorded(library: DataFrame) -> DataFrame:
     """An allele of each library tag: base 20 of R1."""
-    return _library(t).select(F.col("id").alias("library_id"), F.lit(1).alias("end"), F.lit(20).alias("read_pos"), F.substring("tag_r1", 20, 1).alias("base"))
+    return library.select(F.col("id").alias("library_id"), F.lit(1).alias("end"), F.lit(20).alias("read_pos"), F.substring("tag_r1", 20, 1).alias("base"))
+
+
+def _matched(t: Tables) -> DataFrame:
+    library = _library(t)
+    return gbs.match_tags(_mutated(library), library)
+
+
+def _match_chosen(t: Tables) -> DataFrame:
+    library = _library(t)
+    query = _mutated(library)
+    return gbs.choose_match(gbs.match_tags(query, library), query, _recorded(library))
 
 
 def _tag_snps(t: Tables) -> DataFrame:
@@ -167,7 +178,8 @@ def _gbs_vcf(t: Tables) -> DataFrame:
 
 
 def _retrieved(t: Tables) -> DataFrame:
-    samples = t("tags").groupBy("sample", "tag_r1", "tag_r2", "r1_len", "r2_len").agg(F.sum("read_count").alias("read_count")).withColumn("id", F.concat("tag_r1", "tag_r2"))
+    samples = t("tags").groupBy("sample", "tag_r1", "tag_r2", "r1_len", "r2_len").agg(F.sum("read_count").alias("read_count"))
+    samples = write_table(samples.withColumn("id", F.concat("tag_r1", "tag_r2")), "tags-of-samples")
     lib = _library(t)
     place = F.translate(F.substring("tag_r1", 1, 9), "ACGT", "1234").cast("int")
     alleles = lib.select(F.col("id").alias("library_id"), F.lit(1).alias("end"), F.lit(20).alias("read_pos"), F.substring("tag_r1", 20, 1).alias("base"), F.lit(1).alias("chrom"), place.alias("pos"), F.substring("tag_r1", 20, 1).alias("allele"))
@@ -191,8 +203,8 @@ B: dict[str, Entry] = {
     "B8": (_catalogue, f"WITH {_TAG_SNPS} SELECT * FROM cat"),
     "B9": (lambda t: gbs.snp_totals(gbs.select_snps(gbs.filter_snps(_catalogue(t), 12), t("part").select((F.col("p_partkey") % 5).cast("int").alias("chrom"), (F.col("p_partkey") * 3).cast("int").alias("pos")))), f"WITH {_TAG_SNPS} SELECT chrom, COUNT(*) AS n_snps, CAST(SUM(reads) AS BIGINT) AS reads FROM cat WHERE reads >= 12 AND EXISTS (SELECT 1 FROM part WHERE p_partkey % 5 = chrom AND p_partkey * 3 = pos) GROUP BY 1"),
     "B11": (lambda t: gbs.select_snps(_tag_snps(t), t("part").where("p_size > 25").select((F.col("p_partkey") % 5).cast("int").alias("chrom"), (F.col("p_partkey") * 3).cast("int").alias("pos"))), f"WITH {_TAG_SNPS} SELECT chrom, pos, query, ref, alt FROM tag_snps WHERE EXISTS (SELECT 1 FROM part WHERE p_size > 25 AND p_partkey % 5 = chrom AND p_partkey * 3 = pos)"),
-    "B12": (lambda t: gbs.match_tags(_mutated(t), _library(t)), duckdb(f"{_MATCH} SELECT query_id, library_id, diff FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY diff) AS k FROM d WHERE diff <= 7) x WHERE k = 1", "tags")),
-    "B13": (lambda t: gbs.choose_match(gbs.match_tags(_mutated(t), _library(t)), _mutated(t), _recorded(t)), duckdb(f"{_MATCH} SELECT query_id, MIN(library_id) AS library_id FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY diff) AS k FROM d WHERE diff <= 7) x JOIN mut m ON m.id = query_id JOIN lib l ON l.id = library_id WHERE k = 1 AND m.tag_r1[20:20] = l.tag_r1[20:20] GROUP BY 1", "tags")),
+    "B12": (_matched, duckdb(f"{_MATCH} SELECT query_id, library_id, diff FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY diff) AS k FROM d WHERE diff <= 7) x WHERE k = 1", "tags")),
+    "B13": (_match_chosen, duckdb(f"{_MATCH} SELECT query_id, MIN(library_id) AS library_id FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY diff) AS k FROM d WHERE diff <= 7) x JOIN mut m ON m.id = query_id JOIN lib l ON l.id = library_id WHERE k = 1 AND m.tag_r1[20:20] = l.tag_r1[20:20] GROUP BY 1", "tags")),
     "B14": (_depths, f"WITH {_DEPTH} SELECT * FROM depth"),
     "B15": (lambda t: gbs.site_alleles(_depths(t), _base_sites(t)).withColumn("alts", F.array_join("alts", ",")), f"WITH {_DEPTH}, {_ALTS} SELECT chrom, pos, 'A' AS ref, string_agg(allele, ',' ORDER BY k) AS alts FROM alts GROUP BY 1, 2"),
     "B16": (_gbs_vcf, f"WITH {_DEPTH}, {_ALTS}, {_COLUMNS} {_SITES}"),
