@@ -71,14 +71,15 @@ SAMPLED = 2_500_000
 
 
 def _blocks(df: DataFrame) -> DataFrame:
-    """Sums over stretches of 1,000 positions of a profile of every position."""
+    """Sums over stretches of 1,000 positions of a profile of every position, in decimals, which add up alike in any order."""
+    whole = lambda c: F.round(F.sum(F.col(c).cast("decimal(18,6)")), 4).cast("double").alias(f"{c}s")
     stretch = F.floor((F.col("pos") - 1) / 1000).alias("stretch")
-    return df.groupBy("chrom", stretch).agg(F.count("*").alias("n"), F.round(F.sum("mean"), 4).alias("means"), F.round(F.sum("sd"), 4).alias("sds"))
+    return df.groupBy("chrom", stretch).agg(F.count("*").alias("n"), whole("mean"), whole("sd"))
 
 
 def _profile_sql(source: str, n: str) -> str:
     inner = f"SELECT e.chrom, e.pos, round(COALESCE(SUM(d), 0) / {n}, 6) AS mean, round(sqrt(greatest((COALESCE(SUM(d * d), 0) - COALESCE(SUM(d), 0) * COALESCE(SUM(d), 0) / {n}) / nullif({n} - 1, 0), 0)), 6) AS sd FROM every e LEFT JOIN {source} x ON x.chrom = e.chrom AND x.pos = e.pos GROUP BY 1, 2"
-    return f"SELECT chrom, CAST(floor((pos - 1) / 1000) AS BIGINT) AS stretch, COUNT(*) AS n, round(SUM(mean), 4) AS means, round(SUM(sd), 4) AS sds FROM ({inner}) i GROUP BY 1, 2"
+    return f"SELECT chrom, CAST(floor((pos - 1) / 1000) AS BIGINT) AS stretch, COUNT(*) AS n, CAST(round(SUM(CAST(mean AS DECIMAL(18,6))), 4) AS DOUBLE) AS means, CAST(round(SUM(CAST(sd AS DECIMAL(18,6))), 4) AS DOUBLE) AS sds FROM ({inner}) i GROUP BY 1, 2"
 
 
 _MODES = f"""{_PER_TAXON}, grid AS (SELECT l.chrom, CAST(floor(j * chrom_len / 500000 + 1) AS INT) AS pos FROM chrom_lengths l, LATERAL (SELECT unnest(generate_series(0, 499999)) AS j) y),
