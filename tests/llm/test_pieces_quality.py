@@ -1,4 +1,6 @@
 import random
+import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -63,6 +65,51 @@ def test_draws_follow_the_weights_of_whole_segmentations():
     assert Lattice([" a"], pieces).sizes.tolist() == [2]
 
 
+def test_draws_are_those_of_the_first_release():
+    ids = encode_texts(ODD, np.arange(len(ODD)), pieces_of(default_model()))
+    assert [len(i) for i in ids] == [0, 1, 3, 2, 2, 3, 13, 9, 3, 6, 1045, 5, 200]
+    assert zlib.crc32(b"".join(i.astype("<i4").tobytes() for i in ids)) == 1353623068
+
+
+def test_trie_spells_every_piece_and_no_other():
+    pieces = pieces_of(default_model())
+
+    def spelled(word):
+        at = 0
+        for c in word:
+            step = pieces.child[at] + pieces.classes[ord(c)]
+            if pieces.parent[step] != at:
+                return -1
+            at = step
+        return pieces.ends[at]
+
+    known = {pieces.bytes[i].decode(): i for _, ids, _ in pieces.by_length.values() for i in ids}
+    assert len(known) > 30_000 and all(spelled(w.replace(" ", "▁")) == i for w, i in known.items())
+    rng = random.Random(3)
+    others = {w[:k] + rng.choice("aeiou▁\0日\U0001f600") + w[k + 1 :] for w in known for k in (0, len(w) // 2, len(w))} | {w[:-1] for w in known}
+    assert all(spelled(w.replace(" ", "▁")) == known.get(w.replace("▁", " "), -1) for w in others)
+
+
+def test_seconds_of_sampling_against_the_plain_encoder():
+    """CPU seconds over rare words, as a multiple of those that the vocabulary's own encoder takes: 3.8 with sorted edges and searched hashes."""
+    import sentencepiece
+
+    rng = random.Random(8)
+    parts = ["th", "er", "on", "an", "re", "he", "is", "ing", "st", "en", "ou", "ca", "lé", "sch"]
+    texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(3, 6))) for _ in range(200)) for _ in range(400)]
+    keys, pieces, plain = np.arange(len(texts)), pieces_of(default_model()), sentencepiece.SentencePieceProcessor(model_file=default_model())
+
+    def seconds(job):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            job()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(lambda: encode_texts(texts, keys, pieces)) < 2.8 * seconds(lambda: plain.encode(texts, num_threads=1))
+
+
 def plain_features(text):
     data = np.frombuffer(text.encode(), np.uint8)
     return features(data, np.array([0, len(data)]))
