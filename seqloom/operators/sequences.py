@@ -138,8 +138,9 @@ def read_quality(reads: DataFrame, offset: int = 33) -> DataFrame:
 
 
 def rescale_quality(reads: DataFrame, old: int = 33, new: int = 64) -> DataFrame:
-    """Quality strings reversed, and in another scale."""
-    other = F.array_join(F.transform(F.split("qual", ""), lambda c: F.char(F.ascii(c) - old + new)), "")
+    """Quality strings reversed, and in another scale; empty ones stay empty."""
+    each = F.filter(F.split("qual", ""), lambda c: c != "")  # an empty string is split into one empty string
+    other = F.array_join(F.transform(each, lambda c: F.char(F.ascii(c) - old + new)), "")
     return reads.select("read_id", F.reverse("qual").alias("reversed"), other.alias("rescaled"))
 
 

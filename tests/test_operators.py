@@ -209,6 +209,11 @@ def test_kmers_by_position(spark):
     assert {(r.seq_id, r.pos): r.kmer for r in sequences.kmers(seqs, 3, chunk=4).collect()} == mers
 
 
+def test_empty_qualities_stay_empty(spark):
+    df = spark.createDataFrame([(1, "I?5+!"), (2, ""), (3, None), (4, "!")], "read_id int, qual string")
+    assert rows(sequences.rescale_quality(df), "read_id") == [(1, "!+5?I", "h^TJ@"), (2, "", ""), (3, None, None), (4, "!", "@")]
+
+
 def test_tag_snps_and_alleles(spark):
     cols = "query string, flag int, chrom int, start_pos int, mapq int, cigar string, seq string, md string"
     data = [("t1", 64, 1, 100, 60, "5M", "ACGTA", "2A2"), ("t1", 144, 1, 300, 60, "5M", "ACGTA", "5"), ("t2", 64, 1, 100, 60, "5M", "ACGTA", "2A2"), ("t2", 144, 2, 300, 60, "5M", "ACGTA", "5"),
