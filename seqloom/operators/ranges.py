@@ -121,11 +121,33 @@ def ranges_at(ranges: DataFrame, positions: DataFrame, bin_size: int = BIN, with
     return met.select(*positions.columns, *[F.col("chrom").alias("r_chrom") if c == "chrom" else F.col(f"r_{c}") for c in ranges.columns])
 
 
-def first_range_at(ranges: DataFrame, positions: DataFrame) -> DataFrame:
-    """For each distinct position the range with the lowest start, then end, that holds it, or nulls."""
+def unheld(ranges: DataFrame, keys: list[str], carry: str | None = None) -> DataFrame:
+    """Ranges without the positions held by those before them, by start and end, of their group of ``keys``: no two of a group share one.
+
+    The whole range stays as (first, last). ``carry`` names a column with the
+    greatest end of ranges before all those of a group.
+    """
+    before = Window.partitionBy(*keys).orderBy("start_pos", "end_pos").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest("start_pos", F.max("end_pos").over(before), *([carry] if carry else []))
+    cut = ranges.select("*", F.col("start_pos").alias("first"), F.col("end_pos").alias("last")).where("start_pos < end_pos")
+    return cut.withColumn("start_pos", reach).where("start_pos < end_pos")
+
+
+def first_range_at(ranges: DataFrame, positions: DataFrame, stretch: int = BIN) -> DataFrame:
+    """For each distinct position the range with the lowest start, then end, that holds it, or nulls.
+
+    Ranges in order leave to those after them only positions that they don't
+    hold themselves, so each position meets one range however many hold it.
+    Ranges are walked by stretches in which they start, and what those of the
+    stretches before reach is carried on.
+    """
+    rows = ranges.select("chrom", "start_pos", "end_pos").where("start_pos < end_pos").distinct().withColumn("stretch", F.floor(F.col("start_pos") / stretch))
+    before = Window.partitionBy("chrom").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    reached = rows.groupBy("chrom", "stretch").agg(F.max("end_pos").alias("carry")).withColumn("carry", F.max("carry").over(before))
+    parts = unheld(rows.join(reached, ["chrom", "stretch"]), ["chrom", "stretch"], "carry").select("chrom", "start_pos", "end_pos", "first", "last")
     own = positions.select("chrom", "pos").distinct()
-    best = ranges_at(ranges, own).groupBy("chrom", "pos").agg(F.min(F.struct("r_start_pos", "r_end_pos")).alias("r"))
-    return own.join(best, ["chrom", "pos"], "left").select("chrom", "pos", F.col("r.r_start_pos").alias("start_pos"), F.col("r.r_end_pos").alias("end_pos"))
+    found = ranges_at(parts, own, within=ranges).select("chrom", "pos", F.col("r_first").alias("start_pos"), F.col("r_last").alias("end_pos"))
+    return own.join(found, ["chrom", "pos"], "left")
 
 
 def _islands(df: DataFrame, keys: list[str]) -> DataFrame:

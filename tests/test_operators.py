@@ -183,6 +183,21 @@ def test_short_ranges_are_sent_to_narrow_bins_alone(spark):
     assert written(spark, lambda: ranges.overlap_join(x, y, 16).collect()) <= bins + 10
 
 
+def test_first_ranges_match_plain_loops_and_meet_a_position_once(spark, monkeypatch):
+    rng = random.Random(7)
+    a = random_ranges(7) + [(1, s, e) for s in (50, 51, 300) for e in (1000, 60, 60, 52, 2000, 2000)] * 40 + [(None, 1, 9), (1, None, 9)]
+    a += [(3, rng.randint(-90, 90), rng.randint(-90, 90)) for _ in range(300)]
+    positions = [(c, p) for c in (1, 2, 4) for p in range(1, 46_000, 97)] + [(1, p) for p in range(40, 320)] * 2 + [(3, p) for p in range(-99, 99)] + [(None, 5), (1, None)]
+    made = []
+    plain = ranges.ranges_at
+    monkeypatch.setattr(ranges, "ranges_at", lambda *x, **y: made.append(plain(*x, **y)) or made[-1])
+    got = rows(ranges.first_range_at(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(positions, "chrom int, pos int")))
+    whole = [r for r in a if None not in r]
+    want = [(c, p, *min(((s, e) for k, s, e in whole if k == c and p is not None and s <= p < e), default=(None, None))) for c, p in set(positions)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert made[0].count() == sum(r[2] is not None for r in got)
+
+
 def test_merge_is_idempotent_and_keeps_positions(spark):
     a = [r for r in random_ranges(4) if r[2] - r[1] < 5000]
     merged = ranges.merge_overlaps(spark.createDataFrame(a, SCHEMA), stretch=256)
