@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import bases
-from seqloom.operators import alignments, calling, coordinates, discovery, distance, gbs, genotypes, ranges, sequences, tables
+from seqloom.operators import alignments, calling, coordinates, discovery, distance, gbs, genes, genotypes, ranges, sequences, tables
 
 
 def rows(df, *order):
@@ -198,6 +198,16 @@ def test_first_ranges_match_plain_loops_and_meet_a_position_once(spark, monkeypa
     assert made[0].count() == sum(r[2] is not None for r in got)
 
 
+@pytest.mark.parametrize("longest", [9_000, 100_000])
+def test_a_gene_holds_a_position_once(spark, longest):
+    a = [(*r, f"G{i % 40}") for i, r in enumerate(random_ranges(8))] + [(2, 3000, 90_000, f"G{i}") for i in range(40)] + [(1, 5, 90, "A"), (1, 5, 90, "A"), (1, 20, 30, "A"), (1, 80, 99, "A"), (1, 20, 60, None), (1, 30, 70, None), (1, 90, 90, "B")]
+    a = [r for r in a if r[2] - r[1] < longest]
+    assert (max(e - s for _, s, e, _ in a) > ranges.BIN * ranges.MOST_BINS) == (longest == 100_000)
+    positions = [(c, p) for c in (1, 2) for p in range(1, 46_000, 97)] + [(1, p) for p in range(100)]
+    got = rows(genes.genes_at(spark.createDataFrame(a, f"{SCHEMA}, gene string"), spark.createDataFrame(positions, "chrom int, pos int")))
+    assert sorted(got, key=repr) == sorted({(c, p, g) for c, p in positions for k, s, e, g in a if k == c and s <= p < e}, key=repr)
+
+
 def test_merge_is_idempotent_and_keeps_positions(spark):
     a = [r for r in random_ranges(4) if r[2] - r[1] < 5000]
     merged = ranges.merge_overlaps(spark.createDataFrame(a, SCHEMA), stretch=256)
