@@ -183,6 +183,14 @@ def test_short_ranges_are_sent_to_narrow_bins_alone(spark):
     assert written(spark, lambda: ranges.overlap_join(x, y, 16).collect()) <= bins + 10
 
 
+def test_positions_are_sent_to_one_bin(spark):
+    rng = random.Random(6)
+    a = [(1, s, s + rng.randint(1, 20)) for s in (rng.randint(0, 5000) for _ in range(400))]
+    x, y = spark.createDataFrame(a, SCHEMA).coalesce(1), spark.range(5000).selectExpr("1 AS chrom", "CAST(id AS INT) AS pos").coalesce(1)
+    bins = sum((e - 1) // 16 - s // 16 + 1 for _, s, e in a)
+    assert written(spark, lambda: ranges.ranges_at(x, y, 16).collect()) <= bins + 5000 + 10
+
+
 def test_first_ranges_match_plain_loops_and_meet_a_position_once(spark, monkeypatch):
     rng = random.Random(7)
     a = random_ranges(7) + [(1, s, e) for s in (50, 51, 300) for e in (1000, 60, 60, 52, 2000, 2000)] * 40 + [(None, 1, 9), (1, None, 9)]
