@@ -10,7 +10,7 @@ from seqloom.operators import calling, discovery, distance, gbs, genes
 from seqloom.operators import tables as plain
 from seqloom.plans import variant_queries
 from seqloom.plans.fixtures import Build, Tables, duckdb
-from seqloom.plans.session import scratch_path
+from seqloom.plans.session import drop_path, scratch_path
 from seqloom.sources import reads, tables, vcf
 
 Entry = tuple[Build, str | None]
@@ -114,10 +114,11 @@ def _fasta(t: Tables) -> DataFrame:
 
 
 def _fasta_chunks(t: Tables) -> DataFrame:
-    """Chunks of 300 bases, written as chunks and read again as those of 120."""
+    """Chunks of 300 bases, written as chunks and read again as those of 120; gzipped, for text takes more room than the documents."""
     paths = [scratch_path(t.spark, "fasta") for _ in range(2)]
-    reads.write_fasta(t("seqs").select(F.concat(F.lit("seq"), "seq_id").alias("description"), "seq"), paths[0])
-    reads.write_fasta(reads.read_fasta_chunks(t.spark, paths[0], 300), paths[1])
+    reads.write_fasta(t("seqs").select(F.concat(F.lit("seq"), "seq_id").alias("description"), "seq"), paths[0], codec="gzip")
+    reads.write_fasta(reads.read_fasta_chunks(t.spark, paths[0], 300), paths[1], codec="gzip")
+    drop_path(t.spark, paths[0])
     return reads.read_fasta_chunks(t.spark, paths[1], 120).select("description", "chunk", "offset", "seq")
 
 

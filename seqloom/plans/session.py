@@ -87,9 +87,14 @@ def drop_table(df: DataFrame) -> None:
     """Remove the files of a table made by :func:`write_table` that nothing reads any more."""
     path = getattr(df, "_written_at", None)
     if path:
-        _delete(df.sparkSession, path)
-        if path in _scratch:
-            _scratch.remove(path)
+        drop_path(df.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove the files at a path of :func:`scratch_path` that nothing reads any more."""
+    _delete(spark, path)
+    if path in _scratch:
+        _scratch.remove(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:

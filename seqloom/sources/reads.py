@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,41 +96,110 @@ def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
 
 
+def _split_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, block, n, left, name) of each split from its lines (file, block, head, description, long) in order: headers, the bases since the last one, and that."""
+    at, n, left, name, out = None, 0, 0, None, []
+    for batch in batches:
+        file, block, head, described, long = batch.columns
+        blocks, heads, longs = block.to_numpy(), head.to_numpy(zero_copy_only=False), long.to_numpy().astype(np.int64)
+        files = file.dictionary_encode().indices.to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], (blocks[1:] != blocks[:-1]) | (files[1:] != files[:-1]), [True]))) if len(files) else []
+        for begin, end in zip(edge[:-1], edge[1:], strict=True):
+            here = file[int(begin)].as_py(), int(blocks[begin])
+            if here != at:
+                out += [(*at, n, left, name)] if at else []
+                at, n, left, name = here, 0, 0, None
+            found = np.flatnonzero(heads[begin:end])
+            if len(found):
+                begin += found[-1]
+                n, left, name = n + len(found), 0, described[int(begin)].as_py()
+            left += int(longs[begin:end].sum())
+    out += [(*at, n, left, name)] if at else []
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    columns = list(zip(*out, strict=True)) or [[]] * 5
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "block", "n", "left", "name"])
+
+
+def _cut(size: int, wanted: bool) -> Callable:
+    """(seq_id, description, chunk, at, part) of chunks that lie in one split, or else the parts of others, from lines (split, before, carry, name, head, description, bases) in order.
+
+    The last chunk of a record is known to lie in a split when the next header does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, seq_id, name, start, opened = None, 0, None, 0, False
+        held, out = bytearray(), []
+
+        def put(part: bytes, ended: bool) -> None:
+            if (ended and start % size == 0 and (start > 0 or opened)) == wanted:
+                out.append((seq_id, name, start // size, start, part))
+
+        def close(ended: bool) -> None:
+            if seq_id and (held or start == 0 and opened):
+                put(bytes(held), ended)
+            held.clear()
+
+        for batch in batches:
+            splits, before, carry, names, head, described, bases = batch.columns
+            splits, heads = splits.to_numpy(), head.to_numpy(zero_copy_only=False)
+            data = bases.cast(pa.large_binary())
+            ends, text = np.frombuffer(data.buffers()[1], np.int64)[data.offset :].tolist(), memoryview(data.buffers()[2] or b"")
+            edge = np.append(np.flatnonzero(np.concatenate(([True], splits[1:] != splits[:-1])) | heads), len(splits)).tolist() if len(splits) else []
+            for begin, end in zip(edge[:-1], edge[1:], strict=True):
+                if splits[begin] != split:
+                    close(False)
+                    split, seq_id, name, start, opened = splits[begin], before[begin].as_py(), names[begin].as_py(), carry[begin].as_py(), False
+                if heads[begin]:
+                    close(True)
+                    seq_id, name, start, opened = seq_id + 1, described[begin].as_py(), 0, True
+                held += text[ends[begin] : ends[end]]
+                place = 0
+                while len(held) - place >= (take := size - start % size):
+                    put(bytes(held[place : place + take]), True)
+                    start, place = start + take, place + take
+                del held[:place]
+            yield rows(out)
+        close(False)
+        yield rows(out)
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        columns = list(zip(*(r for r in out if r[0]), strict=True)) or [[]] * 5
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["seq_id", "description", "chunk", "at", "part"])
+
+    return run
+
+
 def read_fasta_chunks(spark: SparkSession, path: str, size: int = FASTA_CHUNK) -> DataFrame:
     """(seq_id, description, chunk, offset, seq), plain or gzipped: the bases of each record in upper case, ``size`` to a row; ids count from 1 in the order of files.
 
     A line that begins with ``>`` describes a record, the lines up to the next
-    one are its bases; a record without any has one empty row. Within the
-    splits of files, sums of headers and of bases since the last header give
-    each line its record and its place; what earlier splits hold is added. So
-    files are read in parallel, and no row or task ever holds a record.
+    one are its bases; a record without any has one empty row. A first pass
+    gives each split of a file the number of headers before it and what is open
+    where it begins, a row a split. Then each split is cut by itself; only
+    chunks that lie in several, at its ends, are shuffled. So files are read in
+    parallel, and no row or task ever holds a record.
     """
     head = F.col("value").startswith(">")
-    text = F.upper(F.regexp_replace("value", r"\s", ""))
-    lines = _placed_lines(spark, path).select("file", "block", "id", head.alias("head"), F.when(head, F.substring("value", 2, 1 << 30)).alias("description"), F.when(~head, text).alias("bases"))
-    long = F.coalesce(F.length("bases"), F.lit(0)).cast("bigint")
-    so_far = Window.partitionBy("file", "block").orderBy("id")
-    here = lines.withColumn("heads", F.sum(F.col("head").cast("bigint")).over(so_far)).withColumn("upto", F.sum(long).over(so_far))
-    since = F.max(F.when(F.col("head"), F.col("upto"))).over(so_far)
-    placed = here.withColumn("at", F.col("upto") - long - F.coalesce(since, F.lit(0)))
-    own = placed.groupBy("file", "block").agg(F.max("heads").alias("n"), F.max("upto").alias("all"), F.max(F.when(F.col("head"), F.col("upto"))).alias("last"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    described = F.when(head, F.substring("value", 2, 1 << 30)).alias("description")
+    bases = F.when(~head, F.upper(F.regexp_replace("value", r"\s", ""))).alias("bases")
+    kept = lines.select("file", "block", head.alias("head"), described, F.coalesce(F.octet_length(bases), F.lit(0)).alias("long"))
+    ends = kept.mapInArrow(_split_ends, "file string, block bigint, n bigint, left bigint, name string")
     order = Window.orderBy("file", "block")
     until = order.rowsBetween(Window.unboundedPreceding, -1)
-    splits = own.select("file", "block", F.coalesce(F.sum("n").over(until), F.lit(0)).alias("before"), "n", (F.col("all") - F.coalesce("last", F.lit(0))).alias("left"))
+    splits = ends.select("*", F.row_number().over(order).alias("split"), F.coalesce(F.sum("n").over(until), F.lit(0)).alias("before"), F.last("name", True).over(until).alias("opened"))
     open_record = Window.partitionBy(F.col("before") + F.col("n")).orderBy("file", "block")
     carried = splits.withColumn("held", F.sum("left").over(open_record)).withColumn("carry", F.coalesce(F.lag("held").over(order), F.lit(0)))
-    rows = placed.join(carried.select("file", "block", "before", "carry"), ["file", "block"])
-    rows = rows.select((F.col("before") + F.col("heads")).alias("seq_id"), "description", "bases", (F.col("at") + F.when(F.col("heads") == 0, F.col("carry")).otherwise(0)).alias("at")).where("seq_id > 0")
-    data = F.coalesce("bases", F.lit("")).cast("binary")
-    first, last = F.floor(F.col("at") / size), F.floor((F.col("at") + F.greatest(F.length(data), F.lit(1)) - 1) / size)
-    cut = rows.select("seq_id", "description", "at", data.alias("data"), F.explode(F.sequence(first, last)).alias("chunk"))
-    begin = F.greatest(F.col("chunk") * size - F.col("at"), F.lit(0))
-    part = F.substring("data", (begin + 1).cast("int"), ((F.col("chunk") + 1) * size - F.col("at") - begin).cast("int")).cast("string")
-    parts = cut.select("seq_id", "chunk", "description", (F.col("at") + begin).alias("at"), part.alias("part"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "")
-    chunks = parts.groupBy("seq_id", "chunk").agg(joined.alias("seq"))
-    names = rows.where("description is not null").select("seq_id", "description")
-    return chunks.join(names, "seq_id").where("chunk = 0 OR seq <> ''").select("seq_id", "description", "chunk", (F.col("chunk") * size).alias("offset"), "seq")
+    placed = lines.join(F.broadcast(carried.select("file", "block", "split", "before", "carry", "opened")), ["file", "block"])
+    rows = placed.select("split", "before", "carry", "opened", head.alias("head"), described, bases)
+    schema = "seq_id bigint, description string, chunk bigint, at bigint, part binary"
+    whole = rows.mapInArrow(_cut(size, True), schema).withColumn("seq", F.col("part").cast("string"))
+    parts = F.array_sort(F.collect_list(F.struct("at", F.col("part").cast("string").alias("part"))))
+    joined = rows.mapInArrow(_cut(size, False), schema).groupBy("seq_id", "chunk").agg(F.max("description").alias("description"), F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("seq"))
+    columns = ["seq_id", "description", "chunk", (F.col("chunk") * size).alias("offset"), "seq"]
+    return whole.select(columns).unionByName(joined.select(columns))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -148,8 +221,8 @@ def fasta_lines(df: DataFrame, width: int = 60) -> DataFrame:
     return df.select(*[c for c in ("chrom", "seq_id", "chunk") if c in df.columns], F.concat(header, body).alias("value"))
 
 
-def write_fasta(df: DataFrame, path: str, by_chrom: bool = False) -> None:
-    """Records with lines of 60 bases; with ``by_chrom`` a folder for each ``description``.
+def write_fasta(df: DataFrame, path: str, by_chrom: bool = False, codec: str = "none") -> None:
+    """Records with lines of 60 bases; with ``by_chrom`` a folder for each ``description``; ``codec`` gzip takes a third of the room or less.
 
     Of chunks (seq_id, description, chunk, offset, seq) a record's follow each
     other in order, within files and from one file to the next.
@@ -158,9 +231,9 @@ def write_fasta(df: DataFrame, path: str, by_chrom: bool = False) -> None:
     if "chunk" in df.columns:
         lines = lines.repartitionByRange("seq_id", "chunk").sortWithinPartitions("seq_id", "chunk")
     if by_chrom:
-        lines.select("chrom", "value").write.partitionBy("chrom").text(path)
+        lines.select("chrom", "value").write.partitionBy("chrom").text(path, codec)
     else:
-        lines.select("value").write.text(path)
+        lines.select("value").write.text(path, codec)
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:

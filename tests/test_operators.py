@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from shuffles import written
 
 from seqloom.functions import bases
 from seqloom.operators import alignments, calling, coordinates, discovery, distance, gbs, genes, genotypes, ranges, sequences, tables
@@ -159,22 +160,6 @@ def test_ranges_at_matches_all_pairs(spark):
     assert sorted(got) == sorted((c, p, *x) for c, p in positions for x in a if x[0] == c and x[1] <= p < x[2])
 
 
-def written(spark, run):
-    """Rows that a function's jobs shuffle where joins don't broadcast."""
-    sc, small = spark.sparkContext, "spark.sql.autoBroadcastJoinThreshold"
-
-    def total():
-        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
-        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
-
-    before, kept = total(), spark.conf.get(small)
-    spark.conf.set(small, -1)
-    run()
-    spark.conf.set(small, kept)
-    return total() - before
-
-
 def test_short_ranges_are_sent_to_narrow_bins_alone(spark):
     rng = random.Random(5)
     a, b = ([(1, s, s + rng.randint(1, 20)) for s in (rng.randint(0, 5000) for _ in range(400))] for _ in range(2))

@@ -4,6 +4,7 @@ import gzip
 import random
 
 from pyspark.sql import functions as F
+from shuffles import written
 
 from seqloom.operators.alignments import edit_columns, read_alleles, read_variants
 from seqloom.sources import reads, tables, vcf
@@ -192,6 +193,14 @@ def test_fasta_headers_may_hold_the_sign_and_files_have_many_splits(spark, tmp_p
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_chunks_within_a_split_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("".join(f">r{i}\n" + "ACGTACGTAC\n" * (i % 90) for i in range(400)))
+    assert written(spark, lambda: reads.read_fasta_chunks(spark, str(tmp_path), 60).collect()) <= 20
+    reads.write_fasta(reads.read_fasta_chunks(spark, str(tmp_path), 60), str(tmp_path / "z"), codec="gzip")
+    assert all(p.suffix == ".gz" for p in (tmp_path / "z").glob("part-*"))
+    assert rows(reads.read_fasta(spark, str(tmp_path / "z")), "seq_id") == [(i + 1, f"r{i}", "ACGTACGTAC" * (i % 90)) for i in range(400)]
+
+
 def test_long_records_are_read_in_chunks_from_many_splits(spark, tmp_path):
     """Records over many splits and files, lines of any length, empty records, text before the first header."""
     rng = random.Random(8)
